@@ -7,12 +7,22 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import bpe, mixing, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
