@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks
+from .common import map_arrow
 
 #: Memo bound (fragments), and the longest fragment kept, in bytes.
 MEMO, MEMO_BYTES = 400_000, 96
@@ -150,7 +151,7 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "ids", *(["decoded"] if decoded else [])])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -163,7 +164,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.decode(x or ()) for x in lists], pa.string())], names=[*batch.schema.names, out])
 
-    return df.drop(out).mapInArrow(run, schema)
+    return map_arrow(df.drop(out), run, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +58,23 @@ def with_rank(df: DataFrame, group: list[Column], order: list[Column], rank: str
     return d.join(per, on).withColumn(rank, F.col("_before") + F.col("_id") - F.col("_first")).drop(
         "_id", "_part", "_p", "_first", "_before", *gs, *[f"_h{n}" for n in gs]
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers (once per Spark context)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_overfly_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="overfly-code-")) / "overfly_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._overfly_shipped = True
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
