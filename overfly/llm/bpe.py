@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .arrays import chunks
 from .common import map_arrow
@@ -134,7 +135,7 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False)
     through; ones already named ids or decoded are replaced.
     """
     df = df.drop("ids", "decoded")
-    schema = df.schema.add("ids", "array<int>")
+    schema = df.schema.add("ids", ArrayType(IntegerType()))
     if decoded:
         schema = schema.add("decoded", "string")
 
