@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from .arrays import chunks
-from .common import map_arrow
+from .common import extended, map_arrow
 
 #: Memo bound (fragments), and the longest fragment kept, in bytes.
 MEMO, MEMO_BYTES = 400_000, 96
@@ -135,9 +134,7 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False)
     through; ones already named ids or decoded are replaced.
     """
     df = df.drop("ids", "decoded")
-    schema = df.schema.add("ids", ArrayType(IntegerType()))
-    if decoded:
-        schema = schema.add("decoded", "string")
+    schema = extended(df, ids="array<int>", **({"decoded": "string"} if decoded else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -157,7 +154,7 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False)
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of an ``array<int>`` column of ids; a null list gives the empty text, unknown ids nothing."""
-    schema = df.drop(out).schema.add(out, "string")
+    schema = extended(df.drop(out), **{out: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: A word of the contracts: bytes outside blank and \x09-\x0D.
@@ -78,3 +79,9 @@ def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
+
+
+def extended(df: DataFrame, **columns: str) -> StructType:
+    """The schema of ``df`` with more columns, as a new object (``StructType.add`` would change the frame's own)."""
+    more = df.sparkSession.createDataFrame([], ", ".join(f"`{k}` {v}" for k, v in columns.items())).schema
+    return StructType([*df.schema.fields, *more.fields])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, chunks, hash_spans, mix64, spans
-from .common import map_arrow
+from .common import extended, map_arrow
 
 #: Words of a chain; bits of the n-gram table; n-gram sizes in bytes, end marks included.
 CHAIN, BITS, GRAMS = 64, 16, (2, 3, 4, 5)
@@ -268,7 +268,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     lang_pred or score are replaced; repeated rows are repeated.
     """
     docs = docs.drop("lang_pred", "score")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = extended(docs, lang_pred="string", score="double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import WHITE, chunks, hash_spans, hash_windows, mix64, ramp, spans
-from .common import checkpointed, map_arrow
+from .common import checkpointed, extended, map_arrow
 
 #: Words of a repeat, and of an anchor.
 LENGTH, ANCHOR = 35, 12
@@ -125,7 +125,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
     once = spread.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("loc").alias("loc")).filter("n = 1")
     d = d.join(_per_text(once, "_w").hint("shuffle_hash"), ["_id", "_tag"], "left")
     keep = [f for f in docs.schema.fieldNames() if f not in ("n_words", "n_removed", "kept")]
-    schema = docs.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    schema = extended(docs.select(*keep), n_words="long", n_removed="long", kept="string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
