@@ -6,8 +6,9 @@ from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langcrf, minhash, mixing, sharding, substring
+from . import ann, bpe, langcrf, minhash, mixing, rangejoin, sharding, substring
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -35,6 +41,10 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langcrf.predict(table(spark, sf_dir, "documents"))
 
