@@ -25,11 +25,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``; only where the session
     names none (tests on one machine) a temporary one is set.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where the session names none a temporary one of this machine."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="overfly-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def with_rank(df: DataFrame, group: list[Column], order: list[Column], rank: str = "rank", counts: str | None = None) -> DataFrame:

@@ -8,12 +8,16 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langcrf, minhash, mixing, rangejoin, sharding, substring
+from . import ann, bpe, langcrf, minhash, mixing, quality, rangejoin, sharding, substring, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,10 @@ def op7_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangejoin.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langcrf.predict(table(spark, sf_dir, "documents"))
 
