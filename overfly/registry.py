@@ -31,3 +31,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for m in ("accuracy", "geometry"):
+        import_module(f"overfly.plans.{m}")
+
+
+_load()
