@@ -16,7 +16,7 @@ def large_star(e: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least of itself and its neighbours."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _minima(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(e: DataFrame) -> DataFrame:

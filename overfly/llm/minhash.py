@@ -8,7 +8,9 @@
 4. Components of the confirmed links come from large-star and small-star steps.
 5. Buckets that still hold members of different components are completed: pairs
    across components there are tested too, so a chain that avoids the bucket's
-   least member is found as well. Pairs inside a component need no test.
+   least member is found as well. Pairs inside a component need no test, nor do
+   those that the sizes and each set's own shingles (found in no other such
+   document) rule out; that bound leaves few pairs in groups of copies with edits.
 
 With 40 bands of 5 rows a pair at similarity 0.75 shares no bucket with
 probability 2e-5, and less above. Buckets are never capped.
@@ -24,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, WHITE, chunks, hash_spans, hash_windows, mix64, spans, stream64
-from .common import checkpointed, map_arrow
+from .common import checkpointed, map_arrow, ship
 from .graph import components
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 40, 5, 75
 #: Shingles hashed at a time, so that the block stays in the cache.
 BLOCK = 2048
+#: Buckets up to this many open members are joined directly; larger ones by blocks of so many.
+FEW, BUCKET_BLOCK = 24, 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -85,10 +89,15 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
-    """Pairs (u, v) whose sizes and signatures allow the similarity; six standard deviations of room."""
+def _agreement(percent: int, n: int) -> float:
+    """How many of n minima agree at least in a pair at the similarity: four standard deviations below the mean."""
     j = percent / 100
-    least = n * j - 6 * (n * j * (1 - j)) ** 0.5
+    return n * j - 4.2 * (n * j * (1 - j)) ** 0.5
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
+    """Pairs (u, v) whose sizes and signatures allow the similarity."""
+    least = _agreement(percent, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,14 +111,21 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFram
     return map_arrow(d.select("u", "v", "su", "sv"), run, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, sorted set) of the documents named in ``ids``; their texts are shuffled once."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in chunks(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(data, offsets, shingle)], pa.binary())], names=["id", "set"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+    return map_arrow(texts, run, "id long, set binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -120,13 +136,103 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
             k = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(k), b.column(1).filter(k)], names=["u", "v"])
 
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    found = map_arrow(texts, sets, "id long, set binary")
-    d = pairs.join(found.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v").join(found.select(F.col("id").alias("u"), F.col("set").alias("su")), "u")
+    d = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v").join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u")
     return map_arrow(d.select("u", "v", "su", "sv"), run, "u long, v long").distinct()
 
 
+def _reach(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, most) of each set of ``ids``: its size and the largest size that a linked partner among ``ids`` can have.
+
+    A link needs an intersection of at least percent/(100+percent) of both sizes. It
+    cannot exceed c, the shingles of the set that any other set has too, so the
+    partner's size is at most c*(100+percent)/percent - n.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in zip(b.column(0), b.column(1)):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                # The set's own tag is one more shingle that no other set has, so that every set comes out below.
+                tag = mix64(x.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(x)))
+                h = np.append(x, mix64(tag)).view(np.int64)
+                n = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(tag, n).view(np.int64)), pa.array(np.full(n, i.as_py())), pa.array(np.full(n, n - 1))], names=["h", "tag", "id", "n"])
+
+    own = sets.join(ids, "id", "left_semi")
+    rows = map_arrow(own.select("id", "set"), run, "h long, tag long, id long, n long").groupBy("h").agg(F.min("tag").alias("tag"), F.max("tag").alias("z"), F.min("id").alias("id"), F.max("n").alias("n")).filter("tag = z")
+    c = F.max("n") - (F.count(F.lit(1)) - 1)
+    return rows.groupBy("id", "tag").agg(F.max("n").alias("n"), F.floor(c * (100 + percent) / percent - F.max("n") + 1e-6).cast("long").alias("most")).drop("tag")
+
+
+def intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, as products of 0/1 matrices over their common values."""
+    xv, yv = np.concatenate(xs), np.concatenate(ys)
+    xr, yr = (np.repeat(np.arange(len(z)), [len(v) for v in z]) for z in (xs, ys))
+    common = np.intersect1d(xv, yv)
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    if not len(common):
+        return out
+    xi, yi = np.searchsorted(common, xv), np.searchsorted(common, yv)
+    kx, ky = common[np.minimum(xi, len(common) - 1)] == xv, common[np.minimum(yi, len(common) - 1)] == yv
+    for i in range(0, len(common), 4096):
+        m = min(4096, len(common) - i)
+        a, b = np.zeros((len(xs), m), np.float32), np.zeros((len(ys), m), np.float32)
+        sx, sy = kx & (xi >= i) & (xi < i + m), ky & (yi >= i) & (yi < i + m)
+        a[xr[sx], xi[sx] - i] = 1
+        b[yr[sy], yi[sy] - i] = 1
+        out += a @ b.T
+    return out
+
+
+def _across(small: DataFrame, large: DataFrame, percent: int, n: int, bins: int) -> DataFrame:
+    """(u, v, sure): pairs of different components that share a bucket.
+
+    Rows have key, many (rows of the bucket), id, root, n, most; small buckets'
+    rows a signature, large ones' a set. Small buckets are binned and give likely
+    pairs. Large ones are cut into blocks, two of which meet at a time, so that no task
+    holds more than two; their pairs are decided on the full sets at once, and only
+    links come out.
+    """
+    ship(small.sparkSession)
+    blocks = F.when(F.col("signature").isNull(), F.ceil(F.col("many") / BUCKET_BLOCK)).otherwise(F.lit(1)).cast("long")
+    d = small.withColumn("set", F.lit(None).cast("binary")).unionByName(large.withColumn("signature", F.lit(None).cast("binary")))
+    d = d.withColumn("bin", F.when(F.col("signature").isNull(), F.col("key")).otherwise(F.pmod("key", F.lit(bins))))
+    d = d.withColumn("b", F.pmod(F.xxhash64("id"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    d = d.select("bin", F.col("signature").isNull().alias("big"), F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "key", "id", "root", "n", "most", "signature", "set")
+    least = _agreement(percent, n)
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, b, lo, hi, ids, root, size, most = (np.asarray(t.column(k)) for k in ("key", "b", "lo", "hi", "id", "root", "n", "most"))
+        big = t.column("big")[0].as_py()
+        data = t.column("set" if big else "signature").to_pylist()
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        order = np.argsort(keys, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+            x, y = part[b[part] == lo[0]], part[b[part] == hi[0]]
+            on = (root[x, None] != root[None, y]) & (size[x, None] <= most[None, y]) & (size[None, y] <= most[x, None])
+            if lo[0] == hi[0]:
+                on &= ids[x, None] < ids[None, y]
+            if not on.any():
+                continue
+            if big:
+                sx, sy = ([np.frombuffer(data[i], np.uint64) for i in z] for z in (x, y))
+                both = intersections(sx, sy)
+                nx, ny = (np.array([len(v) for v in z], np.float32) for z in (sx, sy))
+                on &= 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
+                r, c = np.nonzero(on)
+            else:
+                r, c = np.nonzero(on)
+                sx, sy = (np.frombuffer(b"".join([data[i] for i in z]), np.uint8).reshape(-1, n) for z in (x, y))
+                keep = (sx[r] == sy[c]).sum(axis=1) >= least
+                r, c = r[keep], c[keep]
+            us.append(np.minimum(ids[x[r]], ids[y[c]]))
+            vs.append(np.maximum(ids[x[r]], ids[y[c]]))
+        u = np.concatenate(us)
+        return pa.table({"u": pa.array(u), "v": pa.array(np.concatenate(vs)), "sure": pa.array(np.full(len(u), big))})
+
+    return d.groupBy("bin", "big", "lo", "hi").applyInArrow(run, "u long, v long, sure boolean")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -141,25 +247,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     """
     sk = checkpointed(sketches(docs, shingle, bands, rows))
     some = sk.filter("n_shingles > 0")
-    classes = some.groupBy("h", "g").agg(F.min("doc_id").alias("rep"))
+    classes = checkpointed(some.groupBy("h", "g").agg(F.min("doc_id").alias("rep")))
     reps = some.join(classes.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "rep"), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")) & (F.col("doc_id") == F.col("rep")), "left_semi")
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).filter("c < z").select("key", "c")
     members = checkpointed(keyed.join(shared, "key"))
+    sets = checkpointed(_sets(docs, members.select("id").distinct(), shingle))
     stars = checkpointed(members.filter("c < id").select(F.col("c").alias("u"), F.col("id").alias("v")).distinct())
-    links = checkpointed(_confirmed(checkpointed(_likely(stars, sk, percent, bands * rows)), docs, shingle, percent))
+    links = checkpointed(_confirmed(_likely(stars, sk, percent, bands * rows), sets, percent))
     found = components(links)
 
-    at = members.select("key", "id").distinct().join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    open_ = checkpointed(at.join(mixed, "key", "left_semi"))
-    x, y = open_.select("key", F.col("id").alias("u"), F.col("root").alias("ru")), open_.select("key", F.col("id").alias("v"), F.col("root").alias("rv"))
-    rest = x.join(y, "key").filter("u < v AND ru <> rv").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
-    rest = checkpointed(_likely(rest, sk, percent, bands * rows))
-    if rest.take(1):
-        more = checkpointed(_confirmed(rest, docs, shingle, percent))
-        if more.take(1):
-            found = components(links.union(more))
+    at = members.select("key", "id").join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("key", "many")
+    open_ = checkpointed(at.join(mixed, "key"))
+    # Members that no size could match go: nothing is linked to them beyond their component.
+    open_ = checkpointed(open_.join(_reach(open_.select("id").distinct(), sets, percent), "id").filter("most > 0"))
+    bins = max(64, open_.count() // 1000)
+    small = open_.filter(f"many <= {FEW}").join(sk.select(F.col("doc_id").alias("id"), "signature"), "id")
+    large = open_.filter(f"many > {FEW}").join(sets, "id")
+    more = checkpointed(_across(small, large, percent, bands * rows, bins))
+    rest = more.filter("NOT sure").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
+    if more.take(1):
+        more = more.filter("sure").select("u", "v").union(_confirmed(rest, sets, percent))
+        found = components(checkpointed(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)))
 
     d = sk.select("doc_id", "n_shingles", "h", "g").join(classes, ["h", "g"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     least = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
