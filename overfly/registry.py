@@ -37,7 +37,7 @@ def _load() -> None:
     """Import the modules that register queries."""
     from importlib import import_module
 
-    for m in ("accuracy", "geometry", "retrieval"):
+    for m in ("accuracy", "geometry", "retrieval", "calibration", "captions", "jobs"):
         import_module(f"overfly.plans.{m}")
 
 
