@@ -89,12 +89,10 @@ def tile_grid(maps: DataFrame, tile: int = 1024, stride: int = 512) -> DataFrame
     m = geo.map_columns()
 
     def steps(n: Column) -> Column:
-        last = (n - tile).cast("long")
+        last = F.when(n >= tile, n - tile).otherwise(F.raise_error(F.lit("map smaller than a tile")).cast("double")).cast("long")
         grid = F.sequence(F.lit(0).cast("long"), last, F.lit(stride).cast("long"))
         return F.array_sort(F.array_distinct(F.concat(grid, F.array(last))))
 
-    ok = (m["w"] >= tile) & (m["h"] >= tile)
-    d = maps.withColumn("_bad", F.when(~ok, F.raise_error(F.lit("map smaller than a tile"))))
-    d = d.select("*", F.posexplode(steps(m["h"])).alias("yi", "y0"), F.size(steps(m["w"])).alias("nx")).select("*", F.posexplode(steps(m["w"])).alias("xi", "x0"))
+    d = maps.select("*", F.posexplode(steps(m["h"])).alias("yi", "y0"), F.size(steps(m["w"])).alias("nx")).select("*", F.posexplode(steps(m["w"])).alias("xi", "x0"))
     lat, lon = geo.px_to_gps(F.col("x0") + tile / 2, F.col("y0") + tile / 2, m)
     return d.select("map_id", (F.col("yi") * F.col("nx") + F.col("xi")).cast("long").alias("tile_id"), "x0", "y0", lat.alias("lat"), lon.alias("lon"))
