@@ -223,8 +223,9 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part
 
 
-def sample(docs: DataFrame, per_lang: int = 200, most_langs: int = 64, most_bytes: int = 65_536) -> list:
-    """Training rows (text, lang): about ``per_lang`` documents of each of the ``most_langs`` commonest languages.
+def sample(docs: DataFrame, per_lang: int = 200, most_langs: int = 32, most_rows: int = 2400, most_bytes: int = 32_768) -> list:
+    """Training rows (text, lang): about ``per_lang`` documents of each of the ``most_langs`` commonest languages, fewer each if
+    that makes more than ``most_rows``.
 
     Drawn by a hash of the id from all training rows (not held out, lang not null,
     some text of at most ``most_bytes`` bytes). Bounded whatever the input's size.
@@ -233,6 +234,7 @@ def sample(docs: DataFrame, per_lang: int = 200, most_langs: int = 64, most_byte
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
     if not counts:
         return []
+    per_lang = max(1, min(per_lang, most_rows // len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
     share = F.lit(0)
     for r in counts:

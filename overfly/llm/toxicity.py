@@ -101,13 +101,31 @@ def pooled(net: Net, table: np.ndarray, s: np.ndarray, counts: np.ndarray) -> np
 
 def language(net: Net, s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The number of the language whose word profile fits best."""
-    sums = np.concatenate([np.zeros((1, len(net.langs))), np.cumsum(net.profile[s[:, 0]], axis=0, dtype=np.float64)])
-    first = np.cumsum(counts) - counts
-    return (sums[first + counts] - sums[first]).argmax(axis=1)
+    out, first = np.zeros((len(counts), len(net.langs))), np.cumsum(counts) - counts
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.add.reduceat(net.profile[s[:, 0]], first[some], axis=0)
+    return out.argmax(axis=1)
+
+
+def logits(net: Net, table: np.ndarray, s: np.ndarray, counts: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """One number per text; about ``most`` words at a time."""
+    ends = np.cumsum(counts)
+    out, lo = [np.zeros(0)], 0
+    while lo < len(counts):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + most, "right")))
+        out.append(pooled(net, table, s[base : ends[hi - 1]], counts[lo:hi]) @ net.out + net.bias)
+        lo = hi
+    return np.concatenate(out)
 
 
-def logits(net: Net, table: np.ndarray, s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return pooled(net, table, s, counts) @ net.out + net.bias
+def slots_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``slots`` of a list of texts, a chunk of bytes at a time."""
+    parts = [slots(data, offsets) for _, _, data, offsets in chunks(pa.array(texts, pa.string()), CHUNK)]
+    if not parts:
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([p[1] for p in parts])
 
 
 def train(texts: list[str], y: np.ndarray, langs: list[str], epochs: int | None = None, batch: int = 64, rate: float = 0.02, seed: int = 1) -> Net:
@@ -117,11 +135,11 @@ def train(texts: list[str], y: np.ndarray, langs: list[str], epochs: int | None
     net = Net(np.zeros((2 * SLOTS, DIM), np.float32), [rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS], np.zeros(len(WIDTHS) * PARTS * FILTERS), -2.0, names, np.zeros((SLOTS, len(names)), np.float32), np.zeros(len(names)))
     for f in net.filters:
         f[:, 0, : FILTERS // 2] += 0.5
-    raw = [t.encode() for t in texts]
-    s, counts = slots(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+    s, counts = slots_of(texts)
     if not len(s) or y.min() == y.max():
         net.bias = 4.0 if len(y) and y.min() == 1 else -4.0
         return net
+    texts.clear()
     first = np.cumsum(counts) - counts
     doc = np.repeat(np.arange(len(counts)), counts)
     kind = np.array([names.index(x) for x in langs])
@@ -133,7 +151,7 @@ def train(texts: list[str], y: np.ndarray, langs: list[str], epochs: int | None
     # Document frequencies by class give the first component and say which slots are learned at all.
     freq = np.zeros((2 * SLOTS, 2))
     for k in (0, 1):
-        pair = np.unique(doc * (2 * SLOTS) + s[:, k])
+        pair = np.unique(doc.astype(np.int64) * (2 * SLOTS) + s[:, k])
         d, slot = pair // (2 * SLOTS), pair % (2 * SLOTS)
         keep = ~calib[d]
         np.add.at(freq, (slot[keep], y[d[keep]].astype(int)), 1)
@@ -162,6 +180,7 @@ def train(texts: list[str], y: np.ndarray, langs: list[str], epochs: int | None
             emb = net.table[ss[:, 0]] + net.table[ss[:, 1]]
             feats, keep = [], []
             for w, f in zip(WIDTHS, net.filters):
+                f = f.astype(np.float32)
                 act = emb @ f[0]
                 for j in range(1, w):
                     if len(act) > j:
@@ -182,7 +201,9 @@ def train(texts: list[str], y: np.ndarray, langs: list[str], epochs: int | None
                 pos, g = p[d, q, fi], back[d, k, q, fi]
                 gf = np.zeros_like(f)
                 for j in range(w):
-                    np.add.at(gf[j].T, fi, g[:, None] * emb[pos + j])
+                    at_filter = np.zeros((FILTERS, len(pos)))
+                    at_filter[fi, np.arange(len(pos))] = g
+                    gf[j] = (at_filter @ emb[pos + j]).T
                     ge = g[:, None] * f[j][:, fi].T
                     for col in (0, 1):
                         gslot.append(ss[pos + j, col])
@@ -227,15 +248,15 @@ def argmaxima(act: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def thresholds(z: np.ndarray, y: np.ndarray, kind: np.ndarray, n: int) -> np.ndarray:
-    """The logit of each language that serves F1 best on the calibration rows; few positives take all languages' logit."""
+    """The logit of each language that serves F1 about best on the calibration rows; few positives take all languages' logit."""
 
     def best(z: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(-z, kind="stable")
         z, y = z[order], y[order]
         tp = np.cumsum(y)
         f1 = 2 * tp / (np.arange(1, len(y) + 1) + y.sum())
-        k = np.flatnonzero(f1 >= f1.max() - 1e-12)
-        k = k[len(k) // 2]
+        # Among cuts that serve F1 almost alike, the one that catches most.
+        k = np.flatnonzero(f1 >= 0.99 * f1.max())[-1]
         return float((z[k] + z[min(k + 1, len(z) - 1)]) / 2)
 
     every = best(z, y) if y.sum() >= 3 else 0.0
