@@ -23,7 +23,7 @@ from .vectors import matrices, units, usable
 
 COSINE = 0.9
 #: Rows of a home block and of a guest block; most pivots.
-HOME, GUEST, PIVOTS = 2048, 16384, 512
+HOME, GUEST, PIVOTS = 8192, 16384, 512
 
 
 def _squares(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -60,15 +60,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
         own, start = model.value
         for b in batches:
             rep, m = b.column(0), b.column(1)
-            for rows_, x in matrices(b.column(2)):
-                size = x.shape[1]
-                x = units(x)
+            for rows_, raw in matrices(b.column(2)):
+                size = raw.shape[1]
+                x = units(raw)
                 if size in own:
                     d = _squares(x, own[size])
                     cell, far = start[size] + d.argmin(axis=1), np.sqrt(d.min(axis=1))
                 else:
                     cell, far = np.full(len(x), -size), np.zeros(len(x))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * size), pa.array(x.reshape(-1)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * size), pa.array(raw.reshape(-1)))
                 take = pa.array(rows_)
                 yield pa.RecordBatch.from_arrays([rep.take(take), m.take(take), lists, pa.array(cell.astype(np.int64)), pa.array(far)], names=["rep", "m", "embedding", "cell", "far"])
 
@@ -76,6 +76,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
     # One row per cell, pivots and lengths at most: bounded.
     cells = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
+    #: Vectors travel as they were stored; single precision is exact for float arrays.
+    kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
 
     def visits(own, start, x, cell, size):
         """Which cells each unit vector is copied to: (row, cell) pairs, its own cell among them."""
@@ -98,7 +100,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
         for b in batches:
             cell = np.asarray(b.column(1))
             for rows_, x in matrices(b.column(0)):
-                for c, k in zip(*np.unique(visits(own, start, x, cell[rows_], x.shape[1])[1], return_counts=True)):
+                for c, k in zip(*np.unique(visits(own, start, units(x), cell[rows_], x.shape[1])[1], return_counts=True)):
                     count[int(c)] = count.get(int(c), 0) + int(k)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(list(count), pa.int64()), "k": pa.array(list(count.values()), pa.int64())})
 
@@ -112,7 +114,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
             mix = (rep * 2654435761) >> 7
             for rows_, x in matrices(b.column(2)):
                 size = x.shape[1]
-                r, c = visits(own, start, x, cell[rows_], size)
+                r, c = visits(own, start, units(x), cell[rows_], size)
                 for is_home, rr, cc in ((True, np.arange(len(x)), cell[rows_]), (False, r, c)):
                     keep = np.array([blocks[k] if k in blocks else (0, 0) for k in cc.tolist()], np.int64).reshape(-1, 2)
                     times = keep[:, 1 if is_home else 0]
@@ -125,7 +127,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
                     gb = k if is_home else (mix[g] // 8191) % np.maximum(keep[i, 1], 1)
                     for a in range(0, len(i), 8192):
                         z = slice(a, a + 8192)
-                        vec = pa.array([v.tobytes() for v in x[rr[i[z]]]], pa.binary())
+                        vec = pa.array([v.tobytes() for v in x[rr[i[z]]].astype(kind)], pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array(cc[i[z]]), pa.array(hb[z]), pa.array(gb[z]), pa.array(np.full(len(g[z]), is_home)), pa.array(rep[g[z]]), pa.array(m[g[z]]), vec], names=["cell", "hb", "gb", "home", "rep", "m", "vec"])
 
     dealt = map_arrow(placed, deal, "cell long, hb long, gb long, home boolean, rep long, m long, vec binary")
@@ -133,7 +135,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
     def join(t: pa.Table) -> pa.Table:
         home_ = np.asarray(t.column("home"))
         rep, m = np.asarray(t.column("rep")), np.asarray(t.column("m"))
-        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(t.num_rows, -1)
+        x = units(np.frombuffer(b"".join(t.column("vec").to_pylist()), kind).reshape(t.num_rows, -1).astype(np.float64))
         hs, gs = np.flatnonzero(home_), np.flatnonzero(~home_)
         links, (nodes, roots) = linked(x[hs], rep[hs], x[gs], rep[gs], m[gs], cosine)
         some = links > 0
@@ -165,13 +167,13 @@ def linked(h: np.ndarray, hid: np.ndarray, g: np.ndarray, gid: np.ndarray, gm: n
     g32 = g.astype(np.float32)
     for i in range(0, len(h), 256):
         s = h[i : i + 256].astype(np.float32) @ g32.T
-        on = s >= cosine
-        r, c = np.nonzero(np.abs(s - cosine) < 1e-4)
-        if len(r):
-            on[r, c] = np.einsum("ij,ij->i", h[i + r], g[c]) >= cosine
-        on &= hid[i : i + 256, None] != gid[None, :]
-        for k in np.flatnonzero(on.any(axis=1)):
-            cols = np.flatnonzero(on[k])
+        r, c = np.nonzero(s > cosine - 1e-4)
+        near = s[r, c] < cosine + 1e-4
+        ok = ~near
+        ok[near] = np.einsum("ij,ij->i", h[i + r[near]], g[c[near]]) >= cosine
+        ok &= hid[i + r] != gid[c]
+        r, c = r[ok], c[ok]
+        for k, cols in zip(np.unique(r), np.split(c, np.flatnonzero(np.diff(r)) + 1)):
             links[i + k] = gm[cols].sum()
             roots = np.unique(np.append(label[gp[cols]], label[hp[i + k]]))
             if len(roots) > 1:

@@ -53,7 +53,7 @@ def test_nearest(spark, frame, rows):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in blocks.collect()) == sorted((q, k, v) for q, h in got.items() for k, v, _ in h)
 
 
-@pytest.mark.parametrize(("home", "guest"), [(2048, 16384), (40, 64)])
+@pytest.mark.parametrize(("home", "guest"), [(8192, 16384), (40, 64)])
 def test_range_join(frame, rows, home, guest):
     u = units(rows)
     on = u @ u.T >= 0.9
