@@ -65,17 +65,19 @@ def map_for_point(points: DataFrame, maps: DataFrame, lat: str = "lat", lon: str
     n = maps.limit(most + 1).count()
     if n > most:
         raise ValueError(f"more than {most} maps: join on grid cells instead")
-    ids = [c for c in points.columns]
-    j = points.withColumn("_i", F.monotonically_increasing_id()).join(F.broadcast(maps), F.lit(True))
-    m = geo.map_columns()
-    x, y = geo.gps_to_px(F.col(lat), F.col(lon), m)
-    zero = F.lit(0.0)
-    over = F.greatest(zero, -x) + F.greatest(zero, x - m["w"]) + F.greatest(zero, -y) + F.greatest(zero, y - m["h"])
-    hit = geo.in_box(x, y, m["w"], m["h"])
     cols = [c for c in maps.columns if c != "map_id"]
-    best = F.min(F.struct((~hit).alias("miss"), F.when(hit, 0.0).otherwise(over).alias("over"), "map_id", x.alias("px"), y.alias("py"), *cols)).alias("b")
-    g = j.groupBy("_i", *ids).agg(best)
-    d = g.select(*ids, "b.*")
+    zero = F.lit(0.0)
+
+    def fit(t: Column) -> Column:
+        m = geo.map_scale({k: t[k].cast("double") for k in ("lt_lat", "lt_lon", "rb_lat", "rb_lon", "w", "h")})
+        x, y = geo.gps_to_px(F.col(lat), F.col(lon), m)
+        over = F.greatest(zero, -x) + F.greatest(zero, x - m["w"]) + F.greatest(zero, -y) + F.greatest(zero, y - m["h"])
+        hit = geo.in_box(x, y, m["w"], m["h"])
+        return F.struct((~hit).alias("miss"), F.when(hit, 0.0).otherwise(over).alias("over"), t["map_id"].alias("map_id"), x.alias("px"), y.alias("py"), *[t[c].alias(c) for c in cols])
+
+    # The catalogue becomes one array that every row searches: no shuffle of the points.
+    catalogue = maps.agg(F.collect_list(F.struct(*maps.columns)).alias("_maps"))
+    d = points.join(F.broadcast(catalogue), F.lit(True)).withColumn("b", F.array_min(F.transform("_maps", fit))).select(*points.columns, "b.*")
     clamp = lambda v, size: F.when(F.col("miss"), F.least(F.greatest(F.col(v), zero), F.col(size) - 1)).otherwise(F.col(v))
     return d.withColumns({"px": clamp("px", "w"), "py": clamp("py", "h"), "in_bounds": ~F.col("miss")}).drop("miss", "over")
 
