@@ -20,8 +20,8 @@ def _cells(lat: Column, lon: Column, size: tuple[float, float]) -> tuple[Column,
     return F.floor(lat / size[0]), F.floor(lon / size[1])
 
 
-def radius_join(left: DataFrame, right: DataFrame, at: tuple[str, str], to: tuple[str, str], radius_m: float, max_abs_lat: float = 60.0, metric=geo.haversine_m) -> DataFrame:
-    """Pairs of rows at most ``radius_m`` apart, with ``dist_m``.
+def radius_join(left: DataFrame, right: DataFrame, at: tuple[str, str], to: tuple[str, str], radius_m: float, max_abs_lat: float = 60.0, metric=geo.haversine_m, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows at most ``radius_m`` apart and equal in ``keys``, with ``dist_m``.
 
     Both sides get cells as large as the radius; the right side is copied to the
     nine cells around its own, which makes an equi-join that Spark can hash, sort
@@ -33,7 +33,7 @@ def radius_join(left: DataFrame, right: DataFrame, at: tuple[str, str], to: tupl
     l = left.withColumns({"_a": a, "_b": b})
     r = right.withColumn("_c", F.explode(F.array(*[F.struct((x + i).alias("a"), (y + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
     r = r.select(*right.columns, F.col("_c.a").alias("_a"), F.col("_c.b").alias("_b"))
-    d = l.join(r, ["_a", "_b"]).drop("_a", "_b")
+    d = l.join(r, ["_a", "_b", *keys]).drop("_a", "_b")
     return d.withColumn("dist_m", metric(F.col(at[0]), F.col(at[1]), F.col(to[0]), F.col(to[1]))).filter(F.col("dist_m") <= radius_m)
 
 

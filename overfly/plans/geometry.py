@@ -201,10 +201,10 @@ def nearest_tile(spark, d):
 def neg_mask_pairs(spark, d):
     """Pairs of one flight within 100 m: they are no negatives of each other."""
     f = frames(spark, d)
-    a = f.select(F.col("seq").alias("a"), F.col("flight").alias("fa"), "lat", "lon")
-    b = f.select(F.col("seq").alias("b"), F.col("flight").alias("fb"), F.col("lat").alias("blat"), F.col("lon").alias("blon"))
-    j = spatial.radius_join(a, b, ("lat", "lon"), ("blat", "blon"), 100.0, 31.0, geo.flat_distance_m)
-    return j.filter("a <> b AND fa = fb").select("a", "b", R6(F.col("dist_m"), 4).alias("dist_m"))
+    a = f.select(F.col("seq").alias("a"), "flight", "lat", "lon")
+    b = f.select(F.col("seq").alias("b"), "flight", F.col("lat").alias("blat"), F.col("lon").alias("blon"))
+    j = spatial.radius_join(a, b, ("lat", "lon"), ("blat", "blon"), 100.0, 31.0, geo.flat_distance_m, ("flight",))
+    return j.filter("a <> b").select("a", "b", R6(F.col("dist_m"), 4).alias("dist_m"))
 
 
 @query(off_map("SELECT seq, round(CASE WHEN lim > 0 AND nn > lim THEN dx_m*lim/nn ELSE dx_m END, 6) AS dx_m, round(CASE WHEN lim > 0 AND nn > lim THEN dy_m*lim/nn ELSE dy_m END, 6) AS dy_m FROM (SELECT seq, dx_m, dy_m, (340 - 40)*gsd AS lim, sqrt(dx_m*dx_m + dy_m*dy_m) AS nn FROM gt)"))
