@@ -50,20 +50,20 @@ def with_rank(df: DataFrame, group: list[Column], order: list[Column], rank: str
 
     ``counts`` names an optional column with the size of the row's group.
     """
-    gs = [f"_g{i}" for i in range(len(group))]
+    gs = [f"_ov_g{i}" for i in range(len(group))]
     d = df.select("*", *[g.alias(n) for g, n in zip(group, gs)])
     keys = [*[F.col(n) for n in gs], *order]
-    d = d.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    d = checkpointed(d).withColumn("_part", F.shiftright("_id", 33))
-    per = d.groupBy("_part", *gs).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    d = d.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_ov_id", F.monotonically_increasing_id())
+    d = checkpointed(d).withColumn("_ov_part", F.shiftright("_ov_id", 33))
+    per = d.groupBy("_ov_part", *gs).agg(F.count(F.lit(1)).alias("_ov_n"), F.min("_ov_id").alias("_ov_first"))
     w = Window.partitionBy(*gs) if gs else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select(F.col("_part").alias("_p"), *[F.col(n).alias(f"_h{n}") for n in gs], "_first", before.alias("_before"), *([F.sum("_n").over(w).alias(counts)] if counts else []))
-    on = F.col("_part") == F.col("_p")
+    before = F.coalesce(F.sum("_ov_n").over(w.orderBy("_ov_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(F.col("_ov_part").alias("_ov_p"), *[F.col(n).alias(f"_ov_h{n}") for n in gs], "_ov_first", before.alias("_ov_before"), *([F.sum("_ov_n").over(w).alias(counts)] if counts else []))
+    on = F.col("_ov_part") == F.col("_ov_p")
     for n in gs:
-        on = on & F.col(n).eqNullSafe(F.col(f"_h{n}"))
-    return d.join(per, on).withColumn(rank, F.col("_before") + F.col("_id") - F.col("_first")).drop(
-        "_id", "_part", "_p", "_first", "_before", *gs, *[f"_h{n}" for n in gs]
+        on = on & F.col(n).eqNullSafe(F.col(f"_ov_h{n}"))
+    return d.join(per, on).withColumn(rank, F.col("_ov_before") + F.col("_ov_id") - F.col("_ov_first")).drop(
+        "_ov_id", "_ov_part", "_ov_p", "_ov_first", "_ov_before", *gs, *[f"_ov_h{n}" for n in gs]
     )
 
 

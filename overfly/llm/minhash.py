@@ -279,12 +279,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """The documents with one of each near-duplicate group left: the row of the least doc_id, once if it is repeated."""
-    kept = near_duplicates(docs, **kw).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = near_duplicates(docs, **kw).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_ov_n"))
     kept = checkpointed(kept)
-    out = docs.join(kept.select(F.col("doc_id").alias("_k")).hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_k")), "left_semi")
+    out = docs.join(kept.select(F.col("doc_id").alias("_ov_k")).hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_ov_k")), "left_semi")
     # Only repeated ids need their rows compared; with none, no shuffle of texts is spent on it.
-    again = kept.filter("_n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_r"))
+    again = kept.filter("_ov_n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_ov_r"))
     if not again.take(1):
         return out
-    twice = out.join(again, F.col("doc_id") == F.col("_r"), "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, F.col("doc_id") == F.col("_r"), "left_anti").unionByName(twice)
+    twice = out.join(again, F.col("doc_id") == F.col("_ov_r"), "left_semi").dropDuplicates(["doc_id"])
+    return out.join(again, F.col("doc_id") == F.col("_ov_r"), "left_anti").unionByName(twice)

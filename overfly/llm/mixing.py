@@ -84,10 +84,9 @@ def mix_documents(docs: DataFrame, seed: int = 10) -> DataFrame:
 
 def take(docs: DataFrame, seed: int = 10) -> DataFrame:
     """The mix itself: each document's row as often as it is copied, with its columns."""
-    cols = docs.columns
-    d = docs.select(*[c for c in cols], words(F.col("text")).alias("size")) if "size" not in cols else docs.withColumnRenamed("size", "_own_size").withColumn("size", words(F.col("text")))
+    d = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
     d = mix(d, seed).filter("copies > 0").withColumn("_i", F.explode(F.expr("sequence(1L, copies)")))
-    return d.select(*[F.col("_own_size").alias("size") if c == "size" else F.col(c) for c in cols])
+    return d.select("_row.*")
 
 
 ORACLE = r"""

@@ -79,7 +79,7 @@ def _tag(column: pa.Array) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_tag", F.xxhash64(F.col("text")).bitwiseAND(F.lit(0xFFFFFF)))
+    return docs.withColumn("_ov_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_ov_tag", F.xxhash64(F.col("text")).bitwiseAND(F.lit(0xFFFFFF)))
 
 
 def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -103,15 +103,15 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(t.grams[at].view(np.int64)), pa.array(ids[lo:hi][t.row[at]]), pa.array(t.loc(at, tags[lo:hi]))], names=["h", "id", "loc"])
 
-    seeds = map_arrow(d.select("_id", "_tag", "text"), anchors, "h long, id long, loc long")
+    seeds = map_arrow(d.select("_ov_id", "_ov_tag", "text"), anchors, "h long, id long, loc long")
     once = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("loc").alias("loc")).filter("n = 1")
-    lonely = checkpointed(_per_text(once, "_a"))
-    d = d.join(lonely.hint("shuffle_hash"), ["_id", "_tag"], "left")  # no sort of texts
+    lonely = checkpointed(_per_text(once, "_ov_a"))
+    d = d.join(lonely.hint("shuffle_hash"), ["_ov_id", "_ov_tag"], "left")  # no sort of texts
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = lambda k: b.column(b.schema.get_field_index(k))  # noqa: E731, B023
-            ids, tags, lists = np.asarray(col("_id")), _tag(col("_tag")), col("_a")
+            ids, tags, lists = np.asarray(col("_ov_id")), _tag(col("_ov_tag")), col("_ov_a")
             for lo, hi, data, offsets in chunks(col("text")):
                 t = Texts(data, offsets, length, anchor)
                 at = t.starts[~_listed(t, t.place, lists, lo, hi)]
@@ -123,7 +123,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
 
     spread = map_arrow(d, windows, "h long, g long, id long, loc long")
     once = spread.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("loc").alias("loc")).filter("n = 1")
-    d = d.join(_per_text(once, "_w").hint("shuffle_hash"), ["_id", "_tag"], "left")
+    d = d.join(_per_text(once, "_ov_w").hint("shuffle_hash"), ["_ov_id", "_ov_tag"], "left")
     keep = [f for f in docs.schema.fieldNames() if f not in ("n_words", "n_removed", "kept")]
     schema = extended(docs.select(*keep), n_words="long", n_removed="long", kept="string")
 
@@ -132,8 +132,8 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
             col = lambda k: b.column(b.schema.get_field_index(k))  # noqa: E731, B023
             for lo, hi, data, offsets in chunks(col("text")):
                 t = Texts(data, offsets, length, anchor)
-                seeded = t.starts[~_listed(t, t.place, col("_a"), lo, hi)]
-                repeat = seeded[~_listed(t, seeded, col("_w"), lo, hi)]
+                seeded = t.starts[~_listed(t, t.place, col("_ov_a"), lo, hi)]
+                repeat = seeded[~_listed(t, seeded, col("_ov_w"), lo, hi)]
                 step = np.zeros(len(t.words) + 1, np.int64)
                 step[repeat] += 1
                 step[repeat + length] -= 1
@@ -148,8 +148,8 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
 
 def _per_text(once: DataFrame, name: str) -> DataFrame:
     """The places of a text in one row; no group is larger than its text."""
-    d = once.select(F.col("id").alias("_id"), F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).alias("_tag"), F.shiftright("loc", 24).cast("int").alias("p"))
-    return d.groupBy("_id", "_tag").agg(F.collect_list("p").alias(name))
+    d = once.select(F.col("id").alias("_ov_id"), F.col("loc").bitwiseAND(F.lit(0xFFFFFF)).alias("_ov_tag"), F.shiftright("loc", 24).cast("int").alias("p"))
+    return d.groupBy("_ov_id", "_ov_tag").agg(F.collect_list("p").alias(name))
 
 
 def _listed(t: Texts, at: np.ndarray, lists: pa.Array, lo: int, hi: int) -> np.ndarray:

@@ -13,7 +13,7 @@ from overfly.llm import bpe, langcrf, minhash, mixing, quality, sharding, substr
 from overfly.llm.graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size long, score double, ids string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size long, score double, ids string, target int, copies int, _id int, _k int, root int"
 
 
 def corpus(seed=3, n=120):
@@ -37,7 +37,7 @@ def corpus(seed=3, n=120):
             w = [word() for _ in range(r.randint(1, 200))]
         texts.append((" ", "\n", "  ")[i % 3].join(w))
     texts.append(" ".join(word() for _ in range(20_000)))
-    rows = [(i, t, ("en", "fr", None)[i % 3], ("s0", "s1", None, "s0", "s0")[i % 5], None, "k", 1, 0.5, "z") for i, t in enumerate(texts)]
+    rows = [(i, t, ("en", "fr", None)[i % 3], ("s0", "s1", None, "s0", "s0")[i % 5], None, "k", 1, 0.5, "z", 1, 2, 3, 4, 5) for i, t in enumerate(texts)]
     return rows + [rows[12], rows[12]]
 
 
