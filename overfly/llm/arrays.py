@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time (one text longer than this forms its own chunk).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

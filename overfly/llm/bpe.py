@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .arrays import chunks
 from .common import extended, map_arrow
 
-#: Memo bound (fragments), and the longest fragment kept, in bytes.
-MEMO, MEMO_BYTES = 400_000, 96
+#: Fragments in each of the memo's two generations, and the longest fragment kept, in bytes.
+MEMO, MEMO_BYTES = 80_000, 96
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,7 +62,9 @@ class Codec:
         word[[c for c in range(128) if chr(c).isalnum()]] = True
         never[~word, 0x27] = False
         self.pairs = never.reshape(-1)
+        #: Fragments used lately, and those of the generation before.
         self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.past: dict[bytes, tuple[bytes, bytes]] = {}
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Positions before which the flat buffer is cut, each text's start included."""
@@ -82,8 +84,12 @@ class Codec:
 
     def encode_fragments(self, fragments: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids as 32-bit integers, decoded bytes) of each fragment."""
-        memo = self.memo
+        memo, past = self.memo, self.past
         found = [memo.get(f) for f in fragments]
+        again = {f: past[f] for f, e in zip(fragments, found) if e is None and f in past}
+        if again:
+            memo.update(again)
+            found = [again.get(f) if e is None else e for f, e in zip(fragments, found)]
         new = list({f for f, e in zip(fragments, found) if e is None})
         if new:
             fresh = {}
@@ -92,9 +98,9 @@ class Codec:
                 ids = e.ids
                 fresh[f] = (array("i", ids).tobytes(), b"".join([table[i] for i in ids]))
             found = [fresh[f] if e is None else e for f, e in zip(fragments, found)]
-            if len(memo) + len(fresh) > MEMO:
-                memo.clear()
             memo.update((f, e) for f, e in fresh.items() if len(f) <= MEMO_BYTES)
+        if len(memo) > MEMO:
+            self.past, self.memo = memo, {}
         return found
 
     def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
