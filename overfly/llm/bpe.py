@@ -26,7 +26,9 @@ from .arrays import chunks
 from .common import extended, map_arrow
 
 #: Fragments in each of the memo's two generations, and the longest fragment kept, in bytes.
-MEMO, MEMO_BYTES = 80_000, 96
+MEMO, MEMO_BYTES = 160_000, 96
+#: Bytes of text encoded at a time.
+CHUNK = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -146,7 +148,7 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False)
         c = codec(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            for lo, hi, data, offsets in chunks(column):
+            for lo, hi, data, offsets in chunks(column, CHUNK):
                 ids, counts, texts = c.encode_chunk(data, offsets)
                 bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 new = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))]
