@@ -24,12 +24,29 @@ from .vectors import matrices, units, usable
 COSINE = 0.9
 #: Rows of a home block and of a guest block; most pivots.
 HOME, GUEST, PIVOTS = 8192, 16384, 512
+#: Pivots of a cut are at least so far apart, so that rounding errors stay far below the slack of the bounds.
+APART = 1e-3
 
 
 def _squares(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.maximum(2 - 2 * (x @ p.T), 0)
 
 
+def spread(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pivots, their distances): the unit vectors without those nearer than ``APART`` to one that is kept.
+
+    Distances are norms of differences; a pivot's own is infinite.
+    """
+    kept: list[np.ndarray] = []
+    for v in x:
+        if not kept or np.linalg.norm(np.stack(kept) - v, axis=1).min() >= APART:
+            kept.append(v)
+    p = np.stack(kept)
+    gap = np.stack([np.linalg.norm(p - v, axis=1) for v in p])
+    np.fill_diagonal(gap, np.inf)
+    return p, gap
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, guest: int = GUEST, pivots: int = PIVOTS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -47,10 +64,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
     n = classes.count()
     want = max(1, min(pivots, -(-n // home)))
     picked = classes.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(want).select("embedding").toArrow()
-    by_size = {x.shape[1]: np.unique(np.round(units(x), 9), axis=0) for _, x in matrices(picked.column(0))} if picked.num_rows else {}
+    by_size = {x.shape[1]: spread(units(x)) for _, x in matrices(picked.column(0))} if picked.num_rows else {}
     # Cells are numbered through all vector lengths; a length without a pivot is one cell of its own.
     first, at = {}, 0
-    for size, p in sorted(by_size.items()):
+    for size, (p, _) in sorted(by_size.items()):
         first[size] = at
         at += len(p)
     model = spark.sparkContext.broadcast((by_size, first))
@@ -64,7 +81,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
                 size = raw.shape[1]
                 x = units(raw)
                 if size in own:
-                    d = _squares(x, own[size])
+                    d = _squares(x, own[size][0])
                     cell, far = start[size] + d.argmin(axis=1), np.sqrt(d.min(axis=1))
                 else:
                     cell, far = np.full(len(x), -size), np.zeros(len(x))
@@ -83,11 +100,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
         """Which cells each unit vector is copied to: (row, cell) pairs, its own cell among them."""
         if size not in own:
             return np.arange(len(x)), np.full(len(x), -size)
-        p, s = own[size], start[size]
+        (p, gap), s = own[size], start[size]
         d = _squares(x, p)
         mine = cell - s
-        gap = np.sqrt(np.maximum(_squares(p, p), 1e-18))[mine]
-        near = (d - d[np.arange(len(x)), mine][:, None]) / (2 * gap) <= reach
+        near = (d - d[np.arange(len(x)), mine][:, None]) / (2 * gap[mine]) <= reach
         radius = np.array([cells.get(s + j, (0, -np.inf))[1] for j in range(len(p))])
         near &= np.sqrt(d) <= radius[None, :] + reach
         near[np.arange(len(x)), mine] = True

@@ -71,3 +71,18 @@ def test_range_join(frame, rows, home, guest):
     for i in (1000, 1050, 1100, 1150, 1200, 1250, 1300):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert rangejoin.near_vectors(frame.filter("vec_id < -5")).count() == 0
+
+
+def test_range_join_with_near_copies(spark):
+    """Pivots that are near copies of each other (jitter 1e-6) lose no link."""
+    r = np.random.default_rng(11)
+    x = r.standard_normal((600, 24))
+    x[:200] = x[0] + r.normal(0, 1e-6, (200, 24))
+    x[200:400] = x[0] + r.normal(0, 0.09, (200, 24))
+    x = x.astype(np.float32)
+    u = units(x)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in rangejoin.near_vectors(d, home=10, guest=64).collect()}
+    wrong = [i for i in range(600) if got[i] != links[i]]
+    assert not wrong, (len(wrong), int(links.sum()), sum(got.values()))
