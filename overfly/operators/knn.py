@@ -69,6 +69,53 @@ def top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bool = T
     return reduce(DataFrame.unionAll, parts).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
 
 
+def truth_ranks(gallery: DataFrame, queries: DataFrame, truth: DataFrame, digits: int = 6) -> DataFrame:
+    """part, query_id, gt_id, rank: how many tiles of a part's gallery beat each query's true tile (ties to the smaller tile_id, the own tile out).
+
+    Gallery: part, tile_id, emb; queries: part, query_id, qemb; truth: query_id,
+    gt_id; queries without a truth give no row. Queries are broadcast in blocks of bounded
+    bytes, each task only counts, so no pair leaves it and the whole gallery is read.
+    """
+    spark = gallery.sparkSession
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("qemb"))).first()
+    blocks = max(1, -(-n * 16 * (width or 1) // BLOCK_BYTES))
+    true = gallery.select("part", F.col("tile_id").alias("gt_id"), F.col("emb").alias("gemb"))
+    parts = []
+    for b in range(blocks):
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b
+        rows = queries.filter(mine).join(truth.filter(mine).select("query_id", "gt_id"), "query_id").join(true, ["part", "gt_id"]).select("part", "query_id", "gt_id", "qemb", "gemb").toArrow()
+        if not rows.num_rows:
+            continue
+        part, qid, gt = (np.asarray(rows.column(i)) for i in range(3))
+        qx, gx = matrix(rows.column(3)), matrix(rows.column(4))
+        gs = np.round(np.einsum("ij,ij->i", qx, gx), digits)
+        shared = spark.sparkContext.broadcast({p: (qid[part == p], gt[part == p], qx[part == p], gs[part == p]) for p in np.unique(part).tolist()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, digits=digits) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+            import pyarrow as pa
+
+            asked = shared.value
+            count = {p: np.zeros(len(v[0]), np.int64) for p, v in asked.items()}
+            for batch in batches:
+                of, own = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+                x = np.asarray(batch.column(2).flatten()).astype(np.float64).reshape(len(own), -1)
+                for p, (qid, gt, qx, gs) in asked.items():
+                    at = np.flatnonzero(of == p)
+                    for i in range(0, len(at), 1024):
+                        t = own[at[i : i + 1024]][None, :]
+                        s = np.round(qx @ x[at[i : i + 1024]].T, digits)
+                        better = (s > gs[:, None]) | ((s == gs[:, None]) & (t < gt[:, None]))
+                        count[p] += (better & (t != qid[:, None]) & (t != gt[:, None])).sum(axis=1)
+            for p, (qid, gt, _, _) in asked.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qid), p, np.float64)), pa.array(qid), pa.array(gt), pa.array(count[p])], names=["part", "query_id", "gt_id", "n"])
+
+        parts.append(gallery.select("part", "tile_id", "emb").mapInArrow(run, "part double, query_id long, gt_id long, n long"))
+    if not parts:
+        return spark.createDataFrame([], "part double, query_id long, gt_id long, rank long")
+    return reduce(DataFrame.unionAll, parts).groupBy("part", "query_id", "gt_id").agg(F.sum("n").alias("rank"))
+
+
 def similarities(gallery: DataFrame, queries: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """All (query, tile) similarities, for ranks that need the whole gallery.
 

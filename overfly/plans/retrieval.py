@@ -27,6 +27,25 @@ def _gt(spark, d):
     return near.groupBy("query_id").agg(F.min(F.struct("dist_m", "tile_id")).alias("m")).select("query_id", F.col("m.tile_id").alias("gt_id"), F.col("m.dist_m").alias("floor_m"))
 
 
+def _truth(spark, d, most_m: float = 2000.0):
+    """query_id, gt_id as in ``_gt``, by a radius that starts at a few tiles' spacing and grows, so that dense galleries make few pairs."""
+    g = gallery(spark, d).select("tile_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
+    rest = queries(spark, d).select("query_id", "qlat", "qlon")
+    n, h, w = g.agg(F.count(F.lit(1)), F.max("tlat") - F.min("tlat"), F.max("tlon") - F.min("tlon")).first()
+    radius = min(most_m, max(1.0, 2 * 111_320.0 * ((h or 0) * (w or 0) / max(n, 1)) ** 0.5))
+    found = None
+    while True:
+        near = spatial.radius_join(rest, g, ("qlat", "qlon"), ("tlat", "tlon"), radius, 31.0).filter("query_id <> tile_id")
+        got = near.groupBy("query_id").agg(F.min(F.struct("dist_m", "tile_id")).alias("m")).select("query_id", F.col("m.tile_id").alias("gt_id"))
+        found = got if found is None else found.unionByName(got)
+        if radius >= most_m:
+            return found
+        rest = rest.join(got, "query_id", "left_anti")
+        if not rest.take(1):
+            return found
+        radius = min(most_m, 4 * radius)
+
+
 GT = f"gt AS (SELECT query_id, gt_id, floor_m FROM (SELECT query_id, tile_id AS gt_id, {hav('qlat', 'qlon', 'lat', 'lon')} AS floor_m, row_number() OVER (PARTITION BY query_id ORDER BY {hav('qlat', 'qlon', 'lat', 'lon')}, tile_id) AS k FROM sims) WHERE k = 1 AND floor_m <= 2000)"
 RANKED = "rk AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, tile_id) - 1 AS rk, " + hav("qlat", "qlon", "lat", "lon") + " AS dist FROM sims s)"
 
@@ -201,7 +220,10 @@ ALPHAS = [0.5, 0.75, 1.0]
 
 @query(sql("WITH f AS (SELECT tile_id, alpha, " + PART.format(v="mix") + " AS v FROM (SELECT tile_id, alpha, list_transform(range(1, 65), lambda i: alpha*emb[i] + (1 - alpha)*emb[65 - i]) AS mix FROM gallery, (SELECT unnest([0.5, 0.75, 1.0]::DOUBLE[]) AS alpha))), b AS (SELECT q.alpha, q.tile_id AS qid, g.tile_id AS tid, round(list_inner_product(q.v, g.v), 6) AS s FROM f q JOIN f g ON q.alpha = g.alpha AND q.tile_id <> g.tile_id WHERE q.tile_id % 50 = 0), t AS (SELECT alpha, qid, arg_max(tid, (s, -tid)) AS best, max(s) AS sim FROM b GROUP BY ALL) SELECT alpha, count(*) AS n, round(avg(sim), 5) AS mean_top_sim FROM t GROUP BY alpha", "gallery"))
 def alpha_sweep(spark, d):
-    """All blend weights as a dimension of one plan: one gallery scan, not one per weight."""
+    """All blend weights as a dimension of one plan: one gallery scan, not one per weight.
+
+    Only the mean top similarity over every 50th tile; recall of the whole stated query set is ``alpha_sweep_recall``.
+    """
     g = gallery(spark, d).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
     g = g.select("alpha", "tile_id", V.fuse(F.col("emb"), _text_vec(), F.col("alpha")).alias("v"))
     parts = []
@@ -213,6 +235,19 @@ def alpha_sweep(spark, d):
     return x.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sim"), 5).alias("mean_top_sim"))
 
 
+SWEEP_KS = (1, 3, 5, 10)
+
+
+@query(sql(f"WITH {GT}, f AS (SELECT tile_id, alpha, " + PART.format(v="mix") + f" AS v FROM (SELECT tile_id, alpha, list_transform(range(1, 65), lambda i: alpha*emb[i] + (1 - alpha)*emb[65 - i]) AS mix FROM gallery, (SELECT unnest({ALPHAS}::DOUBLE[]) AS alpha))), b AS (SELECT q.alpha, q.tile_id AS qid, g.tile_id AS tid, gt_id, round(list_inner_product(q.v, g.v), 6) AS s FROM f q JOIN gt ON gt.query_id = q.tile_id JOIN f g ON q.alpha = g.alpha AND q.tile_id <> g.tile_id), t AS (SELECT *, max(CASE WHEN tid = gt_id THEN s END) OVER (PARTITION BY alpha, qid) AS gs FROM b), r AS (SELECT alpha, qid, count(*) FILTER (WHERE s > gs OR (s = gs AND tid < gt_id)) AS rank FROM t GROUP BY alpha, qid) SELECT alpha, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (WHERE rank < {k})*100.0::DOUBLE/count(*), 6) AS r{k}" for k in SWEEP_KS) + " FROM r GROUP BY alpha", "sims"))
+def alpha_sweep_recall(spark, d):
+    """Recall of the stated query set (every 10th tile) in the whole gallery for each blend weight; weights are a dimension of one plan."""
+    g = gallery(spark, d).withColumn("part", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
+    g = g.select("part", "tile_id", V.fuse(F.col("emb"), _text_vec(), F.col("part")).alias("emb"))
+    q = g.filter("tile_id % 10 = 0").select("part", F.col("tile_id").alias("query_id"), F.col("emb").alias("qemb"))
+    x = knn.truth_ranks(g, q, _truth(spark, d)).withColumnRenamed("part", "alpha")
+    return x.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), *[recall.recall(F.col("rank"), k).alias(f"r{k}") for k in SWEEP_KS])
+
+
 @query(sql("SELECT coalesce(CAST(label AS VARCHAR), 'ALL') AS flight, count(*) AS n, round(avg(c), 6) AS mean_cos FROM (SELECT label, list_inner_product(emb::DOUBLE[], list_reverse(emb::DOUBLE[]))/(list_inner_product(emb::DOUBLE[], emb::DOUBLE[])) AS c FROM gallery) GROUP BY GROUPING SETS ((label), ())", "gallery"))
 def crossview_cosine(spark, d):
     x = gallery(spark, d).select(F.col("label").cast("string").alias("flight"), V.cosine(F.col("emb"), _text_vec()).alias("c"))

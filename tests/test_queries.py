@@ -82,3 +82,14 @@ def test_sources(spark, tmp_path):
     new = spark.createDataFrame([(1,), (2,)], "k int")
     assert readers.append_new(spark, new, str(tmp_path / "out"), ["k"]) == 2
     assert readers.append_new(spark, new.union(spark.createDataFrame([(3,)], "k int")), str(tmp_path / "out"), ["k"]) == 1
+
+
+def test_alpha_sweep_ranks_the_whole_query_set(spark, duck):
+    """R1, R3, R5 and R10 by blend weight, over every 10th tile; at weight 1 the ranks are those of gt_rank."""
+    rows = {r["alpha"]: r.asDict() for r in registry.queries()["alpha_sweep_recall"](spark, DATA).collect()}
+    assert sorted(rows) == [0.5, 0.75, 1.0]
+    n = duck.sql("select count(*) from embeddings where vec_id % 10 = 0").fetchall()[0][0]
+    ranks = [r["gt_tile_rank"] for r in registry.queries()["gt_rank"](spark, DATA).collect()]
+    assert all(r["n"] == n for r in rows.values()) and len(ranks) == n
+    for k in (1, 3, 5, 10):
+        assert rows[1.0][f"r{k}"] == pytest.approx(100 * sum(r < k for r in ranks) / n, abs=1e-5)
