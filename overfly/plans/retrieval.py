@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import constants as K
 from ..functions import geo
 from ..functions import vectors as V
 from ..operators import knn, recall, spatial
@@ -266,13 +268,64 @@ def ncc(spark, d):
 
 @query(sql("WITH b AS (SELECT * FROM sims WHERE tile_id % 10 = 0), r AS (SELECT query_id, ln(sum(exp(sim*10))) AS lse FROM b GROUP BY 1), c AS (SELECT tile_id, ln(sum(exp(sim*10))) AS lse FROM b GROUP BY 1) SELECT round(avg(r.lse), 5) AS row_loss, round(avg(c.lse), 5) AS col_loss FROM r JOIN c ON r.query_id = c.tile_id", "sims"))
 def infonce_diag(spark, d):
-    """Symmetric log-sum-exp of the logits of a batch; the two directions are joined on the diagonal."""
+    """Symmetric log-sum-exp of the logits of every 10th tile, the diagonal left out; the two directions are joined on the diagonal.
+
+    No loss: that is ``infonce_loss``.
+    """
     b = knn.similarities(gallery(spark, d).filter("tile_id % 10 = 0"), queries(spark, d))
     lse = F.ln(F.sum(F.exp(F.col("sim") * 10)))
     r, c = b.groupBy("query_id").agg(lse.alias("rl")), b.groupBy("tile_id").agg(lse.alias("cl"))
     return r.join(c, F.col("query_id") == F.col("tile_id")).agg(F.round(F.avg("rl"), 5).alias("row_loss"), F.round(F.avg("cl"), 5).alias("col_loss"))
 
 
+#: Rows of a batch (by tile_id), scale of its logits, and metres within which two rows are no negatives of each other.
+BATCH, SCALE, NEAR_M = 256, 10.0, 100.0
+FLAT = "sqrt(pow((a.lon - b.lon)*111320.0::DOUBLE*cos(radians((a.lat + b.lat)/2)), 2) + pow((a.lat - b.lat)*110540.0::DOUBLE, 2))"
+
+
+def _nce(side):
+    return f"SELECT {side} AS id, ln(sum(exp(z)) FILTER (WHERE NOT masked)) - max(CASE WHEN a_id = b_id THEN z END) AS loss FROM p GROUP BY {side}"
+
+
+@query(sql(f"WITH g AS (SELECT *, tile_id // {BATCH} AS batch FROM gallery), p AS (SELECT a.tile_id AS a_id, b.tile_id AS b_id, {SCALE}::DOUBLE*list_inner_product(a.emb::DOUBLE[], b.emb::DOUBLE[]) AS z, a.tile_id <> b.tile_id AND {FLAT} <= {NEAR_M} AS masked FROM g a JOIN g b USING (batch)), r AS ({_nce('a_id')}), c AS ({_nce('b_id')}) SELECT count(*) AS n, (SELECT CAST(count(*) AS BIGINT) FROM p WHERE masked) AS n_masked, round(avg(r.loss), 5) AS row_loss, round(avg(c.loss), 5) AS col_loss, round((avg(r.loss) + avg(c.loss))/2, 5) AS loss FROM r JOIN c USING (id)", "gallery"))
+def infonce_loss(spark, d):
+    return info_nce(gallery(spark, d))
+
+
+def info_nce(g):
+    """Symmetric InfoNCE over all rows (tile_id, lat, lon, emb), in batches of 256 consecutive ids.
+
+    Each direction is log-sum-exp minus the diagonal's logit; pairs of a batch
+    within 100 m (the diagonal apart) are masked. Losses are means over rows.
+    """
+    lon_m, lat_m = K.DEGREE_M, K.LATITUDE_M
+
+    def run(t: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+
+        t = t.combine_chunks()
+        n = t.num_rows
+        lat, lon = np.asarray(t.column("lat")), np.asarray(t.column("lon"))
+        x = np.asarray(t.column("emb").combine_chunks().flatten()).astype(np.float64).reshape(n, -1)
+        z = SCALE * (x @ x.T)
+        east = (lon[:, None] - lon) * lon_m * np.cos(np.radians((lat[:, None] + lat) / 2))
+        masked = np.hypot(east, (lat[:, None] - lat) * lat_m) <= NEAR_M
+        np.fill_diagonal(masked, False)
+        own = np.diagonal(z).copy()
+        z[masked] = -np.inf
+        loss = []
+        for axis in (1, 0):
+            top = z.max(axis=axis)
+            loss.append(top + np.log(np.exp(z - np.expand_dims(top, axis)).sum(axis=axis)) - own)
+        return pa.table({"n": [n], "n_masked": [int(masked.sum())], "r": [float(loss[0].sum())], "c": [float(loss[1].sum())]})
+
+    g = g.select("lat", "lon", "emb", F.floor(F.col("tile_id") / BATCH).alias("batch"))
+    x = g.groupBy("batch").applyInArrow(run, "n long, n_masked long, r double, c double").agg(*[F.sum(k).alias(k) for k in ("n", "n_masked", "r", "c")])
+    mean = lambda v: F.round(v / F.col("n"), 5)
+    return x.select("n", "n_masked", mean(F.col("r")).alias("row_loss"), mean(F.col("c")).alias("col_loss"), mean((F.col("r") + F.col("c")) / 2).alias("loss"))
+
+
 CAND = "cand AS (SELECT query_id, tile_id, sim, k AS clip_rank, (query_id*7 + tile_id*13) % 90 AS inliers, " + hav("qlat", "qlon", "lat", "lon") + " AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, tile_id) AS k FROM sims) WHERE k <= 20)"
 
 

@@ -93,3 +93,43 @@ def test_alpha_sweep_ranks_the_whole_query_set(spark, duck):
     assert all(r["n"] == n for r in rows.values()) and len(ranks) == n
     for k in (1, 3, 5, 10):
         assert rows[1.0][f"r{k}"] == pytest.approx(100 * sum(r < k for r in ranks) / n, abs=1e-5)
+
+
+def nce_brute(ids, x, lat, lon):
+    """(masked pairs, mean cross entropy with the diagonal as target) over batches of 256 ids."""
+    import numpy as np
+
+    total, masked = 0.0, 0
+    for b in np.unique(ids // 256):
+        k = np.flatnonzero(ids // 256 == b)
+        for i in k:
+            near = np.hypot((lon[k] - lon[i]) * 111320 * np.cos(np.radians((lat[k] + lat[i]) / 2)), (lat[k] - lat[i]) * 110540) <= 100
+            masked += near.sum() - 1
+            total += np.log(np.exp(10 * x[k] @ x[i])[~near | (k == i)].sum()) - 10 * x[i] @ x[i]
+    return masked, total / len(ids)
+
+
+def test_infonce_is_a_loss_over_all_rows(spark, duck):
+    import numpy as np
+
+    v = duck.sql("select vec_id, embedding from embeddings").fetchall()
+    ids, x = np.array([r[0] for r in v]), np.array([r[1] for r in v], np.float64)
+    want = nce_brute(ids, x, 30 + ids * 7919 % 100003 / 100003 * 0.04, 115 + ids * 104729 % 100003 / 100003 * 0.06)
+    got = registry.queries()["infonce_loss"](spark, DATA).collect()[0]
+    assert (got["n"], got["n_masked"]) == (len(ids), want[0])
+    assert got["row_loss"] == got["col_loss"] == got["loss"] == pytest.approx(want[1], abs=2e-5)
+
+
+def test_infonce_masks_near_pairs(spark):
+    import numpy as np
+
+    from overfly.plans import retrieval
+
+    r = np.random.default_rng(5)
+    ids, x = np.arange(300), r.standard_normal((300, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lat, lon = 30 + r.uniform(0, 0.01, 300), 115 + r.uniform(0, 0.01, 300)
+    d = spark.createDataFrame([(int(i), float(a), float(b), v.tolist()) for i, a, b, v in zip(ids, lat, lon, x)], "tile_id long, lat double, lon double, emb array<double>")
+    got, want = retrieval.info_nce(d).collect()[0], nce_brute(ids, x, lat, lon)
+    assert got["n"] == 300 and got["n_masked"] == want[0] > 100
+    assert got["loss"] == pytest.approx(want[1], abs=2e-5)
