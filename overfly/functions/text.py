@@ -17,9 +17,13 @@ def strip_think(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
 
 
+#: A letter, digit or underscore of any script beside a word.
+INNER = r"[\p{L}\p{N}_]"
+
+
 def drop_words(c: Column, words: Iterable[str]) -> Column:
     """Replace the words (and their -er/-est forms, with commas beside them) by one blank."""
-    return F.regexp_replace(c, rf"(?i),?\s*\b(?:{'|'.join(words)})(?:er|est)?\b\s*,?", " ")
+    return F.regexp_replace(c, rf"(?i),?\s*(?<!{INNER})(?:{'|'.join(words)})(?:er|est)?(?!{INNER})\s*,?", " ")
 
 
 def tidy(c: Column) -> Column:

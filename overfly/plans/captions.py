@@ -19,11 +19,18 @@ EDGE = "[^0-9A-Za-zÀ-ÿ_]"
 
 @query(sql(f"SELECT id, length(c) AS n, md5(c) AS digest FROM (SELECT id, {CLEAN} AS c FROM captions WHERE flight = 'en')", "captions"))
 def caption_clean(spark, d):
-    """Cleaned captions, by length and digest. English only: on accented letters engines differ in word boundaries."""
+    """Cleaned captions, by length and digest. English only, as on accented letters engines differ in word boundaries; all are in ``caption_clean_all``."""
     c = T.clean(F.col("caption"))
     return captions(spark, d).filter("flight = 'en'").select("id", F.length(c).cast("long").alias("n"), F.md5(c).alias("digest"))
 
 
+@query()
+def caption_clean_all(spark, d):
+    """Cleaned captions of every language and of none, by length and digest. No SQL: DuckDB's word boundaries know ASCII only."""
+    c = T.clean(F.col("caption"))
+    return captions(spark, d).select("id", F.length(c).cast("long").alias("n"), F.md5(c).alias("digest"))
+
+
 QA = "count(*) AS n, count(*) FILTER (WHERE regexp_matches(caption, '(?i)(^|{e})({l})($|{e})')) AS leaks, count(*) FILTER (WHERE regexp_matches(caption, '(?i)(^|{e})({b})($|{e})')) AS banned, count(*) - count(DISTINCT caption) AS dupes, count(*) FILTER (WHERE trim(caption) = '') AS empty, CAST(min(w) AS BIGINT) AS len_min, round(avg(w), 6) AS len_mean, CAST(max(w) AS BIGINT) AS len_max, count(*) FILTER (WHERE w < 8 OR w > 20) AS outliers".format(e=EDGE, l="|".join(LEAKS), b="|".join(K.BANNED_WORDS))
 
 

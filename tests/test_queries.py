@@ -1,9 +1,12 @@
 """Every registered query of the engine against its DuckDB SQL, at the smallest scale."""
 
+import hashlib
 import math
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from overfly import registry
 from overfly.operators import accuracy as A
@@ -133,3 +136,31 @@ def test_infonce_masks_near_pairs(spark):
     got, want = retrieval.info_nce(d).collect()[0], nce_brute(ids, x, lat, lon)
     assert got["n"] == 300 and got["n_masked"] == want[0] > 100
     assert got["loss"] == pytest.approx(want[1], abs=2e-5)
+
+
+def python_clean(text):
+    """The reference's cleaning, with blanks as what is stripped."""
+    words = "dark light bright pale deep white black grey gray green brown red blue yellow orange golden tan beige silver reddish greenish brownish shadows?".split()
+    t = re.sub("<think>.*?</think>", "", text, flags=re.DOTALL).strip(" ")
+    t = re.sub(rf",?\s*\b(?:{'|'.join(words)})(?:er|est)?\b\s*,?", " ", t, flags=re.IGNORECASE)
+    for pattern, to in ((r"\s+,", ","), (r",\s*,", ","), (r"\s{2,}", " "), (r"\s+\.", ".")):
+        t = re.sub(pattern, to, t)
+    return t.strip(" ").strip(",").strip(" ")
+
+
+def test_every_caption_is_cleaned(spark, duck):
+    """All languages, rows without one among them, against the reference's steps in Python."""
+    docs = duck.sql("select doc_id, text from documents").fetchall()
+    texts = {i: f"<think>plan\nit</think> Dark green fields, {t}" if i % 7 == 0 else t for i, t in docs}
+    want = {i: (len(c), hashlib.md5(c.encode()).hexdigest()) for i, t in texts.items() for c in [python_clean(t)]}
+    got = {r["id"]: (r["n"], r["digest"]) for r in registry.queries()["caption_clean_all"](spark, DATA).collect()}
+    assert len(got) > duck.sql("select * from documents where lang = 'en'").count("*").fetchall()[0][0]
+    assert got == want
+
+
+def test_clean_at_accented_letters(spark):
+    from overfly.functions import text as T
+
+    odd = ["éred fields, redé, red é", "une forêt red, größer tanö tan.", "Señales ñred_ red1 RED, light", "vert, darkest ü , lighter"]
+    d = spark.createDataFrame(list(enumerate(odd)), "i int, caption string")
+    assert {r["i"]: r["c"] for r in d.select("i", T.clean(F.col("caption")).alias("c")).collect()} == {i: python_clean(t) for i, t in enumerate(odd)}
