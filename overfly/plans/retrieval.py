@@ -141,12 +141,33 @@ CURVE = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512]
 
 @query(res_sql(f"SELECT k, round(count(*) FILTER (WHERE gt_tile_rank < k)*100.0::DOUBLE/count(*), 6) AS recall FROM res, (SELECT unnest({CURVE}) AS k) GROUP BY k"))
 def recall_curve(spark, d):
-    """Recall at doubling k in one aggregate."""
+    """Recall at ten doubling k in one aggregate; the curve up to the largest rank is ``recall_curve_full``."""
     r = F.col("gt_tile_rank")
     pts = F.array(*[F.struct(F.lit(k).alias("k"), recall.recall(r, k).alias("recall")) for k in CURVE])
     return ranks(spark, d).agg(pts.alias("p")).select(F.explode("p").alias("p")).select("p.k", "p.recall")
 
 
+#: Log-spaced points of the whole curve, before equal ones fall together.
+POINTS = 200
+
+
+@query(res_sql(f", t AS (SELECT max(gt_tile_rank) + 1 AS m FROM res), c AS (SELECT DISTINCT CAST(round(pow(10.0::DOUBLE, i*log10(m)/{POINTS - 1})) AS BIGINT) AS k FROM t, range({POINTS}) s(i)) SELECT k, round(count(*) FILTER (WHERE gt_tile_rank < k)*100.0::DOUBLE/count(*), 6) AS recall FROM res, c GROUP BY k"))
+def recall_curve_full(spark, d):
+    """Recall at unique log-spaced k from 1 to the largest rank + 1.
+
+    Ranks are counted between neighbouring k first, so at most 201 rows are summed up.
+    """
+    part = F.lit(0.0).alias("part")
+    r = knn.truth_ranks(gallery(spark, d).select(part, "tile_id", "emb"), queries(spark, d).select(part, "query_id", "qemb"), _truth(spark, d)).select("rank")
+    top = r.agg((F.max("rank") + 1).alias("m"))
+    k = F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.round(F.pow(F.lit(10.0), i * F.log10("m") / (POINTS - 1))).cast("long"))
+    ks = top.select(F.array_sort(F.array_distinct(k)).alias("ks"))
+    # The place of the first k that a rank is below.
+    at = r.join(F.broadcast(ks), F.lit(True)).groupBy(F.size(F.filter("ks", lambda x: x <= F.col("rank"))).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    pts = ks.select(F.posexplode("ks").alias("j", "k")).join(F.broadcast(at), F.lit(True))
+    return pts.groupBy("k").agg(F.round(F.sum(F.when(F.col("at") <= F.col("j"), F.col("n")).otherwise(0)) * 100.0 / F.sum("n"), 6).alias("recall"))
+
+
 @query(res_sql(", t AS (SELECT query_id, max(sim) AS top FROM rk WHERE rk = 0 GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN gt_tile_rank < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)*100, 6) AS hit50, round(median(floor_m), 4) AS floor_median, round(quantile_cont(floor_m, 0.9), 4) AS floor_p90, round(median(gt_tile_rank), 4) AS median_rank, round(avg(top) FILTER (WHERE gt_tile_rank < 50), 6) AS sim_hit, round(avg(top) FILTER (WHERE gt_tile_rank >= 50), 6) AS sim_miss FROM res JOIN t USING (query_id)"))
 def retrieval_summary(spark, d):
     top = knn.top_k(gallery(spark, d), queries(spark, d), 1).select("query_id", F.col("sim").alias("top"))

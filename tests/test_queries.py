@@ -164,3 +164,14 @@ def test_clean_at_accented_letters(spark):
     odd = ["éred fields, redé, red é", "une forêt red, größer tanö tan.", "Señales ñred_ red1 RED, light", "vert, darkest ü , lighter"]
     d = spark.createDataFrame(list(enumerate(odd)), "i int, caption string")
     assert {r["i"]: r["c"] for r in d.select("i", T.clean(F.col("caption")).alias("c")).collect()} == {i: python_clean(t) for i, t in enumerate(odd)}
+
+
+def test_recall_curve_reaches_the_largest_rank(spark):
+    """k are the reference's: unique rounded log-spaced points up to the largest rank + 1, where recall is 100."""
+    import numpy as np
+
+    ranks = np.array([r["gt_tile_rank"] for r in registry.queries()["gt_rank"](spark, DATA).collect()])
+    ks = np.unique(np.round(np.logspace(0, np.log10(ranks.max() + 1), 200)).astype(int))
+    got = {r["k"]: r["recall"] for r in registry.queries()["recall_curve_full"](spark, DATA).collect()}
+    assert sorted(got) == ks.tolist() and got[ks[-1]] == 100
+    assert all(got[k] == pytest.approx(100 * (ranks < k).mean(), abs=1e-5) for k in ks)
