@@ -131,11 +131,13 @@ class Model:
             e = self.emissions(low, begin[at], end[at], hashes)[which]
             first, length = chains(counts)
             text = np.repeat(np.arange(len(counts)), -(-counts // CHAIN))
-            for i in range(0, len(first), 4096):
-                f, n = first[i : i + 4096], length[i : i + 4096]
+            # As many chains at a time as take the memory of 4096 with 32 labels.
+            some = min(4096, max(1, 4096 * 32 // len(self.labels)))
+            for i in range(0, len(first), some):
+                f, n = first[i : i + some], length[i : i + some]
                 place = np.minimum(f[:, None] + np.arange(CHAIN), len(e) - 1)
                 c = forward_backward(e[place], n, self.start, self.trans)
-                np.add.at(out, text[i : i + 4096], (marginals(c) * c.live[:, :, None]).sum(axis=1))
+                np.add.at(out, text[i : i + some], (marginals(c) * c.live[:, :, None]).sum(axis=1))
         return out, counts
 
 
@@ -198,15 +200,17 @@ def train(texts: list[str], langs: list[str], steps: int = 60, lexicon: int = 50
         by_word = np.zeros((len(used), n))
         np.add.at(by_word, slot[which[place[pick]]].reshape(-1), d.reshape(-1, n))
         move = np.exp(params["trans"])
-        pair = c.alpha[:, :-1, :, None] * move * (c.factor[:, 1:] * c.beta[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        # Expected less seen transitions as matrix products: no array of chains by words by labels squared.
+        left, right = c.alpha[:, :-1].reshape(-1, n), (c.factor[:, 1:] * c.beta[:, 1:]).reshape(-1, n)
+        each = (c.live[:, 1:] * w[..., 0]).reshape(-1, 1)
         held = target[place[pick]]
-        pair -= held[:, :-1, :, None] * held[:, 1:, None, :]
+        pair = move * (left.T @ (right * (each / ((left @ move) * right).sum(axis=1, keepdims=True))))
+        pair -= held[:, :-1].reshape(-1, n).T @ (held[:, 1:].reshape(-1, n) * each)
         grad = {
             "grams": np.stack([np.bincount(gi, by_word[gw, k], 1 << BITS) for k in range(n)], axis=1),
             "weight": (by_word * entry[used]).sum(axis=0),
             "start": d[:, 0].sum(axis=0),
-            "trans": (pair * c.live[:, 1:, None, None] * w[..., None]).sum(axis=(0, 1)),
+            "trans": pair,
         }
         for k, g in grad.items():
             g = g + decay * params[k] * (0.02 if k == "grams" else 1)
@@ -223,22 +227,22 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part
 
 
-def sample(docs: DataFrame, per_lang: int = 200, most_langs: int = 32, most_rows: int = 2400, most_bytes: int = 32_768) -> list:
-    """Training rows (text, lang): about ``per_lang`` documents of each of the ``most_langs`` commonest languages, fewer each if
-    that makes more than ``most_rows``.
+def sample(docs: DataFrame, per_lang: int = 200, most_rows: int = 2400, most_bytes: int = 32_768) -> list:
+    """Training rows (text, lang): about ``per_lang`` documents of each language, fewer each if that makes more than ``most_rows``,
+    but one at least.
 
     Drawn by a hash of the id from all training rows (not held out, lang not null,
-    some text of at most ``most_bytes`` bytes). Bounded whatever the input's size.
+    some text of at most ``most_bytes`` bytes). Bounded by the number of languages, whatever the input's size.
     """
     rows = docs.filter(~held_out(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & F.octet_length("text").between(1, most_bytes))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(draw).alias("least")).orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return []
     per_lang = max(1, min(per_lang, most_rows // len(counts)))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, int((1 << 30) * 1.1 * per_lang / r["count"])))).otherwise(share)
+    # A language's least draw is always below its share, so that none goes without a row.
+    shares = {r["lang"]: max(r["least"] + 1, min(1 << 30, int((1 << 30) * 1.1 * per_lang / r["count"]))) for r in counts}
+    share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("lang")]
     got = rows.filter(draw < share).select(draw.alias("draw"), "lang", "text").collect()
     taken: dict[str, int] = {}
     out = []

@@ -262,3 +262,19 @@ def test_classifiers(spark, empty, predict, label, bar):
     # Labels of held-out rows, languages and sources change nothing.
     other = predict(d.withColumns({"source": F.lit("t")}), lab.withColumn(label, F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 0).otherwise(F.col(label))))
     assert {x["doc_id"]: x["score"] for x in other.collect()} == {i: x["score"] for i, x in got.items()}
+
+
+def test_every_language_is_learned(spark):
+    """Forty languages of words of their own: none is left out, however few rows each gets."""
+    r = random.Random(4)
+    # Each language has its own words.
+    vocab = {f"l{k:02d}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{r.choice('aeiou')}{chr(97 + r.randrange(26))}{j}x" for j in range(8)] for k in range(40)}
+    vocab = {g: [w.translate(str.maketrans("0123456789", "qwrtzpsdfg")) for w in v] for g, v in vocab.items()}
+    rows = [(40 * i + k, " ".join(r.choice(vocab[g]) for _ in range(30)), g) for k, g in enumerate(sorted(vocab)) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {g for _, g in langcrf.sample(d)} == set(vocab)
+    assert {g for _, g in langcrf.sample(d, most_rows=40)} == set(vocab) and len(langcrf.sample(d, most_rows=40)) == 40
+    true = {i: g for i, _, g in rows}
+    got = langcrf.predict(d).filter("held_out").collect()
+    right = sum(x["lang_pred"] == true[x["doc_id"]] for x in got)
+    assert len(got) > 60 and right >= 0.95 * len(got), (right, len(got))
