@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     component_id is the least doc_id reachable, itself included; kept marks doc_id =
     component_id. Null, empty and blank texts have no shingles and are linked with
     nothing. Repeated rows each give a row; rows of one doc_id with different texts
-    are one node of the graph. Documents without an id take part, but a
-    component of such documents alone has a null component_id and keeps all. An
-    empty table gives no rows.
+    are one node of the graph. Documents without an id are linked with nothing
+    unless their set equals that of one with an id; else they have a null
+    component_id and are all kept. An empty table gives no rows.
     """
     sk = checkpointed(sketches(docs, shingle, bands, rows))
     some = sk.filter("n_shingles > 0")

@@ -55,13 +55,18 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
     component_id. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing; vectors of different lengths are never linked.
     Repeated rows each count and each give a row; rows without an id take part
-    but name no component. An empty table gives no rows.
+    but name no component: one of such rows alone has a null component_id and keeps
+    all. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", usable(F.col("embedding")).alias("ok"))
-    classes = checkpointed(rows.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("rep IS NOT NULL"))
-    n = classes.count()
+    classes = checkpointed(rows.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")))
+    n, named, top = classes.agg(F.count(F.lit(1)), F.count("rep"), F.max("rep")).first()
+    top = -1 if top is None else top
+    if named < n:
+        # Classes without an id get keys above all ids, so that these are never a component's least where it has an id.
+        classes = checkpointed(classes.withColumn("rep", F.coalesce("rep", F.lit(top + 1) + F.monotonically_increasing_id())))
     want = max(1, min(pivots, -(-n // home)))
     picked = classes.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(want).select("embedding").toArrow()
     by_size = {x.shape[1]: spread(units(x)) for _, x in matrices(picked.column(0))} if picked.num_rows else {}
@@ -165,6 +170,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, home: int = HOME, g
     roots = components(out.filter("u <> v").select("u", "v"))
     reps = classes.join(links, F.col("rep") == F.col("u"), "left").join(roots, F.col("rep") == F.col("node"), "left")
     reps = reps.select(F.col("embedding").alias("_e"), "rep", (F.coalesce("k", F.lit(0)) + F.col("m") - 1).alias("_k"), F.coalesce("root", "rep").alias("_root"))
+    reps = reps.withColumn("_root", F.when(F.col("_root") <= top, F.col("_root")))
     d = rows.join(reps, F.when(F.col("ok"), F.col("embedding")) == F.col("_e"), "left")
     d = d.select("vec_id", F.coalesce("_k", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_root", "vec_id").alias("component_id"))
     return d.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -86,3 +86,11 @@ def test_range_join_with_near_copies(spark):
     got = {r["vec_id"]: r["n_links"] for r in rangejoin.near_vectors(d, home=10, guest=64).collect()}
     wrong = [i for i in range(600) if got[i] != links[i]]
     assert not wrong, (len(wrong), int(links.sum()), sum(got.values()))
+
+
+def test_range_join_without_ids(spark):
+    """Rows without an id link with near vectors, not only with equal ones."""
+    v = [(5, [1.0, 0.0, 0.0]), (None, [1.0, 0.1, 0.0]), (9, [1.0, 0.2, 0.0]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.1, 1.0]), (7, [0.0, 1.0, 0.0])]
+    d = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in rangejoin.near_vectors(d, cosine=0.97).collect()), key=str)
+    assert got == sorted([(5, 2, 5, True), (None, 2, 5, False), (9, 2, 5, False), (None, 1, None, True), (None, 1, None, True), (7, 0, 7, True)], key=str)
