@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, WHITE, chunks, hash_spans, hash_windows, mix64, spans, stream64
-from .common import checkpointed, map_arrow, ship
+from .common import checkpointed, map_arrow, ship, with_rank
 from .graph import components
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 40, 5, 75
@@ -278,9 +278,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The documents with one of each near-duplicate group left: the row of the least doc_id, once if it is repeated."""
-    kept = near_duplicates(docs, **kw).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_ov_n"))
-    kept = checkpointed(kept)
+    """The documents with one of each near-duplicate group left: the row of the least doc_id.
+
+    Where one doc_id has rows with different texts, or rows have no id, each
+    (doc_id, text) is a document of its own: it goes only as a near duplicate, or as a
+    repeat of an equal id and text. Ids that are missing come last.
+    """
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    short = F.xxhash64("text")
+    mixed = docs.groupBy("doc_id").agg(F.min(short).alias("lo"), F.max(short).alias("hi")).filter("doc_id IS NULL OR lo <> hi")
+    if not mixed.take(1):
+        kept = near_duplicates(docs, **kw).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_ov_n"))
+        return _rows_of(docs, checkpointed(kept))
+    # Nodes are numbered in the order of (doc_id, text digest), so that the least node is one of the least doc_id.
+    d = docs.withColumns({"_ov_id": F.col("doc_id").cast("long"), "_ov_digest": digest})
+    nodes = with_rank(d.select(F.col("_ov_id").alias("_ov_i"), F.col("_ov_digest").alias("_ov_d")).distinct(), [], [F.col("_ov_i").asc_nulls_last(), F.col("_ov_d")], rank="_ov_node")
+    same = F.col("_ov_id").eqNullSafe(F.col("_ov_i")) & (F.col("_ov_digest") == F.col("_ov_d"))
+    d = checkpointed(d.join(nodes, same).drop("_ov_i", "_ov_d", "_ov_id", "_ov_digest").withColumnRenamed("doc_id", "_ov_own").withColumnRenamed("_ov_node", "doc_id"))
+    kept = near_duplicates(d.select("doc_id", "text"), **kw).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_ov_n"))
+    return _rows_of(d, checkpointed(kept)).drop("doc_id").withColumnRenamed("_ov_own", "doc_id").select(*docs.columns)
+
+
+def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of each kept doc_id; the rows of one have equal texts."""
     out = docs.join(kept.select(F.col("doc_id").alias("_ov_k")).hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_ov_k")), "left_semi")
     # Only repeated ids need their rows compared; with none, no shuffle of texts is spent on it.
     again = kept.filter("_ov_n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_ov_r"))

@@ -278,3 +278,15 @@ def test_every_language_is_learned(spark):
     got = langcrf.predict(d).filter("held_out").collect()
     right = sum(x["lang_pred"] == true[x["doc_id"]] for x in got)
     assert len(got) > 60 and right >= 0.95 * len(got), (right, len(got))
+
+
+def test_keep_one_with_repeated_and_missing_ids(spark):
+    """Different texts of one id all stay, near copies and equal rows go, also without an id."""
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, e = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, a + " more"), (4, c), (None, c + " more"), (None, e), (None, e + " more"), (5, text())]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(x) for x in minhash.keep_one(d).collect()]
+    assert len(got) == 5 and {(1, a), (1, b), (4, c), rows[-1]} < set(got)
+    assert [x for x in got if x[0] is None][0][1] in (e, e + " more")
