@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at a time (one text longer than this forms its own chunk).
 CHUNK_BYTES = 1 << 19
+#: Bytes or words hashed at a time.
+BLOCK = 1 << 15
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,7 +38,7 @@ def stream64(seed: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
+    """base**i and base**-i modulo 2**64, grown on demand (up to a block)."""
 
     def __init__(self, base: int) -> None:
         self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
@@ -99,22 +101,47 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    up, down = BYTE_POWERS.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each span's bytes; spans are in order and do not overlap.
+
+    Bytes are taken ``BLOCK`` at a time, so that tables and temporaries stay small
+    however long a text is; a span of more bytes is summed over several blocks.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    up, down = BYTE_POWERS.to(BLOCK + 1)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + BLOCK, "right"))
+        if j > i:
+            part = data[lo : ends[j - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(BYTE_VALUE[part] * up[: len(part)], out=sums[1:])
+            s = starts[i:j] - lo
+            out[i:j] = (sums[ends[i:j] - lo] - sums[s]) * down[s]
+            i = j
+        else:
+            for a in range(lo, int(ends[i]), BLOCK):
+                part = data[a : min(a + BLOCK, int(ends[i]))]
+                piece = int((BYTE_VALUE[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(BYTE_POWERS.base, a - lo, 1 << 64)
+                out[i] += np.uint64(piece & (1 << 64) - 1)
+            i += 1
+    return mix64(out)
 
 
 def hash_windows(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` consecutive word hashes (of the flat sequence)."""
+    """A 64-bit hash of each run of ``width`` consecutive word hashes (of the flat sequence), ``BLOCK`` runs at a time."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = WORD_POWERS[which].to(len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix64((sums[width:] - sums[:-width]) * down[:n] + np.uint64(width))
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, BLOCK):
+        part = words[i : i + BLOCK + width - 1]
+        m = len(part) - width + 1
+        up, down = WORD_POWERS[which].to(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up, out=sums[1:])
+        out[i : i + m] = (sums[width:] - sums[:-width]) * down[:m]
+    return mix64(out + np.uint64(width))
 
 
 def ramp(counts: np.ndarray) -> np.ndarray:

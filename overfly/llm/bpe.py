@@ -1,32 +1,34 @@
 """Byte-level BPE encoding by forced-boundary splitting, and decoding.
 
 A byte pair that occurs inside no vocabulary token marks a certain token
-boundary: no merge can ever span it. Texts are cut at such pairs, the fragments
-are encoded independently (mostly from a bounded memo, as words repeat), and the
-ids are concatenated. Cuts that could change how the splitting pattern reads its
-surroundings are left out (see ``cuts``), so the ids equal those of the whole text.
-
-Free style: one pass over Arrow batches, no shuffle, memory bounded by a text
-chunk plus the memo. A lost executor costs only its own splits.
+boundary: no merge can ever span it. Texts are cut at such pairs, the distinct
+fragments of a chunk are encoded independently (most are in a bounded memo, as words
+repeat), and the ids are concatenated. Cuts that could change how the splitting
+pattern reads its surroundings are left out (see ``cuts``), so the ids equal those of
+the whole text.
+
+Free style: one pass over Arrow batches, no shuffle. Fragments are found by a hash and
+laid out by NumPy, so no Python object is made per fragment; memory is bounded by a
+text chunk plus the memo. A lost executor costs only its own splits.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks
+from .arrays import chunks, hash_spans, ramp
 from .common import extended, map_arrow
 
-#: Fragments in each of the memo's two generations, and the longest fragment kept, in bytes.
-MEMO, MEMO_BYTES = 160_000, 96
+#: Fragments and bytes beyond which a memo starts anew.
+MEMO, MEMO_BYTES = 500_000, 16 << 20
 #: Bytes of text encoded at a time.
 CHUNK = 1 << 20
 
@@ -38,6 +40,47 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def gather(flat: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """flat[f : f + c] of each (f, c), joined."""
+    return flat[np.repeat(first, counts) + ramp(counts)]
+
+
+class Memo:
+    """Encoded fragments in flat arrays: found by hash, laid out as bytes of the fragment, its ids, and the bytes these decode to."""
+
+    def __init__(self) -> None:
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        #: Per column, the values of all fragments and where each begins (and the last ends).
+        self.flat = {"source": np.zeros(0, np.uint8), "ids": np.zeros(0, np.int32), "decoded": np.zeros(0, np.uint8)}
+        self.at = {k: np.zeros(1, np.int64) for k in self.flat}
+
+    def full(self) -> bool:
+        return len(self.keys) > MEMO or sum(x.nbytes for x in self.flat.values()) > MEMO_BYTES
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's row, -1 where it is absent."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.rows[at], -1)
+
+    def add(self, keys: np.ndarray, **columns: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Rows of new keys (sorted) with their values, joined, and how many each has."""
+        rows = np.arange(len(keys)) + len(self.at["ids"]) - 1
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.rows = np.insert(self.keys, place, keys), np.insert(self.rows, place, rows)
+        for k, (values, counts) in columns.items():
+            self.at[k] = np.concatenate([self.at[k], self.at[k][-1] + np.cumsum(counts)])
+            self.flat[k] = np.concatenate([self.flat[k], values])
+        return rows
+
+    def laid_out(self, column: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of these rows joined, number per row)."""
+        at = self.at[column]
+        counts = (at[1:] - at[:-1])[rows]
+        return gather(self.flat[column], at[rows], counts), counts
+
+
 class Codec:
     """Encoder and decoder of one byte-level vocabulary file."""
 
@@ -51,6 +94,10 @@ class Codec:
         alphabet = byte_alphabet()
         self.token_bytes: dict[int, bytes] = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         self.token_bytes |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        #: The tokens' bytes in one array, by id.
+        by_id = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
+        self.token_size = np.array([len(t) for t in by_id])
+        self.token_at, self.token_flat = np.cumsum(self.token_size) - self.token_size, np.frombuffer(b"".join(by_id), np.uint8)
         never = np.ones((256, 256), dtype=bool)
         for t in self.token_bytes.values():
             b = np.frombuffer(t, np.uint8)
@@ -64,9 +111,7 @@ class Codec:
         word[[c for c in range(128) if chr(c).isalnum()]] = True
         never[~word, 0x27] = False
         self.pairs = never.reshape(-1)
-        #: Fragments used lately, and those of the generation before.
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
-        self.past: dict[bytes, tuple[bytes, bytes]] = {}
+        self.memo = Memo()
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Positions before which the flat buffer is cut, each text's start included."""
@@ -84,46 +129,56 @@ class Codec:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         return np.flatnonzero(cut)
 
-    def encode_fragments(self, fragments: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as 32-bit integers, decoded bytes) of each fragment."""
-        memo, past = self.memo, self.past
-        found = [memo.get(f) for f in fragments]
-        again = {f: past[f] for f, e in zip(fragments, found) if e is None and f in past}
-        if again:
-            memo.update(again)
-            found = [again.get(f) if e is None else e for f, e in zip(fragments, found)]
-        new = list({f for f, e in zip(fragments, found) if e is None})
-        if new:
-            fresh = {}
-            table = self.token_bytes
-            for f, e in zip(new, self.tokenizer.encode_batch_fast([f.decode() for f in new], add_special_tokens=False)):
-                ids = e.ids
-                fresh[f] = (array("i", ids).tobytes(), b"".join([table[i] for i in ids]))
-            found = [fresh[f] if e is None else e for f, e in zip(fragments, found)]
-            memo.update((f, e) for f, e in fresh.items() if len(f) <= MEMO_BYTES)
-        if len(memo) > MEMO:
-            self.past, self.memo = memo, {}
-        return found
-
-    def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(ids of all texts, number of ids per text, decoded bytes per text)."""
+    def encode_fragments(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Source bytes, ids and decoded bytes of fragments, each encoded alone."""
+        raw, size = data.tobytes(), ends - starts
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)]
+        counts = np.array([len(x) for x in found])
+        ids = np.fromiter(chain.from_iterable(found), np.int32, counts.sum())
+        sums = np.concatenate([[0], np.cumsum(self.token_size[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+        return {"source": (gather(data, starts, size), size), "ids": (ids, counts), "decoded": (gather(self.token_flat, self.token_at[ids], self.token_size[ids]), np.diff(sums))}
+
+    def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids per text, decoded bytes of all texts, number of bytes per text)."""
         starts = self.cuts(data, offsets)
-        raw = data.tobytes()
-        ends = [*starts[1:].tolist(), len(raw)] if len(starts) else []
-        found = self.encode_fragments([raw[a:b] for a, b in zip(starts.tolist(), ends)])
+        if not len(starts):
+            none = np.zeros(len(offsets) - 1, np.int64)
+            return np.zeros(0, np.int32), none, np.zeros(0, np.uint8), none
+        ends = np.append(starts[1:], len(data))
+        if self.memo.full():
+            self.memo = Memo()
+        memo = self.memo
+        keys, first, which = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        rows = memo.find(keys)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = memo.add(keys[new], **self.encode_fragments(data, starts[first[new]], ends[first[new]]))
+        rows = rows[which]
+        if not np.array_equal(memo.laid_out("source", rows)[0], data):
+            # Two fragments of one hash: this chunk's are all encoded on their own.
+            memo = Memo()
+            rows = memo.add(np.arange(len(starts), dtype=np.uint64), **self.encode_fragments(data, starts, ends))
         at = np.searchsorted(starts, offsets)
-        if not found:
-            n = len(offsets) - 1
-            return np.zeros(0, np.int32), np.zeros(n, np.int64), [b""] * n
-        ids, texts = zip(*found)
-        sums = np.concatenate([[0], np.cumsum([len(x) for x in ids])]) // 4
-        return np.frombuffer(b"".join(ids), np.int32), np.diff(sums[at]), [b"".join(texts[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        out = []
+        for column in ("ids", "decoded"):
+            values, counts = memo.laid_out(column, rows)
+            out += [values, np.diff(np.concatenate([[0], np.cumsum(counts)])[at])]
+        return tuple(out)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, special tokens included; byte runs that are no UTF-8 become U+FFFD."""
         return b"".join([self.token_bytes.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
+def strings(raw: np.ndarray, sizes: np.ndarray, known: bool) -> pa.Array:
+    """Texts of so many bytes each; ``known`` to be UTF-8, or else with U+FFFD for what is none."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    if known:
+        return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw)))
+    flat = raw.tobytes()
+    return pa.array([flat[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])], pa.string())
+
+
 _CODECS: dict[str, Codec] = {}
 
 
@@ -149,11 +204,10 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: bool = False)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi, data, offsets in chunks(column, CHUNK):
-                ids, counts, texts = c.encode_chunk(data, offsets)
-                bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                new = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))]
+                ids, counts, raw, sizes = c.encode_chunk(data, offsets)
+                new = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids, pa.int32()))]
                 if decoded:
-                    new.append(pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()))
+                    new.append(strings(raw, sizes, known=np.array_equal(raw, data)))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "ids", *(["decoded"] if decoded else [])])
 
