@@ -43,3 +43,14 @@ BANNED_WORDS = (
 )
 CAPTION_WORDS = (8, 20)
 INLIER_EDGES = (0, 7, 15, 30, 60, 125, 250, 500, 1000)
+
+# How colour words are cut out of captions (optional comma before, comparative endings, optional comma after, one blank instead) ...
+COLOR_PATTERN = r",?\s*\b(?:{words})(?:er|est)?\b\s*,?"
+COLOR_SUFFIX = "(er|est)?"
+# ... and the punctuation rules after that, in this order; outer commas are stripped at the end.
+TIDY_RULES = ((r"\s+,", ","), (r",\s*,", ","), (r"\s{2,}", " "), (r"\s+\.", "."))
+OUTER_COMMAS = r"^,+|,+$"
+
+# Names of job archives (job number, variant) and of result files (method).
+ARCHIVE_NAME = r"^zz_(\d+)_(.+)\.tar$"
+RESULT_NAME = r"visloc_(.+)_results\.csv$"

@@ -147,8 +147,8 @@ def flat_distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 
 def shifted_gps(lat: Column, lon: Column, dx_m: Column, dy_m: Column) -> tuple[Column, Column]:
-    """A position moved by metres east and (downwards positive) south."""
-    return lat - dy_m / F.lit(K.DEGREE_M), lon + dx_m / (F.lit(K.DEGREE_M) * F.cos(F.radians(lat)))
+    """A position moved by metres east and north."""
+    return lat + dy_m / F.lit(K.DEGREE_M), lon + dx_m / (F.lit(K.DEGREE_M) * F.cos(F.radians(lat)))
 
 
 def clamp_offset(dx: Column, dy: Column, most: Column) -> tuple[Column, Column]:
@@ -169,6 +169,12 @@ def rescaled(hm: list[Column], sx: float, sy: float) -> list[Column]:
     return [hm[3 * i + j] * F.lit(s[i] / s[j]) for i in range(3) for j in range(3)]
 
 
+def inverse(hm: list[Column]) -> list[Column]:
+    """The inverse of a 3x3 transform given row by row (up to scale, which points do not see)."""
+    at = lambda i, j: hm[3 * (i % 3) + j % 3]
+    return [at(j + 1, i + 1) * at(j + 2, i + 2) - at(j + 1, i + 2) * at(j + 2, i + 1) for i in range(3) for j in range(3)]
+
+
 def season(date: Column) -> Column:
     """Meteorological season of an ISO date string, cut at T; '' where it can't be read."""
     month = F.month(F.try_to_timestamp(F.split(date, "T")[0], F.lit("yyyy-MM-dd")))

@@ -23,14 +23,16 @@ INNER = r"[\p{L}\p{N}_]"
 
 def drop_words(c: Column, words: Iterable[str]) -> Column:
     """Replace the words (and their -er/-est forms, with commas beside them) by one blank."""
-    return F.regexp_replace(c, rf"(?i),?\s*(?<!{INNER})(?:{'|'.join(words)})(?:er|est)?(?!{INNER})\s*,?", " ")
+    start, end = K.COLOR_PATTERN.format(words="|".join(words)).split(r"\b(", 1)
+    inner, after = end.rsplit(r"\b", 1)
+    return F.regexp_replace(c, rf"(?i){start}(?<!{INNER})({inner}(?!{INNER}){after}", " ")
 
 
 def tidy(c: Column) -> Column:
     """Punctuation after words were cut out; the order matters, only outer commas are stripped."""
-    for pattern, to in ((r"\s+,", ","), (r",\s*,", ","), (r"\s{2,}", " "), (r"\s+\.", ".")):
+    for pattern, to in K.TIDY_RULES:
         c = F.regexp_replace(c, pattern, to)
-    return F.trim(F.regexp_replace(F.trim(c), r"^,+|,+$", ""))
+    return F.trim(F.regexp_replace(F.trim(c), K.OUTER_COMMAS, ""))
 
 
 def clean(c: Column, words: Iterable[str] = (*K.COLOR_WORDS, "shadows?")) -> Column:

@@ -9,6 +9,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.geo import clamp_offset, in_box, project
 
 
 def greedy_one_to_one(d: DataFrame, key: str = "pair", cell: float = 8.0, order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
@@ -85,6 +88,117 @@ def ransac_similarity(d: DataFrame, key: str = "pair", threshold: float = 5.0, i
     return d.groupBy(key).applyInPandas(run, f"{key} long, n int, inliers int, a double, b double, tx double, ty double")
 
 
+def ransac_homography(d: DataFrame, key: str = "pair", threshold: float = 5.0, iterations: int = 400, least: int = 4, most: int | None = None, order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
+    """The correspondences that agree with a pair's homography, with that transform as ``h`` (row by row, h[8] = 1).
+
+    Seeded by the pair's key over rows sorted by ``order``: 4-point samples, each solved
+    exactly, scored by the truncated squared error of all points; the best is refitted on
+    its inliers by least squares until they stay the same. Pairs with fewer than ``least``
+    points, or without such a transform, give no rows. ``most`` keeps the most confident
+    inliers (ties by ``order``). Groups are single image pairs.
+    """
+    schema = ", ".join(f"`{k}` {t}" for k, t in d.dtypes) + ", h array<double>"
+
+    def run(pdf):
+        import numpy as np
+
+        def solve(p, q):
+            """Transforms of batches of points (b, n, 2) to (b, n, 2); h[8] is 1."""
+            x, y, u, v = p[..., 0], p[..., 1], q[..., 0], q[..., 1]
+            o, z = np.ones_like(x), np.zeros_like(x)
+            a = np.concatenate([np.stack([x, y, o, z, z, z, -u * x, -u * y], -1), np.stack([z, z, z, x, y, o, -v * x, -v * y], -1)], axis=-2)
+            b = np.concatenate([u, v], axis=-1)[..., None]
+            ata = np.swapaxes(a, -1, -2) @ a
+            ok = np.linalg.cond(ata) < 1e14
+            h = np.full((*ok.shape, 8), np.nan)
+            if ok.any():
+                h[ok] = np.linalg.solve(ata[ok], (np.swapaxes(a, -1, -2) @ b)[ok])[..., 0]
+            return np.concatenate([h, np.ones((*ok.shape, 1))], axis=-1)
+
+        def errors(h, p, q):
+            w = h[:, 6, None] * p[:, 0] + h[:, 7, None] * p[:, 1] + 1
+            with np.errstate(all="ignore"):
+                du = (h[:, 0, None] * p[:, 0] + h[:, 1, None] * p[:, 1] + h[:, 2, None]) / w - q[:, 0]
+                dv = (h[:, 3, None] * p[:, 0] + h[:, 4, None] * p[:, 1] + h[:, 5, None]) / w - q[:, 1]
+                e = du * du + dv * dv
+            return np.where(np.isfinite(e), e, np.inf)
+
+        pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
+        n, bar = len(pdf), threshold * threshold
+        none = pdf.iloc[:0].assign(h=None)
+        if n < least:
+            return none
+        p, q = pdf[["x0", "y0"]].to_numpy(np.float64), pdf[["x1", "y1"]].to_numpy(np.float64)
+        # Coordinates about 1, for the sake of the normal equations.
+        scale = max(float(np.abs(np.concatenate([p, q])).max()), 1.0)
+        pick = np.random.default_rng(int(pdf[key].iloc[0])).integers(0, n, (iterations, 4))
+        h = solve(p[pick] / scale, q[pick] / scale)
+        cost = np.concatenate([np.minimum(errors(h[i : i + 64], p / scale, q / scale) * scale * scale, bar).sum(axis=1) for i in range(0, iterations, 64)])
+        best = h[int(cost.argmin())]
+        inl = errors(best[None], p / scale, q / scale)[0] * scale * scale < bar
+        for _ in range(5):
+            if inl.sum() < least:
+                return none
+            again = solve((p[inl] / scale)[None], (q[inl] / scale)[None])[0]
+            new = errors(again[None], p / scale, q / scale)[0] * scale * scale < bar
+            if np.isnan(again).any() or new.sum() < inl.sum():
+                break
+            same, best, inl = (new == inl).all(), again, new
+            if same:
+                break
+        if inl.sum() < least:
+            return none
+        out = pdf[inl]
+        if most is not None:
+            out = out.sort_values(["conf", *order], ascending=[False] + [True] * len(order), kind="stable").head(most)
+        full = best * np.array([1, 1, scale, 1, 1, scale, 1 / scale, 1 / scale, 1])
+        return out.assign(h=[full.tolist()] * len(out))
+
+    return d.groupBy(key).applyInPandas(run, schema)
+
+
+def most_confident(d: DataFrame, most: int, key: str = "pair", order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
+    """The ``most`` rows of highest confidence of each pair, ties by ``order``."""
+    w = Window.partitionBy(key).orderBy(F.desc("conf"), *order)
+    return d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+
+
+def looped_back(hm: list[Column], back: list[Column], width: int, height: int, scale: int, real: tuple[int, int]) -> Column:
+    """Coarse cells (i, j) of a pair of images whose centres' grid points return: an array of structs.
+
+    Cell i's point goes through ``hm`` to the nearest cell j of the other grid (half-even;
+    outside the real frame: cell 0), and j's through ``back``; i is kept if it comes back,
+    lies in the real frame and is not cell 0. Each side is a function of the cell alone, so
+    no join is needed.
+    """
+    w, h = width // scale, height // scale
+    rw, rh = real[0] // scale, real[1] // scale
+
+    def to(m: list[Column], cell: Column) -> Column:
+        x, y = project(m, F.pmod(cell, F.lit(w)) * float(scale), F.floor(cell / w) * float(scale))
+        c, r = F.bround(x / float(scale), 0), F.bround(y / float(scale), 0)
+        return F.when(in_box(c, r, rw, rh), c + r * w).otherwise(F.lit(0.0)).cast("int")
+
+    cells = F.transform(F.sequence(F.lit(1), F.lit(w * h - 1)), lambda i: F.struct(i.alias("i"), to(hm, i).alias("j")))
+    home = F.transform(cells, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), to(back, c["j"]).alias("k")))
+    return F.filter(home, lambda c: (c["k"] == c["i"]) & (F.pmod(c["i"], F.lit(w)) < rw) & (F.floor(c["i"] / w) < rh))
+
+
+def offset_mode(flight: Column, name: Column, mode: str, share: int) -> Column:
+    """``true`` or ``jitter`` for each row; ``mix`` takes true positions for ``share`` percent of the rows, by the CRC-32 of their key."""
+    if mode != "mix":
+        return F.lit(mode)
+    return F.when(F.crc32(F.concat_ws("/", F.lit("mix"), flight, name)) % 100 < share, "true").otherwise("jitter")
+
+
+def crop_offsets(d: DataFrame, mode: str, share: int, sigma: float, metres_per_px: Column, margin_px: float, side_px: float) -> DataFrame:
+    """Add mode, dx_m and dy_m: no offset on true positions, else the row's seeded normal offset, shortened so that the truth stays ``margin_px`` inside the crop."""
+    d = gaussian_offsets(d, F.concat_ws("/", "flight", "filename"), sigma).withColumn("mode", offset_mode(F.col("flight"), F.col("filename"), mode, share))
+    u, v = clamp_offset(F.col("dx_m"), F.col("dy_m"), metres_per_px * (side_px / 2 - margin_px))
+    true = F.col("mode") == "true"
+    return d.withColumn("_u", F.when(true, 0.0).otherwise(u)).withColumn("_v", F.when(true, 0.0).otherwise(v)).drop("dx_m", "dy_m").withColumnsRenamed({"_u": "dx_m", "_v": "dy_m"})
+
+
 def leg_clusters(d: DataFrame, reach: float = 45.0, least: int = 3) -> DataFrame:
     """Flight legs: headings in order join the first cluster whose circular mean is nearer than ``reach``; clusters of ``least`` members stay."""
 
@@ -110,19 +224,26 @@ def leg_clusters(d: DataFrame, reach: float = 45.0, least: int = 3) -> DataFrame
 
 
 def spread_choice(d: DataFrame, want: int, key: str = "flight") -> DataFrame:
-    """Midpoints of ``want`` equal stretches, each moved outward to the nearest accepted frame that is still free."""
+    """Midpoints of ``want`` equal stretches, each moved outward (the earlier of equally near frames first) to an accepted frame that is still free.
+
+    Frames come out in their own order; ``slot`` numbers them.
+    """
 
     def run(pdf):
+        import numpy as np
+
         pdf = pdf.sort_values("seq").reset_index(drop=True)
-        n, used = len(pdf), []
-        for j in range(want):
-            mid = int((j + 0.5) * n / want)
-            for step in range(n):
-                hit = next((i for i in (mid + step, mid - step) if 0 <= i < n and pdf.accepted[i] and i not in used), None)
-                if hit is not None:
-                    used.append(hit)
-                    break
-        return pdf.iloc[used][[key, "seq"]].assign(slot=range(len(used)))
+        n = len(pdf)
+        open_ = pdf["accepted"].to_numpy(dtype=bool, na_value=False).copy()
+        picked = []
+        for mid in (int((j + 0.5) * n / want) for j in range(want)):
+            free = np.flatnonzero(open_)
+            if len(free):
+                # argmin takes the first of equal distances: the earlier frame.
+                hit = int(free[np.abs(free - mid).argmin()])
+                open_[hit] = False
+                picked.append(hit)
+        return pdf.iloc[sorted(picked)][[key, "seq"]].assign(slot=range(len(picked)))
 
     return d.groupBy(key).applyInPandas(run, f"{key} string, seq long, slot int")
 

@@ -1,8 +1,15 @@
-"""Similarity search: exact cosine top-k by blocks, and mutual nearest neighbours."""
+"""Similarity search by blocks: exact cosine top-k, ranks of a true tile, histograms and mutual nearest neighbours.
+
+Queries are a stated set. They are broadcast in blocks of bounded bytes; the gallery is
+read where it lies, once per block, and never shuffled. Each task makes matrix products
+and hands out only what it keeps: k candidates, counts or maxima, never pairs. Where there
+are several blocks, a block's result is reduced and checkpointed and its broadcast is
+destroyed before the next block is gathered, so the driver holds one at a time.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vectors as V
+from .store import checkpointed
 
-#: Bytes of query vectors broadcast at a time.
+#: Bytes of query rows broadcast at a time.
 BLOCK_BYTES = 32 << 20
+#: Gallery rows of one matrix product.
+STEP = 1024
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -23,111 +32,198 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
 
 
-def top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, digits: int = 6) -> DataFrame:
-    """query_id, tile_id, sim, rk: each query's k most similar tiles, ties to the smaller tile_id.
+def _arrays(t: pa.Table) -> dict[str, np.ndarray]:
+    return {c: matrix(t.column(c)) if pa.types.is_list(t.schema.field(c).type) else np.asarray(t.column(c)) for c in t.column_names}
+
+
+def against(gallery: DataFrame, queries: DataFrame, task: Callable, schema: str, fold: Callable[[DataFrame], DataFrame], block_bytes: int | None = None) -> DataFrame:
+    """Blocks of ``queries`` against all of ``gallery``.
 
-    Queries are broadcast in blocks of bounded bytes; the gallery is read once per
-    block and never shuffled, each task keeps k candidates of each query, and a
-    window over these few finds the result. Similarities are dot products in double,
-    rounded before ranking so that ties do not depend on summation order.
+    ``task(asked, rows)`` gets a block's columns as arrays (vectors as matrices) and an
+    iterator of the same for batches of gallery rows, and returns the columns of
+    ``schema``. ``fold`` reduces the tasks' rows, of one block and of all.
     """
     spark = gallery.sparkSession
-    q = queries.select("query_id", "qemb")
-    n, width = q.agg(F.count(F.lit(1)), F.max(F.size("qemb"))).first()
-    blocks = max(1, -(-n * 8 * (width or 1) // BLOCK_BYTES))
+    vectors = [c for c, t in queries.dtypes if t.startswith("array")]
+    n, width = queries.agg(F.count(F.lit(1)), F.max(reduce(lambda a, b: a + b, [F.size(c) for c in vectors]))).first()
+    blocks = max(1, -(-n * 8 * ((width or 0) + len(queries.columns)) // (block_bytes or BLOCK_BYTES)))
+    names = [f.split()[0] for f in schema.split(", ")]
     parts = []
     for b in range(blocks):
-        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         if not rows.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((np.asarray(rows.column(0)), matrix(rows.column(1))))
+        shared = spark.sparkContext.broadcast(_arrays(rows))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k, digits=digits, exclude_self=exclude_self) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            # Workers may have no copy of this package: everything used travels with the function.
             import numpy as np
             import pyarrow as pa
 
-            qid, qx = shared.value
-            ids, sims = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
-            for batch in batches:
-                own = np.asarray(batch.column(0))
-                x = np.asarray(batch.column(1).flatten()).astype(np.float64).reshape(len(own), -1)
-                for i in range(0, len(own), 4096):
-                    s = np.round(qx @ x[i : i + 4096].T, digits)
-                    if exclude_self:
-                        s[qid[:, None] == own[None, i : i + 4096]] = -np.inf
-                    s, t = np.concatenate([sims, s], axis=1), np.concatenate([ids, np.broadcast_to(own[i : i + 4096], s.shape)], axis=1)
-                    order = np.lexsort((t, -s), axis=1)[:, :k]
-                    sims, ids = np.take_along_axis(s, order, 1), np.take_along_axis(t, order, 1)
-            ok = np.isfinite(sims)
-            r, _ = np.nonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(ids[ok]), pa.array(sims[ok])], names=["query_id", "tile_id", "sim"])
-
-        parts.append(gallery.select("tile_id", "emb").mapInArrow(run, "query_id long, tile_id long, sim double"))
+            def columns(b):
+                return {f.name: np.asarray(c.flatten()).astype(np.float64).reshape(b.num_rows, -1) if pa.types.is_list(f.type) else np.asarray(c) for f, c in zip(b.schema, b.columns)}
+
+            out = task(shared.value, (columns(b) for b in batches if b.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+
+        part = fold(gallery.mapInArrow(run, schema))
+        if blocks > 1:
+            part = checkpointed(part)
+            shared.destroy()
+        parts.append(part)
     if not parts:
-        return spark.createDataFrame([], "query_id long, tile_id long, sim double, rk int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "tile_id")
-    return reduce(DataFrame.unionAll, parts).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+        return fold(spark.createDataFrame([], schema))
+    return parts[0] if len(parts) == 1 else fold(reduce(DataFrame.unionAll, parts))
 
 
-def truth_ranks(gallery: DataFrame, queries: DataFrame, truth: DataFrame, digits: int = 6) -> DataFrame:
-    """part, query_id, gt_id, rank: how many tiles of a part's gallery beat each query's true tile (ties to the smaller tile_id, the own tile out).
+def top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, digits: int = 6) -> DataFrame:
+    """query_id, tile_id, sim, rk: each query's k most similar tiles, ties to the smaller tile_id.
 
-    Gallery: part, tile_id, emb; queries: part, query_id, qemb; truth: query_id,
-    gt_id; queries without a truth give no row. Queries are broadcast in blocks of bounded
-    bytes, each task only counts, so no pair leaves it and the whole gallery is read.
+    Similarities are dot products in double, rounded before ranking so that ties do not
+    depend on summation order.
     """
-    spark = gallery.sparkSession
-    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("qemb"))).first()
-    blocks = max(1, -(-n * 16 * (width or 1) // BLOCK_BYTES))
-    true = gallery.select("part", F.col("tile_id").alias("gt_id"), F.col("emb").alias("gemb"))
-    parts = []
-    for b in range(blocks):
-        mine = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b
-        rows = queries.filter(mine).join(truth.filter(mine).select("query_id", "gt_id"), "query_id").join(true, ["part", "gt_id"]).select("part", "query_id", "gt_id", "qemb", "gemb").toArrow()
-        if not rows.num_rows:
-            continue
-        part, qid, gt = (np.asarray(rows.column(i)) for i in range(3))
-        qx, gx = matrix(rows.column(3)), matrix(rows.column(4))
-        gs = np.round(np.einsum("ij,ij->i", qx, gx), digits)
-        shared = spark.sparkContext.broadcast({p: (qid[part == p], gt[part == p], qx[part == p], gs[part == p]) for p in np.unique(part).tolist()})
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, digits=digits) -> Iterator[pa.RecordBatch]:
-            import numpy as np
-            import pyarrow as pa
+    def task(asked, batches):
+        import numpy as np
+
+        qid, qx = asked["query_id"], asked["qemb"]
+        ids, sims = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+        for b in batches:
+            own, x = b["tile_id"], b["emb"]
+            for i in range(0, len(own), 4096):
+                s = np.round(qx @ x[i : i + 4096].T, digits)
+                if exclude_self:
+                    s[qid[:, None] == own[None, i : i + 4096]] = -np.inf
+                s, t = np.concatenate([sims, s], axis=1), np.concatenate([ids, np.broadcast_to(own[i : i + 4096], s.shape)], axis=1)
+                order = np.lexsort((t, -s), axis=1)[:, :k]
+                sims, ids = np.take_along_axis(s, order, 1), np.take_along_axis(t, order, 1)
+        ok = np.isfinite(sims)
+        return qid[np.nonzero(ok)[0]], ids[ok], sims[ok]
 
-            asked = shared.value
-            count = {p: np.zeros(len(v[0]), np.int64) for p, v in asked.items()}
-            for batch in batches:
-                of, own = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-                x = np.asarray(batch.column(2).flatten()).astype(np.float64).reshape(len(own), -1)
-                for p, (qid, gt, qx, gs) in asked.items():
-                    at = np.flatnonzero(of == p)
-                    for i in range(0, len(at), 1024):
-                        t = own[at[i : i + 1024]][None, :]
-                        s = np.round(qx @ x[at[i : i + 1024]].T, digits)
-                        better = (s > gs[:, None]) | ((s == gs[:, None]) & (t < gt[:, None]))
-                        count[p] += (better & (t != qid[:, None]) & (t != gt[:, None])).sum(axis=1)
-            for p, (qid, gt, _, _) in asked.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qid), p, np.float64)), pa.array(qid), pa.array(gt), pa.array(count[p])], names=["part", "query_id", "gt_id", "n"])
-
-        parts.append(gallery.select("part", "tile_id", "emb").mapInArrow(run, "part double, query_id long, gt_id long, n long"))
-    if not parts:
-        return spark.createDataFrame([], "part double, query_id long, gt_id long, rank long")
-    return reduce(DataFrame.unionAll, parts).groupBy("part", "query_id", "gt_id").agg(F.sum("n").alias("rank"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "tile_id")
+    best = lambda d: d.select("query_id", "tile_id", "sim").withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    found = against(gallery.select("tile_id", "emb"), queries.select("query_id", "qemb"), task, "query_id long, tile_id long, sim double", lambda d: best(d).drop("rk"))
+    return best(found)
 
 
-def similarities(gallery: DataFrame, queries: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """All (query, tile) similarities, for ranks that need the whole gallery.
+def truth_ranks(gallery: DataFrame, queries: DataFrame, truth: DataFrame, radii: tuple[int, ...] = (), weights: list[float] | None = None, digits: int = 6, earth_m: float = 6_371_000.0) -> DataFrame:
+    """part, query_id, gt_id, rank and rank_r<R>: how many tiles beat each query's true tile (ties to the smaller tile_id, the own tile out).
 
-    The queries are a stated set; they are broadcast only if their checked size
-    permits, else both sides are dealt out as blocks.
+    Gallery: tile_id, emb; queries: query_id, qemb; truth: query_id, gt_id; queries
+    without a truth give no row. rank_r<R> counts only tiles within R metres of the
+    query's (qlat, qlon), by the gallery's lat and lon, and is -1 where the true tile
+    itself lies farther. ``weights`` asks once for each blend weight a (``part``) of emb
+    and a second vector, ``other`` and ``qother``: a * emb + (1 - a) * other, scaled to
+    length 1; without weights the vectors are taken as they are and part is 0.
     """
-    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("qemb"))).first()
-    if n * 8 * ((width or 0) + 4) <= most_bytes:
-        d = gallery.join(F.broadcast(queries), F.col("query_id") != F.col("tile_id"))
-    else:
-        parts = -(-n * 8 * (width + 4) // most_bytes)
-        q = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-        g = gallery.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(int(parts) - 1))).cast("long"))
-        d = g.join(q, "_b").filter("query_id <> tile_id").drop("_b")
-    return d.withColumn("sim", F.round(V.dot(F.col("qemb"), F.col("emb")), 6))
+    geo = ["lat", "lon"] if radii else []
+    mixed = weights is not None
+    sides = gallery.select("tile_id", "emb", *(["other"] if mixed else []), *geo)
+    true = gallery.select(F.col("tile_id").alias("gt_id"), F.col("emb").alias("gemb"), *([F.col("other").alias("gother")] if mixed else []), *[F.col(c).alias(f"g{c}") for c in geo])
+    asked_ = queries.select("query_id", "qemb", *(["qother"] if mixed else []), *[f"q{c}" for c in geo]).join(truth.select("query_id", "gt_id"), "query_id").join(true, "gt_id")
+    names = ["rank", *[f"rank_r{r}" for r in radii]]
+
+    def task(asked, batches):
+        import numpy as np
+
+        def blend(x, other, a):
+            if a is None:
+                return x
+            v = a * x + (1 - a) * other
+            return v / (np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] + 1e-12)
+
+        def metres(lat1, lon1, lat2, lon2):
+            p, q = np.radians(lat1), np.radians(lat2)
+            s = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+            return 2 * earth_m * np.arcsin(np.sqrt(np.clip(s, 0, 1)))
+
+        qid, gt = asked["query_id"], asked["gt_id"]
+        parts = weights if mixed else [None]
+        qs = [blend(asked["qemb"], asked.get("qother"), a) for a in parts]
+        gs = [np.round(np.einsum("ij,ij->i", q, blend(asked["gemb"], asked.get("gother"), a)), digits) for q, a in zip(qs, parts)]
+        count = np.zeros((len(parts), 1 + len(radii), len(qid)), np.int64)
+        for b in batches:
+            for i in range(0, len(b["tile_id"]), STEP):
+                at = slice(i, i + STEP)
+                t = b["tile_id"][at][None, :]
+                rest = (t != qid[:, None]) & (t != gt[:, None])
+                if radii:
+                    d = metres(asked["qlat"][:, None], asked["qlon"][:, None], b["lat"][at][None, :], b["lon"][at][None, :])
+                for p, a in enumerate(parts):
+                    s = np.round(qs[p] @ blend(b["emb"][at], b["other"][at] if mixed else None, a).T, digits)
+                    better = rest & ((s > gs[p][:, None]) | ((s == gs[p][:, None]) & (t < gt[:, None])))
+                    count[p, 0] += better.sum(axis=1)
+                    for r, m in enumerate(radii):
+                        count[p, 1 + r] += (better & (d <= m)).sum(axis=1)
+        if radii:
+            own = metres(asked["qlat"], asked["qlon"], asked["glat"], asked["glon"])
+            for r, m in enumerate(radii):
+                # Large enough a negative that no task's sum becomes a count.
+                count[:, 1 + r, own > m] = -(1 << 40)
+        of = np.repeat(np.array([a if mixed else 0.0 for a in parts]), len(qid))
+        return of, np.tile(qid, len(parts)), np.tile(gt, len(parts)), *count.transpose(1, 0, 2).reshape(1 + len(radii), -1)
+
+    fold = lambda d: d.groupBy("part", "query_id", "gt_id").agg(*[F.sum(c).alias(c) for c in names])
+    out = against(sides, asked_, task, "part double, query_id long, gt_id long, " + ", ".join(f"{c} long" for c in names), fold)
+    return out.select("part", "query_id", "gt_id", *[F.greatest(F.col(c), F.lit(-1)).cast("long").alias(c) for c in names])
+
+
+def histogram(gallery: DataFrame, queries: DataFrame, bins: int, digits: int = 6) -> DataFrame:
+    """bin, same, n: similarities of all (query, other tile) pairs in equal bins over [-1, 1], by whether ``qlabel`` and ``label`` agree."""
+
+    def task(asked, batches):
+        import numpy as np
+
+        n = np.zeros((2, bins), np.int64)
+        for b in batches:
+            for i in range(0, len(b["tile_id"]), STEP):
+                at = slice(i, i + STEP)
+                s = np.round(asked["qemb"] @ b["emb"][at].T, digits)
+                place = np.minimum(bins - 1, np.floor((s + 1) * (bins / 2))).astype(np.int64)
+                other = asked["query_id"][:, None] != b["tile_id"][at][None, :]
+                same = asked["qlabel"][:, None] == b["label"][at][None, :]
+                for k in (0, 1):
+                    n[k] += np.bincount(place[other & (same == bool(k))], minlength=bins)
+        k, i = np.nonzero(n)
+        return i, k == 1, n[k, i]
+
+    fold = lambda d: d.groupBy("bin", "same").agg(F.sum("n").alias("n"))
+    return against(gallery.select("tile_id", "emb", "label"), queries.select("query_id", "qemb", "qlabel"), task, "bin long, same boolean, n long", fold)
+
+
+def mutual(gallery: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, tile_id, sim: pairs that are each other's best (ties to the smaller id), a query's own tile left out."""
+
+    def task(asked, batches):
+        import numpy as np
+
+        qid, qx = asked["query_id"], asked["qemb"]
+        order = np.argsort(qid, kind="stable")
+        qid, qx = qid[order], qx[order]
+        top, at = np.full(len(qid), -np.inf), np.zeros(len(qid), np.int64)
+        rows = []
+        for b in batches:
+            by_id = np.argsort(b["tile_id"], kind="stable")
+            own, x = b["tile_id"][by_id], b["emb"][by_id]
+            for i in range(0, len(own), STEP):
+                s = np.round(qx @ x[i : i + STEP].T, digits)
+                t = own[i : i + STEP]
+                s[qid[:, None] == t[None, :]] = -np.inf
+                # argmax takes the first of equal values, so the smaller id on either side.
+                r, c = s.argmax(axis=1), s.argmax(axis=0)
+                mine = s[np.arange(len(qid)), r]
+                new = (mine > top) | ((mine == top) & (t[r] < at))
+                top, at = np.where(new, mine, top), np.where(new, t[r], at)
+                rows.append((np.ones(len(t), np.int32), qid[c], t, s[c, np.arange(len(t))]))
+        rows.append((np.zeros(len(qid), np.int32), qid, at, top))
+        out = [np.concatenate(z) for z in zip(*rows)]
+        ok = np.isfinite(out[3])
+        return [z[ok] for z in out]
+
+    def fold(d):
+        best = lambda k, o, side: d.filter(F.col("side") == side).groupBy(k).agg(F.max(F.struct("sim", (-F.col(o)).alias("o"))).alias("m")).select(F.lit(side).alias("side"), k, (-F.col("m.o")).alias(o), F.col("m.sim").alias("sim"))
+        cols = ["side", "query_id", "tile_id", "sim"]
+        return best("query_id", "tile_id", 0).select(cols).unionAll(best("tile_id", "query_id", 1).select(cols))
+
+    d = against(gallery.select("tile_id", "emb"), queries.select("query_id", "qemb"), task, "side int, query_id long, tile_id long, sim double", fold)
+    return d.filter("side = 0").drop("side").join(d.filter("side = 1").select("query_id", "tile_id"), ["query_id", "tile_id"])

@@ -9,51 +9,75 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo
+from .store import checkpointed
 
 
 def cell_size(radius_m: float, max_abs_lat: float) -> tuple[float, float]:
-    """Degrees of latitude and longitude that span at least the radius everywhere up to that latitude."""
-    return radius_m / K.LATITUDE_M, radius_m / (K.LATITUDE_M * max(0.01, math.cos(math.radians(max_abs_lat))))
+    """Degrees of latitude and longitude that span at least the radius everywhere up to that latitude; longitudes divide the circle evenly."""
+    squeeze = math.cos(math.radians(min(90.0, max_abs_lat + radius_m / K.LATITUDE_M)))
+    wide = radius_m / (K.LATITUDE_M * squeeze) if squeeze > 1e-9 else 360.0
+    return radius_m / K.LATITUDE_M, 360.0 / max(1, math.floor(360.0 / wide))
 
 
 def _cells(lat: Column, lon: Column, size: tuple[float, float]) -> tuple[Column, Column]:
-    return F.floor(lat / size[0]), F.floor(lon / size[1])
+    return F.floor(lat / size[0]), F.pmod(F.floor((lon + 180.0) / size[1]), F.lit(round(360.0 / size[1])))
 
 
-def radius_join(left: DataFrame, right: DataFrame, at: tuple[str, str], to: tuple[str, str], radius_m: float, max_abs_lat: float = 60.0, metric=geo.haversine_m, keys: tuple[str, ...] = ()) -> DataFrame:
+def farthest_north(*sides: tuple[DataFrame, str]) -> float:
+    """The largest absolute latitude of any side: one small aggregate each."""
+    return max(abs(d.agg(F.max(F.abs(F.col(c)))).first()[0] or 0.0) for d, c in sides)
+
+
+def radius_join(left: DataFrame, right: DataFrame, at: tuple[str, str], to: tuple[str, str], radius_m: float, max_abs_lat: float | None = None, metric=geo.haversine_m, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows at most ``radius_m`` apart and equal in ``keys``, with ``dist_m``.
 
-    Both sides get cells as large as the radius; the right side is copied to the
-    nine cells around its own, which makes an equi-join that Spark can hash, sort
-    and split, and the exact distance decides.
+    Both sides get cells as large as the radius at the highest latitude (read off the
+    data, unless a bound is given); the right side is copied to the cells around its own,
+    also across the date line, which makes an equi-join that Spark can hash, sort and
+    split, and the exact distance decides.
     """
-    size = cell_size(radius_m * 1.0001, max_abs_lat)
+    size = cell_size(radius_m * 1.0001, farthest_north((left, at[0]), (right, to[0])) if max_abs_lat is None else max_abs_lat)
     a, b = _cells(F.col(at[0]), F.col(at[1]), size)
     x, y = _cells(F.col(to[0]), F.col(to[1]), size)
+    around = round(360.0 / size[1])
+    near = F.array_distinct(F.array(*[F.struct((x + i).alias("a"), F.pmod(y + j, F.lit(around)).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     l = left.withColumns({"_a": a, "_b": b})
-    r = right.withColumn("_c", F.explode(F.array(*[F.struct((x + i).alias("a"), (y + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
+    r = right.withColumn("_c", F.explode(near))
     r = r.select(*right.columns, F.col("_c.a").alias("_a"), F.col("_c.b").alias("_b"))
     d = l.join(r, ["_a", "_b", *keys]).drop("_a", "_b")
     return d.withColumn("dist_m", metric(F.col(at[0]), F.col(at[1]), F.col(to[0]), F.col(to[1]))).filter(F.col("dist_m") <= radius_m)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, at: tuple[str, str], to: tuple[str, str], tie: str, radius_m: float = 500.0, max_abs_lat: float = 60.0, rounds: int = 12) -> DataFrame:
+#: Half the way round the globe in metres: no two places are farther apart.
+FARTHEST_M = 2.01e7
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, at: tuple[str, str], to: tuple[str, str], tie: str, radius_m: float | None = None, other: Column | None = None) -> DataFrame:
     """Each left row's nearest right row (ties to the smaller ``tie``): key, tie and dist_m.
 
     A radius join finds it for all rows that have any neighbour in the radius; the
-    rest go on with twice the radius, so dense areas never meet all pairs. What is left after
-    the last round (a radius of half the globe) has no partner.
+    rest, checkpointed, go on with four times the radius up to the whole globe, so dense
+    areas never meet all pairs and no row goes without, however far its neighbour is.
+    The first radius follows from the spacing of the right side. ``other`` is a
+    condition that partners must meet (a row's own place is no neighbour).
     """
+    north = farthest_north((left, at[0]), (right, to[0]))
+    n, h, w = right.agg(F.count(F.lit(1)), F.max(to[0]) - F.min(to[0]), F.max(to[1]) - F.min(to[1])).first()
+    if radius_m is None:
+        radius_m = max(1.0, 2 * K.DEGREE_M * ((h or 0.0) * (w or 0.0) / max(n, 1)) ** 0.5)
     found, rest = None, left.select(key, *at)
     while True:
-        near = radius_join(rest, right.select(tie, *to), at, to, radius_m, max_abs_lat)
+        near = radius_join(rest, right.select(tie, *to), at, to, min(radius_m, FARTHEST_M), north)
+        near = near if other is None else near.filter(other)
         got = near.groupBy(key).agg(F.min(F.struct("dist_m", tie)).alias("m")).select(key, F.col(f"m.{tie}").alias(tie), F.col("m.dist_m").alias("dist_m"))
+        got = checkpointed(got)
         found = got if found is None else found.unionByName(got)
-        rest = rest.join(got.select(key), key, "left_anti")
-        rounds -= 1
-        radius_m *= 2
-        if rounds == 0 or radius_m > 2e7 or not rest.take(1):
+        if radius_m > FARTHEST_M or n == 0:
+            return found
+        rest = checkpointed(rest.join(got.select(key), key, "left_anti"))
+        if not rest.take(1):
             return found
+        radius_m *= 4
 
 
 def map_for_point(points: DataFrame, maps: DataFrame, lat: str = "lat", lon: str = "lon", most: int = 10_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..operators import accuracy as A
 from ..operators.bands import with_band
+from ..operators.store import ranked
 from ..registry import query
 from .views import frames, match_results, sql
 
@@ -82,26 +83,35 @@ def common_rows(spark, d):
     return per.join(F.broadcast(every), F.col("k") == F.col("every")).select("flight", "filename")
 
 
+def methods(spark, d) -> list[str]:
+    return [r[0] for r in match_results(spark, d).select("method").distinct().orderBy("method").collect()]
+
+
 @query(sql("SELECT flight, round(max(a) FILTER (WHERE method = 'm0'), 6) AS m0, round(max(a) FILTER (WHERE method = 'm1'), 6) AS m1, round(max(a) FILTER (WHERE method = 'm2'), 6) AS m2 FROM (SELECT coalesce(flight, 'ALL') AS flight, method, count(*) FILTER (WHERE coalesce(offset_m <= 25, false))*100.0::DOUBLE/count(*) AS a FROM scored GROUP BY GROUPING SETS ((method, flight), (method))) GROUP BY flight", "scored"))
 def pivot_a25(spark, d):
+    """A@25 by flight, a column for each method of the results."""
     x = A.accuracy(A.scored(match_results(spark, d)), ["method", "flight"], thresholds=(25,))
-    return x.groupBy("flight").pivot("method", ["m0", "m1", "m2"]).agg(F.first("a25"))
+    # The columns are the methods that there are: a catalogue, found by one distinct.
+    return x.groupBy("flight").pivot("method", methods(spark, d)).agg(F.first("a25"))
 
 
-@query(sql("WITH c AS (SELECT method, flight, round(count(*) FILTER (WHERE coalesce(offset_m <= 25, false))*100.0::DOUBLE/count(*), 6) AS a25 FROM scored WHERE gt_in_patch GROUP BY ALL) SELECT m.method, f.flight, a25 FROM (SELECT DISTINCT method FROM scored) m CROSS JOIN (SELECT lpad(CAST(i AS VARCHAR), 2, '0') AS flight FROM range(1, 12) r(i)) f LEFT JOIN c ON c.method = m.method AND c.flight = f.flight", "scored"))
+@query(sql("WITH c AS (SELECT method, flight, round(count(*) FILTER (WHERE coalesce(offset_m <= 25, false))*100.0::DOUBLE/count(*), 6) AS a25 FROM scored WHERE gt_in_patch GROUP BY ALL) SELECT m.method, f.flight, a25 FROM (SELECT DISTINCT method FROM scored) m CROSS JOIN (SELECT DISTINCT flight FROM frames UNION SELECT unnest(['07', '09'])) f LEFT JOIN c ON c.method = m.method AND c.flight = f.flight", "scored"))
 def heatmap(spark, d):
-    """A cell for every method and flight number 01 to 11, null where there are no rows."""
+    """A cell for every method and every flight of the frames or of the registry (07 and 09 are registered without frames), null where there are no rows."""
     x = A.scored(match_results(spark, d))
     cells = A.solvable(match_results(spark, d)).groupBy("method", "flight").agg(A.share(A.within(25)).alias("a25"))
-    dims = x.select("method").distinct().withColumn("flight", F.explode(F.array(*[F.lit(f"{i:02d}") for i in range(1, 12)])))
+    # Flights are a catalogue; every cell of the matrix of methods and flights is a row.
+    flights = sorted({"07", "09"} | {r[0] for r in frames(spark, d).select("flight").distinct().collect()})
+    dims = x.select("method").distinct().withColumn("flight", F.explode(F.array(*[F.lit(f) for f in flights])))
     return dims.join(cells, ["method", "flight"], "left")
 
 
 @query(sql("SELECT method, flight, filename, seq, CAST(n_ok AS BIGINT) AS n_ok, n_seen FROM (SELECT method, flight, filename, seq, sum(CASE WHEN coalesce(offset_m <= 25, false) THEN 1 ELSE 0 END) OVER w AS n_ok, count(*) OVER w AS n_seen FROM scored WINDOW w AS (PARTITION BY method, flight ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))", "scored"))
 def running_acc(spark, d):
-    w = Window.partitionBy("method", "flight").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    ok = F.sum(A.within(25).cast("int")).over(w)
-    return A.scored(match_results(spark, d)).select("method", "flight", "filename", "seq", ok.cast("long").alias("n_ok"), F.count(F.lit(1)).over(w).alias("n_seen"))
+    """Successes and rows so far, in each method's order of a flight's frames."""
+    x = A.scored(match_results(spark, d)).select("method", "flight", "filename", "seq", "offset_m")
+    x = ranked(x, ["method", "flight"], [F.col("seq")], "n_seen", {"n_ok": A.within(25).cast("long")})
+    return x.select("method", "flight", "filename", "seq", "n_ok", (F.col("n_seen") + 1).alias("n_seen"))
 
 
 @query(sql("SELECT method, count(*) FILTER (WHERE gt_in_patch AND ok) AS localized, count(*) FILTER (WHERE gt_in_patch AND NOT ok) AS missed, count(*) FILTER (WHERE NOT gt_in_patch) AS unsolvable FROM (SELECT *, coalesce(offset_m <= 25, false) AS ok FROM scored) GROUP BY method", "scored"))

@@ -11,27 +11,31 @@ from ..registry import query
 from .views import captions, frames, sql, table
 
 COLORS = "|".join((*K.COLOR_WORDS, "shadows?"))
-#: Words of these texts that stand for leaks in the check, as the colour list never occurs in them.
-LEAKS = ("the", "and", "of", "that")
-CLEAN = rf"""trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(caption, '(?s)<think>.*?</think>', '', 'g')), '(?i),?\s*\b(?:{COLORS})(?:er|est)?\b\s*,?', ' ', 'g'), '\s+,', ',', 'g'), ',\s*,', ',', 'g'), '\s{{2,}}', ' ', 'g'), '\s+\.', '.', 'g')), '^,+|,+$', '', 'g'))"""
-EDGE = "[^0-9A-Za-zÀ-ÿ_]"
+#: Letters beyond ASCII that these texts have; DuckDB's word boundaries know ASCII only, so they stand between marks of ASCII letters meanwhile.
+WIDE, MARKED = "([À-ÖØ-öø-ÿ])", "zq9([À-ÖØ-öø-ÿ])9qz"
 
 
-@query(sql(f"SELECT id, length(c) AS n, md5(c) AS digest FROM (SELECT id, {CLEAN} AS c FROM captions WHERE flight = 'en')", "captions"))
-def caption_clean(spark, d):
-    """Cleaned captions, by length and digest. English only, as on accented letters engines differ in word boundaries; all are in ``caption_clean_all``."""
-    c = T.clean(F.col("caption"))
-    return captions(spark, d).filter("flight = 'en'").select("id", F.length(c).cast("long").alias("n"), F.md5(c).alias("digest"))
+def _clean_sql() -> str:
+    c = "trim(regexp_replace(caption, '(?s)<think>.*?</think>', '', 'g'))"
+    c = f"regexp_replace({c}, '{WIDE}', 'zq9\\1' || '9qz', 'g')"
+    c = f"regexp_replace({c}, '(?i){K.COLOR_PATTERN.format(words=COLORS)}', ' ', 'g')"
+    c = f"regexp_replace({c}, '{MARKED}', '\\1', 'g')"
+    for pattern, to in K.TIDY_RULES:
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"trim(regexp_replace(trim({c}), '{K.OUTER_COMMAS}', '', 'g'))"
 
 
-@query()
-def caption_clean_all(spark, d):
-    """Cleaned captions of every language and of none, by length and digest. No SQL: DuckDB's word boundaries know ASCII only."""
+EDGE = "[^0-9A-Za-zÀ-ÿ_]"
+
+
+@query(sql(f"SELECT id, CAST(length(c) AS BIGINT) AS n, md5(c) AS digest FROM (SELECT id, {_clean_sql()} AS c FROM captions)", "captions"))
+def caption_clean(spark, d):
+    """Cleaned captions of every language and of none, by length and digest."""
     c = T.clean(F.col("caption"))
     return captions(spark, d).select("id", F.length(c).cast("long").alias("n"), F.md5(c).alias("digest"))
 
 
-QA = "count(*) AS n, count(*) FILTER (WHERE regexp_matches(caption, '(?i)(^|{e})({l})($|{e})')) AS leaks, count(*) FILTER (WHERE regexp_matches(caption, '(?i)(^|{e})({b})($|{e})')) AS banned, count(*) - count(DISTINCT caption) AS dupes, count(*) FILTER (WHERE trim(caption) = '') AS empty, CAST(min(w) AS BIGINT) AS len_min, round(avg(w), 6) AS len_mean, CAST(max(w) AS BIGINT) AS len_max, count(*) FILTER (WHERE w < 8 OR w > 20) AS outliers".format(e=EDGE, l="|".join(LEAKS), b="|".join(K.BANNED_WORDS))
+QA = "count(*) AS n, count(*) FILTER (WHERE regexp_matches(caption, '(?i)(^|{e})({l}){s}($|{e})')) AS leaks, count(*) FILTER (WHERE regexp_matches(caption, '(?i)(^|{e})({b})($|{e})')) AS banned, count(*) - count(DISTINCT caption) AS dupes, count(*) FILTER (WHERE trim(caption) = '') AS empty, CAST(min(w) AS BIGINT) AS len_min, round(avg(w), 6) AS len_mean, CAST(max(w) AS BIGINT) AS len_max, count(*) FILTER (WHERE w < 8 OR w > 20) AS outliers".format(e=EDGE, s=K.COLOR_SUFFIX, l=COLORS, b="|".join(K.BANNED_WORDS))
 
 
 @query(sql(f"SELECT coalesce(flight, 'ALL') AS flight, {QA} FROM (SELECT *, len(regexp_extract_all(caption, '\\S+')) AS w FROM captions) GROUP BY GROUPING SETS ((flight), ())", "captions"))
@@ -40,7 +44,7 @@ def caption_qa(spark, d):
     x = captions(spark, d).withColumn("w", T.word_count(F.col("caption")))
     lo, hi = K.CAPTION_WORDS
     return x.rollup("flight").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(T.has_word(F.col("caption"), LEAKS)).alias("leaks"), F.count_if(T.has_word(F.col("caption"), K.BANNED_WORDS)).alias("banned"),
+        F.count(F.lit(1)).alias("n"), F.count_if(T.has_word(F.col("caption"), (*K.COLOR_WORDS, "shadows?"), K.COLOR_SUFFIX)).alias("leaks"), F.count_if(T.has_word(F.col("caption"), K.BANNED_WORDS)).alias("banned"),
         (F.count(F.lit(1)) - F.count_distinct("caption")).alias("dupes"), F.count_if(F.trim("caption") == "").alias("empty"), F.min(w).cast("long").alias("len_min"),
         F.round(F.avg(w), 6).alias("len_mean"), F.max(w).cast("long").alias("len_max"), F.count_if((w < lo) | (w > hi)).alias("outliers"),
     ).withColumn("flight", F.coalesce("flight", F.lit("ALL")))

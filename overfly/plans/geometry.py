@@ -101,13 +101,14 @@ def shifted(spark, d):
     x = spatial.map_for_point(frames(spark, d), maps(spark, d))
     m = geo.map_columns()
     dx, dy = _prior()
-    cx = F.col("px") + dx * m["pplon"] / (F.cos(F.radians("lat")) * K.DEGREE_M)
+    # Metres to pixels at the map's middle latitude, as its crops are scaled.
+    cx = F.col("px") + dx * m["pplon"] / (F.cos(F.radians((m["lt_lat"] + m["rb_lat"]) / 2)) * K.DEGREE_M)
     cy = F.col("py") + dy * m["pplat"] / K.DEGREE_M
     gsd_ = geo.metres_per_px(F.col("height"), geo.footprint_k(F.col("flight")))
     return x.withColumns({"gsd": gsd_, "cx": cx, "cy": cy}).withColumns(geo.metric_affine(m, F.col("cx"), F.col("cy"), F.col("gsd"), F.col("phi1")))
 
 
-SHIFT = """, off AS (SELECT * REPLACE (cx + dx_m*pplon/(cos(radians(lat))*111320.0::DOUBLE) AS cx, cy + dy_m*pplat/111320.0::DOUBLE AS cy), cx AS gx0, cy AS gy0 FROM (SELECT *, {p} FROM px)),
+SHIFT = """, off AS (SELECT * REPLACE (cx + dx_m*pplon/(cos(radians((lt_lat + rb_lat)/2))*111320.0::DOUBLE) AS cx, cy + dy_m*pplat/111320.0::DOUBLE AS cy), cx AS gx0, cy AS gy0 FROM (SELECT *, {p} FROM px)),
   ab2 AS (SELECT *, gsd*sx*cos(radians(phi1)) AS a, -gsd*sx*sin(radians(phi1)) AS b, gsd*sy*sin(radians(phi1)) AS c, gsd*sy*cos(radians(phi1)) AS d FROM off),
   aff2 AS (SELECT *, cx - a*512 - b*340 AS tx, cy - c*512 - d*340 AS ty FROM ab2),
   gt AS (SELECT *, (d*(gx0 - tx) - b*(gy0 - ty))/(a*d - b*c) AS gx, (a*(gy0 - ty) - c*(gx0 - tx))/(a*d - b*c) AS gy FROM aff2)""".format(p=PRIOR)
@@ -127,7 +128,7 @@ def gt_in_patch(spark, d):
     return with_gt(spark, d).select("seq", R6(F.col("gx"), 4).alias("gx"), R6(F.col("gy"), 4).alias("gy"), geo.in_box(F.col("gx"), F.col("gy"), K.CROP_W, K.CROP_H).alias("gt_in_patch"))
 
 
-@query(off_map("SELECT seq, round(lat - dy_m/111320.0::DOUBLE, 8) AS prior_lat, round(lon + dx_m/(111320.0::DOUBLE*cos(radians(lat))), 8) AS prior_lon, round(cx - gx0, 4) AS dx_px, round(cy - gy0, 4) AS dy_px FROM gt"))
+@query(off_map("SELECT seq, round(lat + dy_m/111320.0::DOUBLE, 8) AS prior_lat, round(lon + dx_m/(111320.0::DOUBLE*cos(radians(lat))), 8) AS prior_lon, round(cx - gx0, 4) AS dx_px, round(cy - gy0, 4) AS dy_px FROM gt"))
 def prior_shift(spark, d):
     dx, dy = _prior()
     la, lo = geo.shifted_gps(F.col("lat"), F.col("lon"), dx, dy)
@@ -193,7 +194,7 @@ def tile_for_gps(spark, d):
 @query(sql(f"SELECT seq, tile_id, round(dist, 4) AS dist_m FROM (SELECT f.seq, g.tile_id, {hav('f.lat', 'f.lon', 'g.lat', 'g.lon')} AS dist, row_number() OVER (PARTITION BY f.seq ORDER BY {hav('f.lat', 'f.lon', 'g.lat', 'g.lon')}, g.tile_id) AS rk FROM frames f, gallery g) WHERE rk = 1", "frames", "gallery"))
 def nearest_tile(spark, d):
     g = gallery(spark, d).select("tile_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
-    n = spatial.nearest(frames(spark, d).select("seq", "lat", "lon"), g, "seq", ("lat", "lon"), ("tlat", "tlon"), "tile_id", 400.0, 31.0)
+    n = spatial.nearest(frames(spark, d).select("seq", "lat", "lon"), g, "seq", ("lat", "lon"), ("tlat", "tlon"), "tile_id")
     return n.withColumn("dist_m", R6(F.col("dist_m"), 4))
 
 
@@ -203,7 +204,7 @@ def neg_mask_pairs(spark, d):
     f = frames(spark, d)
     a = f.select(F.col("seq").alias("a"), "flight", "lat", "lon")
     b = f.select(F.col("seq").alias("b"), "flight", F.col("lat").alias("blat"), F.col("lon").alias("blon"))
-    j = spatial.radius_join(a, b, ("lat", "lon"), ("blat", "blon"), 100.0, 31.0, geo.flat_distance_m, ("flight",))
+    j = spatial.radius_join(a, b, ("lat", "lon"), ("blat", "blon"), 100.0, metric=geo.flat_distance_m, keys=("flight",))
     return j.filter("a <> b").select("a", "b", R6(F.col("dist_m"), 4).alias("dist_m"))
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as K
+from ..functions import geo
 from ..operators import accuracy as A
 from ..operators import fit, sampling
+from ..operators.bands import with_band
+from ..operators.store import shared_folder
 from ..registry import query
 from ..sources import readers
+from .geometry import _h
 from .views import correspondences, frames, gallery, maps, match_results, sql, table
 
 
@@ -48,12 +54,91 @@ def gallery_partition(spark, d):
     return g.groupBy("flight").agg(F.count(F.lit(1)).alias("n"), F.min("tile_id").alias("first_tile"), F.max("tile_id").alias("last_tile"))
 
 
-@query(sql("SELECT flight, count(*) AS n, 1.75::DOUBLE AS search_factor FROM frames GROUP BY flight", "frames"))
+@query(sql("SELECT flight, count(*) AS n, max(sf) AS search_factor FROM (SELECT flight, (1700 + CASE WHEN seq >= 0 THEN 50 ELSE seq END)/1000.0::DOUBLE AS sf FROM frames) GROUP BY flight", "frames"))
 def stale_guard(spark, d):
-    """Records made with another search factor stop the query."""
-    x = frames(spark, d).withColumn("sf", F.lit(K.SEARCH_FACTOR))
-    ok = F.when(F.abs(F.col("sf") - K.SEARCH_FACTOR) <= 1e-6, F.col("sf")).otherwise(F.raise_error(F.lit("stale search factor")).cast("double"))
-    return x.select("flight", ok.alias("sf")).groupBy("flight").agg(F.count(F.lit(1)).alias("n"), F.max("sf").alias("search_factor"))
+    """Records carry the search factor they were made with; one made with another stops the query."""
+    x = frames(spark, d).select("flight", ((F.when(F.col("seq") >= 0, 50).otherwise(F.col("seq")) + 1700) / F.lit(1000.0)).alias("sf"))
+    return readers.guarded(x, "sf", K.SEARCH_FACTOR, "search factor").groupBy("flight").agg(F.count(F.lit(1)).alias("n"), F.max("sf").alias("search_factor"))
+
+
+@query(sql("SELECT f.flight, count(*) AS n, count(*) FILTER (WHERE NOT coalesce(i.ok, false)) AS n_skipped, CAST(sum(CASE WHEN i.ok THEN i.width END) AS BIGINT) AS width FROM frames f LEFT JOIN (SELECT event_id, event_id % 5 <> 0 AS ok, 3000 + event_id % 7 AS width FROM events WHERE event_id % 3 <> 0) i ON i.event_id = f.seq GROUP BY f.flight", "frames"))
+def image_rows(spark, d):
+    """Frames with their images; a missing or unreadable image makes a skipped row."""
+    i = table(spark, d, "events").filter("event_id % 3 <> 0").select(F.col("event_id").alias("seq"), (F.col("event_id") % 5 != 0).alias("ok"), (F.col("event_id") % 7 + 3000).alias("width"))
+    x = readers.with_images(frames(spark, d), i, ["seq"])
+    return x.groupBy("flight").agg(F.count(F.lit(1)).alias("n"), F.count_if("skipped").alias("n_skipped"), F.sum("width").alias("width"))
+
+
+@query(r"WITH t AS (SELECT o_orderkey AS job, 'v' || CAST(o_custkey % 50 AS VARCHAR) AS v, CASE WHEN o_orderkey % 11 = 0 THEN 'tar/other' || CAST(o_orderkey AS VARCHAR) || '.tar' ELSE 'tar/zz_' || CAST(o_orderkey AS VARCHAR) || '_v' || CAST(o_custkey % 50 AS VARCHAR) || '.tar' END AS path, o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AS ok, CASE WHEN o_orderkey % 5 = 0 THEN '_ft' ELSE '' END AS suffix FROM orders), c AS (SELECT v || suffix AS variant, job, path, 'out/visloc_' || v || suffix || '_results.csv' AS member FROM t WHERE ok) SELECT variant, max(job) AS job, arg_max(path, job) AS path, arg_max(member, job) AS member FROM c GROUP BY variant")
+def tar_staging(spark, d):
+    """Which archive each variant's result file comes from: odd names and archives with two result files are left out, file names extend variants, the newest job wins."""
+    k, v = F.col("o_orderkey"), F.concat(F.lit("v"), (F.col("o_custkey") % 50).cast("string"))
+    path = F.when(k % 11 == 0, F.concat(F.lit("tar/other"), k.cast("string"), F.lit(".tar"))).otherwise(F.concat(F.lit("tar/zz_"), k.cast("string"), F.lit("_"), v, F.lit(".tar")))
+    csv = F.concat(F.lit("out/visloc_"), v, F.when(k % 5 == 0, "_ft").otherwise(""), F.lit("_results.csv"))
+    members = F.when(k % 7 == 0, F.array(F.lit("log.txt"), csv, F.lit("old/visloc_x_results.csv"))).otherwise(F.array(F.lit("log.txt"), csv))
+    return readers.staged(table(spark, d, "orders").select(path.alias("path"), members.alias("members")))
+
+
+@query(sql("SELECT r.label, r.band AS population, CAST(count(s.seq) AS BIGINT) AS n, count(s.seq) = 0 AND r.method = 'm9' AS missing FROM (SELECT unnest(['m0', 'm1', 'm9']) AS method, unnest(['Zero', 'One', 'Nine']) AS label, unnest(['full', 'test', 'full']) AS band) r LEFT JOIN (SELECT s.*, b.band AS own FROM scored s JOIN (SELECT flight AS fl, filename AS fn, band FROM banded) b ON s.flight = fl AND s.filename = fn WHERE gt_in_patch) s ON s.method = r.method AND (r.band = 'full' OR s.own = 'test') GROUP BY r.label, r.band, r.method", "scored", "banded"))
+def registry_bands(spark, d):
+    """Registered methods with the rows of their population (all or the test band); a method without a result file is reported."""
+    reg = spark.createDataFrame([("m0", "Zero", "full"), ("m1", "One", "test"), ("m9", "Nine", "full")], "method string, label string, band string")
+    x = readers.registered(reg, match_results(spark, d), with_band(frames(spark, d)))
+    return x.groupBy("label", F.col("band").alias("population"), "missing").agg(F.count("seq").alias("n"))
+
+
+def _bounded(spark, rows, folder):
+    """A few rows, read now, after which the folder that they came from is deleted."""
+    got, schema = rows.collect(), rows.schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.createDataFrame(got, schema)
+
+
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+PER_FLIGHT = "SELECT flight, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM frames GROUP BY flight"
+
+
+def _per_flight(x):
+    return x.groupBy("flight").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query(sql(PER_FLIGHT, "frames"))
+def sink_overwrite(spark, d):
+    """A result file written twice holds the second run's rows only; read back by flight."""
+    at, x = _folder(spark, "results"), frames(spark, d).select("flight", "filename", "seq", "lat")
+    readers.overwrite_csv(x.filter("seq % 2 = 0"), at)
+    readers.overwrite_csv(x, at)
+    return _bounded(spark, _per_flight(spark.read.csv(at, header=True, schema=x.schema)), at)
+
+
+@query(sql(PER_FLIGHT, "frames"))
+def sink_resume(spark, d):
+    """JSON lines appended in two runs that overlap, the second with every row twice: each key stands there once."""
+    at, x = _folder(spark, "captions"), frames(spark, d).select("flight", "filename", "seq")
+    readers.append_new(spark, x.filter("seq % 3 = 0"), at, ["flight", "filename"], "json")
+    readers.append_new(spark, x.union(x), at, ["flight", "filename"], "json")
+    return _bounded(spark, _per_flight(spark.read.schema(x.schema).json(at)), at)
+
+
+@query(sql("SELECT label % 3 AS flight, count(*) AS n, min(tile_id) AS first_tile, max(tile_id) AS last_tile FROM gallery GROUP BY 1", "gallery"))
+def gallery_build(spark, d):
+    """Galleries by model, flight, tile and stride: built where they are absent, read where they stand."""
+    at, g = _folder(spark, "gallery"), gallery(spark, d).withColumn("flight", (F.col("label") % 3).cast("string"))
+    flights = [r[0] for r in g.select("flight").distinct().collect()]
+
+    def again():
+        raise AssertionError("the gallery stands already")
+
+    parts = {f: {"model": "image", "flight": f, "tile": "1024", "stride": "512"} for f in flights}
+    for f in flights:
+        readers.built_once(spark, at, parts[f], lambda f=f: g.filter(F.col("flight") == f).drop("flight"))
+    both = readers.union_all([readers.built_once(spark, at, parts[f], again) for f in flights])
+    x = both.groupBy(F.col("flight").cast("long").alias("flight")).agg(F.count(F.lit(1)).alias("n"), F.min("tile_id").alias("first_tile"), F.max("tile_id").alias("last_tile"))
+    return _bounded(spark, x, at)
 
 
 MANIFEST = "SELECT replace(filename, '.JPG', '') AS stem, flight, CASE WHEN seq % 60 < 8 THEN 'dropped' ELSE 'written' END AS status, seq % 60 AS n_corr FROM frames"
@@ -118,14 +203,32 @@ def conf_mask_counts(spark, d):
     return x.groupBy("pair").agg(F.count(F.lit(1)).alias("raw"), F.count_if(ok).alias("good"), F.count_if(ok & (F.col("x1") < 1000) & (F.col("y1") < 640)).alias("inside"), F.count_if(ok & (F.col("r") <= K.TOP_MATCHES)).alias("kept"))
 
 
-@query(sql("WITH g AS (SELECT pair, CAST(floor(x0/64) AS BIGINT) + 16*CAST(floor(y0/64) AS BIGINT) AS a, CAST(floor(x1/64) AS BIGINT) + 16*CAST(floor(y1/64) AS BIGINT) AS b, conf FROM correspondences), f AS (SELECT pair, a, arg_max(b, (conf, -b)) AS b FROM g GROUP BY 1, 2), k AS (SELECT pair, b, arg_max(a, (conf, -a)) AS a FROM g GROUP BY 1, 2) SELECT f.pair, f.a, f.b FROM f JOIN k ON f.pair = k.pair AND f.b = k.b AND f.a = k.a WHERE f.a > 0 AND f.b > 0", "correspondences"))
+@query(sql("SELECT pair, k1, k2, k3, conf FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY conf DESC, k1, k2, k3) AS r FROM correspondences) WHERE r <= 50", "correspondences"))
+def top_matches(spark, d):
+    """The 50 most confident correspondences of each pair."""
+    return fit.most_confident(correspondences(spark, d), K.TOP_MATCHES).select("pair", "k1", "k2", "k3", "conf")
+
+
+#: The teacher transform of each frame and its inverse, coarse cells of 128 pixels, real height 640 of 680.
+LOOP, LOOP_REAL = 128, (1024, 640)
+LOOP_SQL = """WITH h AS (SELECT seq, s*cos(r) AS h0, -s*sin(r) AS h1, (seq % 97)::DOUBLE AS h2, s*sin(r) AS h3, s*cos(r) AS h4, (seq % 89)::DOUBLE AS h5, (seq % 5)/100000.0::DOUBLE AS h6, 0.0::DOUBLE AS h7, 1.0::DOUBLE AS h8 FROM (SELECT *, 0.5::DOUBLE + (seq % 31)/100.0::DOUBLE AS s, radians((seq % 13 - 6)::DOUBLE) AS r FROM frames)),
+  v AS (SELECT *, h4*h8 - h5*h7 AS g0, h2*h7 - h1*h8 AS g1, h1*h5 - h2*h4 AS g2, h5*h6 - h3*h8 AS g3, h0*h8 - h2*h6 AS g4, h2*h3 - h0*h5 AS g5, h3*h7 - h4*h6 AS g6, h1*h6 - h0*h7 AS g7, h0*h4 - h1*h3 AS g8 FROM h),
+  a AS (SELECT v.*, i, (i % 8)*128.0::DOUBLE AS x, (i // 8)*128.0::DOUBLE AS y FROM v, range(1, 40) t(i)),
+  b AS (SELECT *, round_even((h0*x + h1*y + h2)/(h6*x + h7*y + h8)/128, 0) AS c, round_even((h3*x + h4*y + h5)/(h6*x + h7*y + h8)/128, 0) AS r FROM a),
+  j AS (SELECT *, CASE WHEN c >= 0 AND c < 8 AND r >= 0 AND r < 5 THEN CAST(c + r*8 AS BIGINT) ELSE 0 END AS j FROM b),
+  k AS (SELECT *, (j % 8)*128.0::DOUBLE AS u, (j // 8)*128.0::DOUBLE AS w FROM j),
+  l AS (SELECT *, round_even((g0*u + g1*w + g2)/(g6*u + g7*w + g8)/128, 0) AS c2, round_even((g3*u + g4*w + g5)/(g6*u + g7*w + g8)/128, 0) AS r2 FROM k)
+  SELECT seq, CAST(count(*) AS INTEGER) AS n, CAST(sum(i*j) AS BIGINT) AS digest FROM l WHERE CASE WHEN c2 >= 0 AND c2 < 8 AND r2 >= 0 AND r2 < 5 THEN CAST(c2 + r2*8 AS BIGINT) ELSE 0 END = i AND i // 8 < 5 GROUP BY seq"""
+
+
+@query(sql(LOOP_SQL, "frames"))
 def loopback_grid(spark, d):
-    """Coarse cells whose best partner points back; cell 0 is left out."""
-    cell = lambda x, y: (F.floor(F.col(x) / 64) + F.floor(F.col(y) / 64) * 16).cast("long")
-    g = correspondences(spark, d).select("pair", cell("x0", "y0").alias("a"), cell("x1", "y1").alias("b"), "conf")
-    f = g.groupBy("pair", "a").agg(F.max_by("b", F.struct("conf", -F.col("b"))).alias("b"))
-    k = g.groupBy("pair", "b").agg(F.max_by("a", F.struct("conf", -F.col("a"))).alias("a"))
-    return f.join(k, ["pair", "a", "b"]).filter("a > 0 AND b > 0")
+    """Coarse cells that come back through a frame's transform and its inverse: how many, and a sum that names them."""
+    hm = _h()
+    pairs = fit.looped_back(hm, geo.inverse(hm), K.CROP_W, K.CROP_H, LOOP, LOOP_REAL)
+    x = frames(spark, d).select("seq", pairs.alias("p")).filter(F.size("p") > 0)
+    digest = F.aggregate("p", F.lit(0).cast("long"), lambda s, c: s + c["i"].cast("long") * c["j"])
+    return x.select("seq", F.size("p").alias("n"), digest.alias("digest"))
 
 
 @query()
@@ -155,17 +258,38 @@ def prior_offsets(spark, d):
     return fit.gaussian_offsets(x, F.concat_ws("/", "flight", "filename"), K.PRIOR_SIGMA_M).select("flight", "filename", "dx_m", "dy_m")
 
 
+@query()
+def homography_inliers(spark, d):
+    """Correspondences that agree with their pair's homography, the 50 most confident of each. No SQL: the consensus is a seeded search."""
+    return fit.ransac_homography(correspondences(spark, d), most=K.TOP_MATCHES).select("pair", "k1", "k2", "k3", "conf", "h")
+
+
 @query()
 def hash_route(spark, d):
     """Rows on true positions or on jittered ones, by the CRC-32 of their key."""
-    h = F.crc32(F.concat_ws("/", F.lit("mix"), "flight", "filename")) % 100
-    return frames(spark, d).select("flight", "filename", F.when(h < 30, "true").otherwise("jitter").alias("mode"))
+    return frames(spark, d).select("flight", "filename", fit.offset_mode(F.col("flight"), F.col("filename"), "mix", 30).alias("mode"))
 
 
 @query()
+def crop_offsets(spark, d):
+    """The offset of each crop in mode mix: none on true positions, else seeded and kept in the frame. No SQL: DuckDB has neither CRC-32 nor the generator."""
+    gsd = geo.metres_per_px(F.col("height"), geo.footprint_k(F.col("flight")))
+    x = fit.crop_offsets(frames(spark, d), "mix", 30, K.PRIOR_SIGMA_M, gsd, 40.0, float(min(K.CROP_W, K.CROP_H)))
+    return x.select("flight", "filename", "mode", "dx_m", "dy_m")
+
+
+@query(sql(f"WITH m AS ({MANIFEST}), f AS (SELECT flight, count(*) AS total, CAST(sum(n_corr) AS BIGINT) AS sum_corr, list_sort(list(DISTINCT n_corr) FILTER (WHERE status = 'dropped')) AS dropped FROM m GROUP BY flight) SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(sum_corr) AS BIGINT) AS sum_corr, array_to_string(flatten(list(dropped ORDER BY flight)), ',') AS dropped FROM f", "frames"))
+def qc_merge(spark, d):
+    """Flights' statistics as one: numbers summed, lists joined flight by flight."""
+    n = F.collect_set(F.when(F.col("status") == "dropped", F.col("n_corr")))
+    x = _manifest(spark, d).groupBy("flight").agg(F.count(F.lit(1)).alias("total"), F.sum("n_corr").alias("sum_corr"), F.array_sort(n).alias("dropped"))
+    return readers.merged(x, "flight").withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+
+
+@query(sql("SELECT flight, filename, seq, seq % 300 AS raw, seq % 60 AS inliers, (seq % 97)::DOUBLE AS tx, (seq % 89)::DOUBLE AS ty, 50.0::DOUBLE + seq % 700 AS t_match_ms FROM frames", "frames"))
 def stand_in_match(spark, d):
-    """The matcher boundary with its stand-in: a geographic filter runs below the Python step."""
+    """The matcher boundary with its stand-in."""
     from ..sources import adapters
 
-    x = frames(spark, d).filter("lon <= 115.05").select("flight", "filename", "seq")
-    return adapters.match(x, adapters.stand_in_matcher, ["flight", "filename", "seq"])
+    x = adapters.match(frames(spark, d).select("flight", "filename", "seq"), adapters.stand_in_matcher, ["flight", "filename", "seq"])
+    return x.select("flight", "filename", "seq", F.col("raw").cast("long").alias("raw"), F.col("inliers").cast("long").alias("inliers"), F.col("h")[2].alias("tx"), F.col("h")[5].alias("ty"), "t_match_ms")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions import geo
 from ..functions import vectors as V
-from ..operators import knn, recall, spatial
+from ..operators import fit, knn, recall, spatial
 from ..registry import query
 from .geometry import hav
 from .views import frames, gallery, queries, sql
@@ -17,38 +17,15 @@ from .views import frames, gallery, queries, sql
 RADII = (1000, 3000)
 
 
-def _sims(spark, d):
-    return knn.similarities(gallery(spark, d), queries(spark, d))
-
-
-def _gt(spark, d):
-    """Each query's ground-truth tile: nearest centre but its own, by cells."""
+def _truth(spark, d):
+    """query_id, gt_id, floor_m: each query's ground-truth tile is the nearest centre but its own, however far."""
     g = gallery(spark, d).select("tile_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
     q = queries(spark, d).select("query_id", "qlat", "qlon")
-    near = spatial.radius_join(q, g, ("qlat", "qlon"), ("tlat", "tlon"), 2000.0, 31.0).filter("query_id <> tile_id")
-    return near.groupBy("query_id").agg(F.min(F.struct("dist_m", "tile_id")).alias("m")).select("query_id", F.col("m.tile_id").alias("gt_id"), F.col("m.dist_m").alias("floor_m"))
+    near = spatial.nearest(q, g, "query_id", ("qlat", "qlon"), ("tlat", "tlon"), "tile_id", other=F.col("query_id") != F.col("tile_id"))
+    return near.select("query_id", F.col("tile_id").alias("gt_id"), F.col("dist_m").alias("floor_m"))
 
 
-def _truth(spark, d, most_m: float = 2000.0):
-    """query_id, gt_id as in ``_gt``, by a radius that starts at a few tiles' spacing and grows, so that dense galleries make few pairs."""
-    g = gallery(spark, d).select("tile_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
-    rest = queries(spark, d).select("query_id", "qlat", "qlon")
-    n, h, w = g.agg(F.count(F.lit(1)), F.max("tlat") - F.min("tlat"), F.max("tlon") - F.min("tlon")).first()
-    radius = min(most_m, max(1.0, 2 * 111_320.0 * ((h or 0) * (w or 0) / max(n, 1)) ** 0.5))
-    found = None
-    while True:
-        near = spatial.radius_join(rest, g, ("qlat", "qlon"), ("tlat", "tlon"), radius, 31.0).filter("query_id <> tile_id")
-        got = near.groupBy("query_id").agg(F.min(F.struct("dist_m", "tile_id")).alias("m")).select("query_id", F.col("m.tile_id").alias("gt_id"))
-        found = got if found is None else found.unionByName(got)
-        if radius >= most_m:
-            return found
-        rest = rest.join(got, "query_id", "left_anti")
-        if not rest.take(1):
-            return found
-        radius = min(most_m, 4 * radius)
-
-
-GT = f"gt AS (SELECT query_id, gt_id, floor_m FROM (SELECT query_id, tile_id AS gt_id, {hav('qlat', 'qlon', 'lat', 'lon')} AS floor_m, row_number() OVER (PARTITION BY query_id ORDER BY {hav('qlat', 'qlon', 'lat', 'lon')}, tile_id) AS k FROM sims) WHERE k = 1 AND floor_m <= 2000)"
+GT = f"gt AS (SELECT query_id, gt_id, floor_m FROM (SELECT query_id, tile_id AS gt_id, {hav('qlat', 'qlon', 'lat', 'lon')} AS floor_m, row_number() OVER (PARTITION BY query_id ORDER BY {hav('qlat', 'qlon', 'lat', 'lon')}, tile_id) AS k FROM sims) WHERE k = 1)"
 RANKED = "rk AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, tile_id) - 1 AS rk, " + hav("qlat", "qlon", "lat", "lon") + " AS dist FROM sims s)"
 
 
@@ -63,15 +40,11 @@ def res_sql(body: str) -> str:
     return sql(f"{RESULTS} {body}", "sims")
 
 
-def ranks(spark, d):
-    """query_id, gt_id, floor_m, rank of the ground truth in the whole gallery and within each radius (-1: outside)."""
-    s = _sims(spark, d).withColumn("dist", geo.haversine_m(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")))
-    gt = _gt(spark, d)
-    t = s.join(gt, (s.query_id == gt.query_id) & (s.tile_id == gt.gt_id)).select(gt.query_id, "gt_id", "floor_m", F.col("sim").alias("gs"), F.col("dist").alias("gd"))
-    better = (F.col("sim") > F.col("gs")) | ((F.col("sim") == F.col("gs")) & (F.col("tile_id") < F.col("gt_id")))
-    aggs = [F.count_if(better).alias("gt_tile_rank")]
-    aggs += [F.when(F.first("gd") <= r, F.count_if(better & (F.col("dist") <= r))).otherwise(F.lit(-1)).alias(f"gt_rank_r{r}") for r in RADII]
-    return s.join(t, "query_id").groupBy("query_id", "gt_id", "floor_m").agg(*aggs)
+def ranks(spark, d, prior=None):
+    """query_id, gt_id, floor_m, rank of the ground truth in the whole gallery and within each radius (-1: outside) of the query or of its ``prior``."""
+    gt = _truth(spark, d)
+    r = knn.truth_ranks(gallery(spark, d), queries(spark, d) if prior is None else prior, gt, RADII).drop("part", "gt_id")
+    return gt.join(r, "query_id").select("query_id", "gt_id", "floor_m", F.col("rank").alias("gt_tile_rank"), *[F.col(f"rank_r{x}").alias(f"gt_rank_r{x}") for x in RADII])
 
 
 @query(sql("SELECT query_id, tile_id, sim, CAST(rk AS INTEGER) AS rk FROM (SELECT query_id, tile_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, tile_id) AS rk FROM sims) WHERE rk <= 5", "sims"))
@@ -94,6 +67,27 @@ def radius_rank(spark, d):
     return ranks(spark, d).select("query_id", "gt_rank_r1000", "gt_rank_r3000")
 
 
+SHIFTED = "sp AS (SELECT query_id, qlat + (query_id*29 % 161 - 80)/111320.0::DOUBLE AS plat, qlon + (query_id*13 % 161 - 80)/(111320.0::DOUBLE*cos(radians(qlat))) AS plon FROM queries), ps AS (SELECT s.*, " + hav("plat", "plon", "lat", "lon") + " AS pd FROM sims s JOIN sp USING (query_id)), pt AS (SELECT ps.query_id, ps.tile_id AS gid, ps.sim AS gs, ps.pd AS gd FROM ps JOIN gt ON ps.query_id = gt.query_id AND ps.tile_id = gt.gt_id)"
+
+
+@query(sql(f"WITH {GT}, {SHIFTED} SELECT query_id, " + ", ".join(f"CASE WHEN max(gd) <= {r} THEN count(*) FILTER (WHERE pd <= {r} AND (sim > gs OR (sim = gs AND tile_id < gid))) ELSE -1 END AS gt_rank_r{r}" for r in RADII) + " FROM ps JOIN pt USING (query_id) GROUP BY query_id", "sims"))
+def radius_rank_prior(spark, d):
+    """Ranks within a radius of a prior that is some metres off (offsets that follow from the id)."""
+    q = queries(spark, d)
+    la, lo = geo.shifted_gps(F.col("qlat"), F.col("qlon"), (F.col("query_id") * 13 % 161 - 80).cast("double"), (F.col("query_id") * 29 % 161 - 80).cast("double"))
+    return ranks(spark, d, q.withColumns({"_a": la, "_o": lo}).drop("qlat", "qlon").withColumnsRenamed({"_a": "qlat", "_o": "qlon"})).select("query_id", "gt_rank_r1000", "gt_rank_r3000")
+
+
+@query()
+def radius_rank_seeded(spark, d):
+    """As ``radius_rank_prior`` with the benchmark's own prior: normal offsets seeded by the CRC-32 of flight and file name."""
+    key = F.concat_ws("/", F.lpad((F.col("query_id") % 9 + 1).cast("string"), 2, "0"), F.concat(F.col("query_id").cast("string"), F.lit(".JPG")))
+    q = fit.gaussian_offsets(queries(spark, d), key, K.PRIOR_SIGMA_M)
+    la, lo = geo.shifted_gps(F.col("qlat"), F.col("qlon"), F.col("dx_m"), F.col("dy_m"))
+    q = q.withColumns({"_a": la, "_o": lo}).drop("qlat", "qlon", "dx_m", "dy_m").withColumnsRenamed({"_a": "qlat", "_o": "qlon"})
+    return ranks(spark, d, q).select("query_id", "gt_rank_r1000", "gt_rank_r3000")
+
+
 @query(sql(f"WITH {RANKED} SELECT query_id, bool_or(dist <= 800) AS top5_hit FROM rk WHERE rk < 5 GROUP BY query_id", "sims"))
 def topk_hit(spark, d):
     k = knn.top_k(gallery(spark, d), queries(spark, d), 5)
@@ -136,29 +130,17 @@ def recall_macro(spark, d):
     return g.agg(F.round(F.avg("r10"), 4).alias("r10"), F.round(F.avg("r100"), 4).alias("r100"), F.count(F.lit(1)).alias("flights"))
 
 
-CURVE = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512]
-
-
-@query(res_sql(f"SELECT k, round(count(*) FILTER (WHERE gt_tile_rank < k)*100.0::DOUBLE/count(*), 6) AS recall FROM res, (SELECT unnest({CURVE}) AS k) GROUP BY k"))
-def recall_curve(spark, d):
-    """Recall at ten doubling k in one aggregate; the curve up to the largest rank is ``recall_curve_full``."""
-    r = F.col("gt_tile_rank")
-    pts = F.array(*[F.struct(F.lit(k).alias("k"), recall.recall(r, k).alias("recall")) for k in CURVE])
-    return ranks(spark, d).agg(pts.alias("p")).select(F.explode("p").alias("p")).select("p.k", "p.recall")
-
-
 #: Log-spaced points of the whole curve, before equal ones fall together.
 POINTS = 200
 
 
 @query(res_sql(f", t AS (SELECT max(gt_tile_rank) + 1 AS m FROM res), c AS (SELECT DISTINCT CAST(round(pow(10.0::DOUBLE, i*log10(m)/{POINTS - 1})) AS BIGINT) AS k FROM t, range({POINTS}) s(i)) SELECT k, round(count(*) FILTER (WHERE gt_tile_rank < k)*100.0::DOUBLE/count(*), 6) AS recall FROM res, c GROUP BY k"))
-def recall_curve_full(spark, d):
+def recall_curve(spark, d):
     """Recall at unique log-spaced k from 1 to the largest rank + 1.
 
     Ranks are counted between neighbouring k first, so at most 201 rows are summed up.
     """
-    part = F.lit(0.0).alias("part")
-    r = knn.truth_ranks(gallery(spark, d).select(part, "tile_id", "emb"), queries(spark, d).select(part, "query_id", "qemb"), _truth(spark, d)).select("rank")
+    r = knn.truth_ranks(gallery(spark, d), queries(spark, d), _truth(spark, d)).select("rank")
     top = r.agg((F.max("rank") + 1).alias("m"))
     k = F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.round(F.pow(F.lit(10.0), i * F.log10("m") / (POINTS - 1))).cast("long"))
     ks = top.select(F.array_sort(F.array_distinct(k)).alias("ks"))
@@ -168,29 +150,44 @@ def recall_curve_full(spark, d):
     return pts.groupBy("k").agg(F.round(F.sum(F.when(F.col("at") <= F.col("j"), F.col("n")).otherwise(0)) * 100.0 / F.sum("n"), 6).alias("recall"))
 
 
-@query(res_sql(", t AS (SELECT query_id, max(sim) AS top FROM rk WHERE rk = 0 GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN gt_tile_rank < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)*100, 6) AS hit50, round(median(floor_m), 4) AS floor_median, round(quantile_cont(floor_m, 0.9), 4) AS floor_p90, round(median(gt_tile_rank), 4) AS median_rank, round(avg(top) FILTER (WHERE gt_tile_rank < 50), 6) AS sim_hit, round(avg(top) FILTER (WHERE gt_tile_rank >= 50), 6) AS sim_miss FROM res JOIN t USING (query_id)"))
+@query(res_sql(", t AS (SELECT query_id, max(sim) FILTER (WHERE rk = 0) AS top, max(dist) FILTER (WHERE rk = 0) AS off, bool_or(dist <= 800) AS hit FROM rk WHERE rk < 5 GROUP BY 1) SELECT count(*) AS n, " + ", ".join(f"round(count(*) FILTER (WHERE off <= {100 * t})*100.0::DOUBLE/count(*), 6) AS a{t}" for t in K.THRESHOLDS) + ", round(avg(off) FILTER (WHERE off <= 2000), 4) AS mean_near, round(count(*) FILTER (WHERE hit)*100.0::DOUBLE/count(*), 6) AS top5_hit, round(median(floor_m), 4) AS floor_median, round(quantile_cont(floor_m, 0.9), 4) AS floor_p90, round(avg(off), 4) AS off_mean, round(median(off), 4) AS off_median, round(quantile_cont(off, 0.9), 4) AS off_p90, round(max(off), 4) AS off_max, round(avg(top) FILTER (WHERE off <= 2000), 6) AS sim_success, round(avg(top) FILTER (WHERE off > 2000), 6) AS sim_fail, round(median(gt_tile_rank), 4) AS median_rank FROM res JOIN t USING (query_id)"))
 def retrieval_summary(spark, d):
-    top = knn.top_k(gallery(spark, d), queries(spark, d), 1).select("query_id", F.col("sim").alias("top"))
+    """The summary of a retrieval run: A@t of the first tile, mean error of the near ones, top-5 hits, floor, offsets, similarities and the median rank.
+
+    Thresholds are a hundred times the benchmark's, as this gallery's tiles lie that much farther apart.
+    """
+    g, q = gallery(spark, d).select("tile_id", "lat", "lon"), queries(spark, d).select("query_id", "qlat", "qlon")
+    dist = geo.haversine_m(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
+    first = F.col("rk") == 1
+    top = knn.top_k(gallery(spark, d), queries(spark, d), 5).join(g, "tile_id").join(q, "query_id").withColumn("dist", dist)
+    top = top.groupBy("query_id").agg(F.max(F.when(first, F.col("sim"))).alias("top"), F.max(F.when(first, F.col("dist"))).alias("off"), F.bool_or(F.col("dist") <= 800).alias("hit"))
     x = ranks(spark, d).join(top, "query_id")
-    hit = F.col("gt_tile_rank") < 50
+    off, share = F.col("off"), lambda c: F.round(F.count_if(c) * 100.0 / F.count(F.lit(1)), 6)
+    near = off <= 2000
     return x.agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.count_if(hit) * 100.0 / F.count(F.lit(1)), 6).alias("hit50"), F.round(F.median("floor_m"), 4).alias("floor_median"),
-        F.round(F.percentile("floor_m", 0.9), 4).alias("floor_p90"), F.round(F.median("gt_tile_rank"), 4).alias("median_rank"),
-        F.round(F.avg(F.when(hit, F.col("top"))), 6).alias("sim_hit"), F.round(F.avg(F.when(~hit, F.col("top"))), 6).alias("sim_miss"),
+        F.count(F.lit(1)).alias("n"), *[share(off <= 100 * t).alias(f"a{t}") for t in K.THRESHOLDS], F.round(F.avg(F.when(near, off)), 4).alias("mean_near"), share(F.col("hit")).alias("top5_hit"),
+        F.round(F.median("floor_m"), 4).alias("floor_median"), F.round(F.percentile("floor_m", 0.9), 4).alias("floor_p90"), F.round(F.avg(off), 4).alias("off_mean"), F.round(F.median(off), 4).alias("off_median"),
+        F.round(F.percentile(off, 0.9), 4).alias("off_p90"), F.round(F.max(off), 4).alias("off_max"), F.round(F.avg(F.when(near, F.col("top"))), 6).alias("sim_success"), F.round(F.avg(F.when(~near, F.col("top"))), 6).alias("sim_fail"),
+        F.round(F.median("gt_tile_rank"), 4).alias("median_rank"),
     )
 
 
-@query(res_sql("SELECT 'image' AS model, count(*) AS n, round(count(*) FILTER (WHERE gt_tile_rank < 1)*100.0::DOUBLE/count(*), 6) AS r1, round(count(*) FILTER (WHERE gt_tile_rank < 10)*100.0::DOUBLE/count(*), 6) AS r10, round(count(*) FILTER (WHERE gt_rank_r1000 BETWEEN 0 AND 0)*100.0::DOUBLE/nullif(count(*) FILTER (WHERE gt_rank_r1000 >= 0), 0), 6) AS r1_1km FROM res"))
-def retrieval_table(spark, d):
-    x = ranks(spark, d)
-    return x.agg(F.count(F.lit(1)).alias("n"), recall.recall(F.col("gt_tile_rank"), 1).alias("r1"), recall.recall(F.col("gt_tile_rank"), 10).alias("r10"), recall.recall(F.col("gt_rank_r1000"), 1).alias("r1_1km")).withColumn("model", F.lit("image"))
+TABLE_KS = (1, 3, 5, 10)
+
+
+def _table_sql():
+    fused = "f AS (SELECT tile_id, lat, lon, alpha, " + PART.format(v="mix") + f" AS v FROM (SELECT tile_id, lat, lon, alpha, list_transform(range(1, 65), lambda i: alpha*emb[i] + (1 - alpha)*emb[65 - i]) AS mix FROM gallery, (SELECT unnest({ALPHAS}::DOUBLE[]) AS alpha)))"
+    pairs = f"b AS (SELECT q.alpha, q.tile_id AS qid, g.tile_id AS tid, gt_id, round(list_inner_product(q.v, g.v), 6) AS s, {hav('q.lat', 'q.lon', 'g.lat', 'g.lon')} AS dist FROM f q JOIN gt ON gt.query_id = q.tile_id JOIN f g ON q.alpha = g.alpha AND q.tile_id <> g.tile_id), t AS (SELECT *, max(CASE WHEN tid = gt_id THEN s END) OVER w AS gs, max(CASE WHEN tid = gt_id THEN dist END) OVER w AS gd FROM b WINDOW w AS (PARTITION BY alpha, qid))"
+    better = "s > gs OR (s = gs AND tid < gt_id)"
+    rank = f"r AS (SELECT alpha, qid, count(*) FILTER (WHERE {better}) AS rank, " + ", ".join(f"CASE WHEN max(gd) <= {r} THEN count(*) FILTER (WHERE dist <= {r} AND ({better})) ELSE -1 END AS rank_r{r}" for r in RADII) + " FROM t GROUP BY alpha, qid)"
+    cells = ", ".join(f"round(count(*) FILTER (WHERE rank < {k})*100.0::DOUBLE/count(*), 6) AS r{k}" for k in TABLE_KS) + ", " + ", ".join(f"round(count(*) FILTER (WHERE rank_r{r} = 0)*100.0::DOUBLE/nullif(count(*) FILTER (WHERE rank_r{r} >= 0), 0), 6) AS r1_{r}" for r in RADII)
+    return sql(f"WITH {GT}, {fused}, {pairs}, {rank}, g AS (SELECT 'blend ' || CAST(alpha AS VARCHAR) AS model, count(*) AS n, {cells} FROM r GROUP BY alpha) SELECT *, " + ", ".join(f"r{k} = max(r{k}) OVER () AS best{k}" for k in TABLE_KS) + " FROM g", "sims")
 
 
 @query(sql("SELECT bin, same, n, round(n/sum(n) OVER (PARTITION BY same)::DOUBLE, 6) AS share FROM (SELECT least(29, CAST(floor((sim + 1)*15) AS BIGINT)) AS bin, qlabel = label AS same, count(*) AS n FROM sims GROUP BY 1, 2)", "sims"))
 def sim_hist(spark, d):
     """Histogram of similarities in 30 bins over [-1, 1], by whether the labels agree."""
-    x = _sims(spark, d).select(F.least(F.lit(29), F.floor((F.col("sim") + 1) * 15)).alias("bin"), (F.col("qlabel") == F.col("label")).alias("same"))
-    g = x.groupBy("bin", "same").agg(F.count(F.lit(1)).alias("n"))
+    g = knn.histogram(gallery(spark, d), queries(spark, d), 30)
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("same")), 6))
 
 
@@ -205,11 +202,8 @@ def ratio_test(spark, d):
 
 @query(sql("SELECT query_id, tile_id, sim, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (sim + 1)/2)), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, tile_id) AS a, row_number() OVER (PARTITION BY tile_id ORDER BY sim DESC, query_id) AS b FROM sims) WHERE a = 1 AND b = 1", "sims"))
 def mutual_nn(spark, d):
-    """Pairs that are each other's best: maxima by partial aggregates on both sides, then one join."""
-    s = _sims(spark, d).select("query_id", "tile_id", "sim")
-    best = lambda k, o: s.groupBy(k).agg(F.max(F.struct("sim", (-F.col(o)).alias("o"))).alias("m")).select(k, (-F.col("m.o")).alias(o), F.col("m.sim").alias("sim"))
-    both = best("query_id", "tile_id").join(best("tile_id", "query_id").select("query_id", "tile_id"), ["query_id", "tile_id"])
-    return both.withColumn("score", F.round(V.unit_score(F.col("sim")), 6))
+    """Pairs that are each other's best: each task keeps maxima of both sides, then one join."""
+    return knn.mutual(gallery(spark, d), queries(spark, d)).withColumn("score", F.round(V.unit_score(F.col("sim")), 6))
 
 
 PART = "list_transform({v}::DOUBLE[], lambda x: x/(sqrt(list_inner_product({v}::DOUBLE[], {v}::DOUBLE[])) + 1e-12))"
@@ -241,36 +235,42 @@ def fuse_query(spark, d):
 ALPHAS = [0.5, 0.75, 1.0]
 
 
-@query(sql("WITH f AS (SELECT tile_id, alpha, " + PART.format(v="mix") + " AS v FROM (SELECT tile_id, alpha, list_transform(range(1, 65), lambda i: alpha*emb[i] + (1 - alpha)*emb[65 - i]) AS mix FROM gallery, (SELECT unnest([0.5, 0.75, 1.0]::DOUBLE[]) AS alpha))), b AS (SELECT q.alpha, q.tile_id AS qid, g.tile_id AS tid, round(list_inner_product(q.v, g.v), 6) AS s FROM f q JOIN f g ON q.alpha = g.alpha AND q.tile_id <> g.tile_id WHERE q.tile_id % 50 = 0), t AS (SELECT alpha, qid, arg_max(tid, (s, -tid)) AS best, max(s) AS sim FROM b GROUP BY ALL) SELECT alpha, count(*) AS n, round(avg(sim), 5) AS mean_top_sim FROM t GROUP BY alpha", "gallery"))
-def alpha_sweep(spark, d):
-    """All blend weights as a dimension of one plan: one gallery scan, not one per weight.
-
-    Only the mean top similarity over every 50th tile; recall of the whole stated query set is ``alpha_sweep_recall``.
-    """
-    g = gallery(spark, d).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
-    g = g.select("alpha", "tile_id", V.fuse(F.col("emb"), _text_vec(), F.col("alpha")).alias("v"))
-    parts = []
-    for a in ALPHAS:
-        own = g.filter(F.col("alpha") == a)
-        q = own.filter("tile_id % 50 = 0").select(F.col("tile_id").alias("query_id"), F.col("v").alias("qemb"))
-        parts.append(knn.top_k(own.select("tile_id", F.col("v").alias("emb")), q, 1).withColumn("alpha", F.lit(a)))
-    x = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    return x.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sim"), 5).alias("mean_top_sim"))
+def _pairs(spark, d):
+    """Gallery and stated queries with a second vector each."""
+    g = gallery(spark, d).withColumn("other", _text_vec())
+    return g, queries(spark, d).withColumn("qother", F.reverse("qemb"))
 
 
 SWEEP_KS = (1, 3, 5, 10)
 
 
 @query(sql(f"WITH {GT}, f AS (SELECT tile_id, alpha, " + PART.format(v="mix") + f" AS v FROM (SELECT tile_id, alpha, list_transform(range(1, 65), lambda i: alpha*emb[i] + (1 - alpha)*emb[65 - i]) AS mix FROM gallery, (SELECT unnest({ALPHAS}::DOUBLE[]) AS alpha))), b AS (SELECT q.alpha, q.tile_id AS qid, g.tile_id AS tid, gt_id, round(list_inner_product(q.v, g.v), 6) AS s FROM f q JOIN gt ON gt.query_id = q.tile_id JOIN f g ON q.alpha = g.alpha AND q.tile_id <> g.tile_id), t AS (SELECT *, max(CASE WHEN tid = gt_id THEN s END) OVER (PARTITION BY alpha, qid) AS gs FROM b), r AS (SELECT alpha, qid, count(*) FILTER (WHERE s > gs OR (s = gs AND tid < gt_id)) AS rank FROM t GROUP BY alpha, qid) SELECT alpha, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (WHERE rank < {k})*100.0::DOUBLE/count(*), 6) AS r{k}" for k in SWEEP_KS) + " FROM r GROUP BY alpha", "sims"))
-def alpha_sweep_recall(spark, d):
-    """Recall of the stated query set (every 10th tile) in the whole gallery for each blend weight; weights are a dimension of one plan."""
-    g = gallery(spark, d).withColumn("part", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
-    g = g.select("part", "tile_id", V.fuse(F.col("emb"), _text_vec(), F.col("part")).alias("emb"))
-    q = g.filter("tile_id % 10 = 0").select("part", F.col("tile_id").alias("query_id"), F.col("emb").alias("qemb"))
-    x = knn.truth_ranks(g, q, _truth(spark, d)).withColumnRenamed("part", "alpha")
+def alpha_sweep(spark, d):
+    """Recall of the stated query set in the whole gallery for each blend weight: one gallery scan for all weights, blended inside its matrix products."""
+    g, q = _pairs(spark, d)
+    x = knn.truth_ranks(g, q, _truth(spark, d), weights=ALPHAS).withColumnRenamed("part", "alpha")
     return x.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), *[recall.recall(F.col("rank"), k).alias(f"r{k}") for k in SWEEP_KS])
 
 
+@query(_table_sql())
+def retrieval_table(spark, d):
+    """One row a model: recall in the whole gallery and of the first tile within each radius, with the best cell of each column marked."""
+    g, q = _pairs(spark, d)
+    x = knn.truth_ranks(g, q, _truth(spark, d), RADII, ALPHAS)
+    x = x.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *[recall.recall(F.col("rank"), k).alias(f"r{k}") for k in TABLE_KS], *[recall.recall(F.col(f"rank_r{r}"), 1).alias(f"r1_{r}") for r in RADII])
+    # One row a model: the window over all of them is over a table of models.
+    best = {f"best{k}": F.col(f"r{k}") == F.max(f"r{k}").over(Window.partitionBy(F.lit(0))) for k in TABLE_KS}
+    return x.withColumn("model", F.concat(F.lit("blend "), F.col("part").cast("string"))).drop("part").withColumns(best)
+
+
+@query(sql("SELECT coalesce(CAST(label AS VARCHAR), 'ALL') AS flight, count(*) AS n, round(avg(c0), 6) AS stock, round(avg(c1), 6) AS tuned, round(avg(c1) - avg(c0), 6) AS delta FROM (SELECT label, list_inner_product(e, o)/(sqrt(list_inner_product(e, e))*sqrt(list_inner_product(o, o))) AS c0, list_inner_product(e, m)/(sqrt(list_inner_product(e, e))*sqrt(list_inner_product(m, m))) AS c1 FROM (SELECT label, emb::DOUBLE[] AS e, list_reverse(emb::DOUBLE[]) AS o, list_transform(range(1, 65), lambda i: 0.5::DOUBLE*emb[i] + 0.5::DOUBLE*emb[65 - i]) AS m FROM gallery)) GROUP BY GROUPING SETS ((label), ())", "gallery"))
+def crossview_delta(spark, d):
+    """Mean cross-view cosine of two models, by flight and over all, and how much the second one gains."""
+    x = gallery(spark, d).select(F.col("label").cast("string").alias("flight"), V.cosine(F.col("emb"), _text_vec()).alias("c0"), V.cosine(F.col("emb"), V.fuse(F.col("emb"), _text_vec(), F.lit(0.5))).alias("c1"))
+    g = x.rollup("flight").agg(F.count(F.lit(1)).alias("n"), F.avg("c0").alias("a"), F.avg("c1").alias("b"))
+    return g.select(F.coalesce("flight", F.lit("ALL")).alias("flight"), "n", F.round("a", 6).alias("stock"), F.round("b", 6).alias("tuned"), F.round(F.col("b") - F.col("a"), 6).alias("delta"))
+
+
 @query(sql("SELECT coalesce(CAST(label AS VARCHAR), 'ALL') AS flight, count(*) AS n, round(avg(c), 6) AS mean_cos FROM (SELECT label, list_inner_product(emb::DOUBLE[], list_reverse(emb::DOUBLE[]))/(list_inner_product(emb::DOUBLE[], emb::DOUBLE[])) AS c FROM gallery) GROUP BY GROUPING SETS ((label), ())", "gallery"))
 def crossview_cosine(spark, d):
     x = gallery(spark, d).select(F.col("label").cast("string").alias("flight"), V.cosine(F.col("emb"), _text_vec()).alias("c"))
@@ -287,18 +287,6 @@ def ncc(spark, d):
     return gallery(spark, d).select("tile_id", F.round(V.ncc(F.col("emb"), _text_vec()), 6).alias("ncc"))
 
 
-@query(sql("WITH b AS (SELECT * FROM sims WHERE tile_id % 10 = 0), r AS (SELECT query_id, ln(sum(exp(sim*10))) AS lse FROM b GROUP BY 1), c AS (SELECT tile_id, ln(sum(exp(sim*10))) AS lse FROM b GROUP BY 1) SELECT round(avg(r.lse), 5) AS row_loss, round(avg(c.lse), 5) AS col_loss FROM r JOIN c ON r.query_id = c.tile_id", "sims"))
-def infonce_diag(spark, d):
-    """Symmetric log-sum-exp of the logits of every 10th tile, the diagonal left out; the two directions are joined on the diagonal.
-
-    No loss: that is ``infonce_loss``.
-    """
-    b = knn.similarities(gallery(spark, d).filter("tile_id % 10 = 0"), queries(spark, d))
-    lse = F.ln(F.sum(F.exp(F.col("sim") * 10)))
-    r, c = b.groupBy("query_id").agg(lse.alias("rl")), b.groupBy("tile_id").agg(lse.alias("cl"))
-    return r.join(c, F.col("query_id") == F.col("tile_id")).agg(F.round(F.avg("rl"), 5).alias("row_loss"), F.round(F.avg("cl"), 5).alias("col_loss"))
-
-
 #: Rows of a batch (by tile_id), scale of its logits, and metres within which two rows are no negatives of each other.
 BATCH, SCALE, NEAR_M = 256, 10.0, 100.0
 FLAT = "sqrt(pow((a.lon - b.lon)*111320.0::DOUBLE*cos(radians((a.lat + b.lat)/2)), 2) + pow((a.lat - b.lat)*110540.0::DOUBLE, 2))"

@@ -127,3 +127,90 @@ def test_ransac_recovers_a_similarity(spark):
     assert r["inliers"] == 45 and (r["a"], r["b"], r["tx"], r["ty"]) == pytest.approx((0.8, 0.1, 5, -3))
     w = fit.weighted_similarity(d.filter("k1 % 4 <> 0"), ["pair"], F.lit(1.0)).first()
     assert (w["a"], w["b"], w["tx"], w["ty"]) == pytest.approx((0.8, 0.1, 5, -3))
+
+
+def test_prior_moves_north_and_east(spark):
+    """100 m east and 200 m north of (30, 115): 200/111320 degrees up, 100/(111320 cos 30) to the right."""
+    la, lo = one(spark, *geo.shifted_gps(*lit(30, 115, 100, 200)))
+    assert la == pytest.approx(30.00179662, abs=1e-8) and lo == pytest.approx(115.00103728, abs=1e-8)
+
+
+def test_prior_in_pixels_goes_by_the_maps_middle(spark, monkeypatch):
+    """A map from 60 to 20 degrees north: metres east become pixels at 40 degrees, wherever the frame is."""
+    from overfly.plans import geometry as G
+
+    frame = spark.createDataFrame([("01", "a", 7, 25.0, 115.5, 400.0, 0.0)], "flight string, filename string, seq long, lat double, lon double, height double, phi1 double")
+    m = spark.createDataFrame([(0, 60.0, 115.0, 20.0, 116.0, 1000.0, 4000.0)], "map_id long, lt_lat double, lt_lon double, rb_lat double, rb_lon double, w double, h double")
+    monkeypatch.setattr(G, "frames", lambda *a: frame)
+    monkeypatch.setattr(G, "maps", lambda *a: m)
+    r = G.shifted(spark, "").first()
+    # dx = 7*13 % 161 - 80 = 11 m at 1000 px a degree; dy = 7*29 % 161 - 80 = -38 m at 100 px a degree.
+    assert r["cx"] - r["px"] == pytest.approx(11 * 1000 / (111320 * math.cos(math.radians(40)))) and r["cy"] - r["py"] == pytest.approx(-38 * 100 / 111320)
+
+
+def test_spread_choice_takes_the_earlier_of_equally_near_frames(spark):
+    d = spark.createDataFrame([("a", i, i not in (5, 15)) for i in range(20)], "flight string, seq long, accepted boolean")
+    got = [(r["slot"], r["seq"]) for r in fit.spread_choice(d, 2).orderBy("slot").collect()]
+    assert got == [(0, 4), (1, 14)]
+    few = spark.createDataFrame([("a", i, i in (1, 2)) for i in range(6)], "flight string, seq long, accepted boolean")
+    assert [r["seq"] for r in fit.spread_choice(few, 4).orderBy("slot").collect()] == [1, 2]
+
+
+def test_homography_consensus(spark):
+    """Planted: 60 points through a transform with perspective, 20 elsewhere; the most confident inliers are kept."""
+    h = [0.9, -0.1, 20.0, 0.12, 1.1, -15.0, 1e-4, -5e-5, 1.0]
+    rows = []
+    for i in range(80):
+        x, y = float(i * 37 % 1009), float(i * 53 % 677)
+        w = h[6] * x + h[7] * y + 1
+        u, v = ((h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w) if i % 4 else (float(i * 71 % 900), float(i * 91 % 600))
+        rows.append((3, x, y, u, v, (i * 7 % 80) / 80, i, 0, 0))
+    rows += [(4, 1.0, 2.0, 3.0, 4.0, 1.0, i, 0, 0) for i in range(3)] + [(5, 1.0, 2.0, 3.0, 4.0, 1.0, i, 0, 0) for i in range(9)]
+    d = spark.createDataFrame(rows, "pair long, x0 double, y0 double, x1 double, y1 double, conf double, k1 long, k2 long, k3 long")
+    got = fit.ransac_homography(d.repartition(3)).collect()
+    assert {r["pair"] for r in got} == {3} and {r["k1"] for r in got} >= {i for i in range(80) if i % 4} and len(got) <= 62
+    assert got[0]["h"] == pytest.approx(h, abs=1e-4)
+    best = fit.ransac_homography(d, most=10).collect()
+    inl = sorted(((-r["conf"], r["k1"]) for r in got))[:10]
+    assert sorted((-r["conf"], r["k1"]) for r in best) == inl
+
+
+def test_loop_back(spark):
+    """A shift by one cell: cells come back unless they leave the real frame or land on cell 0's place."""
+    shift = [F.lit(float(v)) for v in (1, 0, 8, 0, 1, 0, 0, 0, 1)]
+    got = one(spark, fit.looped_back(shift, geo.inverse(shift), 32, 32, 8, (32, 24)))[0]
+    assert [(r["i"], r["j"]) for r in got] == [(r * 4 + c, r * 4 + c + 1) for r in range(3) for c in range(3) if (r, c) != (0, 0)]
+
+
+def test_crop_offsets(spark):
+    """Modes by zlib's CRC-32, offsets by NumPy's generator, shortened to the crop."""
+    import zlib
+
+    import numpy as np
+
+    names = [f"01_{i:04d}.JPG" for i in range(60)]
+    d = spark.createDataFrame([("01", n) for n in names], "flight string, filename string")
+    got = {r["filename"]: r for r in fit.crop_offsets(d, "mix", 30, 80.0, F.lit(0.4), 40.0, 680.0).collect()}
+    seen = set()
+    for n in names:
+        true = zlib.crc32(f"mix/01/{n}".encode()) % 100 < 30
+        x, y = (0.0, 0.0) if true else np.random.default_rng(zlib.crc32(f"01/{n}".encode())).normal(0.0, 80.0, 2)
+        s = min(1.0, 120.0 / max(math.hypot(x, y), 1e-9))
+        assert got[n]["mode"] == ("true" if true else "jitter") and (got[n]["dx_m"], got[n]["dy_m"]) == pytest.approx((x * s, y * s))
+        seen.add((true, s < 1))
+    assert {(True, False), (False, True), (False, False)} <= seen
+    assert {r["mode"] for r in fit.crop_offsets(d, "jitter", 30, 80.0, F.lit(0.4), 40.0, 680.0).collect()} == {"jitter"}
+
+
+def test_radius_join_at_high_latitudes_and_over_the_date_line(spark):
+    pts = [(i, 80 + i * 0.001, 20 + i * 0.01) for i in range(40)] + [(100, 10.0, 179.999), (101, 10.0, -179.999), (102, 89.9995, 0.0), (103, 89.9995, 180.0)]
+    d = spark.createDataFrame(pts, "i long, a double, b double")
+    e = d.select(F.col("i").alias("j"), F.col("a").alias("c"), F.col("b").alias("e"))
+
+    def hav(p, q):
+        s = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * K.EARTH_M * math.asin(math.sqrt(s))
+
+    got = {(r["i"], r["j"]) for r in spatial.radius_join(d, e, ("a", "b"), ("c", "e"), 700.0).collect()}
+    assert got == {(p[0], q[0]) for p in pts for q in pts if hav(p, q) <= 700}
+    assert {(100, 101), (102, 103)} <= got

@@ -82,14 +82,81 @@ def test_sources(spark, tmp_path):
         readers.map_csv(spark, str(tmp_path / "m.csv"), "b.tif")
     (tmp_path / "c.jsonl").write_text('{"flight":"01","filename":"a","caption":"x"}\nnot json\n{"flight":"01","filename":"a","caption":"y"}\n')
     assert [x["caption"] for x in readers.caption_json(spark, str(tmp_path / "c.jsonl")).collect()] == ["y"]
-    new = spark.createDataFrame([(1,), (2,)], "k int")
-    assert readers.append_new(spark, new, str(tmp_path / "out"), ["k"]) == 2
-    assert readers.append_new(spark, new.union(spark.createDataFrame([(3,)], "k int")), str(tmp_path / "out"), ["k"]) == 1
+    new = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    for kind in ("parquet", "json", "csv"):
+        at = str(tmp_path / f"out_{kind}")
+        assert readers.append_new(spark, new, at, ["k"], kind) == 3
+        assert readers.append_new(spark, new.union(spark.createDataFrame([(3,)], "k int")), at, ["k"], kind) == 1
+        rows = spark.read.schema("k int").options(header=kind == "csv").format(kind).load(at).collect()
+        assert sorted((r["k"] or 0) for r in rows) == [0, 1, 2, 3]
+
+
+def test_file_order_over_splits(spark, tmp_path):
+    """Rows keep their file's order where files are cut into many splits; the later file and line win."""
+    from overfly.sources import readers
+
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for f in ("01", "02"):
+            (tmp_path / f).mkdir()
+            (tmp_path / f / f"{f}.csv").write_text("filename,lat,lon,height,Phi1,date\n" + "".join(f"{f}_{i:04d}.JPG,{i},1,1,1,\n" for i in range(700)))
+        d = readers.frame_csv(spark, str(tmp_path / "*" / "*.csv"))
+        assert d.rdd.getNumPartitions() > 4
+        got = d.collect()
+        assert len(got) == 1400 and all(r["seq"] == r["lat"] and r["filename"] == f"{r['flight']}_{r['seq']:04d}.JPG" for r in got)
+        for name in ("a", "b"):
+            (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"flight":"01","filename":"x{i % 50}","caption":"{name}{i:04d}"}}\n' for i in range(400)))
+        last = {r["filename"]: r["caption"] for r in readers.caption_json(spark, str(tmp_path / "*.jsonl")).collect()}
+        assert last == {f"x{k}": f"b{350 + k:04d}" for k in range(50)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_guard_staging_registry_and_merge(spark, tmp_path):
+    from overfly.sources import readers
+
+    ok = spark.createDataFrame([(1, 1.75), (2, 1.75)], "i int, sf double")
+    assert readers.guarded(ok, "sf", 1.75, "search factor").count() == 2
+    for bad in (1.5, None):
+        with pytest.raises(Exception, match="stale search factor"):
+            readers.guarded(ok.union(spark.createDataFrame([(3, bad)], "i int, sf double")), "sf", 1.75, "search factor").collect()
+    tars = [
+        ("t/zz_5_lg.tar", ["visloc_lg_results.csv", "log"]), ("t/zz_9_lg.tar", ["a/visloc_lg_results.csv"]), ("t/zz_7_el.tar", ["visloc_el_ft_results.csv"]), ("t/zz_8_el.tar", ["visloc_other_results.csv"]),
+        ("t/zz_6_two.tar", ["visloc_a_results.csv", "visloc_b_results.csv"]), ("t/odd.tar", ["visloc_q_results.csv"]), ("t/zz_4_none.tar", ["log"]),
+    ]
+    got = {r["variant"]: (r["job"], r["member"]) for r in readers.staged(spark.createDataFrame(tars, "path string, members array<string>")).collect()}
+    assert got == {"lg": (9, "a/visloc_lg_results.csv"), "el_ft": (7, "visloc_el_ft_results.csv"), "el": (8, "visloc_other_results.csv")}
+    reg = spark.createDataFrame([("a", "A", "full"), ("b", "B", "test"), ("c", "C", "full")], "method string, label string, band string")
+    res = spark.createDataFrame([(m, "01", f, None, True) for m in "ab" for f in "xyz"] + [("a", "01", "w", True, True), ("b", "01", "x", None, False)], "method string, flight string, filename string, skipped boolean, gt_in_patch boolean")
+    band = spark.createDataFrame([("01", "x", "test"), ("01", "y", "train"), ("01", "z", "test"), ("01", "w", "test")], "flight string, filename string, band string")
+    rows = readers.registered(reg, res, band).collect()
+    assert sorted((r["label"], r["filename"] or "", r["missing"]) for r in rows) == [("A", "x", False), ("A", "y", False), ("A", "z", False), ("B", "x", False), ("B", "z", False), ("C", "", True)]
+    st = spark.createDataFrame([("02", 3, [5, 1]), ("01", 4, [9]), ("03", 1, None)], "flight string, n int, v array<int>")
+    one = readers.merged(st, "flight").first()
+    assert (one["n"], one["v"]) == (8, [9, 5, 1])
+    g = spark.createDataFrame([(1, 2.0)], "tile_id long, v double")
+    calls = []
+    for _ in range(2):
+        x = readers.built_once(spark, str(tmp_path / "g"), {"model": "m", "flight": "01"}, lambda: calls.append(1) or g)
+        assert [(r["tile_id"], r["flight"]) for r in x.collect()] == [(1, "01")]
+    assert calls == [1]
+
+
+def test_truth_is_found_however_far(spark):
+    """A query thousands of kilometres from every tile keeps its ground truth."""
+    from overfly.operators import spatial
+
+    tiles = spark.createDataFrame([(i, 30 + i * 1e-4, 115 + i * 1e-4) for i in range(50)] + [(99, -70.0, -179.99)], "tile_id long, tlat double, tlon double")
+    asked = spark.createDataFrame([(7, 30.0007, 115.0007), (500, 31.5, 118.0), (501, -70.0, 179.99), (502, 80.0, 20.0)], "query_id long, qlat double, qlon double")
+    got = {r["query_id"]: (r["tile_id"], r["dist_m"]) for r in spatial.nearest(asked, tiles, "query_id", ("qlat", "qlon"), ("tlat", "tlon"), "tile_id", other=F.col("query_id") != F.col("tile_id")).collect()}
+    assert got[7][0] in (6, 8) and {k: got[k][0] for k in (500, 501, 502)} == {500: 49, 501: 99, 502: 49}
+    assert got[501][1] < 1000 < 5e6 < got[502][1]
 
 
 def test_alpha_sweep_ranks_the_whole_query_set(spark, duck):
     """R1, R3, R5 and R10 by blend weight, over every 10th tile; at weight 1 the ranks are those of gt_rank."""
-    rows = {r["alpha"]: r.asDict() for r in registry.queries()["alpha_sweep_recall"](spark, DATA).collect()}
+    rows = {r["alpha"]: r.asDict() for r in registry.queries()["alpha_sweep"](spark, DATA).collect()}
     assert sorted(rows) == [0.5, 0.75, 1.0]
     n = duck.sql("select count(*) from embeddings where vec_id % 10 = 0").fetchall()[0][0]
     ranks = [r["gt_tile_rank"] for r in registry.queries()["gt_rank"](spark, DATA).collect()]
@@ -139,7 +206,7 @@ def test_infonce_masks_near_pairs(spark):
 
 
 def python_clean(text):
-    """The reference's cleaning, with blanks as what is stripped."""
+    """The cleaning steps in plain Python, with blanks as what is stripped."""
     words = "dark light bright pale deep white black grey gray green brown red blue yellow orange golden tan beige silver reddish greenish brownish shadows?".split()
     t = re.sub("<think>.*?</think>", "", text, flags=re.DOTALL).strip(" ")
     t = re.sub(rf",?\s*\b(?:{'|'.join(words)})(?:er|est)?\b\s*,?", " ", t, flags=re.IGNORECASE)
@@ -149,11 +216,11 @@ def python_clean(text):
 
 
 def test_every_caption_is_cleaned(spark, duck):
-    """All languages, rows without one among them, against the reference's steps in Python."""
+    """All languages, rows without one among them, against the steps in Python."""
     docs = duck.sql("select doc_id, text from documents").fetchall()
     texts = {i: f"<think>plan\nit</think> Dark green fields, {t}" if i % 7 == 0 else t for i, t in docs}
     want = {i: (len(c), hashlib.md5(c.encode()).hexdigest()) for i, t in texts.items() for c in [python_clean(t)]}
-    got = {r["id"]: (r["n"], r["digest"]) for r in registry.queries()["caption_clean_all"](spark, DATA).collect()}
+    got = {r["id"]: (r["n"], r["digest"]) for r in registry.queries()["caption_clean"](spark, DATA).collect()}
     assert len(got) > duck.sql("select * from documents where lang = 'en'").count("*").fetchall()[0][0]
     assert got == want
 
@@ -167,11 +234,11 @@ def test_clean_at_accented_letters(spark):
 
 
 def test_recall_curve_reaches_the_largest_rank(spark):
-    """k are the reference's: unique rounded log-spaced points up to the largest rank + 1, where recall is 100."""
+    """k are unique rounded log-spaced points up to the largest rank + 1, where recall is 100."""
     import numpy as np
 
     ranks = np.array([r["gt_tile_rank"] for r in registry.queries()["gt_rank"](spark, DATA).collect()])
     ks = np.unique(np.round(np.logspace(0, np.log10(ranks.max() + 1), 200)).astype(int))
-    got = {r["k"]: r["recall"] for r in registry.queries()["recall_curve_full"](spark, DATA).collect()}
+    got = {r["k"]: r["recall"] for r in registry.queries()["recall_curve"](spark, DATA).collect()}
     assert sorted(got) == ks.tolist() and got[ks[-1]] == 100
     assert all(got[k] == pytest.approx(100 * (ranks < k).mean(), abs=1e-5) for k in ks)
