@@ -82,12 +82,12 @@ def test_sources(spark, tmp_path):
         readers.map_csv(spark, str(tmp_path / "m.csv"), "b.tif")
     (tmp_path / "c.jsonl").write_text('{"flight":"01","filename":"a","caption":"x"}\nnot json\n{"flight":"01","filename":"a","caption":"y"}\n')
     assert [x["caption"] for x in readers.caption_json(spark, str(tmp_path / "c.jsonl")).collect()] == ["y"]
-    new = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    new = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "k int, v string")
     for kind in ("parquet", "json", "csv"):
         at = str(tmp_path / f"out_{kind}")
         assert readers.append_new(spark, new, at, ["k"], kind) == 3
-        assert readers.append_new(spark, new.union(spark.createDataFrame([(3,)], "k int")), at, ["k"], kind) == 1
-        rows = spark.read.schema("k int").options(header=kind == "csv").format(kind).load(at).collect()
+        assert readers.append_new(spark, new.union(spark.createDataFrame([(3, "e")], "k int, v string")), at, ["k"], kind) == 1
+        rows = spark.read.schema("k int, v string").options(header=kind == "csv").format(kind).load(at).collect()
         assert sorted((r["k"] or 0) for r in rows) == [0, 1, 2, 3]
 
 
