@@ -120,10 +120,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             out[i:j] = (sums[ends[i:j] - lo] - sums[s]) * down[s]
             i = j
         else:
+            total = 0
             for a in range(lo, int(ends[i]), BLOCK):
                 part = data[a : min(a + BLOCK, int(ends[i]))]
-                piece = int((BYTE_VALUE[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(BYTE_POWERS.base, a - lo, 1 << 64)
-                out[i] += np.uint64(piece & (1 << 64) - 1)
+                total += int((BYTE_VALUE[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(BYTE_POWERS.base, a - lo, 1 << 64)
+            out[i] = np.uint64(total & (1 << 64) - 1)
             i += 1
     return mix64(out)
 

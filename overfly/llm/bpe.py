@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, hash_spans, ramp
-from .common import extended, map_arrow
+from .common import extended, give_back, map_arrow
 
 #: Fragments and bytes beyond which a memo starts anew.
-MEMO, MEMO_BYTES = 500_000, 16 << 20
+MEMO, MEMO_BYTES = 300_000, 12 << 20
 #: Bytes of text encoded at a time.
 CHUNK = 1 << 20
 
@@ -92,14 +92,16 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
-        self.token_bytes: dict[int, bytes] = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items()}
-        self.token_bytes |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        if spec.get("normalizer"):
+            raise ValueError("a vocabulary with a normalizer cannot be cut at byte pairs")
+        tokens = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        tokens |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         #: The tokens' bytes in one array, by id.
-        by_id = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
+        by_id = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.token_size = np.array([len(t) for t in by_id])
         self.token_at, self.token_flat = np.cumsum(self.token_size) - self.token_size, np.frombuffer(b"".join(by_id), np.uint8)
         never = np.ones((256, 256), dtype=bool)
-        for t in self.token_bytes.values():
+        for t in tokens.values():
             b = np.frombuffer(t, np.uint8)
             never[b[:-1], b[1:]] = False
         #: Pairs that may be cut: in no token, the right byte starts a character ...
@@ -112,6 +114,8 @@ class Codec:
         never[~word, 0x27] = False
         self.pairs = never.reshape(-1)
         self.memo = Memo()
+        del spec, tokens, by_id
+        give_back()
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Positions before which the flat buffer is cut, each text's start included."""
@@ -167,7 +171,8 @@ class Codec:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, special tokens included; byte runs that are no UTF-8 become U+FFFD."""
-        return b"".join([self.token_bytes.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        i = np.array([i for i in ids if 0 <= i < len(self.token_size)], np.int64)
+        return gather(self.token_flat, self.token_at[i], self.token_size[i]).tobytes().decode("utf-8", "replace")
 
 
 def strings(raw: np.ndarray, sizes: np.ndarray, known: bool) -> pa.Array:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +16,8 @@ from pyspark.sql.window import Window
 
 #: A word of the contracts: bytes outside blank and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch between JVM and Python.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,22 +27,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where the session
-    names none (tests on one machine) a temporary one is set.
+    The folder is the cluster's ``spark.checkpoint.dir``; see ``shared_folder``.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where the session names none a temporary one of this machine."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary folder serves a local master (tests);
+    on a cluster that is an error, as executors share no such folder.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="overfly-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints of steps that nothing refers to any more.
+
+    Its cleaner goes by the driver's garbage collection, which on a large heap may not
+    happen for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def looked_up(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row that ``side`` has for each long ``key``.
+
+    A side that was just aggregated by the key is partitioned by it already, and a join
+    that uses this cannot be split where a key is hot. The join therefore runs on
+    another value of the key, so that both sides are dealt out for it and adaptive
+    execution can split the hot partitions of ``rows`` and repeat the one row.
+    """
+    side = side.withColumn("_ov_key", F.col(key).bitwiseXOR(F.lit(1).cast("long"))).drop(key)
+    return rows.join(side, F.col(key).bitwiseXOR(F.lit(1).cast("long")) == F.col("_ov_key"), how).drop("_ov_key")
+
+
 def with_rank(df: DataFrame, group: list[Column], order: list[Column], rank: str = "rank", counts: str | None = None) -> DataFrame:
     """Number the rows of each group from 0 in ``order``, without a window over a whole group.
 
@@ -68,7 +106,13 @@ def with_rank(df: DataFrame, group: list[Column], order: list[Column], rank: str
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers (once per Spark context)."""
+    """Make this package importable in the executors' Python workers (once per Spark context), and let batches of texts be small.
+
+    Arrow batches are bounded in bytes by ``BATCH_BYTES``, unless the session has set
+    another bound than Spark's own: JVM and worker each hold several batches at a time.
+    """
+    if spark.conf.get(BATCH_KEY).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_overfly_shipped", False):
         return
@@ -82,9 +126,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+    """``mapInArrow`` with this package at hand in the workers, which give back what memory they can after each partition (workers are used again)."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the allocators allow it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def extended(df: DataFrame, **columns: str) -> StructType:
