@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, looked_up
 
 
 def _minima(e: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def large_star(e: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least of itself and its neighbours."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _minima(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return looked_up(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(e: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of these (edges point to the smaller node)."""
     low = _minima(e)
-    return e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
+    return looked_up(e, low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

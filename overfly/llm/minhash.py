@@ -2,7 +2,7 @@
 
 1. Every text becomes its set of distinct 5-word shingles (64-bit hashes), many
    universal hash minima of it, their bands, and a 128-bit digest of the set.
-2. Documents with equal sets form a class; its least doc_id stands for it.
+2. Documents with equal sets form a class, one node of the graph; one of its documents gives the set.
 3. In each band bucket all members are paired with the bucket's least member.
    Pairs that the sizes or signatures rule out go; the rest are confirmed on full sets.
 4. Components of the confirmed links come from large-star and small-star steps.
@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, WHITE, chunks, hash_spans, hash_windows, mix64, spans, stream64
-from .common import checkpointed, map_arrow, ship, with_rank
+from .common import checkpointed, looked_up, map_arrow, reclaim, ship, with_rank
 from .graph import components
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 40, 5, 75
 #: Shingles hashed at a time, so that the block stays in the cache.
 BLOCK = 2048
-#: Buckets up to this many open members are joined directly; larger ones by blocks of so many.
-FEW, BUCKET_BLOCK = 24, 512
+#: Buckets up to this many open members are joined directly; larger ones by blocks of so many members and so many shingles at most.
+FEW, BUCKET_BLOCK, BLOCK_SHINGLES = 24, 512, 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -58,11 +58,11 @@ def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, h long, g long, bands array<long>, signature binary"
+SKETCH = "doc_id long, th long, n_shingles long, h long, g long, bands array<long>, signature binary"
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, 128-bit set digest (h, g), band keys, and one byte of each minimum."""
+    """doc_id, a hash of the text, n_shingles, 128-bit set digest (h, g), band keys, and one byte of each minimum."""
     n = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
         salt = stream64(23, bands)
         step = stream64(24, rows) | np.uint64(1)
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(2)):
                 sizes, h, g = [], [], []
                 low = np.zeros((hi - lo, n), np.uint64)
                 for i, s in enumerate(shingle_sets(data, offsets, shingle)):
@@ -84,9 +84,13 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
                 marks = np.ascontiguousarray((low >> np.uint64(40)).astype(np.uint8))
                 sig = pa.array([r.tobytes() for r in marks], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(g, np.uint64).view(np.int64)), lists, sig], names=["doc_id", "n_shingles", "h", "g", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(g, np.uint64).view(np.int64)), lists, sig], names=["doc_id", "th", "n_shingles", "h", "g", "bands", "signature"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
+    return map_arrow(_texts(docs), run, SKETCH)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 def _agreement(percent: int, n: int) -> float:
@@ -106,21 +110,27 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFram
                 keep = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
-    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
+    side = lambda k: reps.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
     d = pairs.join(side("v"), "v").join(side("u"), "u").filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
     return map_arrow(d.select("u", "v", "su", "sv"), run, "u long, v long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, sorted set) of the documents named in ``ids``; their texts are shuffled once."""
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, again: bool) -> DataFrame:
+    """(id, sorted set) of ``nodes`` (id, doc_id, th), whose texts are shuffled once; ``again`` says that rows of one (doc_id, th) may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in chunks(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(data, offsets, shingle)], pa.binary())], names=["id", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    return map_arrow(texts, run, "id long, set binary")
+    # Missing ids join as one more value; joins on plain equality, so that texts need no sort.
+    key = lambda d: [F.coalesce(F.col(f"{d}doc_id"), F.lit(-1).cast("long")), F.col(f"{d}doc_id").isNull(), F.col(f"{d}th")]
+    texts = _texts(docs)
+    if again:
+        texts = texts.groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    side = nodes.select("id", F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"))
+    on = [x == y for x, y in zip(key(""), key("_"))]
+    return map_arrow(texts.join(side.hint("shuffle_hash"), on).select("id", "text"), run, "id long, set binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,21 +194,40 @@ def intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _across(small: DataFrame, large: DataFrame, percent: int, n: int, bins: int) -> DataFrame:
+def _blocks(large: DataFrame, percent: int) -> DataFrame:
+    """(key, lo, hi, b, id, root, n, most): the members of large buckets, once for each pair of blocks that they meet in.
+
+    Members are ordered by size inside their bucket and cut into blocks, so that most
+    pairs of blocks are ruled out by what is known of a block: its sizes, the largest
+    partner that a member can have, and its component if it holds only one.
+    """
+    d = with_rank(large, [F.col("key")], [F.col("n"), F.col("id")], "_rank")
+    # A block holds one scale of sizes, so many members that its shingles are bounded; block numbers rise with the sizes.
+    d = d.withColumn("_scale", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("long"))
+    rows = F.greatest(F.lit(1), F.least(F.lit(BUCKET_BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2.0), F.col("_scale")))))
+    d = checkpointed(d.withColumn("b", F.shiftleft("_scale", 40) + F.floor(F.col("_rank") / rows)).drop("_rank", "_scale"))
+    of = d.groupBy("key", "b").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("most"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    side = lambda k: of.select("key", *[F.col(c).alias(f"{k}_{c}") for c in ("b", "n0", "n1", "most", "r0", "r1")])
+    pairs = side("lo").join(side("hi"), "key").filter(f"lo_b <= hi_b AND {percent} * hi_n0 <= 100 * lo_n1 AND hi_n0 <= lo_most AND lo_n0 <= hi_most AND NOT (lo_r0 = hi_r1 AND lo_r1 = hi_r0)")
+    pairs = pairs.select("key", F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"))
+    meets = pairs.select("key", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b"))
+    return d.join(meets, ["key", "b"]).select("key", "lo", "hi", "b", "id", "root", "n", "most")
+
+
+def _across(small: DataFrame, large: DataFrame, sets: DataFrame, percent: int, n: int, bins: int) -> DataFrame:
     """(u, v, sure): pairs of different components that share a bucket.
 
-    Rows have key, many (rows of the bucket), id, root, n, most; small buckets'
-    rows a signature, large ones' a set. Small buckets are binned and give likely
-    pairs. Large ones are cut into blocks, two of which meet at a time, so that no task
-    holds more than two; their pairs are decided on the full sets at once, and only
-    links come out.
+    Rows have key, id, root, n, most; small buckets' rows have a signature too. Small
+    buckets are binned and give likely pairs. Large ones are cut into blocks, two of
+    which meet at a time, so that no task holds more than two; their pairs are decided
+    on the full sets at once, and only links come out.
     """
     ship(small.sparkSession)
-    blocks = F.when(F.col("signature").isNull(), F.ceil(F.col("many") / BUCKET_BLOCK)).otherwise(F.lit(1)).cast("long")
-    d = small.withColumn("set", F.lit(None).cast("binary")).unionByName(large.withColumn("signature", F.lit(None).cast("binary")))
-    d = d.withColumn("bin", F.when(F.col("signature").isNull(), F.col("key")).otherwise(F.pmod("key", F.lit(bins))))
-    d = d.withColumn("b", F.pmod(F.xxhash64("id"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    d = d.select("bin", F.col("signature").isNull().alias("big"), F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "key", "id", "root", "n", "most", "signature", "set")
+    none = F.lit(None).cast("binary")
+    zero = F.lit(0).cast("long")
+    few = small.select(F.pmod("key", F.lit(bins)).alias("bin"), F.lit(False).alias("big"), zero.alias("lo"), zero.alias("hi"), zero.alias("b"), "key", "id", "root", "n", "most", "signature", none.alias("set"))
+    many = _blocks(large, percent).join(sets, "id").select(F.col("key").alias("bin"), F.lit(True).alias("big"), "lo", "hi", "b", "key", "id", "root", "n", "most", none.alias("signature"), "set")
+    d = few.unionByName(many)
     least = _agreement(percent, n)
 
     def run(t: pa.Table) -> pa.Table:
@@ -240,43 +269,71 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     of distinct shingles (A-Z lower-cased; words outside blank and \\x09-\\x0D).
     component_id is the least doc_id reachable, itself included; kept marks doc_id =
     component_id. Null, empty and blank texts have no shingles and are linked with
-    nothing. Repeated rows each give a row; rows of one doc_id with different texts
-    are one node of the graph. Documents without an id are linked with nothing
-    unless their set equals that of one with an id; else they have a null
-    component_id and are all kept. An empty table gives no rows.
+    nothing; very long texts are read whole. Every row is a document: repeated rows each
+    give a row, and rows of one doc_id with different texts may lie in different
+    components. Rows without an id link like all others but name no component:
+    component_id is null, and all are kept, where no document of the component has an
+    id. An empty table gives no rows. Other columns are not read.
     """
     sk = checkpointed(sketches(docs, shingle, bands, rows))
     some = sk.filter("n_shingles > 0")
-    classes = checkpointed(some.groupBy("h", "g").agg(F.min("doc_id").alias("rep")))
-    reps = some.join(classes.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "rep"), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    # The document that stands for a class: of the least id, ids that are missing last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("of")
+    classes = some.groupBy("h", "g").agg(first).select("h", "g", F.col("of.doc_id").alias("least"), F.col("of.th").alias("th"))
+    classes, named = _numbered(checkpointed(classes))
+    again = bool(some.groupBy("doc_id", "th").count().filter("count > 1").take(1))
+    # Rows of one (doc_id, th) are equal texts: any of them gives the class its bands.
+    own = classes.select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("least").alias("_least"), F.col("th").alias("_th"), "id")
+    reps = some.join(own, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_least")) & (F.col("th") == F.col("_th")))
+    reps = reps.select("id", "n_shingles", "bands", "signature")
+    if again or not named:
+        reps = checkpointed(reps.groupBy("id").agg(*[F.first(c).alias(c) for c in reps.columns[1:]]))
+        marks = reps.select("id", "n_shingles", "signature")
+    else:
+        # An id is its document's own, so the sketches themselves serve look-ups by id.
+        marks = sk.select(F.col("doc_id").alias("id"), "n_shingles", "signature")
+    keyed = reps.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z")).filter("c < z").select("key", "c")
-    members = checkpointed(keyed.join(shared, "key"))
-    sets = checkpointed(_sets(docs, members.select("id").distinct(), shingle))
+    members = checkpointed(looked_up(keyed, shared, "key"))
+    nodes = classes.select("id", F.col("least").alias("doc_id"), "th").join(members.select("id").distinct(), "id", "left_semi")
+    sets = checkpointed(_sets(docs, nodes, shingle, again))
+    reclaim(docs.sparkSession)
     stars = checkpointed(members.filter("c < id").select(F.col("c").alias("u"), F.col("id").alias("v")).distinct())
-    links = checkpointed(_confirmed(_likely(stars, sk, percent, bands * rows), sets, percent))
+    links = checkpointed(_confirmed(_likely(stars, marks, percent, bands * rows), sets, percent))
     found = components(links)
 
     at = members.select("key", "id").join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("key", "many")
-    open_ = checkpointed(at.join(mixed, "key"))
+    open_ = checkpointed(looked_up(at, mixed, "key"))
     # Members that no size could match go: nothing is linked to them beyond their component.
     open_ = checkpointed(open_.join(_reach(open_.select("id").distinct(), sets, percent), "id").filter("most > 0"))
     bins = max(64, open_.count() // 1000)
-    small = open_.filter(f"many <= {FEW}").join(sk.select(F.col("doc_id").alias("id"), "signature"), "id")
-    large = open_.filter(f"many > {FEW}").join(sets, "id")
-    more = checkpointed(_across(small, large, percent, bands * rows, bins))
+    small = open_.filter(f"many <= {FEW}").join(marks.select("id", "signature"), "id")
+    large = open_.filter(f"many > {FEW}").select("key", "id", "root", "n", "most")
+    more = checkpointed(_across(small, large, sets, percent, bands * rows, bins))
     rest = more.filter("NOT sure").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
     if more.take(1):
         more = more.filter("sure").select("u", "v").union(_confirmed(rest, sets, percent))
         found = components(checkpointed(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)))
 
-    d = sk.select("doc_id", "n_shingles", "h", "g").join(classes, ["h", "g"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    least = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
-    d = d.select("doc_id", "n_shingles", least.alias("component_id"))
+    d = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "g", F.coalesce("root", "id").alias("root"))
+    if not named:
+        # Numbers follow the ids, missing ones last, so the root's own least id is the component's.
+        d = looked_up(d, classes.select(F.col("id").alias("root"), "least"), "root").select("h", "g", F.col("least").alias("root"))
+    d = sk.select("doc_id", "n_shingles", "h", "g").join(d, ["h", "g"], "left")
+    d = d.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
     return d.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """(classes with a unique ``id`` in the order of ``least``, missing ones last; whether that is ``least`` itself)."""
+    n, named, distinct = classes.agg(F.count(F.lit(1)), F.count("least"), F.count_distinct("least")).first()
+    if n == named == distinct:
+        return classes.withColumn("id", F.col("least")), True
+    order = [F.col("least").asc_nulls_last(), F.col("h"), F.col("g")]
+    return checkpointed(with_rank(classes, [], order, "id")), False
+
+
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """The documents with one of each near-duplicate group left: the row of the least doc_id.
 
@@ -289,7 +346,9 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
     mixed = docs.groupBy("doc_id").agg(F.min(short).alias("lo"), F.max(short).alias("hi")).filter("doc_id IS NULL OR lo <> hi")
     if not mixed.take(1):
         kept = near_duplicates(docs, **kw).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_ov_n"))
-        return _rows_of(docs, checkpointed(kept))
+        kept = checkpointed(kept)
+        reclaim(docs.sparkSession)
+        return _rows_of(docs, kept)
     # Nodes are numbered in the order of (doc_id, text digest), so that the least node is one of the least doc_id.
     d = docs.withColumns({"_ov_id": F.col("doc_id").cast("long"), "_ov_digest": digest})
     nodes = with_rank(d.select(F.col("_ov_id").alias("_ov_i"), F.col("_ov_digest").alias("_ov_d")).distinct(), [], [F.col("_ov_i").asc_nulls_last(), F.col("_ov_d")], rank="_ov_node")
@@ -306,5 +365,6 @@ def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     again = kept.filter("_ov_n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_ov_r"))
     if not again.take(1):
         return out
-    twice = out.join(again, F.col("doc_id") == F.col("_ov_r"), "left_semi").dropDuplicates(["doc_id"])
+    # Rows that differ in other columns alone: the least hash of the whole row decides, the same in every run.
+    twice = out.join(again, F.col("doc_id") == F.col("_ov_r"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*out.columns), F.struct(F.xxhash64(*out.columns))).alias("_ov_row")).select("_ov_row.*")
     return out.join(again, F.col("doc_id") == F.col("_ov_r"), "left_anti").unionByName(twice)

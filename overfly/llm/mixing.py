@@ -57,18 +57,18 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(source, F.lit("")))), 1, 4), 16, 10).cast("double") / F.lit(65536.0)
 
 
-def mix(df: DataFrame, seed: int = 10, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, most: int = MOST) -> DataFrame:
+def mix(df: DataFrame, seed: int = 10, weights: tuple[int, ...] = WEIGHTS, percent: int = SHARE_PERCENT, most: int = MOST, tie: tuple[str, ...] = ()) -> DataFrame:
     """Add source_size, target and copies to rows that have doc_id, source and size.
 
     copies is 0 to ``most``; nulls in source form a source of their own (last in
     order), null ids are ranked like others, repeated rows each have their own
     rank, rows of size 0 may be copied but add no words, an empty table gives no
-    rows. Other columns pass through. The same rows give the same copies in
-    every run.
+    rows. Other columns pass through. The same rows give the same copies in every
+    run; ``tie`` names columns that order rows of equal size and id.
     """
     total = targets(df.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most)
     total = total.select(F.col("source").alias("_source"), "source_size", "target")
-    d = with_rank(df, [F.col("source")], [F.col("size"), F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], "_rank")
+    d = with_rank(df, [F.col("source")], [F.col("size"), F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), *[F.col(c) for c in tie]], "_rank")
     d = d.join(total, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset(F.col("source"), seed)
@@ -78,15 +78,33 @@ def mix(df: DataFrame, seed: int = 10, weights: tuple[int, ...] = WEIGHTS, perce
 
 def mix_documents(docs: DataFrame, seed: int = 10) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of whole documents; size counts words."""
-    d = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    return mix(d, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return _mixed(docs, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def _mixed(docs: DataFrame, seed: int) -> DataFrame:
+    d = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("_th"))
+    return mix(d, seed, tie=("_th",))
 
 
 def take(docs: DataFrame, seed: int = 10) -> DataFrame:
-    """The mix itself: each document's row as often as it is copied, with its columns."""
-    d = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
-    d = mix(d, seed).filter("copies > 0").withColumn("_i", F.explode(F.expr("sequence(1L, copies)")))
-    return d.select("_row.*")
+    """The mix itself: each document's row as often as it is copied, with its columns as they are.
+
+    Only ids, sizes and text hashes are ranked; the copies are joined back to the rows.
+    Rows of equal id and text (or several without an id and of one text) cannot be told
+    apart by that; a table that has such rows is ranked with its rows whole.
+    """
+    names = docs.columns
+    d = _mixed(docs, seed).select("doc_id", "_th", "copies")
+    twice = docs.select("doc_id", F.xxhash64("text").alias("_th")).groupBy("doc_id", "_th").count().filter("count > 1")
+    if twice.take(1):
+        d = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(*names).alias("_th"), F.struct(*names).alias("_row"))
+        d = mix(d, seed, tie=("_th",)).filter("copies > 0").withColumn("_i", F.explode(F.expr("sequence(1L, copies)")))
+        return d.select("_row.*")
+    d = d.filter("copies > 0").select(F.col("doc_id").alias("_ov_id"), F.col("_th").alias("_ov_th"), F.col("copies").alias("_ov_copies"))
+    # Missing ids join as one more value; plain equality, so that texts need no sort.
+    null = F.lit(-1).cast("long")
+    same = (F.coalesce(F.col("doc_id").cast("long"), null) == F.coalesce(F.col("_ov_id").cast("long"), null)) & (F.col("doc_id").isNull() == F.col("_ov_id").isNull()) & (F.xxhash64("text") == F.col("_ov_th"))
+    return docs.join(d.hint("shuffle_hash"), same).withColumn("_ov_i", F.explode(F.expr("sequence(1L, _ov_copies)"))).select(*names)
 
 
 ORACLE = r"""
