@@ -7,9 +7,11 @@ product with a code is a few AND and POPCOUNT steps. The estimate has a known
 spread; vectors whose upper bound reaches the query's fifth best exact score so
 far are reranked on the original vectors in double precision.
 
-Queries are broadcast in blocks of bounded size and every block meets all rows
-where they lie, so vectors are never shuffled; each task keeps the best few of each
-query.
+Queries are broadcast in blocks of bounded size, one at a time, and every block meets
+all rows where they lie, so vectors are never shuffled; each task keeps the best few of
+each query. Where there are several blocks, a block's results are checkpointed and its
+broadcast is destroyed before the next one is gathered, so the driver and each executor
+hold one block however many queries there are.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow
+from .common import checkpointed, map_arrow
 from .vectors import matrices, units, usable
 
 #: Bits of a query's components; standard deviations of room; bytes of a query block.
@@ -165,7 +167,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block_bytes: int
             for t in best.values():
                 yield pa.RecordBatch.from_arrays([pa.array(t.q.ids[t.query]), pa.array(t.id), pa.array(t.score)], names=["query_id", "vec_id", "score"])
 
-        parts.append(map_arrow(vectors, run, schema))
+        part = map_arrow(vectors, run, schema)
+        if blocks > 1:
+            part = checkpointed(_best(part, k).select("query_id", "vec_id", "score"))
+            shared.destroy()
+        parts.append(part)
     found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank; tasks gave k each."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -54,9 +54,14 @@ def curve(bins: list[Column], bits: int) -> Column:
     return F.element_at(F.split(F.lit(table), ",").cast("array<int>"), (cell + 1).cast("int"))
 
 
-def sortable(c: Column) -> Column:
-    """A string's first six bytes as a number, in byte order; null is -1."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def with_place(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Add ``out``: the place of a string among the table's distinct values by code point, as a double; null comes first.
+
+    The values are numbered without a window over all of them, and the join back is one
+    that adaptive execution can split where a value is hot.
+    """
+    values = with_rank(df.select(F.col(value).alias("_ov_v")).distinct(), [], [F.col("_ov_v").asc_nulls_first()], "_ov_place")
+    return df.join(values, F.col(value).eqNullSafe(F.col("_ov_v"))).drop("_ov_v").withColumn(out, F.col("_ov_place").cast("double")).drop("_ov_place")
 
 
 def hilbert_shards(df: DataFrame, dims: list[Column], size: Column, tie: list[Column], shards: int = 16, bits: int = 4, law: str = "rows") -> DataFrame:
@@ -67,38 +72,44 @@ def hilbert_shards(df: DataFrame, dims: list[Column], size: Column, tie: list[Co
     law: ``rows`` cuts runs whose counts differ by one at most; ``bytes`` cuts where
     the running sum of ``size`` passes each shard's share, so sizes differ by one
     row's size at most. Nulls, empty and very long texts need no special
-    case: only their numbers are used. An empty table gives no rows.
+    case: only their numbers are used. Repeated rows are rows of their own. Other
+    columns pass through; ones named curve, shard or slot, in any case, are replaced.
+    An empty table gives no rows.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(law)
     n = 1 << bits
+    dims = list(dims)
+    df = df.select("*", *[c.alias(f"_ov_d{i}") for i, c in enumerate(dims)], size.alias("_ov_size"), *[c.alias(f"_ov_t{i}") for i, c in enumerate(tie)])
+    df, dims, tie = df.drop("curve", "shard", "slot"), [F.col(f"_ov_d{i}") for i in range(len(dims))], [F.col(f"_ov_t{i}") for i in range(len(tie))]
     cuts = df.agg(*[F.percentile_approx(d, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(5000)).alias(f"d{i}") for i, d in enumerate(dims)]).first()
     bins = [reduce(lambda a, b: a + b, [(d > F.lit(float(c))).cast("int") for c in (cuts[i] or [0.0])]) for i, d in enumerate(dims)]
-    d = df.withColumn("curve", curve(bins, bits)).withColumn("_size", size)
-    d = with_rank(d, [], [F.col("curve"), *tie], "_rank", "_total")
+    d = df.withColumn("curve", curve(bins, bits))
+    d = with_rank(d, [], [F.col("curve"), *tie], "_ov_rank", "_ov_total")
     if law == "rows":
         # Shard s takes ranks from ceil(s*N/S) on: counts differ by one at most.
-        d = d.withColumn("shard", F.floor(F.col("_rank") * shards / F.col("_total")).cast("int"))
-        d = d.withColumn("slot", F.col("_rank") - F.ceil(F.col("shard") * F.col("_total") / shards))
-        return d.drop("_size", "_rank", "_total")
-    return _by_bytes(d, shards)
+        d = d.withColumn("shard", F.floor(F.col("_ov_rank") * shards / F.col("_ov_total")).cast("int"))
+        d = d.withColumn("slot", F.col("_ov_rank") - F.ceil(F.col("shard") * F.col("_ov_total") / shards))
+        return d.drop(*[c for c in d.columns if c.startswith("_ov_")])
+    d = _by_bytes(d, shards)
+    return d.drop(*[c for c in d.columns if c.startswith("_ov_")])
 
 
 def _by_bytes(d: DataFrame, shards: int, block: int = 256) -> DataFrame:
     """Cut at running byte sums: block sums of the numbered rows are prefix-summed, then rows inside each block."""
-    d = d.withColumn("_block", F.floor(F.col("_rank") / block))
-    sums = d.groupBy("_block").agg(F.sum("_size").alias("_b")).withColumn("_super", F.floor(F.col("_block") / 4096))
+    d = d.withColumn("_ov_block", F.floor(F.col("_ov_rank") / block))
+    sums = d.groupBy("_ov_block").agg(F.sum("_ov_size").alias("_b")).withColumn("_super", F.floor(F.col("_ov_block") / 4096))
     supers = sums.groupBy("_super").agg(F.sum("_b").alias("_s"))
     w0 = Window.partitionBy(F.lit(0)).orderBy("_super")
-    supers = supers.select("_super", F.coalesce(F.sum("_s").over(w0.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sb"), F.sum("_s").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    w1 = Window.partitionBy("_super").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    supers = supers.select("_super", F.coalesce(F.sum("_s").over(w0.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sb"), F.sum("_s").over(Window.partitionBy(F.lit(0))).alias("_ov_all"))
+    w1 = Window.partitionBy("_super").orderBy("_ov_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_bb", F.coalesce(F.sum("_b").over(w1), F.lit(0))).join(supers, "_super")
-    d = d.join(sums.select("_block", (F.col("_bb") + F.col("_sb")).alias("_before"), "_all"), "_block")
-    w2 = Window.partitionBy("_block").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("_before") + F.coalesce(F.sum("_size").over(w2), F.lit(0))
-    d = d.withColumn("shard", F.least(F.floor(at * shards / F.greatest(F.col("_all"), F.lit(1))), F.lit(shards - 1)).cast("int"))
-    firsts = d.groupBy("shard").agg(F.min("_rank").alias("_f"))
-    return d.join(firsts, "shard").withColumn("slot", F.col("_rank") - F.col("_f")).drop("_size", "_rank", "_total", "_block", "_before", "_all", "_f")
+    d = d.join(sums.select("_ov_block", (F.col("_bb") + F.col("_sb")).alias("_ov_before"), "_ov_all"), "_ov_block")
+    w2 = Window.partitionBy("_ov_block").orderBy("_ov_rank").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_ov_before") + F.coalesce(F.sum("_ov_size").over(w2), F.lit(0))
+    d = d.withColumn("shard", F.least(F.floor(at * shards / F.greatest(F.col("_ov_all"), F.lit(1))), F.lit(shards - 1)).cast("int"))
+    firsts = d.groupBy("shard").agg(F.min("_ov_rank").alias("_ov_f"))
+    return d.join(firsts, "shard").withColumn("slot", F.col("_ov_rank") - F.col("_ov_f"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, law: str = "rows") -> DataFrame:
@@ -110,8 +121,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, law: str = "rows") -> Dat
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-        sortable(F.col("source")).alias("_source"), sortable(F.col("lang")).alias("_lang"),
+        "source", "lang",
     )
+    d = with_place(with_place(d, "source", "_source"), "lang", "_lang")
     out = hilbert_shards(
         d, [F.col("_source"), F.col("_lang"), F.col("size").cast("double")], F.col("size"),
         [F.xxhash64("doc_id", "text_crc32"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards, law=law,

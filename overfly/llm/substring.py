@@ -12,8 +12,10 @@ What travels is counted from the other end: of both anchors and windows the ones
 that occur *once* are kept, since those are exact after one partial aggregation
 and need no join back to their occurrences.
 
-Windows are compared by 128-bit digests. A row is known by doc_id and 24 bits of
-its text's digest, so repeated ids with different texts stay apart.
+Windows are compared by 128-bit digests. A row is known by 88 bits: a hash of its
+doc_id and text and 24 bits of another hash of the text, so rows without an id and
+repeated ids with different texts stay apart. Rows with equal id and text need no telling
+apart: nothing that they hold occurs once.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def _tag(column: pa.Array) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_ov_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_ov_tag", F.xxhash64(F.col("text")).bitwiseAND(F.lit(0xFFFFFF)))
+    return docs.withColumn("_ov_id", F.xxhash64("doc_id", "text")).withColumn("_ov_tag", F.xxhash64(F.lit(2), "text").bitwiseAND(F.lit(0xFFFFFF)))
 
 
 def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -89,8 +91,9 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
     of ``length`` words that covers it occurs at another place too, in the same
     document or another; all windows are judged on the input. Null and empty texts
     have no words and keep the empty text; texts under ``length`` words keep all;
-    a repeated row counts as another place; an empty table gives no rows. Other
-    columns pass through.
+    a repeated row counts as another place; ids that are missing or repeat do no harm;
+    an empty table gives no rows. Other columns pass through; ones of the new names, in
+    any case, are replaced.
     """
     d = _keyed(docs.drop("n_words", "n_removed", "kept"))
 
@@ -124,7 +127,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
     spread = map_arrow(d, windows, "h long, g long, id long, loc long")
     once = spread.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("loc").alias("loc")).filter("n = 1")
     d = d.join(_per_text(once, "_ov_w").hint("shuffle_hash"), ["_ov_id", "_ov_tag"], "left")
-    keep = [f for f in docs.schema.fieldNames() if f not in ("n_words", "n_removed", "kept")]
+    keep = [f for f in docs.schema.fieldNames() if f.lower() not in ("n_words", "n_removed", "kept")]
     schema = extended(docs.select(*keep), n_words="long", n_removed="long", kept="string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
