@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, chunks, hash_spans, mix64, spans
-from .common import extended, map_arrow
+from .common import extended, give_back, map_arrow
 
 #: Words of a chain; bits of the n-gram table; n-gram sizes in bytes, end marks included.
 CHAIN, BITS, GRAMS = 64, 16, (2, 3, 4, 5)
@@ -227,36 +227,49 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part
 
 
-def sample(docs: DataFrame, per_lang: int = 200, most_rows: int = 2400, most_bytes: int = 32_768) -> list:
-    """Training rows (text, lang): about ``per_lang`` documents of each language, fewer each if that makes more than ``most_rows``,
-    but one at least.
+def sample(docs: DataFrame, per_lang: int = 200, most_rows: int = 2400, most_bytes: int = 16 << 20) -> list:
+    """Training rows (text, lang): about ``per_lang`` documents of each language, fewer each if that makes more than ``most_rows``
+    or more than ``most_bytes`` of text, but one of each at least.
 
-    Drawn by a hash of the id from all training rows (not held out, lang not null,
-    some text of at most ``most_bytes`` bytes). Bounded by the number of languages, whatever the input's size.
+    Drawn by a hash of id and text from all training rows (not held out, lang not null,
+    some text), whatever their length: a language takes documents in the order of the
+    draw while they fit in its share of the bytes, and if none fits its shortest drawn
+    one. Equal rows are drawn once. Bounded by the number of languages, whatever the
+    input's size.
     """
-    rows = docs.filter(~held_out(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & F.octet_length("text").between(1, most_bytes))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(draw).alias("least")).orderBy(F.desc("count"), "lang").collect()
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30))
+    rows = docs.filter(~held_out(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(draw.alias("draw"), "lang", "text")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min("draw").alias("least")).collect()
     if not counts:
         return []
-    per_lang = max(1, min(per_lang, most_rows // len(counts)))
+    per_lang, room = max(1, min(per_lang, most_rows // len(counts))), most_bytes // len(counts)
     # A language's least draw is always below its share, so that none goes without a row.
     shares = {r["lang"]: max(r["least"] + 1, min(1 << 30, int((1 << 30) * 1.1 * per_lang / r["count"]))) for r in counts}
     share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("lang")]
-    got = rows.filter(draw < share).select(draw.alias("draw"), "lang", "text").collect()
-    taken: dict[str, int] = {}
-    out = []
-    for r in sorted(got, key=lambda r: (r["draw"], r["lang"], r["text"])):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= per_lang:
-            out.append((r["text"], r["lang"]))
-    return out
+    drawn = rows.filter(F.col("draw") < share)
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in drawn.groupBy("lang", "draw").agg(F.min(F.octet_length("text")).alias("size")).collect():
+        sizes.setdefault(r["lang"], []).append((r["draw"], r["size"]))
+    picked = []
+    for lang, pairs in sizes.items():
+        left, own = room, []
+        for k, size in sorted(pairs):
+            if len(own) < per_lang and size <= left:
+                left -= size
+                own.append((lang, k))
+        picked += own or [(lang, min(pairs, key=lambda p: (p[1], p[0]))[0])]
+    chosen = docs.sparkSession.createDataFrame(picked, "_lang string, _draw long")
+    got = drawn.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & (F.col("draw") == F.col("_draw"))).groupBy("lang", "draw").agg(F.min_by("text", F.octet_length("text")).alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["draw"], r["lang"]))]
 
 
 def fit(docs: DataFrame, **kw) -> Model | None:
     """A model of the documents' languages; None without training rows."""
     rows = sample(docs, **kw)
-    return train([t for t, _ in rows], [g for _, g in rows]) if rows else None
+    model = train([t for t, _ in rows], [g for _, g in rows]) if rows else None
+    del rows
+    give_back()
+    return model
 
 
 def has_letter(data: np.ndarray) -> bool:

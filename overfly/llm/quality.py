@@ -158,7 +158,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Trees:
     """Trees learned from at most ``most`` labelled rows that aren't held out; only their statistics reach the driver."""
-    rows = training_rows(docs.select("doc_id", "text"), labels, "quality", most, 1 << 30)
+    rows = training_rows(docs.select("doc_id", "text"), labels, "quality", most)
     got = with_statistics(rows).select("_y", "stats").toArrow()
     y = np.asarray(got.column("_y")).astype(np.float64)
     x = np.array(got.column("stats").to_pylist(), dtype=np.float64).reshape(len(y), len(NAMES))

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, hash_spans, ramp, spans
-from .common import extended, map_arrow
+from .common import extended, give_back, map_arrow
 from .labelled import training_rows
 from .langcrf import LETTER, held_out, lower
 
 BITS, DIM, FILTERS, WIDTHS, PARTS, PREFIX = 16, 12, 8, (1, 2, 3), 4, 6
 SLOTS = 1 << BITS
-MOST, MOST_BYTES = 4000, 32_768
+MOST, MOST_BYTES = 4000, 24 << 20
 #: Bytes of text scored at a time.
 CHUNK = 1 << 19
 
@@ -264,10 +264,13 @@ def thresholds(z: np.ndarray, y: np.ndarray, kind: np.ndarray, n: int) -> np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES) -> Net:
-    """A net learned from at most ``most`` labelled rows of texts up to ``most_bytes`` that aren't held out."""
+    """A net learned from at most ``most`` labelled rows, of ``most_bytes`` of text together, that aren't held out."""
     rows = training_rows(docs.select("doc_id", "text", "lang"), labels, "toxic", most, most_bytes).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"), "_y").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["_y"] for r in rows], dtype=np.float64), [r["lang"] for r in rows])
+    net = train([r["text"] for r in rows], np.array([r["_y"] for r in rows], dtype=np.float64), [r["lang"] for r in rows])
+    del rows
+    give_back()
+    return net
 
 
 def classify(docs: DataFrame, net: Net) -> DataFrame:
