@@ -28,7 +28,7 @@ def test_stages(spark, tmp_path):
         at.append(docs)
     first = [(r["doc_id"], r["text"]) for r in at[0].collect()]
     assert len(first) >= 145
-    assert sorted(r["doc_id"] for r in at[1].collect()) == [d for d, _, _, kept in near_brute(first) if kept]
+    assert sorted(r["doc_id"] for r in at[1].collect()) == sorted(d for d, _, _, kept in near_brute(first) if kept)
     assert at[2].count() <= at[1].count() and at[2].filter(F.length("text") != F.col("n_chars")).count() <= at[1].filter(F.length("text") != F.col("n_chars")).count()
     copies = at[3].groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert 1 <= copies <= 2

@@ -96,13 +96,13 @@ def near_brute(rows):
                     parent[max(a, b)] = min(a, b)
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), d), d)
-    return sorted((d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows))
+        least[find(i)] = min((x for x in (least.get(find(i)), d) if x is not None), default=None)
+    return sorted(((d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows)), key=str)
 
 
 def test_near_duplicates_equal_brute_force(docs, empty):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = sorted(tuple(r) for r in minhash.near_duplicates(docs).collect())
+    got = sorted((tuple(r) for r in minhash.near_duplicates(docs).collect()), key=str)
     assert got == near_brute(rows)
     assert minhash.near_duplicates(empty).count() == 0
     kept = minhash.keep_one(docs)
@@ -123,10 +123,22 @@ def test_large_buckets_are_decided_by_blocks(spark, monkeypatch):
         for k in r.sample(range(100), r.randint(0, 8)):
             w[k] = f"e{r.randint(0, 30)}"
         rows.append((i, " ".join(w)))
-    got = sorted(tuple(x) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted((tuple(x) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == near_brute(rows)
 
 
+def test_near_duplicates_without_ids_and_of_repeated_ids(spark):
+    """Each row is a document: a missing id links like others, an id with two texts has two nodes."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    near = lambda w: " ".join([*w[:20], "other", *w[21:]])
+    rows = [(1, " ".join(a)), (None, near(a)), (3, " ".join(b)), (5, near(a)), (5, near(b)), (None, "all of this is alone here"), (None, "all of this is alone here"), (None, None), (7, ""), (5, near(b))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x) for x in minhash.near_duplicates(d).collect()), key=str)
+    assert got == near_brute(rows)
+    kept = sorted((tuple(x) for x in minhash.keep_one(d).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[5], rows[7], rows[8]], key=str)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
