@@ -40,13 +40,17 @@ QA = "count(*) AS n, count(*) FILTER (WHERE regexp_matches(caption, '(?i)(^|{e})
 
 @query(sql(f"SELECT coalesce(flight, 'ALL') AS flight, {QA} FROM (SELECT *, len(regexp_extract_all(caption, '\\S+')) AS w FROM captions) GROUP BY GROUPING SETS ((flight), ())", "captions"))
 def caption_qa(spark, d):
-    w = F.col("w")
-    x = captions(spark, d).withColumn("w", T.word_count(F.col("caption")))
+    c, w = F.col("caption"), F.col("w")
     lo, hi = K.CAPTION_WORDS
+    # Texts are looked at once, before the rows are doubled for the totals; copies are told by digests.
+    x = captions(spark, d).select(
+        "flight", T.word_count(c).alias("w"), T.has_word(c, (*K.COLOR_WORDS, "shadows?"), K.COLOR_SUFFIX).alias("leak"), T.has_word(c, K.BANNED_WORDS).alias("ban"),
+        F.md5(c).alias("digest"), (F.trim(c) == "").alias("none"),
+    )
     return x.rollup("flight").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(T.has_word(F.col("caption"), (*K.COLOR_WORDS, "shadows?"), K.COLOR_SUFFIX)).alias("leaks"), F.count_if(T.has_word(F.col("caption"), K.BANNED_WORDS)).alias("banned"),
-        (F.count(F.lit(1)) - F.count_distinct("caption")).alias("dupes"), F.count_if(F.trim("caption") == "").alias("empty"), F.min(w).cast("long").alias("len_min"),
-        F.round(F.avg(w), 6).alias("len_mean"), F.max(w).cast("long").alias("len_max"), F.count_if((w < lo) | (w > hi)).alias("outliers"),
+        F.count(F.lit(1)).alias("n"), F.count_if("leak").alias("leaks"), F.count_if("ban").alias("banned"), (F.count(F.lit(1)) - F.count_distinct("digest")).alias("dupes"),
+        F.count_if("none").alias("empty"), F.min(w).cast("long").alias("len_min"), F.round(F.avg(w), 6).alias("len_mean"), F.max(w).cast("long").alias("len_max"),
+        F.count_if((w < lo) | (w > hi)).alias("outliers"),
     ).withColumn("flight", F.coalesce("flight", F.lit("ALL")))
 
 

@@ -231,7 +231,36 @@ def loopback_grid(spark, d):
     return x.select("seq", F.size("p").alias("n"), digest.alias("digest"))
 
 
-@query()
+#: CRC-32 for DuckDB, which has none: the byte table by its rule (eight shifts of the reflected polynomial), and a fold over a key's ASCII bytes.
+CRC_TABLE = "crc_rule AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_rule WHERE k < 8), crc_table AS (SELECT list(c ORDER BY i) AS tbl FROM crc_rule WHERE k = 8)"
+
+
+def _crc(key: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({key}, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])))"
+
+
+GREEDY = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY conf DESC, k1, k2, k3) AS i, CAST(floor(x0/8) AS BIGINT)*1000 + CAST(floor(y0/8) AS BIGINT) AS a, CAST(floor(x1/8) AS BIGINT)*1000 + CAST(floor(y1/8) AS BIGINT) AS b FROM correspondences),
+  g AS (SELECT pair, 0::BIGINT AS i, []::BIGINT[] AS l, []::BIGINT[] AS r, false AS keep FROM o GROUP BY pair
+    UNION ALL SELECT o.pair, o.i, CASE WHEN ok THEN list_append(l, a) ELSE l END, CASE WHEN ok THEN list_append(r, b) ELSE r END, ok
+    FROM (SELECT o.*, g.l, g.r, NOT list_contains(g.l, o.a) AND NOT list_contains(g.r, o.b) AS ok FROM g JOIN o ON o.pair = g.pair AND o.i = g.i + 1) o)
+  SELECT o.pair, x0, y0, x1, y1, conf, k1, k2, k3 FROM o JOIN g ON g.pair = o.pair AND g.i = o.i WHERE keep"""
+
+LEGS = """WITH RECURSIVE o AS (SELECT flight, phi1 AS h, (seq*17 % 101 - 50)/5.0::DOUBLE AS res, row_number() OVER (PARTITION BY flight ORDER BY seq) AS i FROM frames),
+  g AS (SELECT flight, 0::BIGINT AS i, []::DOUBLE[] AS c, []::DOUBLE[] AS s, 0::BIGINT AS k FROM o GROUP BY flight
+    UNION ALL SELECT flight, i, CASE WHEN hit IS NULL THEN list_append(c, cos(radians(h))) ELSE list_transform(c, lambda v, j: CASE WHEN j = hit THEN v + cos(radians(h)) ELSE v END) END,
+      CASE WHEN hit IS NULL THEN list_append(s, sin(radians(h))) ELSE list_transform(s, lambda v, j: CASE WHEN j = hit THEN v + sin(radians(h)) ELSE v END) END, coalesce(hit, len(c) + 1)
+    FROM (SELECT o.flight, o.i, o.h, g.c, g.s, list_filter(range(1, len(g.c) + 1), lambda j: abs(((o.h - degrees(atan2(g.s[j], g.c[j])) + 180) % 360 + 360) % 360 - 180) < 45)[1] AS hit FROM g JOIN o ON o.flight = g.flight AND o.i = g.i + 1)),
+  m AS (SELECT g.flight, g.k, sum(cos(radians(h))) AS c, sum(sin(radians(h))) AS s, median(res) AS res, count(*) AS n FROM g JOIN o ON o.flight = g.flight AND o.i = g.i GROUP BY ALL)
+  SELECT flight, CAST(k - 1 AS INTEGER) AS leg, round(degrees(atan2(s, c)), 1) AS heading, round(res, 1) AS "offset", CAST(n AS INTEGER) AS n FROM m WHERE n >= 3"""
+
+SPREAD = """WITH RECURSIVE o AS (SELECT flight, seq, seq % 5 <> 0 AS ok, row_number() OVER (PARTITION BY flight ORDER BY seq) - 1 AS p, count(*) OVER (PARTITION BY flight) AS n FROM frames),
+  g AS (SELECT flight, 0 AS j, []::BIGINT[] AS used FROM o GROUP BY flight
+    UNION ALL SELECT g.flight, g.j + 1, list_append(any_value(g.used), arg_min(o.p, (abs(o.p - CAST(floor((g.j + 0.5::DOUBLE)*o.n/6) AS BIGINT)), o.p))) FROM g JOIN o ON o.flight = g.flight WHERE g.j < 6 AND o.ok AND NOT list_contains(g.used, o.p) GROUP BY g.flight, g.j),
+  u AS (SELECT flight, unnest(arg_max(used, j)) AS p FROM g GROUP BY flight)
+  SELECT o.flight, o.seq, CAST(row_number() OVER (PARTITION BY o.flight ORDER BY o.p) - 1 AS INTEGER) AS slot FROM u JOIN o ON o.flight = u.flight AND o.p = u.p"""
+
+
+@query(sql(GREEDY, "correspondences"))
 def greedy_dedup(spark, d):
     return fit.greedy_one_to_one(correspondences(spark, d))
 
@@ -241,13 +270,13 @@ def ransac_fit(spark, d):
     return fit.ransac_similarity(correspondences(spark, d))
 
 
-@query()
+@query(sql(LEGS, "frames"))
 def leg_clusters(spark, d):
     x = frames(spark, d).select("flight", "seq", F.col("phi1").alias("heading"), ((F.col("seq") * 17 % 101 - 50) / 5.0).alias("residual"))
     return fit.leg_clusters(x)
 
 
-@query()
+@query(sql(SPREAD, "frames"))
 def spread_choice(spark, d):
     return fit.spread_choice(frames(spark, d).select("flight", "seq", (F.col("seq") % 5 != 0).alias("accepted")), 6)
 
@@ -264,7 +293,7 @@ def homography_inliers(spark, d):
     return fit.ransac_homography(correspondences(spark, d), most=K.TOP_MATCHES).select("pair", "k1", "k2", "k3", "conf", "h")
 
 
-@query()
+@query(sql(f"WITH RECURSIVE {CRC_TABLE} SELECT flight, filename, CASE WHEN {_crc("'mix/' || flight || '/' || filename")} % 100 < 30 THEN 'true' ELSE 'jitter' END AS mode FROM frames, crc_table", "frames"))
 def hash_route(spark, d):
     """Rows on true positions or on jittered ones, by the CRC-32 of their key."""
     return frames(spark, d).select("flight", "filename", fit.offset_mode(F.col("flight"), F.col("filename"), "mix", 30).alias("mode"))

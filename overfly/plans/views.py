@@ -118,4 +118,6 @@ def sql(body: str, *views: str) -> str:
     head = ", ".join(f"{v} AS MATERIALIZED ({SQL[v]})" for v in order)
     if not head:
         return body
-    return f"WITH {head}{', ' + body[5:] if body.upper().startswith('WITH ') else ' ' + body}"
+    again = "RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else ""
+    body = ", " + body[5 + len(again) :] if body.upper().startswith("WITH ") else " " + body
+    return f"WITH {again}{head}{body}"
