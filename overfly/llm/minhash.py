@@ -368,3 +368,26 @@ def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     # Rows that differ in other columns alone: the least hash of the whole row decides, the same in every run.
     twice = out.join(again, F.col("doc_id") == F.col("_ov_r"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*out.columns), F.struct(F.xxhash64(*out.columns))).alias("_ov_row")).select("_ov_row.*")
     return out.join(again, F.col("doc_id") == F.col("_ov_r"), "left_anti").unionByName(twice)
+
+
+#: The same rows by all pairs that share a shingle, and what is reachable over their links.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), g AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT rid, count(*) AS k FROM g GROUP BY rid
+), c AS (
+  SELECT a.rid AS u, b.rid AS v, count(*) AS m FROM g a JOIN g b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL
+), l AS (
+  SELECT u, v FROM c JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * m >= 75 * (x.k + y.k - m)
+), e AS (
+  SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+), reach AS (
+  SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.v FROM reach r JOIN e ON r.b = e.u
+), least AS (
+  SELECT a AS rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.rid = b GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN least USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -68,4 +68,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_systematic_mixing": mixing.ORACLE}
+    return {
+        "op2_seed_and_extend": substring.ORACLE, "op3_minhash": minhash.ORACLE, "op7_pivot_range_join": rangejoin.ORACLE,
+        "op10_systematic_mixing": mixing.ORACLE,
+    }

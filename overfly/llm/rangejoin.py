@@ -252,3 +252,22 @@ def linked(h: np.ndarray, hid: np.ndarray, hm: np.ndarray, g: np.ndarray, gid: n
                 label[np.isin(label, roots[1:])] = roots[0]
     moved = np.flatnonzero(label != np.arange(len(ids)))
     return here, there, (ids[moved], ids[label[moved]])
+
+
+#: The same rows by all pairs of vectors of one length.
+ORACLE = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), u AS (
+  SELECT rid, x, sqrt(list_inner_product(x, x)) AS n FROM d WHERE len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0
+), e AS (
+  SELECT a.rid AS u, b.rid AS v FROM u a JOIN u b ON len(a.x) = len(b.x) AND a.rid <> b.rid WHERE list_inner_product(a.x, b.x)/(a.n*b.n) >= 0.9
+), reach AS (
+  SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.v FROM reach r JOIN e ON r.b = e.u
+), least AS (
+  SELECT a AS rid, min(o.vec_id) AS component_id FROM reach JOIN d o ON o.rid = b GROUP BY a
+), k AS (
+  SELECT u AS rid, count(*) AS n FROM e GROUP BY u
+)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN least USING (rid) LEFT JOIN k USING (rid)
+"""

@@ -188,3 +188,22 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of whole texts."""
     d = removals(docs.select("doc_id", "text"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+#: The same rows by plain windows: every 35 words as one string, counted over all documents.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), x AS (
+  SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), r AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY win) AS n FROM x
+), gone AS (
+  SELECT DISTINCT rid, i + k AS p FROM r, range(35) t(k) WHERE n > 1
+), word AS (
+  SELECT rid, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT rid, string_agg(v, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
