@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, looked_up
+from .common import checkpointed, looked_up, reclaim
 
 
 def _minima(e: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Minima come from partial aggregates and travel back by joins that Spark can
     split, so a hub with a third of all edges is no single task's work. Each round
-    ends in a reliable checkpoint; rounds grow with the logarithm of the size.
+    ends in a reliable checkpoint, after which the files of the round before can go;
+    rounds grow with the logarithm of the size.
     """
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen = None
@@ -40,4 +41,5 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if state == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state
+        reclaim(e.sparkSession)
     raise RuntimeError(f"components did not settle in {most} rounds")
