@@ -54,3 +54,6 @@ OUTER_COMMAS = r"^,+|,+$"
 # Names of job archives (job number, variant) and of result files (method).
 ARCHIVE_NAME = r"^zz_(\d+)_(.+)\.tar$"
 RESULT_NAME = r"visloc_(.+)_results\.csv$"
+
+# Where a flight's map, images, frames and the maps' corners lie below the data folder.
+FLIGHT_FILES = {"map": "{flight}/satellite{flight}.tif", "images": "{flight}/drone", "frames": "{flight}/{flight}.csv", "corners": "satellite_ coordinates_range.csv"}

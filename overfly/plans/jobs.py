@@ -322,3 +322,21 @@ def stand_in_match(spark, d):
 
     x = adapters.match(frames(spark, d).select("flight", "filename", "seq"), adapters.stand_in_matcher, ["flight", "filename", "seq"])
     return x.select("flight", "filename", "seq", F.col("raw").cast("long").alias("raw"), F.col("inliers").cast("long").alias("inliers"), F.col("h")[2].alias("tx"), F.col("h")[5].alias("ty"), "t_match_ms")
+
+
+@query(sql("SELECT flight, filename, seq % 7 AS e0, seq % 11 AS e1, CASE WHEN seq % 3 <> 0 THEN round(length(filename)/sqrt(length(filename)*length(filename) + 1)::DOUBLE, 5) END AS t0 FROM frames", "frames"))
+def stand_in_encode(spark, d):
+    """The encoder boundary with a stand-in bundle: an image vector for each frame, a text vector where there is a caption."""
+    from ..sources import adapters
+
+    x = frames(spark, d).select("flight", "filename", "seq", F.when(F.col("seq") % 3 != 0, F.col("filename")).alias("caption"))
+    x = adapters.encode_both(x, adapters.stand_in_encoders, "seq", "caption")
+    return x.select("flight", "filename", F.col("emb")[0].cast("long").alias("e0"), F.col("emb")[1].cast("long").alias("e1"), F.round(F.col("text_emb")[0].cast("double"), 5).alias("t0"))
+
+
+@query(sql("SELECT flight, filename, CASE WHEN seq % 13 <> 0 THEN 'fields along road ' || CAST(seq % 100 AS VARCHAR) END AS caption FROM frames", "frames"))
+def stand_in_caption(spark, d):
+    """The captioner boundary with a stand-in that fails on some frames: retried, then left without a caption."""
+    from ..sources import adapters
+
+    return adapters.caption(frames(spark, d).select("flight", "filename", "seq"), adapters.stand_in_captioner, "seq", wait=0.0).select("flight", "filename", "caption")

@@ -191,6 +191,18 @@ def sim_hist(spark, d):
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("same")), 6))
 
 
+@query(res_sql(", t AS (SELECT query_id, max(sim) AS top FROM rk WHERE rk = 0 GROUP BY 1), x AS (SELECT top, gt_tile_rank = 0 AS hit, min(top) OVER () AS lo, (max(top) OVER () - min(top) OVER ())/29 AS width FROM res JOIN t USING (query_id)), b AS (SELECT hit, CAST(CASE WHEN width > 0 THEN least(28, floor((top - lo)/width)) ELSE 0 END AS BIGINT) AS bin, any_value(width) AS width, count(*) AS n FROM x GROUP BY 1, 2) SELECT hit, bin, n, round(n/(sum(n) OVER (PARTITION BY hit)*nullif(width, 0)), 4) AS density FROM b"))
+def confidence_hist(spark, d):
+    """Densities of the first tile's similarity in 29 bins between its extremes, for right and wrong first tiles."""
+    top = knn.top_k(gallery(spark, d), queries(spark, d), 1).select("query_id", F.col("sim").alias("top"))
+    x = ranks(spark, d).join(top, "query_id").select("top", (F.col("gt_tile_rank") == 0).alias("hit"))
+    ends = x.agg(F.min("top").alias("lo"), ((F.max("top") - F.min("top")) / 29).alias("width"))
+    place = F.when(F.col("width") > 0, F.least(F.lit(28), F.floor((F.col("top") - F.col("lo")) / F.col("width")))).otherwise(0).cast("long")
+    g = x.join(F.broadcast(ends), F.lit(True)).groupBy("hit", place.alias("bin")).agg(F.max("width").alias("width"), F.count(F.lit(1)).alias("n"))
+    # Windows over 58 bins at most.
+    return g.select("hit", "bin", "n", F.round(F.try_divide(F.col("n").cast("double"), F.sum("n").over(Window.partitionBy("hit")) * F.col("width")), 4).alias("density"))
+
+
 @query(sql("SELECT query_id, best AS tile_id, s1, s2 FROM (SELECT query_id, max(CASE WHEN k = 1 THEN tile_id END) AS best, max(CASE WHEN k = 1 THEN round(1 - sim, 6) END) AS s1, max(CASE WHEN k = 2 THEN round(1 - sim, 6) END) AS s2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, tile_id) AS k FROM sims) WHERE k <= 2 GROUP BY query_id HAVING count(*) = 2) WHERE s1 < 0.95::DOUBLE*s2", "sims"))
 def ratio_test(spark, d):
     """Keep a query's best match if it is clearly nearer than the second."""
@@ -384,3 +396,24 @@ def resume_pending(spark, d):
     """Queries that are not finished yet: an anti-join against those with enough candidate rows."""
     done = candidates(spark, d).filter("(query_id + tile_id) % 11 <> 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 19")
     return queries(spark, d).select("query_id").join(done, "query_id", "left_anti")
+
+
+@query(sql(f"{STATS} SELECT k AS rank, CAST(count(query_id) AS BIGINT) AS n FROM range(1, 21) t(k) LEFT JOIN qs ON rank_of_top1 = k GROUP BY k", "sims"))
+def rank_hist(spark, d):
+    """Where the most similar tile stands among the 20 candidates by inliers: counts for every rank, empty ones too."""
+    g = stats(spark, d).groupBy(F.col("rank_of_top1").cast("long").alias("rank")).agg(F.count(F.lit(1)).alias("m"))
+    return spark.range(1, 21).withColumnRenamed("id", "rank").join(g, "rank", "left").select("rank", F.coalesce("m", F.lit(0)).alias("n"))
+
+
+def _ncc_sql(a, b):
+    mean = lambda v: f"list_transform({v}, lambda x: x - list_sum({v})/64)"
+    p, q = mean(a), mean(b)
+    return f"list_inner_product({p}, {q})/(sqrt(list_inner_product({p}, {p}))*sqrt(list_inner_product({q}, {q})))"
+
+
+@query(sql(f"SELECT variant, count(*) AS n, round(avg(v), 6) AS ncc_mean, round(min(v), 6) AS ncc_min FROM (SELECT unnest(['+yaw', '-yaw']) AS variant, unnest([{_ncc_sql('e', 'm')}, {_ncc_sql('e', 'o')}]) AS v FROM (SELECT emb::DOUBLE[] AS e, list_reverse(emb::DOUBLE[]) AS o, list_transform(range(1, 65), lambda i: 0.8::DOUBLE*emb[i] + 0.2::DOUBLE*emb[65 - i]) AS m FROM gallery)) GROUP BY variant", "gallery"))
+def ncc_summary(spark, d):
+    """Mean and least normalised correlation of each geometry variant: a right sign stays near 1."""
+    g = gallery(spark, d).select(V.ncc(F.col("emb"), V.fuse(F.col("emb"), _text_vec(), F.lit(0.8))).alias("+yaw"), V.ncc(F.col("emb"), _text_vec()).alias("-yaw"))
+    g = g.select(F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("v")) for v in ("+yaw", "-yaw")])).alias("x")).select("x.*")
+    return g.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("ncc_mean"), F.round(F.min("v"), 6).alias("ncc_min"))

@@ -41,8 +41,8 @@ def encode(images: DataFrame, factory: Callable[[], Callable[[pd.Series], list]]
     return images.mapInPandas(run, schema)
 
 
-def caption(images: DataFrame, factory: Callable[[], Callable[[object], str]], column: str, tries: int = 3) -> DataFrame:
-    """Run a captioner with retries, waiting 1, 2, 4 ... seconds; a row that keeps failing gets a null caption."""
+def caption(images: DataFrame, factory: Callable[[], Callable[[object], str]], column: str, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """Run a captioner with retries, waiting ``wait`` seconds and twice as long each time; a row that keeps failing gets a null caption."""
     schema = ", ".join(f"`{k}` {t}" for k, t in images.dtypes) + ", caption string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,7 +56,7 @@ def caption(images: DataFrame, factory: Callable[[], Callable[[object], str]], c
                     return model(x)
                 except Exception:  # noqa: BLE001
                     if i < tries - 1:
-                        time.sleep(2**i)
+                        time.sleep(wait * 2**i)
             return None
 
         for b in batches:
@@ -65,6 +65,43 @@ def caption(images: DataFrame, factory: Callable[[], Callable[[object], str]], c
     return images.mapInPandas(run, schema)
 
 
+def encode_both(rows: DataFrame, factory: Callable[[], tuple[Callable[[pd.Series], list], Callable[[pd.Series], list]]], image: str, text: str) -> DataFrame:
+    """Run a bundle of an image and a text encoder that share their vectors' space: ``emb`` and ``text_emb``, the latter scaled to length 1.
+
+    The factory returns both functions of one loaded model. A row without a text gets a null ``text_emb``.
+    """
+    schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes) + ", emb array<float>, text_emb array<float>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        both = None
+        for b in batches:
+            both = both or factory()
+            some = b[text].notna()
+            vectors = iter(both[1](b.loc[some, text]) if some.any() else [])
+            unit = lambda v: (np.asarray(v, np.float64) / (np.linalg.norm(v) + 1e-12)).tolist()
+            yield b.assign(emb=list(both[0](b[image])), text_emb=[unit(next(vectors)) if x else None for x in some])
+
+    return rows.mapInPandas(run, schema)
+
+
+def stand_in_encoders() -> tuple[Callable[[pd.Series], list], Callable[[pd.Series], list]]:
+    """An encoder bundle without a model: vectors that follow from a number and from a text's length alone."""
+    return (lambda s: [[float(i % 7), float(i % 11), 1.0] for i in s]), (lambda s: [[float(len(t)), 1.0, 0.0] for t in s])
+
+
+def stand_in_captioner() -> Callable[[object], str]:
+    """A captioner without a model; numbers divisible by 13 fail, as a model may."""
+
+    def one(i):
+        if int(i) % 13 == 0:
+            raise ValueError("no caption")
+        return f"fields along road {int(i) % 100}"
+
+    return one
+
+
 def stand_in_matcher() -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A matcher without a model: counts and a shift that follow from seq alone."""
 

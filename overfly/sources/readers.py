@@ -16,6 +16,11 @@ MAPS = "mapname string, LT_lat_map double, LT_lon_map double, RB_lat_map double,
 CAPTIONS = "flight string, filename string, tile_id int, caption string"
 
 
+def flight_paths(flight: str, root: str) -> dict[str, str]:
+    """Paths of a flight's map, images, frames and of the corners of all maps."""
+    return {k: f"{root.rstrip('/')}/{v.format(flight=flight)}" for k, v in K.FLIGHT_FILES.items()}
+
+
 def in_file_order(d: DataFrame) -> DataFrame:
     """Add ``file_path`` and ``_at``, which orders a file's rows as they stand in it, however the file is split and read.
 

@@ -214,3 +214,20 @@ def test_radius_join_at_high_latitudes_and_over_the_date_line(spark):
     got = {(r["i"], r["j"]) for r in spatial.radius_join(d, e, ("a", "b"), ("c", "e"), 700.0).collect()}
     assert got == {(p[0], q[0]) for p in pts for q in pts if hav(p, q) <= 700}
     assert {(100, 101), (102, 103)} <= got
+
+
+def test_ranked_equals_a_window(spark):
+    """Places and running sums of groups of very different sizes, a null group among them."""
+    from overfly.operators.store import ranked
+
+    rows = [(("a" if i % 3 else "b") if i % 50 else None, i * 7919 % 2003, i % 5) for i in range(2003)]
+    d = spark.createDataFrame(rows, "g string, o int, v int").repartition(5)
+    got = {(r["g"], r["o"]): (r["r"], r["s"]) for r in ranked(d, ["g"], [F.col("o")], "r", {"s": F.col("v")}).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        total = 0
+        for k, (_, o, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1])):
+            total += v
+            want[(g, o)] = (k, total)
+    assert got == want
+    assert ranked(d.limit(0), ["g"], [F.col("o")], "r").count() == 0

@@ -77,6 +77,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "7" / "7.csv").write_text("filename,lat,lon,height,Phi1,date\na.JPG,30.5,115.5,400,,2020-01-01T00\nb.JPG,30.6,115.6,x,12,\n")
     r = readers.frame_csv(spark, str(tmp_path / "7" / "7.csv")).orderBy("seq").collect()
     assert [(x["flight"], x["filename"], x["height"], x["Phi1"]) for x in r] == [("07", "a.JPG", 400.0, 0.0), ("07", "b.JPG", None, 12.0)]
+    at = readers.flight_paths("07", "data/")
+    assert (at["map"], at["frames"], at["images"]) == ("data/07/satellite07.tif", "data/07/07.csv", "data/07/drone") and at["corners"].startswith("data/satellite_")
     (tmp_path / "m.csv").write_text("mapname,LT_lat_map,LT_lon_map,RB_lat_map,RB_lon_map,region,w,h\na.tif,2,1,1,2,r,10,20\n")
     with pytest.raises(KeyError):
         readers.map_csv(spark, str(tmp_path / "m.csv"), "b.tif")
