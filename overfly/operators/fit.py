@@ -163,13 +163,13 @@ def most_confident(d: DataFrame, most: int, key: str = "pair", order: tuple[str,
     return d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
 
 
-def looped_back(hm: list[Column], back: list[Column], width: int, height: int, scale: int, real: tuple[int, int]) -> Column:
-    """Coarse cells (i, j) of a pair of images whose centres' grid points return: an array of structs.
+def looped_back(d: DataFrame, hm: list[Column], back: list[Column], width: int, height: int, scale: int, real: tuple[int, int]) -> DataFrame:
+    """A row for each coarse cell of each pair of images whose grid point returns: the rows' columns, i and j.
 
     Cell i's point goes through ``hm`` to the nearest cell j of the other grid (half-even;
     outside the real frame: cell 0), and j's through ``back``; i is kept if it comes back,
     lies in the real frame and is not cell 0. Each side is a function of the cell alone, so
-    no join is needed.
+    no join is needed, and all of it stays in generated code.
     """
     w, h = width // scale, height // scale
     rw, rh = real[0] // scale, real[1] // scale
@@ -179,9 +179,10 @@ def looped_back(hm: list[Column], back: list[Column], width: int, height: int, s
         c, r = F.bround(x / float(scale), 0), F.bround(y / float(scale), 0)
         return F.when(in_box(c, r, rw, rh), c + r * w).otherwise(F.lit(0.0)).cast("int")
 
-    cells = F.transform(F.sequence(F.lit(1), F.lit(w * h - 1)), lambda i: F.struct(i.alias("i"), to(hm, i).alias("j")))
-    home = F.transform(cells, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), to(back, c["j"]).alias("k")))
-    return F.filter(home, lambda c: (c["k"] == c["i"]) & (F.pmod(c["i"], F.lit(w)) < rw) & (F.floor(c["i"] / w) < rh))
+    i = F.col("i")
+    x = d.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(w * h - 1))))
+    x = x.filter((F.pmod(i, F.lit(w)) < rw) & (F.floor(i / w) < rh)).withColumn("j", to(hm, i))
+    return x.filter(to(back, F.col("j")) == i)
 
 
 def offset_mode(flight: Column, name: Column, mode: str, share: int) -> Column:

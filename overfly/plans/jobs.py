@@ -225,10 +225,8 @@ LOOP_SQL = """WITH h AS (SELECT seq, s*cos(r) AS h0, -s*sin(r) AS h1, (seq % 97)
 def loopback_grid(spark, d):
     """Coarse cells that come back through a frame's transform and its inverse: how many, and a sum that names them."""
     hm = _h()
-    pairs = fit.looped_back(hm, geo.inverse(hm), K.CROP_W, K.CROP_H, LOOP, LOOP_REAL)
-    x = frames(spark, d).select("seq", pairs.alias("p")).filter(F.size("p") > 0)
-    digest = F.aggregate("p", F.lit(0).cast("long"), lambda s, c: s + c["i"].cast("long") * c["j"])
-    return x.select("seq", F.size("p").alias("n"), digest.alias("digest"))
+    x = fit.looped_back(frames(spark, d).select("seq"), hm, geo.inverse(hm), K.CROP_W, K.CROP_H, LOOP, LOOP_REAL)
+    return x.groupBy("seq").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(F.col("i").cast("long") * F.col("j")).alias("digest"))
 
 
 #: CRC-32 for DuckDB, which has none: the byte table by its rule (eight shifts of the reflected polynomial), and a fold over a key's ASCII bytes.
