@@ -1,4 +1,4 @@
-"""The eleven registered queries of this subpackage and their DuckDB SQL."""
+"""The registered queries of this subpackage and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langcrf, minhash, mixing, quality, rangejoin, sharding, substring, toxicity
+from . import ann, bpe, langcrf, merkle, minhash, mixing, quality, rangejoin, sharding, substring, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     out = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     out["pipeline"] = lambda spark, sf_dir: import_module("corpus_pipeline").run(spark, sf_dir)
@@ -70,5 +74,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_seed_and_extend": substring.ORACLE, "op3_minhash": minhash.ORACLE, "op7_pivot_range_join": rangejoin.ORACLE,
-        "op10_systematic_mixing": mixing.ORACLE,
+        "op10_systematic_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE,
     }
