@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langcrf, merkle, minhash, mixing, quality, rangejoin, sharding, substring, toxicity
+from . import ann, bpe, langcrf, merkle, minhash, mixing, quality, rangejoin, sharding, substring, tokencount, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.limits(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
     out = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     out["pipeline"] = lambda spark, sf_dir: import_module("corpus_pipeline").run(spark, sf_dir)
