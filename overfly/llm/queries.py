@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langcrf, merkle, minhash, mixing, quality, rangejoin, sharding, substring, tokencount, toxicity
+from . import ann, bpe, collocations, langcrf, merkle, minhash, mixing, quality, rangejoin, sharding, substring, tokencount, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op12_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.limits(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_phrase_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     out = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     out["pipeline"] = lambda spark, sf_dir: import_module("corpus_pipeline").run(spark, sf_dir)
@@ -78,5 +82,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_seed_and_extend": substring.ORACLE, "op3_minhash": minhash.ORACLE, "op7_pivot_range_join": rangejoin.ORACLE,
-        "op10_systematic_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE,
+        "op10_systematic_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op13_phrase_bitmaps": collocations.ORACLE,
     }

@@ -24,6 +24,10 @@ def buckets_of(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucket(word: str, buckets: int) -> int:
+    return zlib.crc32(word.encode()) % buckets
+
+
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """(distinct byte strings of spans by first appearance, each span's index among them)."""
     if not len(starts):
@@ -77,8 +81,8 @@ def rows(shard: int, tags: list[str], words: list[str], counts: np.ndarray, buck
     """A shard's vocabulary as ``ROW``s: one per tag and bucket. Words hold no line feed; slots are places in ``words``."""
     names = sorted(set(tags))
     code = {t: i for i, t in enumerate(names)}
-    bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-    cell = bucket * len(names) + np.fromiter((code[t] for t in tags), np.int64, len(tags))
+    place = np.fromiter((bucket(w, buckets) for w in words), np.int64, len(words))
+    cell = place * len(names) + np.fromiter((code[t] for t in tags), np.int64, len(tags))
     order = np.argsort(cell, kind="stable")
     which, size = np.unique(cell, return_counts=True)
     ends = np.cumsum(size)
