@@ -5,6 +5,8 @@ CROP_W, CROP_H = 1024, 680
 MIN_INLIERS = 7
 REPROJECTION_PX = 5.0
 TOP_MATCHES = 50
+#: A binary descriptor matches if its first neighbour is below this share of the second's distance.
+HAMMING_RATIO = 0.75
 MIN_COVERAGE = 0.2
 THRESHOLDS = (5, 10, 15, 20, 25, 30)
 EARTH_M = 6_371_000.0

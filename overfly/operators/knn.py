@@ -1,10 +1,13 @@
 """Similarity search by blocks: exact cosine top-k, ranks of a true tile, histograms and mutual nearest neighbours.
 
-Queries are a stated set. They are broadcast in blocks of bounded bytes; the gallery is
-read where it lies, once per block, and never shuffled. Each task makes matrix products
-and hands out only what it keeps: k candidates, counts or maxima, never pairs. Where there
-are several blocks, a block's result is reduced and checkpointed and its broadcast is
-destroyed before the next block is gathered, so the driver holds one at a time.
+Queries are a stated set. While they fit in one block of bounded bytes they are broadcast
+and the gallery is read where it lies, unshuffled. Beyond that both sides are cut into blocks
+and dealt out once, a task for each pair of blocks; nothing goes through the driver. Either
+way a task makes matrix products of bounded tiles and hands out only what it keeps: k
+candidates, counts or maxima, never pairs.
+
+Vectors that are null, hold nulls or numbers that are not finite, or have another length
+than most queries' take no part on either side.
 """
 
 from __future__ import annotations
@@ -12,101 +15,140 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import checkpointed
 
-#: Bytes of query rows broadcast at a time.
+#: Bytes of a block of either side; queries of one block are broadcast.
 BLOCK_BYTES = 32 << 20
-#: Gallery rows of one matrix product.
-STEP = 1024
+#: Gallery rows, and queries, of one matrix product.
+STEP = TILE = 1024
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
-
-
-def _arrays(t: pa.Table) -> dict[str, np.ndarray]:
-    return {c: matrix(t.column(c)) if pa.types.is_list(t.schema.field(c).type) else np.asarray(t.column(c)) for c in t.column_names}
+def usable(c: str, width: int, kind: str) -> Column:
+    """Vectors of ``width`` numbers, all there and finite."""
+    whole = "int" in kind
+    ok = F.forall(c, lambda x: x.isNotNull() if whole else x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return (F.size(c) == width) & F.coalesce(ok, F.lit(False))
 
 
 def against(gallery: DataFrame, queries: DataFrame, task: Callable, schema: str, fold: Callable[[DataFrame], DataFrame], block_bytes: int | None = None) -> DataFrame:
-    """Blocks of ``queries`` against all of ``gallery``.
+    """All of ``queries`` against all of ``gallery``.
 
-    ``task(asked, rows)`` gets a block's columns as arrays (vectors as matrices) and an
-    iterator of the same for batches of gallery rows, and returns the columns of
-    ``schema``. ``fold`` reduces the tasks' rows, of one block and of all.
+    ``task(asked, tiles)`` gets queries' columns as arrays (vectors as matrices) and an
+    iterator of (queries' slice, the same for at most ``STEP`` gallery rows), and returns
+    the columns of ``schema``. ``fold`` reduces the rows of all tasks; where a query meets
+    the gallery in several tasks, or several queries a tile, their rows are folded too.
+    The first column of either side deals it out.
     """
     spark = gallery.sparkSession
+    block = block_bytes or BLOCK_BYTES
+    kinds = dict(queries.dtypes) | dict(gallery.dtypes)
     vectors = [c for c, t in queries.dtypes if t.startswith("array")]
-    n, width = queries.agg(F.count(F.lit(1)), F.max(reduce(lambda a, b: a + b, [F.size(c) for c in vectors]))).first()
-    blocks = max(1, -(-n * 8 * ((width or 0) + len(queries.columns)) // (block_bytes or BLOCK_BYTES)))
+    key = vectors[0]
+    found = queries.groupBy(F.size(key).alias("w")).agg(F.count(F.lit(1)).alias("n")).filter("w >= 0")
+    found = found.agg(F.max_by("w", F.struct("n", "w")), F.sum("n")).first()
+    if not found[1]:
+        return fold(spark.createDataFrame([], schema))
+    width = found[0]
+    fit = lambda d: d.filter(reduce(lambda a, b: a & b, [usable(c, width, kinds[c]) for c, t in d.dtypes if t.startswith("array")]))
     names = [f.split()[0] for f in schema.split(", ")]
-    parts = []
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
-        if not rows.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast(_arrays(rows))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            # Workers may have no copy of this package: everything used travels with the function.
-            import numpy as np
+    row = lambda d: 8 * sum(width if t.startswith("array") else 1 for _, t in d.dtypes)
+    gallery, queries = fit(gallery), fit(queries)
+    step, tile = STEP, TILE
+
+    def columns(t):
+        import numpy as np
+        import pyarrow as pa
+
+        def one(c):
+            c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+            if not pa.types.is_list(c.type):
+                return np.asarray(c)
+            whole = pa.types.is_integer(c.type.value_type)
+            return np.asarray(c.flatten()).astype(np.int64 if whole else np.float64).reshape(len(c), -1)
+
+        return {f: one(t.column(i)) for i, f in enumerate(t.schema.names)}
+
+    def tiles(asked, batches):
+        n = len(next(iter(asked.values())))
+        for b in batches:
+            rows = columns(b)
+            for i in range(0, b.num_rows, step):
+                part = {k: v[i : i + step] for k, v in rows.items()}
+                for j in range(0, n, tile):
+                    yield slice(j, min(j + tile, n)), part
+
+    def result(asked, batches):
+        import pyarrow as pa
+
+        return [pa.array(c) for c in task(asked, tiles(asked, batches))]
+
+    n = found[1]
+    blocks = -(-n * row(queries) // block)
+    if blocks <= 1:
+        asked = columns(queries.toArrow())
+        if not len(next(iter(asked.values()))):
+            return fold(spark.createDataFrame([], schema))
+        shared = spark.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import pyarrow as pa
 
-            def columns(b):
-                return {f.name: np.asarray(c.flatten()).astype(np.float64).reshape(b.num_rows, -1) if pa.types.is_list(f.type) else np.asarray(c) for f, c in zip(b.schema, b.columns)}
+            yield pa.RecordBatch.from_arrays(result(shared.value, (b for b in batches if b.num_rows)), names=names)
 
-            out = task(shared.value, (columns(b) for b in batches if b.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+        return fold(gallery.mapInArrow(run, schema))
 
-        part = fold(gallery.mapInArrow(run, schema))
-        if blocks > 1:
-            part = checkpointed(part)
-            shared.destroy()
-        parts.append(part)
-    if not parts:
-        return fold(spark.createDataFrame([], schema))
-    return parts[0] if len(parts) == 1 else fold(reduce(DataFrame.unionAll, parts))
+    other = -(-gallery.count() * row(gallery) // block)
+    cell = lambda q, g: (q * other + g).alias("cell")
+    number = lambda d, k: F.pmod(F.xxhash64(d.columns[0]), F.lit(k))
+    left = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("_g")).select(*queries.columns, cell(number(queries, blocks), F.col("_g")))
+    right = gallery.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_q")).select(*gallery.columns, cell(F.col("_q"), number(gallery, other)))
+
+    def meet(q: pa.Table, g: pa.Table) -> pa.Table:
+        import pyarrow as pa
+
+        q, g = q.drop_columns(["cell"]), g.drop_columns(["cell"])
+        if not q.num_rows or not g.num_rows:
+            return pa.table([[]] * len(names), names=names).cast(empty)
+        return pa.table(result(columns(q), g.to_batches(max_chunksize=step)), names=names)
+
+    empty = spark.createDataFrame([], schema).toArrow().schema
+    return fold(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(meet, schema))
 
 
-def top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, digits: int = 6) -> DataFrame:
+def top_k(gallery: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, digits: int = 6, block_bytes: int | None = None) -> DataFrame:
     """query_id, tile_id, sim, rk: each query's k most similar tiles, ties to the smaller tile_id.
 
     Similarities are dot products in double, rounded before ranking so that ties do not
     depend on summation order.
     """
 
-    def task(asked, batches):
+    def task(asked, tiles):
         import numpy as np
 
         qid, qx = asked["query_id"], asked["qemb"]
-        ids, sims = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
-        for b in batches:
-            own, x = b["tile_id"], b["emb"]
-            for i in range(0, len(own), 4096):
-                s = np.round(qx @ x[i : i + 4096].T, digits)
-                if exclude_self:
-                    s[qid[:, None] == own[None, i : i + 4096]] = -np.inf
-                s, t = np.concatenate([sims, s], axis=1), np.concatenate([ids, np.broadcast_to(own[i : i + 4096], s.shape)], axis=1)
-                order = np.lexsort((t, -s), axis=1)[:, :k]
-                sims, ids = np.take_along_axis(s, order, 1), np.take_along_axis(t, order, 1)
+        ids, sims = np.zeros((len(qid), k), np.int64), np.full((len(qid), k), -np.inf)
+        for q, b in tiles:
+            own = b["tile_id"]
+            s = np.round(qx[q] @ b["emb"].T, digits)
+            if exclude_self:
+                s[qid[q][:, None] == own[None, :]] = -np.inf
+            s, t = np.concatenate([sims[q], s], axis=1), np.concatenate([ids[q], np.broadcast_to(own, s.shape)], axis=1)
+            order = np.lexsort((t, -s), axis=1)[:, :k]
+            sims[q], ids[q] = np.take_along_axis(s, order, 1), np.take_along_axis(t, order, 1)
         ok = np.isfinite(sims)
         return qid[np.nonzero(ok)[0]], ids[ok], sims[ok]
 
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "tile_id")
     best = lambda d: d.select("query_id", "tile_id", "sim").withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
-    found = against(gallery.select("tile_id", "emb"), queries.select("query_id", "qemb"), task, "query_id long, tile_id long, sim double", lambda d: best(d).drop("rk"))
-    return best(found)
+    return against(gallery.select("tile_id", "emb"), queries.select("query_id", "qemb"), task, "query_id long, tile_id long, sim double", best, block_bytes)
 
 
-def truth_ranks(gallery: DataFrame, queries: DataFrame, truth: DataFrame, radii: tuple[int, ...] = (), weights: list[float] | None = None, digits: int = 6, earth_m: float = 6_371_000.0) -> DataFrame:
+def truth_ranks(gallery: DataFrame, queries: DataFrame, truth: DataFrame, radii: tuple[int, ...] = (), weights: list[float] | None = None, digits: int = 6, earth_m: float = 6_371_000.0, block_bytes: int | None = None) -> DataFrame:
     """part, query_id, gt_id, rank and rank_r<R>: how many tiles beat each query's true tile (ties to the smaller tile_id, the own tile out).
 
     Gallery: tile_id, emb; queries: query_id, qemb; truth: query_id, gt_id; queries
@@ -123,7 +165,7 @@ def truth_ranks(gallery: DataFrame, queries: DataFrame, truth: DataFrame, radii:
     asked_ = queries.select("query_id", "qemb", *(["qother"] if mixed else []), *[f"q{c}" for c in geo]).join(truth.select("query_id", "gt_id"), "query_id").join(true, "gt_id")
     names = ["rank", *[f"rank_r{r}" for r in radii]]
 
-    def task(asked, batches):
+    def task(asked, tiles):
         import numpy as np
 
         def blend(x, other, a):
@@ -142,19 +184,17 @@ def truth_ranks(gallery: DataFrame, queries: DataFrame, truth: DataFrame, radii:
         qs = [blend(asked["qemb"], asked.get("qother"), a) for a in parts]
         gs = [np.round(np.einsum("ij,ij->i", q, blend(asked["gemb"], asked.get("gother"), a)), digits) for q, a in zip(qs, parts)]
         count = np.zeros((len(parts), 1 + len(radii), len(qid)), np.int64)
-        for b in batches:
-            for i in range(0, len(b["tile_id"]), STEP):
-                at = slice(i, i + STEP)
-                t = b["tile_id"][at][None, :]
-                rest = (t != qid[:, None]) & (t != gt[:, None])
-                if radii:
-                    d = metres(asked["qlat"][:, None], asked["qlon"][:, None], b["lat"][at][None, :], b["lon"][at][None, :])
-                for p, a in enumerate(parts):
-                    s = np.round(qs[p] @ blend(b["emb"][at], b["other"][at] if mixed else None, a).T, digits)
-                    better = rest & ((s > gs[p][:, None]) | ((s == gs[p][:, None]) & (t < gt[:, None])))
-                    count[p, 0] += better.sum(axis=1)
-                    for r, m in enumerate(radii):
-                        count[p, 1 + r] += (better & (d <= m)).sum(axis=1)
+        for q, b in tiles:
+            t = b["tile_id"][None, :]
+            rest = (t != qid[q][:, None]) & (t != gt[q][:, None])
+            if radii:
+                d = metres(asked["qlat"][q][:, None], asked["qlon"][q][:, None], b["lat"][None, :], b["lon"][None, :])
+            for p, a in enumerate(parts):
+                s = np.round(qs[p][q] @ blend(b["emb"], b["other"] if mixed else None, a).T, digits)
+                better = rest & ((s > gs[p][q][:, None]) | ((s == gs[p][q][:, None]) & (t < gt[q][:, None])))
+                count[p, 0, q] += better.sum(axis=1)
+                for r, m in enumerate(radii):
+                    count[p, 1 + r, q] += (better & (d <= m)).sum(axis=1)
         if radii:
             own = metres(asked["qlat"], asked["qlon"], asked["glat"], asked["glon"])
             for r, m in enumerate(radii):
@@ -164,37 +204,35 @@ def truth_ranks(gallery: DataFrame, queries: DataFrame, truth: DataFrame, radii:
         return of, np.tile(qid, len(parts)), np.tile(gt, len(parts)), *count.transpose(1, 0, 2).reshape(1 + len(radii), -1)
 
     fold = lambda d: d.groupBy("part", "query_id", "gt_id").agg(*[F.sum(c).alias(c) for c in names])
-    out = against(sides, asked_, task, "part double, query_id long, gt_id long, " + ", ".join(f"{c} long" for c in names), fold)
+    out = against(sides, asked_, task, "part double, query_id long, gt_id long, " + ", ".join(f"{c} long" for c in names), fold, block_bytes)
     return out.select("part", "query_id", "gt_id", *[F.greatest(F.col(c), F.lit(-1)).cast("long").alias(c) for c in names])
 
 
-def histogram(gallery: DataFrame, queries: DataFrame, bins: int, digits: int = 6) -> DataFrame:
-    """bin, same, n: similarities of all (query, other tile) pairs in equal bins over [-1, 1], by whether ``qlabel`` and ``label`` agree."""
+def histogram(gallery: DataFrame, queries: DataFrame, bins: int, digits: int = 6, block_bytes: int | None = None) -> DataFrame:
+    """bin, same, n: similarities of all (query, other tile) pairs in equal bins over [-1, 1] (values outside in the end bins), by whether ``qlabel`` and ``label`` agree."""
 
-    def task(asked, batches):
+    def task(asked, tiles):
         import numpy as np
 
         n = np.zeros((2, bins), np.int64)
-        for b in batches:
-            for i in range(0, len(b["tile_id"]), STEP):
-                at = slice(i, i + STEP)
-                s = np.round(asked["qemb"] @ b["emb"][at].T, digits)
-                place = np.minimum(bins - 1, np.floor((s + 1) * (bins / 2))).astype(np.int64)
-                other = asked["query_id"][:, None] != b["tile_id"][at][None, :]
-                same = asked["qlabel"][:, None] == b["label"][at][None, :]
-                for k in (0, 1):
-                    n[k] += np.bincount(place[other & (same == bool(k))], minlength=bins)
+        for q, b in tiles:
+            s = np.round(asked["qemb"][q] @ b["emb"].T, digits)
+            place = np.clip(np.floor((s + 1) * (bins / 2)), 0, bins - 1).astype(np.int64)
+            other = asked["query_id"][q][:, None] != b["tile_id"][None, :]
+            same = asked["qlabel"][q][:, None] == b["label"][None, :]
+            for k in (0, 1):
+                n[k] += np.bincount(place[other & (same == bool(k))], minlength=bins)
         k, i = np.nonzero(n)
         return i, k == 1, n[k, i]
 
     fold = lambda d: d.groupBy("bin", "same").agg(F.sum("n").alias("n"))
-    return against(gallery.select("tile_id", "emb", "label"), queries.select("query_id", "qemb", "qlabel"), task, "bin long, same boolean, n long", fold)
+    return against(gallery.select("tile_id", "emb", "label"), queries.select("query_id", "qemb", "qlabel"), task, "bin long, same boolean, n long", fold, block_bytes)
 
 
-def mutual(gallery: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+def mutual(gallery: DataFrame, queries: DataFrame, digits: int = 6, block_bytes: int | None = None) -> DataFrame:
     """query_id, tile_id, sim: pairs that are each other's best (ties to the smaller id), a query's own tile left out."""
 
-    def task(asked, batches):
+    def task(asked, tiles):
         import numpy as np
 
         qid, qx = asked["query_id"], asked["qemb"]
@@ -202,19 +240,17 @@ def mutual(gallery: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame
         qid, qx = qid[order], qx[order]
         top, at = np.full(len(qid), -np.inf), np.zeros(len(qid), np.int64)
         rows = []
-        for b in batches:
+        for q, b in tiles:
             by_id = np.argsort(b["tile_id"], kind="stable")
-            own, x = b["tile_id"][by_id], b["emb"][by_id]
-            for i in range(0, len(own), STEP):
-                s = np.round(qx @ x[i : i + STEP].T, digits)
-                t = own[i : i + STEP]
-                s[qid[:, None] == t[None, :]] = -np.inf
-                # argmax takes the first of equal values, so the smaller id on either side.
-                r, c = s.argmax(axis=1), s.argmax(axis=0)
-                mine = s[np.arange(len(qid)), r]
-                new = (mine > top) | ((mine == top) & (t[r] < at))
-                top, at = np.where(new, mine, top), np.where(new, t[r], at)
-                rows.append((np.ones(len(t), np.int32), qid[c], t, s[c, np.arange(len(t))]))
+            t, x = b["tile_id"][by_id], b["emb"][by_id]
+            s = np.round(qx[q] @ x.T, digits)
+            s[qid[q][:, None] == t[None, :]] = -np.inf
+            # argmax takes the first of equal values, so the smaller id on either side.
+            r, c = s.argmax(axis=1), s.argmax(axis=0)
+            mine = s[np.arange(len(s)), r]
+            new = (mine > top[q]) | ((mine == top[q]) & (t[r] < at[q]))
+            top[q], at[q] = np.where(new, mine, top[q]), np.where(new, t[r], at[q])
+            rows.append((np.ones(len(t), np.int32), qid[q][c], t, s[c, np.arange(len(t))]))
         rows.append((np.zeros(len(qid), np.int32), qid, at, top))
         out = [np.concatenate(z) for z in zip(*rows)]
         ok = np.isfinite(out[3])
@@ -225,5 +261,5 @@ def mutual(gallery: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame
         cols = ["side", "query_id", "tile_id", "sim"]
         return best("query_id", "tile_id", 0).select(cols).unionAll(best("tile_id", "query_id", 1).select(cols))
 
-    d = against(gallery.select("tile_id", "emb"), queries.select("query_id", "qemb"), task, "side int, query_id long, tile_id long, sim double", fold)
+    d = against(gallery.select("tile_id", "emb"), queries.select("query_id", "qemb"), task, "side int, query_id long, tile_id long, sim double", fold, block_bytes)
     return d.filter("side = 0").drop("side").join(d.filter("side = 1").select("query_id", "tile_id"), ["query_id", "tile_id"])

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions import geo
 from ..functions import vectors as V
-from ..operators import fit, knn, recall, spatial
+from ..operators import fit, hamming, knn, recall, spatial
 from ..registry import query
 from .geometry import hav
 from .views import frames, gallery, queries, sql
@@ -212,6 +212,19 @@ def ratio_test(spark, d):
     return g.filter(F.col("s2").isNotNull() & (F.col("s1") < F.col("s2") * 0.95))
 
 
+# A binary descriptor of 128 bits from a vector: which components are positive, and which exceed the next one.
+BITS = "codes AS MATERIALIZED (SELECT tile_id, list_transform(range(0, 4), lambda p: CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN CASE WHEN p < 2 THEN emb[32*p + i] > 0 ELSE emb[32*(p - 2) + i] > emb[(32*(p - 2) + i) % 64 + 1] END THEN 1::BIGINT << (i - 1) ELSE 0 END)) AS BIGINT)) AS c FROM gallery)"
+
+
+@query(sql(f"WITH {BITS}, p AS (SELECT q.tile_id AS query_id, g.tile_id, " + " + ".join(f"bit_count(xor(q.c[{i}], g.c[{i}]))" for i in range(1, 5)) + " AS dist FROM codes q JOIN codes g ON q.tile_id <> g.tile_id WHERE q.tile_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, tile_id) AS k FROM p) SELECT query_id, max(CASE WHEN k = 1 THEN tile_id END) AS tile_id, CAST(max(CASE WHEN k = 1 THEN dist END) AS INTEGER) AS d1, CAST(max(CASE WHEN k = 2 THEN dist END) AS INTEGER) AS d2, max(CASE WHEN k = 1 THEN dist END) < 0.75::DOUBLE*max(CASE WHEN k = 2 THEN dist END) AS good FROM r WHERE k <= 2 GROUP BY query_id HAVING count(*) = 2", "gallery"))
+def hamming_ratio(spark, d):
+    """Binary descriptors' two nearest by Hamming distance, and whether the first is clearly nearer."""
+    up = lambda x, i: x > F.element_at("emb", F.pmod(i + 1, F.size("emb")) + 1)
+    g = gallery(spark, d).select(F.col("tile_id").alias("id"), hamming.packed(F.concat(F.transform("emb", lambda x: x > 0), F.transform("emb", up))).alias("code"))
+    found = hamming.nearest(g, g.filter("id % 10 = 0").withColumnRenamed("id", "query_id"), words=2)
+    return hamming.ratio(found, K.HAMMING_RATIO).withColumnRenamed("id", "tile_id")
+
+
 @query(sql("SELECT query_id, tile_id, sim, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (sim + 1)/2)), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, tile_id) AS a, row_number() OVER (PARTITION BY tile_id ORDER BY sim DESC, query_id) AS b FROM sims) WHERE a = 1 AND b = 1", "sims"))
 def mutual_nn(spark, d):
     """Pairs that are each other's best: each task keeps maxima of both sides, then one join."""
