@@ -1,7 +1,7 @@
 """Order-dependent and robust-fit operators that need imperative code: grouped Arrow/pandas functions.
 
 Groups are single image pairs or flights, which are bounded by what one image or
-flight holds; the functions carry their imports, so workers need no package.
+flight holds.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import clamp_offset, in_box, project
+from . import consensus
+from .store import ship
 
 
 def greedy_one_to_one(d: DataFrame, key: str = "pair", cell: float = 8.0, order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
@@ -50,111 +52,74 @@ def weighted_similarity(d: DataFrame, keys: list[str], w: Column) -> DataFrame:
     return g.select(*keys, "a", "b", tx.alias("tx"), ty.alias("ty"))
 
 
-def ransac_similarity(d: DataFrame, key: str = "pair", threshold: float = 5.0, iterations: int = 200, least: int = 4, order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
-    """A seeded RANSAC similarity per pair, refined on its inliers: key, n, inliers, a, b, tx, ty (null under ``least`` points).
+def residual(m: list[Column]) -> Column:
+    """A correspondence's distance from where the similarity (a, b, tx, ty) puts it."""
+    a, b, tx, ty = m
+    x, y = F.col("x0"), F.col("y0")
+    return F.hypot(a * x - b * y + tx - F.col("x1"), b * x + a * y + ty - F.col("y1"))
 
-    The seed is the pair's key and rows are sorted first, so partitioning cannot change the result.
+
+def agreement(d: DataFrame, models: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """keys, n, inliers and their mean residual: how many of a group's correspondences a given similarity (a, b, tx, ty) explains."""
+    r = residual([F.col(c) for c in ("a", "b", "tx", "ty")])
+    x = d.join(models, keys).select(*keys, r.alias("r"))
+    inside = F.col("r") < threshold
+    return x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("inliers"), F.avg(F.when(inside, F.col("r"))).alias("mean_r"))
+
+
+def _by_confidence(pdf, order):
+    """A pair's points in falling confidence, ties by ``order``, missing confidence last; the same in any partitioning."""
+    return pdf.sort_values(["conf", *order], ascending=[False] + [True] * len(order), kind="stable").reset_index(drop=True)
+
+
+def ransac_similarity(d: DataFrame, key: str = "pair", threshold: float = 5.0, most: int = consensus.MOST, confidence: float = consensus.CONFIDENCE, least: int = 4, order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
+    """A similarity per pair by ``consensus.similarity``: key, n, inliers, a, b, tx, ty (null under ``least`` points or without consensus).
+
+    The seed is the pair's key and rows are sorted first, so partitioning cannot change
+    the result. Points with a missing coordinate do not count. Groups are single image pairs.
     """
+    ship(d.sparkSession)
+    points = ["x0", "y0", "x1", "y1"]
 
     def run(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(list(order), kind="stable")
-        z, t = pdf.x0.to_numpy() + 1j * pdf.y0.to_numpy(), pdf.x1.to_numpy() + 1j * pdf.y1.to_numpy()
-        n, k = len(z), int(pdf[key].iloc[0])
+        pdf = _by_confidence(pdf, order)
+        k, n = int(pdf[key].iloc[0]), len(pdf)
         row = {key: k, "n": n, "inliers": 0, "a": None, "b": None, "tx": None, "ty": None}
         if n >= least:
-            rng = np.random.default_rng(k)
-            i = rng.integers(0, n, (iterations, 2))
-            dz = z[i[:, 0]] - z[i[:, 1]]
-            ok = np.abs(dz) > 1e-9
-            m = np.where(ok, (t[i[:, 0]] - t[i[:, 1]]) / np.where(ok, dz, 1), np.nan)
-            c = t[i[:, 0]] - m * z[i[:, 0]]
-            count = (np.abs(m[:, None] * z + c[:, None] - t) < threshold).sum(axis=1)
-            best = int(count.argmax())
-            if count[best] >= 2:
-                inl = np.abs(m[best] * z + c[best] - t) < threshold
-                for _ in range(3):
-                    zc, tc = z[inl] - z[inl].mean(), t[inl] - t[inl].mean()
-                    s = (zc.conj() * tc).sum() / max((np.abs(zc) ** 2).sum(), 1e-12)
-                    o = t[inl].mean() - s * z[inl].mean()
-                    new = np.abs(s * z + o - t) < threshold
-                    if new.sum() < 2 or (new == inl).all():
-                        break
-                    inl = new
-                row |= {"inliers": int(inl.sum()), "a": s.real, "b": s.imag, "tx": o.real, "ty": o.imag}
+            xy = pdf[points].to_numpy("float64")
+            m, inl, _ = consensus.similarity(xy[:, :2], xy[:, 2:], threshold, abs(k), most, confidence)
+            if m is not None:
+                row |= {"inliers": int(inl.sum()), **dict(zip(("a", "b", "tx", "ty"), m.tolist()))}
         return pd.DataFrame([row])
 
-    return d.groupBy(key).applyInPandas(run, f"{key} long, n int, inliers int, a double, b double, tx double, ty double")
+    whole = d.select(key, *points, "conf", *order).dropna(subset=[key, *points])
+    return whole.groupBy(key).applyInPandas(run, f"{key} long, n int, inliers int, a double, b double, tx double, ty double")
 
 
-def ransac_homography(d: DataFrame, key: str = "pair", threshold: float = 5.0, iterations: int = 400, least: int = 4, most: int | None = None, order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
-    """The correspondences that agree with a pair's homography, with that transform as ``h`` (row by row, h[8] = 1).
+def ransac_homography(d: DataFrame, key: str = "pair", threshold: float = 5.0, samples: int = consensus.MOST, confidence: float = consensus.CONFIDENCE, least: int = 4, most: int | None = None, order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
+    """The correspondences that agree with a pair's homography (``consensus.homography``), with that transform as ``h`` (row by row, h[8] = 1).
 
-    Seeded by the pair's key over rows sorted by ``order``: 4-point samples, each solved
-    exactly, scored by the truncated squared error of all points; the best is refitted on
-    its inliers by least squares until they stay the same. Pairs with fewer than ``least``
-    points, or without such a transform, give no rows. ``most`` keeps the most confident
-    inliers (ties by ``order``). Groups are single image pairs.
+    Seeded by the pair's key over rows in falling confidence (ties by ``order``), so
+    partitioning cannot change the result. Pairs with fewer than ``least`` points, or
+    without consensus, give no rows; points with a missing coordinate do not count.
+    ``most`` keeps the most confident inliers. Groups are single image pairs.
     """
+    ship(d.sparkSession)
+    points = ["x0", "y0", "x1", "y1"]
     schema = ", ".join(f"`{k}` {t}" for k, t in d.dtypes) + ", h array<double>"
 
     def run(pdf):
-        import numpy as np
-
-        def solve(p, q):
-            """Transforms of batches of points (b, n, 2) to (b, n, 2); h[8] is 1."""
-            x, y, u, v = p[..., 0], p[..., 1], q[..., 0], q[..., 1]
-            o, z = np.ones_like(x), np.zeros_like(x)
-            a = np.concatenate([np.stack([x, y, o, z, z, z, -u * x, -u * y], -1), np.stack([z, z, z, x, y, o, -v * x, -v * y], -1)], axis=-2)
-            b = np.concatenate([u, v], axis=-1)[..., None]
-            ata = np.swapaxes(a, -1, -2) @ a
-            ok = np.linalg.cond(ata) < 1e14
-            h = np.full((*ok.shape, 8), np.nan)
-            if ok.any():
-                h[ok] = np.linalg.solve(ata[ok], (np.swapaxes(a, -1, -2) @ b)[ok])[..., 0]
-            return np.concatenate([h, np.ones((*ok.shape, 1))], axis=-1)
-
-        def errors(h, p, q):
-            w = h[:, 6, None] * p[:, 0] + h[:, 7, None] * p[:, 1] + 1
-            with np.errstate(all="ignore"):
-                du = (h[:, 0, None] * p[:, 0] + h[:, 1, None] * p[:, 1] + h[:, 2, None]) / w - q[:, 0]
-                dv = (h[:, 3, None] * p[:, 0] + h[:, 4, None] * p[:, 1] + h[:, 5, None]) / w - q[:, 1]
-                e = du * du + dv * dv
-            return np.where(np.isfinite(e), e, np.inf)
-
-        pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
-        n, bar = len(pdf), threshold * threshold
-        none = pdf.iloc[:0].assign(h=None)
-        if n < least:
-            return none
-        p, q = pdf[["x0", "y0"]].to_numpy(np.float64), pdf[["x1", "y1"]].to_numpy(np.float64)
-        # Coordinates about 1, for the sake of the normal equations.
-        scale = max(float(np.abs(np.concatenate([p, q])).max()), 1.0)
-        pick = np.random.default_rng(int(pdf[key].iloc[0])).integers(0, n, (iterations, 4))
-        h = solve(p[pick] / scale, q[pick] / scale)
-        cost = np.concatenate([np.minimum(errors(h[i : i + 64], p / scale, q / scale) * scale * scale, bar).sum(axis=1) for i in range(0, iterations, 64)])
-        best = h[int(cost.argmin())]
-        inl = errors(best[None], p / scale, q / scale)[0] * scale * scale < bar
-        for _ in range(5):
-            if inl.sum() < least:
-                return none
-            again = solve((p[inl] / scale)[None], (q[inl] / scale)[None])[0]
-            new = errors(again[None], p / scale, q / scale)[0] * scale * scale < bar
-            if np.isnan(again).any() or new.sum() < inl.sum():
-                break
-            same, best, inl = (new == inl).all(), again, new
-            if same:
-                break
-        if inl.sum() < least:
-            return none
-        out = pdf[inl]
-        if most is not None:
-            out = out.sort_values(["conf", *order], ascending=[False] + [True] * len(order), kind="stable").head(most)
-        full = best * np.array([1, 1, scale, 1, 1, scale, 1 / scale, 1 / scale, 1])
-        return out.assign(h=[full.tolist()] * len(out))
-
-    return d.groupBy(key).applyInPandas(run, schema)
+        pdf = _by_confidence(pdf, order)
+        if len(pdf) < least:
+            return pdf.iloc[:0].assign(h=None)
+        xy = pdf[points].to_numpy("float64")
+        h, inl, _ = consensus.homography(xy[:, :2], xy[:, 2:], threshold, abs(int(pdf[key].iloc[0])), samples, confidence)
+        if h is None:
+            return pdf.iloc[:0].assign(h=None)
+        out = pdf[inl].head(most) if most is not None else pdf[inl]
+        return out.assign(h=[h.tolist()] * len(out))
+
+    return d.dropna(subset=[key, *points]).groupBy(key).applyInPandas(run, schema)
 
 
 def most_confident(d: DataFrame, most: int, key: str = "pair", order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_overfly_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="overfly-code-")) / "overfly_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._overfly_shipped = True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` through a reliable checkpoint."""
     shared_folder(df.sparkSession)

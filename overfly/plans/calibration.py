@@ -104,12 +104,24 @@ def rotation_iqr(spark, d):
     return x.groupBy("flight", "sgn").agg(F.count(F.lit(1)).alias("n"), R(F.median(r), 4).alias("median_deg"), R(F.percentile(r, 0.75) - F.percentile(r, 0.25), 4).alias("iqr_deg"), R(F.median(F.when(A.gate(), F.abs(r))), 4).alias("abs_median"))
 
 
-@query(sql("WITH s AS (SELECT pair, sum(w) AS sw, sum(w*x0) AS sx, sum(w*y0) AS sy, sum(w*x1) AS su, sum(w*y1) AS sv, sum(w*(x0*x0 + y0*y0)) AS sxx, sum(w*(x0*x1 + y0*y1)) AS sxu, sum(w*(x0*y1 - y0*x1)) AS sxv FROM (SELECT *, conf + 0.01::DOUBLE AS w FROM correspondences) GROUP BY pair), ab AS (SELECT *, (sxu - (sx*su + sy*sv)/sw)/(sxx - (sx*sx + sy*sy)/sw) AS a, (sxv - (sx*sv - sy*su)/sw)/(sxx - (sx*sx + sy*sy)/sw) AS b FROM s) SELECT pair, round(a, 6) AS a, round(b, 6) AS b, round((su - a*sx + b*sy)/sw, 3) AS tx, round((sv - b*sx - a*sy)/sw, 3) AS ty FROM ab", "correspondences"))
+# Closed-form weighted similarity of each pair, as CTEs s and ab.
+WEIGHTED = "WITH s AS (SELECT pair, sum(w) AS sw, sum(w*x0) AS sx, sum(w*y0) AS sy, sum(w*x1) AS su, sum(w*y1) AS sv, sum(w*(x0*x0 + y0*y0)) AS sxx, sum(w*(x0*x1 + y0*y1)) AS sxu, sum(w*(x0*y1 - y0*x1)) AS sxv FROM (SELECT *, conf + 0.01::DOUBLE AS w FROM correspondences) GROUP BY pair), ab AS (SELECT *, (sxu - (sx*su + sy*sv)/sw)/(sxx - (sx*sx + sy*sy)/sw) AS a, (sxv - (sx*sv - sy*su)/sw)/(sxx - (sx*sx + sy*sy)/sw) AS b FROM s)"
+
+
+@query(sql(WEIGHTED + " SELECT pair, round(a, 6) AS a, round(b, 6) AS b, round((su - a*sx + b*sy)/sw, 3) AS tx, round((sv - b*sx - a*sy)/sw, 3) AS ty FROM ab", "correspondences"))
 def weighted_similarity(spark, d):
     g = fit.weighted_similarity(correspondences(spark, d), ["pair"], F.col("conf") + 0.01)
     return g.select("pair", R("a", 6).alias("a"), R("b", 6).alias("b"), R("tx", 3).alias("tx"), R("ty", 3).alias("ty"))
 
 
+@query(sql(WEIGHTED + ", m AS (SELECT pair, a, b, (su - a*sx + b*sy)/sw AS tx, (sv - b*sx - a*sy)/sw AS ty FROM ab), r AS (SELECT pair, sqrt((a*x0 - b*y0 + tx - x1)*(a*x0 - b*y0 + tx - x1) + (b*x0 + a*y0 + ty - y1)*(b*x0 + a*y0 + ty - y1)) AS r FROM correspondences JOIN m USING (pair)) SELECT pair, count(*) AS n, count(*) FILTER (WHERE r < 3) AS inliers, round(avg(r) FILTER (WHERE r < 3), 4) AS mean_r FROM r GROUP BY pair", "correspondences"))
+def similarity_inliers(spark, d):
+    """How many correspondences a pair's closed-form similarity explains within 3 px, and how well."""
+    c = correspondences(spark, d)
+    g = fit.agreement(c, fit.weighted_similarity(c, ["pair"], F.col("conf") + 0.01), ["pair"], 3.0)
+    return g.select("pair", "n", "inliers", R("mean_r", 4).alias("mean_r"))
+
+
 @query(sql("SELECT method, round(avg(CASE WHEN raw_err_m <= 20 THEN 0.5*raw_err_m*raw_err_m ELSE 20*(raw_err_m - 10) END), 4) AS huber FROM scored GROUP BY method", "scored"))
 def huber(spark, d):
     e = F.col("raw_err_m")

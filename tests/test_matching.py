@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from overfly.functions import vectors as V
-from overfly.operators import hamming, knn
+from overfly.operators import consensus, fit, hamming, knn
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +148,61 @@ def test_vector_rows_cost_in_proportion_to_their_length(spark):
         return time.time() - t
 
     assert seconds(512, 400) < 20 * max(seconds(64, 400), 0.05)
+
+
+def planted(r, n, share, transform):
+    """Correspondences of which ``share`` follow ``transform``, the better in confidence by and large, with half a pixel of noise."""
+    p, k = r.uniform(0, 1000, (n, 2)), int(n * share)
+    q = r.uniform(0, 1000, (n, 2))
+    q[:k] = transform(p[:k]) + r.normal(0, 0.5, (k, 2))
+    conf = np.clip(r.normal(np.where(np.arange(n) < k, 0.65, 0.4), 0.15), 0, 1)
+    order = np.argsort(-conf, kind="stable")
+    return p[order], q[order], conf[order], order < k
+
+
+def projective(h):
+    def f(p):
+        w = p @ h[6:8] + 1
+        return np.stack([p @ h[0:2] + h[2], p @ h[3:5] + h[5]], 1) / w[:, None]
+
+    return f
+
+
+def test_planted_pairs_of_fifteen_percent_inliers_are_solved():
+    r = np.random.default_rng(8)
+    solved = {"homography": 0, "similarity": 0}
+    for i in range(100):
+        h = np.array([0.9, 0.2, 30, -0.15, 1.1, 20, 1e-4, -5e-5]) * (1 + r.normal(0, 0.05, 8))
+        p, q, _, true = planted(r, 200, 0.15, projective(h))
+        _, inl, used = consensus.homography(p, q, 5.0, i)
+        solved["homography"] += (inl & true).sum() >= 0.9 * true.sum()
+        assert used <= consensus.MOST
+        s = lambda x: x @ np.array([[0.8, 0.3], [-0.3, 0.8]]) + [40, -25]
+        p, q, _, true = planted(r, 200, 0.15, s)
+        m, inl, _ = consensus.similarity(p, q, 5.0, i)
+        solved["similarity"] += (inl & true).sum() >= 0.95 * true.sum() and abs(m[0] - 0.8) < 0.02 and abs(m[1] - 0.3) < 0.02
+    assert solved["homography"] >= 99 and solved["similarity"] >= 99
+
+
+def test_search_stops_early_on_good_points_and_widens_its_pool():
+    r = np.random.default_rng(3)
+    p, q, _, _ = planted(r, 300, 0.9, lambda x: x + 5)
+    assert consensus.similarity(p, q, 5.0, 1)[2] == consensus.BATCH
+    pools = consensus.pool_sizes(300, 4, 5000)
+    assert pools[0] == 4 and pools[-1] > 290 and (np.diff(pools) >= 0).all()
+    s = consensus.draw(r, pools, 300, 4)
+    assert all(len(set(x)) == 4 for x in s.tolist()) and (s.max(axis=1) < pools).all()
+
+
+def test_consensus_is_the_same_in_any_partitioning(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for pair in range(6):
+        p, q, conf, _ = planted(r, 120, 0.4, lambda x: x * 1.1 + [3, 4])
+        rows += [(pair, *map(float, (*p[i], *q[i])), float(conf[i]), i, 0, 0) for i in range(120)]
+    rows += [(7, 1.0, None, 2.0, 2.0, 0.5, 1, 0, 0), (8, 1.0, 1.0, 2.0, 2.0, None, 1, 0, 0)]
+    d = spark.createDataFrame(rows, "pair long, x0 double, y0 double, x1 double, y1 double, conf double, k1 long, k2 long, k3 long")
+    a, b = (sorted(map(tuple, fit.ransac_similarity(d.repartition(k, "k1")).collect())) for k in (1, 7))
+    assert a == b and [x[2] >= 48 for x in a] == [True] * 6 + [False]
+    a, b = (sorted(map(str, fit.ransac_homography(d.repartition(k, "k1")).collect())) for k in (1, 7))
+    assert a == b and len(a) >= 6 * 48
