@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +26,17 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries; they import this one, so not before it is whole."""
+    for m in ("accuracy", "geometry", "retrieval", "calibration", "captions", "jobs"):
+        import_module(f"overfly.plans.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
-
-
-def _load() -> None:
-    """Import the modules that register queries."""
-    from importlib import import_module
-
-    for m in ("accuracy", "geometry", "retrieval", "calibration", "captions", "jobs"):
-        import_module(f"overfly.plans.{m}")
-
-
-_load()

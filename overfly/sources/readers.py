@@ -66,14 +66,49 @@ def flag(c: Column) -> Column:
     return F.coalesce(F.lower(c.cast("string")) == "true", F.lit(False))
 
 
-def result_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
-    """Result rows of any age: all columns as strings first, numbers coerced, columns that a file lacks added as nulls."""
-    d = spark.read.csv(path, header=True)
+def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, header): the first line of each text file that has one; a task sends one line a file."""
+    d = in_file_order(spark.read.text(path))
+    # Only a file's first block can hold its first line.
+    d = d.filter(F.col("_at.block") == 0).groupBy("file_path").agg(F.min_by("value", "_at").alias("header"))
+    return d.select(F.col("file_path").alias("file"), F.regexp_replace("header", "^\ufeff|\\r$", "").alias("header"))
+
+
+def csv_by_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows of CSV files whose headers differ: each file is read by its own, columns are strings and null where a file has none.
+
+    Files of one header are one scan, scans are united by column name (exact, blanks around names
+    cut off); columns come in the order in which headers, sorted, first name them. Empty
+    files and files with a header alone give no rows; no file at all is an error, as with
+    Spark's own reader. Only names of files come to the driver.
+    """
+    plain = lambda uri: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
+    groups = headers(spark, path).filter("trim(header) <> ''").groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    scans = []
+    for g in groups:
+        d = spark.read.csv([plain(f) for f in g["files"]], header=True)
+        scans.append(d.toDF(*[c.strip() for c in d.columns]))
+    return union_all(scans) if scans else spark.createDataFrame([], "skipped string")
+
+
+def result_csv(spark: SparkSession, path: str | list[str], numbers: list[str]) -> DataFrame:
+    """Result rows of any age, each file read by its own header: numbers coerced, columns that a file lacks null, ``skipped`` a flag (missing: false)."""
+    d = csv_by_header(spark, path)
     for c in numbers:
         d = d.withColumn(c, number(F.col(c)) if c in d.columns else F.lit(None).cast("double"))
     return d.withColumn("skipped", flag(F.col("skipped"))) if "skipped" in d.columns else d.withColumn("skipped", F.lit(False))
 
 
+def registry_csv(spark: SparkSession, files: dict[str, str], numbers: list[str]) -> tuple[DataFrame, list[str]]:
+    """(rows of every registered method's result files with ``method``, methods whose files are absent): one scan per header, whatever the number of methods."""
+    there = {m: f for m, f in files.items() if present(spark, f)}
+    missing = sorted(set(files) - set(there))
+    if not there:
+        raise FileNotFoundError(f"no result file of {', '.join(missing)}")
+    parts = [result_csv(spark, f, numbers).withColumn("method", F.lit(m)) for m, f in sorted(there.items())]
+    return union_all(parts), missing
+
+
 def caption_json(spark: SparkSession, path: str, keys: tuple[str, ...] = ("flight", "filename")) -> DataFrame:
     """Caption lines; malformed ones are dropped and the last of a key wins: the later file by name, the later line in a file."""
     d = in_file_order(spark.read.schema(CAPTIONS).option("mode", "DROPMALFORMED").json(path)).filter(F.col("caption").isNotNull())
