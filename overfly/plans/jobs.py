@@ -14,7 +14,7 @@ from ..operators import fit, sampling
 from ..operators.bands import with_band
 from ..operators.store import shared_folder
 from ..registry import query
-from ..sources import readers
+from ..sources import archives, readers
 from .geometry import _h
 from .views import correspondences, frames, gallery, maps, match_results, sql, table
 
@@ -169,6 +169,51 @@ def gallery_build(spark, d):
     return _bounded(spark, x, at)
 
 
+@query(sql("SELECT label, count(*) AS n, min(tile_id) AS first_tile, max(tile_id) AS last_tile, round(sum(list_inner_product(emb::DOUBLE[], list_transform(range(1, 65), lambda i: i::DOUBLE))), 4) AS moment FROM gallery GROUP BY label", "gallery"))
+def gallery_archive(spark, d):
+    """A gallery as array archives: written, then read back without the arrays that are not asked for."""
+    at = _folder(spark, "arrays")
+    archives.write_arrays(gallery(spark, d).select("tile_id", "lat", "lon", "emb", "label"), at, per_file=2000)
+    x = spark.read.format("array_archive").schema("tile_id long, emb array<float>, label long").load(at)
+    weighed = F.aggregate(F.transform("emb", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return _bounded(spark, x.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("tile_id").alias("first_tile"), F.max("tile_id").alias("last_tile"), F.round(F.sum(weighed), 4).alias("moment")), at)
+
+
+@query(sql("SELECT method || '_' || flight AS variant, 2 AS job, count(*) AS n, count(*) FILTER (WHERE offset_m <= 25) AS hits FROM scored GROUP BY method, flight", "scored"))
+def archive_results(spark, d):
+    """Result files out of job archives: two jobs a variant, the newer one's file is read out of its tar, the other is not opened for content."""
+    at = _folder(spark, "jobs")
+    x = A.scored(match_results(spark, d)).groupBy(F.concat_ws("_", "method", "flight").alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("offset_m") <= 25, F.lit(False))).alias("hits"))
+    jobs = x.select("variant", "n", "hits", F.explode(F.array(F.lit(1), F.lit(2))).alias("job"))
+    csv = F.concat_ws("\n", F.lit("n,hits"), F.concat_ws(",", F.when(F.col("job") == 2, F.col("n")).otherwise(0), F.col("hits")))
+    files = F.array(F.struct(F.concat(F.lit("out/visloc_"), "variant", F.lit("_results.csv")).alias("member"), csv.cast("binary").alias("content")), F.struct(F.lit("log.txt").alias("member"), F.lit("done").cast("binary").alias("content")))
+    rows = jobs.select(F.concat(F.lit("zz_"), "job", F.lit("_"), "variant", F.lit(".tar")).alias("archive"), F.explode(files).alias("f")).select("archive", "f.*")
+    archives.write_tars(rows, at).count()
+    archives.register(spark)
+    listed = spark.read.format("tar_archive").load(at).groupBy("path").agg(F.collect_list("member").alias("members"))
+    newest = readers.staged(listed)
+    held = spark.read.format("tar_archive").option("content", "true").load(at).withColumnsRenamed({"path": "_p", "member": "_m"})
+    got = newest.join(held, (F.col("path") == F.col("_p")) & (F.col("member") == F.col("_m"))).select("variant", "job", F.split(F.col("content").cast("string"), "\n")[1].alias("line"))
+    one = F.from_csv("line", "n long, hits long")
+    return _bounded(spark, got.select("variant", F.col("job").cast("int").alias("job"), one.alias("r")).select("variant", "job", "r.*"), at)
+
+
+@query(sql("SELECT 'map' || CAST(map_id AS VARCHAR) AS name, CAST(w/10 AS BIGINT) AS width, CAST(h/10 AS BIGINT) AS height, round(lt_lat, 6) AS top, round(lt_lon, 6) AS left_lon, round(rb_lat, 6) AS bottom, round(rb_lon, 6) AS right_lon, CAST(w/10*h/10*(map_id + 1) AS BIGINT) AS total FROM maps", "maps"))
+def map_rasters(spark, d):
+    """Maps as GeoTIFF files: corners and size come from the headers alone, pixels strip by strip."""
+    at = _folder(spark, "rasters")
+    c = F.col
+    w, h = (c("w") / 10).cast("long"), (c("h") / 10).cast("long")
+    pixels = F.repeat(F.char(c("map_id") + 1), (w * h).cast("int")).cast("binary")
+    archives.write_rasters(maps(spark, d).select(F.concat(F.lit("map"), "map_id").alias("name"), w.alias("width"), h.alias("height"), c("lt_lat").alias("top"), c("lt_lon").alias("left"), c("rb_lat").alias("bottom"), c("rb_lon").alias("right"), pixels.alias("pixels")), at)
+    archives.register(spark)
+    stem = F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("name")
+    heads = spark.read.format("raster_header").load(at).select(stem, "width", "height", F.round("top", 6).alias("top"), F.round("left", 6).alias("left_lon"), F.round("bottom", 6).alias("bottom"), F.round("right", 6).alias("right_lon"))
+    total = F.conv(F.hex(F.substring("pixels", 1, 1)), 16, 10).cast("long") * F.octet_length("pixels")
+    sums = spark.read.format("raster_strips").load(at).groupBy(stem).agg(F.sum(total).alias("total"))
+    return _bounded(spark, heads.join(sums, "name"), at)
+
+
 MANIFEST = "SELECT replace(filename, '.JPG', '') AS stem, flight, CASE WHEN seq % 60 < 8 THEN 'dropped' ELSE 'written' END AS status, seq % 60 AS n_corr FROM frames"
 
 
