@@ -16,6 +16,7 @@ and no exactness, as all phrases are counted and filtered in the end.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from . import vocab
 from .arrays import LOWER, chunks, flat, mix64, ramp, spans
 from .common import checkpointed, map_arrow, removed, shared_folder, ship
-from .vocab import distinct_spans, flat_lists, lists, unstepped
+from .vocab import distinct_spans, flat_lists, unstepped
 
 #: Contract values: least count, words of the longest phrase, share that a longer phrase needs to hide a shorter one, phrases a language.
 LEAST, LONGEST, HIDES_PERCENT, TOP = 30, 4, 80, 2000
@@ -175,10 +176,20 @@ def shard_words(langs: list[str], data: np.ndarray, offsets: np.ndarray) -> tupl
     return [names[c % len(names)] for c in codes], [words[c // len(names)].decode("utf-8", "replace") for c in codes], index, positions
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Two rows of 32-bit numbers, compressed: shuffles compress rows less well than this."""
+    return struct.pack("<q", x.shape[1]) + pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    n = struct.unpack("<q", raw[:8])[0]
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd"), np.int32).reshape(2, n)
+
+
 def _shards(docs: DataFrame, buckets: int) -> DataFrame:
-    """Lines (shard, steps from word to word, places in the vocabulary) and vocabularies (``vocab.ROW``, the tag being the language) in one table."""
-    schema = f"{vocab.ROW}, steps array<int>, places array<int>"
-    names = [*vocab.NAMES, "steps", "places"]
+    """Lines (steps from word to word and places in the vocabulary, compressed) and vocabularies (``vocab.ROW``, the tag being the language) in one table."""
+    schema = f"{vocab.ROW}, line binary"
+    names = [*vocab.NAMES, "line"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, langs, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -188,11 +199,11 @@ def _shards(docs: DataFrame, buckets: int) -> DataFrame:
             tags, words, index, positions = shard_words(langs, data, offsets)
             if not len(words):
                 return
-            one = np.array([len(index)])
+            line = squeezed(np.stack([np.diff(positions, prepend=0), index]).astype(np.int32))
             none = [pa.nulls(1, k) for k in (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *none, lists(np.diff(positions, prepend=0), one), lists(index, one)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *none, pa.array([line], pa.binary())], names=names)
             b = vocab.rows(number, tags, words, np.bincount(index, minlength=len(words)), buckets)
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.list_(pa.int32()))] * 2], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], names=names)
 
         for b in batches:
             lang = b.column(0).to_pylist()
@@ -219,8 +230,8 @@ def _named(words: DataFrame, least: int, buckets: int) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, str], int] = {}
-        tags: dict[str, int] = {}
+        total: dict[str, dict[str, int]] = {}
+        every: dict[str, int] = {}
         held = []
         for b in batches:
             held.append(b)
@@ -228,35 +239,37 @@ def _named(words: DataFrame, least: int, buckets: int) -> DataFrame:
             ends = np.cumsum(size).tolist()
             counts = counts.tolist()
             for tag, joined, lo, hi in zip(b.column(2).to_pylist(), b.column(5).to_pylist(), [0, *ends], ends):
-                tags[tag] = tags.get(tag, 0) + sum(counts[lo:hi])
+                every[tag] = every.get(tag, 0) + sum(counts[lo:hi])
+                own = total.setdefault(tag, {})
                 for w, n in zip(joined.split("\n"), counts[lo:hi]):
-                    key = (tag, w)
-                    total[key] = total.get(key, 0) + n
-        ids: dict[tuple[str, str], int] = {}
+                    own[w] = own.get(w, 0) + n
+        often = {tag: [(w, n) for w, n in own.items() if n >= least] for tag, own in total.items()}
+        total.clear()
+        ids: dict[str, dict[str, int]] = {tag: {} for tag in often}
         used: dict[int, int] = {}
-        for key, n in total.items():
-            if n >= least:
-                bucket = vocab.bucket(key[1], buckets)
+        for tag, own in often.items():
+            for w, _ in own:
+                bucket = vocab.bucket(w, buckets)
+                ids[tag][w] = used.get(bucket, 0) * buckets + bucket
                 used[bucket] = used.get(bucket, 0) + 1
-                ids[key] = (used[bucket] - 1) * buckets + bucket
 
         def out(**columns) -> pa.RecordBatch:
             m = len(next(iter(columns.values())))
             return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(m, k) for c, k in zip(names, KINDS)], names=names)
 
-        keys = list(ids)
-        for i in range(0, len(keys), 10_000):
-            some = keys[i : i + 10_000]
-            yield out(tag=[k[0] for k in some], word=[k[1] for k in some], id=[ids[k] for k in some], a=[total[k] for k in some])
-        yield out(tag=list(tags), n=list(tags.values()))
-        del total
+        for tag, own in often.items():
+            for i in range(0, len(own), 10_000):
+                some = own[i : i + 10_000]
+                yield out(tag=[tag] * len(some), word=[w for w, _ in some], id=[ids[tag][w] for w, _ in some], a=[n for _, n in some])
+        yield out(tag=list(every), n=list(every.values()))
+        often.clear()
         for b in held:
             deltas, size = flat_lists(b.column(3))
             slots = unstepped(deltas, size)
             at = 0
             shard, places, found = [], [], []
             for s, tag, joined in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(5).to_pylist()):
-                mine = np.array([ids.get((tag, w), -1) for w in joined.split("\n")], np.int64)
+                mine = np.array([ids[tag].get(w, -1) for w in joined.split("\n")], np.int64)
                 ok = mine >= 0
                 shard.append(s)
                 places.append(np.diff(slots[at : at + len(mine)][ok], prepend=0).astype(np.int32))
@@ -275,13 +288,13 @@ def _lines(shards: DataFrame, answers: DataFrame) -> DataFrame:
     def run(line: pa.Table, answer: pa.Table) -> pa.Table:
         kept, ids, counts = [], [], []
         if line.num_rows and answer.num_rows:
-            places = flat_lists(line.column("places"))[0]
+            moves, places = unsqueezed(line.column("line")[0].as_py())
             slots = unstepped(*flat_lists(answer.column("slots")))
             known = np.full(int(max(places.max(), slots.max() if len(slots) else 0)) + 1, -1, np.int64)
             known[slots] = flat_lists(answer.column("ids"))[0]
             line_ids = known[places]
             ok = line_ids >= 0
-            positions = np.cumsum(flat_lists(line.column("steps"))[0])[ok]
+            positions = np.cumsum(moves.astype(np.int64))[ok]
             kept, ids, counts = [np.diff(positions, prepend=0)], [line_ids[ok]], [int(ok.sum())]
         return pa.table({"steps": pa.array(kept, pa.list_(pa.int32())), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
@@ -340,7 +353,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets:
         named = stored(_named(shards.filter("bucket IS NOT NULL"), least, buckets), "named")
         total = checkpointed(named.filter("n IS NOT NULL").groupBy(F.col("tag").alias("lang")).agg(F.sum("n").alias("n")))
         often = checkpointed(named.filter("id IS NOT NULL").select("id", F.col("tag").alias("lang"), "word", "a"))
-        lines = stored(_lines(shards.filter("bucket IS NULL").select("shard", "steps", "places"), named.filter("shard IS NOT NULL").select("shard", "slots", "ids")), "lines")
+        lines = stored(_lines(shards.filter("bucket IS NULL").select("shard", "line"), named.filter("shard IS NOT NULL").select("shard", "slots", "ids")), "lines")
         for name in ("shards", "named"):
             removed(spark, f"{at}/{name}")
         pairs = checkpointed(_counted(lines, 2).filter(F.col("a") >= least))
