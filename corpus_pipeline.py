@@ -100,16 +100,20 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``.
 
     What lies between two stages is written to the shared folder and deleted once the
-    next stage is written; the table that the last stage reads stays, as its rows are
-    made when the result is used.
+    next stage is written, and all of it if a stage fails; the table that the last stage
+    reads stays, as its rows are made when the result is used.
     """
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{at}/{k}")
-            docs = spark.read.parquet(f"{at}/{k}")
-            if k:
-                removed(spark, f"{at}/{k - 1}")
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs.write.parquet(f"{at}/{k}")
+                docs = spark.read.parquet(f"{at}/{k}")
+                if k:
+                    removed(spark, f"{at}/{k - 1}")
+    except BaseException:
+        removed(spark, at)
+        raise
     return docs

@@ -99,13 +99,13 @@ def grouped(phrase: np.ndarray, byte: np.ndarray, bits: np.ndarray) -> tuple[np.
     return codes, np.bincount(index, weights=np.bitwise_count(bits), minlength=len(codes)).astype(np.int64), index, byte, bits
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A pair's bit in the table."""
+def pair_hash(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """A pair's bit in a table of ``bits`` bits (a power of two)."""
     with np.errstate(over="ignore"):
-        return mix64(mix64(a.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + b.astype(np.uint64)) & np.uint64(TABLE_BITS - 1)
+        return mix64(mix64(a.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + b.astype(np.uint64)) & np.uint64(bits - 1)
 
 
-def phrases(line: np.ndarray, positions: np.ndarray, longest: int, table: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def phrases(line: np.ndarray, positions: np.ndarray, longest: int, table: np.ndarray | None = None, batch: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word ids, popcounts) of the phrases of 2 words, or with a table of 3 to ``longest`` words whose pairs the table holds.
 
     ``line`` has the id of the word on each of the ascending ``positions``. Word ids come
@@ -114,22 +114,22 @@ def phrases(line: np.ndarray, positions: np.ndarray, longest: int, table: np.nda
     ids, words = np.unique(line, return_inverse=True)
     maps = Bitmaps(words, positions)
     sizes = np.diff(maps.word_at)
-    # First words by batches of about BATCH bytes; one word may be more.
+    # First words by batches of so many bytes; one word may be more.
     ends = np.cumsum(sizes)
     lo = 0
     while lo < maps.count:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + batch, "right")))
         owner, byte, bits = maps.of(lo, hi)
-        yield from _deeper(maps, ids, np.arange(lo, hi)[:, None], owner - lo, byte, bits, longest, table)
+        yield from _deeper(maps, ids, np.arange(lo, hi)[:, None], owner - lo, byte, bits, longest, table, batch)
         lo = hi
 
 
-def _deeper(maps: Bitmaps, ids: np.ndarray, prefix: np.ndarray, owner: np.ndarray, byte: np.ndarray, bits: np.ndarray, longest: int, table: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _deeper(maps: Bitmaps, ids: np.ndarray, prefix: np.ndarray, owner: np.ndarray, byte: np.ndarray, bits: np.ndarray, longest: int, table: np.ndarray | None, batch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Extend phrases (``prefix``: rows of word places, with bitmaps of ``owner`` rows) by one word, and go on with what that gives."""
     depth = prefix.shape[1]
     owner, word, byte, bits = maps.extended(owner, byte, bits)
     if table is not None and len(owner):
-        h = pair_hash(ids[prefix[owner, -1]], ids[word])
+        h = pair_hash(ids[prefix[owner, -1]], ids[word], 8 * len(table))
         ok = np.flatnonzero(table[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1)
         owner, word, byte, bits = owner[ok], word[ok], byte[ok], bits[ok]
     codes, n, index, byte, bits = grouped(owner * max(maps.count, 1) + word, byte, bits)
@@ -148,9 +148,9 @@ def _deeper(maps: Bitmaps, ids: np.ndarray, prefix: np.ndarray, owner: np.ndarra
     lo = 0
     while lo < len(prefix):
         before = int(ends[lo - 1]) if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, before + BATCH, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, before + batch, "right")))
         part = slice(before, int(ends[hi - 1]))
-        yield from _deeper(maps, ids, prefix[lo:hi], index[part] - lo, byte[part], bits[part], longest, table)
+        yield from _deeper(maps, ids, prefix[lo:hi], index[part] - lo, byte[part], bits[part], longest, table, batch)
         lo = hi
 
 
@@ -186,7 +186,7 @@ def unsqueezed(raw: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd"), np.int32).reshape(2, n)
 
 
-def _shards(docs: DataFrame, buckets: int) -> DataFrame:
+def _shards(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     """Lines (steps from word to word and places in the vocabulary, compressed) and vocabularies (``vocab.ROW``, the tag being the language) in one table."""
     schema = f"{vocab.ROW}, line binary"
     names = [*vocab.NAMES, "line"]
@@ -207,8 +207,8 @@ def _shards(docs: DataFrame, buckets: int) -> DataFrame:
 
         for b in batches:
             lang = b.column(0).to_pylist()
-            for lo, hi, data, _ in chunks(b.column(1), SHARD):
-                if texts and held + len(data) > SHARD:
+            for lo, hi, data, _ in chunks(b.column(1), size):
+                if texts and held + len(data) > size:
                     yield from shard()
                     number, langs, texts, held = number + 1, [], [], 0
                 langs += lang[lo:hi]
@@ -301,7 +301,7 @@ def _lines(shards: DataFrame, answers: DataFrame) -> DataFrame:
     return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, "steps array<int>, ids array<long>")
 
 
-def _counted(lines: DataFrame, longest: int, table=None) -> DataFrame:
+def _counted(lines: DataFrame, longest: int, batch: int, table=None) -> DataFrame:
     """(w1 .. w<longest>, a): popcounts of phrases summed over shards."""
     words = [f"w{i + 1}" for i in range(longest)]
 
@@ -313,31 +313,32 @@ def _counted(lines: DataFrame, longest: int, table=None) -> DataFrame:
                 positions = np.cumsum(moves)
                 if not len(positions):
                     continue
-                for rows, n in phrases(ids, positions - positions[0], longest, bits):
+                for rows, n in phrases(ids, positions - positions[0], longest, bits, batch):
                     yield pa.RecordBatch.from_arrays([*[pa.array(rows[:, i]) for i in range(longest)], pa.array(n)], names=[*words, "n"])
 
     d = map_arrow(lines.select("steps", "ids"), run, ", ".join(f"{w} long" for w in words) + ", n long")
     return d.groupBy(*words).agg(F.sum("n").alias("a"))
 
 
-def _pair_table(pairs: DataFrame) -> np.ndarray:
-    """The bit table of pairs (w1, w2): ``TABLE_BITS`` bits whatever their number. A row for each 64 bits comes to the driver, 2**21 at most."""
+def _pair_table(pairs: DataFrame, size: int) -> np.ndarray:
+    """The table of pairs (w1, w2): ``size`` bits whatever their number. A row for each 64 bits comes to the driver, 2**21 at most as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = pair_hash(np.asarray(b.column(0)), np.asarray(b.column(1)))
+            h = pair_hash(np.asarray(b.column(0)), np.asarray(b.column(1)), size)
             yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(6)).astype(np.int64)), pa.array(np.left_shift(np.uint64(1), h & np.uint64(63)).view(np.int64))], names=["at", "bits"])
 
     rows = map_arrow(pairs.select("w1", "w2"), run, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    out = np.zeros(TABLE_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[np.asarray(rows.column("at"))] = np.asarray(rows.column("bits"))
     return out.view(np.uint8)
 
 
-def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets: int | None = None, shard: int = SHARD, batch: int = BATCH, table_bits: int = TABLE_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n), (id, lang, word, a) and (w1 .. w<longest>, a): words of each language, and words and phrases that occur ``least`` times or more.
 
-    Phrases hold the ids of their words, filled up with -1.
+    Phrases hold the ids of their words, filled up with -1. ``shard``, ``batch`` and
+    ``table_bits`` bound memory and change no row.
     """
     spark = docs.sparkSession
     buckets = buckets or vocab.buckets_of(spark)
@@ -349,18 +350,18 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets:
         return spark.read.parquet(f"{at}/{name}")
 
     try:
-        shards = stored(_shards(docs, buckets), "shards")
+        shards = stored(_shards(docs, buckets, shard), "shards")
         named = stored(_named(shards.filter("bucket IS NOT NULL"), least, buckets), "named")
         total = checkpointed(named.filter("n IS NOT NULL").groupBy(F.col("tag").alias("lang")).agg(F.sum("n").alias("n")))
         often = checkpointed(named.filter("id IS NOT NULL").select("id", F.col("tag").alias("lang"), "word", "a"))
         lines = stored(_lines(shards.filter("bucket IS NULL").select("shard", "line"), named.filter("shard IS NOT NULL").select("shard", "slots", "ids")), "lines")
         for name in ("shards", "named"):
             removed(spark, f"{at}/{name}")
-        pairs = checkpointed(_counted(lines, 2).filter(F.col("a") >= least))
+        pairs = checkpointed(_counted(lines, 2, batch).filter(F.col("a") >= least))
         found = pairs.select("w1", "w2", *[F.lit(-1).cast("long").alias(w) for w in words[2:]], "a")
         if longest > 2:
-            table = spark.sparkContext.broadcast(_pair_table(pairs))
-            longer = checkpointed(_counted(lines, longest, table).filter(F.col("a") >= least))
+            table = spark.sparkContext.broadcast(_pair_table(pairs, table_bits))
+            longer = checkpointed(_counted(lines, longest, batch, table).filter(F.col("a") >= least))
             table.destroy()
             found = found.unionByName(longer)
     finally:
@@ -375,16 +376,16 @@ def _packed(words: list[Column], longest: int) -> list[Column]:
     return [*words, *[F.lit(-1).cast("long")] * (longest - len(words))]
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, hides: int = HIDES_PERCENT, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, hides: int = HIDES_PERCENT, top: int = TOP, **bounds: int) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of 2 to ``longest`` words.
 
     A phrase's score is floor(2000000 a / (l + r)) at the cut where that is least (ties to
     the earlier cut); it goes where a longer phrase that holds it occurs at least
     ``hides`` percent as often. Null texts are empty, null langs ``und``; repeated rows
     count each; pieces and words without letters count like others. An empty table
-    gives no rows. Products are decimals, so no count overflows them.
+    gives no rows. Products are decimals, so no count overflows them. ``bounds``: see ``counts``.
     """
-    total, often, found = counts(docs, least, longest)
+    total, often, found = counts(docs, least, longest, **bounds)
     ws = [f"w{i + 1}" for i in range(longest)]
     found = checkpointed(found.withColumn("size", sum((F.col(w) >= 0).cast("int") for w in ws)))
     # What any part of a phrase counts: words and phrases by the same key.

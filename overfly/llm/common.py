@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ..operators import store
+from ..operators.store import checkpointed, removed, shared_folder
+
+__all__ = ["checkpointed", "extended", "give_back", "looked_up", "map_arrow", "reclaim", "removed", "shared_folder", "ship", "table", "with_rank"]
+
 #: A word of the contracts: bytes outside blank and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch between JVM and Python.
@@ -24,36 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; see ``shared_folder``.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary folder serves a local master (tests);
-    on a cluster that is an error, as executors share no such folder.
-    """
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="overfly-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def reclaim(spark: SparkSession) -> None:
     """Let Spark delete shuffle files and checkpoints of steps that nothing refers to any more.
 
@@ -113,16 +85,7 @@ def ship(spark: SparkSession) -> None:
     """
     if spark.conf.get(BATCH_KEY).rstrip("b") == str(64 << 20):
         spark.conf.set(BATCH_KEY, BATCH_BYTES)
-    sc = spark.sparkContext
-    if getattr(sc, "_overfly_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="overfly-code-")) / "overfly_package.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(str(path))
-    sc._overfly_shipped = True
+    store.ship(spark)
 
 
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:

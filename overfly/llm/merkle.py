@@ -116,7 +116,7 @@ def grow(leaves: DataFrame, arity: int = ARITY) -> DataFrame:
     slots = d.rdd.getNumPartitions()
     while True:
         made.append(d.filter("made").drop("slot", "made"))
-        if slots == 1:
+        if slots <= 1:
             return reduce(DataFrame.unionAll, made)
         slots = -(-slots // FAN)
         # Open nodes of neighbouring partitions meet, as what they lack lies next to them.

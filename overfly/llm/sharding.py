@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import with_rank
+from .common import looked_up, with_rank
 
 
 def hilbert_index(coords: list[int], bits: int) -> int:
@@ -116,16 +116,21 @@ def shard_documents(docs: DataFrame, shards: int = 16, law: str = "rows") -> Dat
     """Documents' shards by (source, lang, bytes): doc_id, size, text_crc32, law, shard, slot, grown_shard (null: no ``key`` law).
 
     size is the text's UTF-8 bytes plus 1 (null text: 1); the checksum of a null
-    text is that of the empty one. Null sources and languages sort first.
+    text is that of the empty one. Equal texts follow one another on the curve, whatever
+    their sources: a shard's end splits a group of copies only where it falls into it.
+    Null sources and languages sort first.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-        "source", "lang",
+        "source", "lang", F.xxhash64(text).alias("_text"),
     )
+    # Copies of a text go by the least source and language among them, so they share a cell; inside it equal texts stand together.
+    same = d.groupBy("_text").agg(F.min("source").alias("source"), F.min("lang").alias("lang"))
+    d = looked_up(d.drop("source", "lang"), same, "_text")
     d = with_place(with_place(d, "source", "_source"), "lang", "_lang")
     out = hilbert_shards(
         d, [F.col("_source"), F.col("_lang"), F.col("size").cast("double")], F.col("size"),
-        [F.xxhash64("doc_id", "text_crc32"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards, law=law,
+        [F.col("_text"), F.col("text_crc32"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("size")], shards, law=law,
     )
     return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")

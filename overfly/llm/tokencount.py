@@ -110,13 +110,13 @@ def reader(path: str) -> Reader:
 class Generation:
     """The vocabulary of a stretch of documents."""
 
-    def __init__(self, pretokens: Callable[[bytes], list[str]]) -> None:
-        self.split, self.text = pretokens, 0
+    def __init__(self, pretokens: Callable[[bytes], list[str]], most_words: int, most_text: int) -> None:
+        self.split, self.text, self.most_words, self.most_text = pretokens, 0, most_words, most_text
         self.slots: dict[str, int] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
 
     def full(self) -> bool:
-        return len(self.slots) > WORDS or len(self.words) > 2 * WORDS or self.text > TEXT
+        return len(self.slots) > self.most_words or len(self.words) > 2 * self.most_words or self.text > self.most_text
 
     def of(self, word: bytes) -> tuple[int, ...]:
         found = self.words.get(word)
@@ -144,7 +144,7 @@ class Generation:
         return np.bincount(code // wide, minlength=len(per)), code % wide, freq
 
 
-def _read(docs: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+def _read(docs: DataFrame, path: str, key: str, buckets: int, words: int, text: int) -> DataFrame:
     """Documents (shard, key, n_bytes, pairs, freqs) and vocabularies (``vocab.ROW``) in one table; a shard is a generation."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{vocab.ROW}, key {kind}, n_bytes long, pairs array<int>, freqs array<int>"
@@ -155,19 +155,19 @@ def _read(docs: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
         now, number, key_type = None, TaskContext.get().partitionId() << 32, None
 
         def vocabulary() -> pa.RecordBatch:
-            words = list(now.slots)
-            b = vocab.rows(number, [""] * len(words), words, np.zeros(len(words), np.int64), buckets)
+            own_words = list(now.slots)
+            b = vocab.rows(number, [""] * len(own_words), own_words, np.zeros(len(own_words), np.int64), buckets)
             kinds = [key_type, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, k) for k in kinds]], names=[*vocab.NAMES, *own])
 
         for b in batches:
             keys, texts = b.column(0), b.column(1)
             key_type = keys.type
-            for lo, hi, data, offsets in chunks(texts, CHUNK):
+            for lo, hi, data, offsets in chunks(texts, min(CHUNK, text)):
                 if now is None or now.full():
                     if now is not None and now.slots:
                         yield vocabulary()
-                    now, number = Generation(r.pretokens), number + 1
+                    now, number = Generation(r.pretokens, words, text), number + 1
                 counts, slots, freqs = now.frequencies(data, offsets)
                 m = hi - lo
                 none = [pa.nulls(m, k) for k in (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string())]
@@ -201,20 +201,20 @@ def _pieces(words: DataFrame, path: str) -> DataFrame:
     return map_arrow(words.select("shard", "slots", "words"), run, "shard long, slots array<int>, pieces array<int>")
 
 
-def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", buckets: int | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", buckets: int | None = None, words: int = WORDS, text: int = TEXT) -> DataFrame:
     """``key``, n_bytes (UTF-8) and n_tokens of each row's ``text``, as the library's encode without added tokens has them.
 
     Null and empty texts have no bytes and no tokens. Texts are read whole, however long;
     special strings in a text count as one token each. Rows keep their number: repeated
     rows, null keys and equal keys with other texts each get their own row. An empty table
     gives none. Other columns are not looked at. ``buckets`` (default: the session's
-    shuffle partitions) deal the vocabularies.
+    shuffle partitions) deal the vocabularies; ``words`` and ``text`` bound a generation.
     """
     spark = docs.sparkSession
     buckets = buckets or vocab.buckets_of(spark)
     at = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
     try:
-        _read(docs, path, key, buckets).write.option("compression", "zstd").parquet(at)
+        _read(docs, path, key, buckets, words, text).write.option("compression", "zstd").parquet(at)
         both = spark.read.parquet(at)
         found = _pieces(vocab.gathered(both.filter("bucket IS NOT NULL"), buckets), path)
         rows = both.filter("bucket IS NULL").select("shard", "key", "n_bytes", "pairs", "freqs")
