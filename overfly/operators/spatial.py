@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,30 +81,78 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: tuple[str, str], to
         radius_m *= 4
 
 
-def map_for_point(points: DataFrame, maps: DataFrame, lat: str = "lat", lon: str = "lon", most: int = 10_000) -> DataFrame:
-    """Each point with the first map that holds it, else the map it overflows least, its pixel clamped.
+#: Degrees of the coarsest cell of the box index; each level halves them.
+COARSEST, FINEST = 512.0, 40
 
-    Adds map_id, px, py, in_bounds and the map's columns. Maps are a catalogue: their
-    number is checked against ``most`` before they are broadcast.
+
+def _level(margin: float) -> Column:
+    """The finest level whose cells are no smaller than a map widened by ``margin`` degrees (and a little more, so that rounding leaves no edge out)."""
+    wide = F.greatest(F.abs(F.col("lt_lat") - F.col("rb_lat")), F.abs(F.col("lt_lon") - F.col("rb_lon"))) + 2 * margin
+    return F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(F.lit(COARSEST) / (wide * 1.000001 + 1e-8))))).cast("int")
+
+
+def _cell(level: Column) -> Column:
+    return F.lit(COARSEST) / F.pow(F.lit(2.0), level)
+
+
+def _box_cells(maps: DataFrame, margin: float) -> DataFrame:
+    """A row (_level, _cx, _cy) for each cell that a widened map touches: four at most."""
+    d = maps.withColumn("_level", _level(margin))
+    more = margin + 1e-9
+    run = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - more) / _cell(F.col("_level"))), F.floor((F.greatest(a, b) + more) / _cell(F.col("_level")))))
+    return d.withColumn("_cx", run("lt_lon", "rb_lon")).withColumn("_cy", run("lt_lat", "rb_lat"))
+
+
+def _best_map(points: DataFrame, maps: DataFrame, levels: list[int], margin: float, most: float | None) -> DataFrame:
+    """_pid, _row and ``b``, the best map within ``margin`` degrees: one that holds the point or, if ``most`` is given, one that it overflows by that much at most; null where there is none.
+
+    A point looks its cell up on each level that has maps, ``FINEST`` + 1 at most: an equi-join.
+    """
+    p = points.withColumn("_l", F.explode(F.array(*[F.lit(v) for v in levels])))
+    p = p.withColumns({"_x": F.floor(F.col("_lon") / _cell(F.col("_l"))), "_y": F.floor(F.col("_lat") / _cell(F.col("_l")))})
+    j = p.join(_box_cells(maps, margin), (F.col("_l") == F.col("_level")) & (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
+    m = geo.map_columns()
+    px, py = geo.gps_to_px(F.col("_lat"), F.col("_lon"), m)
+    j = j.withColumns({"px": px, "py": py})
+    x, y, zero = F.col("px"), F.col("py"), F.lit(0.0)
+    hit = geo.in_box(x, y, m["w"], m["h"])
+    over = F.greatest(zero, -x) + F.greatest(zero, x - m["w"]) + F.greatest(zero, -y) + F.greatest(zero, y - m["h"])
+    best = F.struct((~hit).alias("miss"), F.when(hit, 0.0).otherwise(over).alias("over"), "map_id", "px", "py", *[c for c in maps.columns if c != "map_id"])
+    return j.groupBy("_pid").agg(F.first("_row").alias("_row"), F.first("_lat").alias("_lat"), F.first("_lon").alias("_lon"), F.min(F.when(F.col("_level").isNotNull() & (hit if most is None else hit | (over <= most)), best)).alias("b"))
+
+
+def map_for_point(points: DataFrame, maps: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Each point with the first map that holds it, else the map it overflows least (in that map's pixels; ties to the smaller map_id), its pixel clamped.
+
+    Adds map_id, px, py, in_bounds and the map's columns. Maps of any number are joined by
+    cells: each lies in at most four cells of a level that fits its size. Points in no map
+    look around in growing rings: a map farther than r degrees overflows by r times the
+    least scale of all maps or more, so what has been found below that stands. Points
+    without a position keep their row, with no map and in_bounds false; so do all where
+    there are no maps.
     """
-    n = maps.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} maps: join on grid cells instead")
+    own = points.select(F.monotonically_increasing_id().alias("_pid"), F.struct(*points.columns).alias("_row"), F.nanvl(F.col(lat).cast("double"), F.lit(None)).alias("_lat"), F.nanvl(F.col(lon).cast("double"), F.lit(None)).alias("_lon"))
+    m = geo.map_columns()
+    n, scale, tall, broad, levels = maps.agg(F.count(F.lit(1)), F.min(F.least(m["pplat"], m["pplon"])), F.max("lt_lat") - F.min("rb_lat"), F.max("rb_lon") - F.min("lt_lon"), F.collect_set(_level(0.0))).first()
     cols = [c for c in maps.columns if c != "map_id"]
+    if not n:
+        none = [F.lit(None).cast(t).alias(c) for c, t in [("map_id", maps.schema["map_id"].dataType), ("px", "double"), ("py", "double"), *[(c, maps.schema[c].dataType) for c in cols]]]
+        return points.select("*", *none, F.lit(False).alias("in_bounds"))
+    found = checkpointed(_best_map(own, maps, sorted(levels), 0.0, None))
+    done, rest = [found.filter("b IS NOT NULL OR _lat IS NULL OR _lon IS NULL")], found.filter("b IS NULL AND _lat IS NOT NULL AND _lon IS NOT NULL").drop("b")
+    ring = max(1e-6, 2 * ((tall or 0.0) * (broad or 0.0) / n) ** 0.5)
+    while rest.take(1):
+        levels = sorted(r[0] for r in maps.select(_level(ring)).distinct().collect())
+        near = checkpointed(_best_map(rest, maps, levels, ring, ring * scale if ring <= 1000 else math.inf))
+        done.append(near.filter("b IS NOT NULL"))
+        rest = near.filter("b IS NULL").drop("b")
+        if ring > 1000:
+            break
+        ring *= 4
+    out = reduce(DataFrame.unionAll, [d.select("_row.*", "b.*") for d in done])
     zero = F.lit(0.0)
-
-    def fit(t: Column) -> Column:
-        m = geo.map_scale({k: t[k].cast("double") for k in ("lt_lat", "lt_lon", "rb_lat", "rb_lon", "w", "h")})
-        x, y = geo.gps_to_px(F.col(lat), F.col(lon), m)
-        over = F.greatest(zero, -x) + F.greatest(zero, x - m["w"]) + F.greatest(zero, -y) + F.greatest(zero, y - m["h"])
-        hit = geo.in_box(x, y, m["w"], m["h"])
-        return F.struct((~hit).alias("miss"), F.when(hit, 0.0).otherwise(over).alias("over"), t["map_id"].alias("map_id"), x.alias("px"), y.alias("py"), *[t[c].alias(c) for c in cols])
-
-    # The catalogue becomes one array that every row searches: no shuffle of the points.
-    catalogue = maps.agg(F.collect_list(F.struct(*maps.columns)).alias("_maps"))
-    d = points.join(F.broadcast(catalogue), F.lit(True)).withColumn("b", F.array_min(F.transform("_maps", fit))).select(*points.columns, "b.*")
     clamp = lambda v, size: F.when(F.col("miss"), F.least(F.greatest(F.col(v), zero), F.col(size) - 1)).otherwise(F.col(v))
-    return d.withColumns({"px": clamp("px", "w"), "py": clamp("py", "h"), "in_bounds": ~F.col("miss")}).drop("miss", "over")
+    return out.withColumns({"px": clamp("px", "w"), "py": clamp("py", "h"), "in_bounds": F.coalesce(~F.col("miss"), F.lit(False))}).drop("miss", "over")
 
 
 def tile_grid(maps: DataFrame, tile: int = 1024, stride: int = 512) -> DataFrame:
