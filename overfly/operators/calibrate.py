@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions import geo
 from .accuracy import gate
+from .store import with_neighbours
 
 
 def track_direction(d: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -16,14 +17,23 @@ def track_direction(d: DataFrame, keys: list[str], order: str = "seq") -> DataFr
 
     The last row repeats the one before; a single row points north; steps under a
     micrometre stay unscaled. Each step is scaled at the latitude it starts from.
+    Tracks lie in ranges of rows that exchange their ends, so none is gathered in a task.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    step = lambda c: F.coalesce(F.lead(c).over(w) - F.col(c), F.col(c) - F.lag(c).over(w))
-    start = F.when(F.lead("lat").over(w).isNotNull(), F.col("lat")).otherwise(F.lag("lat").over(w))
+    d = with_neighbours(d, keys, [order], ["lat", "lon"], "_b", "_a")
+    step = lambda c: F.coalesce(F.col(f"_a.{c}") - F.col(c), F.col(c) - F.col(f"_b.{c}"))
+    start = F.when(F.col("_a.lat").isNotNull(), F.col("lat")).otherwise(F.col("_b.lat"))
     d = d.withColumns({"_e": step("lon") * geo.metres_per_lon(start), "_n": step("lat") * K.LATITUDE_M})
     size = F.hypot("_e", "_n")
     size = F.when(size < 1e-6, 1.0).otherwise(size)
-    return d.withColumns({"te": F.coalesce(F.col("_e") / size, F.lit(0.0)), "tn": F.coalesce(F.col("_n") / size, F.lit(1.0))}).drop("_e", "_n")
+    return d.withColumns({"te": F.coalesce(F.col("_e") / size, F.lit(0.0)), "tn": F.coalesce(F.col("_n") / size, F.lit(1.0))}).drop("_e", "_n", "_a", "_b")
+
+
+def central_bearing(d: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """Add ``bearing``: degrees from north of the way from the position before to the one after (the own one at either end)."""
+    d = with_neighbours(d, keys, [order], ["lat", "lon"], "_b", "_a")
+    step = lambda c: F.coalesce(F.col(f"_a.{c}"), F.col(c)) - F.coalesce(F.col(f"_b.{c}"), F.col(c))
+    b = F.degrees(F.atan2(step("lon") * geo.metres_per_lon(F.col("lat")), step("lat") * K.LATITUDE_M))
+    return d.withColumn("bearing", b).drop("_a", "_b")
 
 
 def with_errors(d: DataFrame, keys: list[str]) -> DataFrame:

@@ -75,3 +75,25 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, runn
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     out = d.join(per, on).withColumns({rank: F.col("_r") + F.col("_b_n"), **{name: F.col(f"_s{i}") + F.col(f"_b_t{i}") for i, name in enumerate(running)}})
     return out.select(*df.columns, rank, *running)
+
+
+def with_neighbours(df: DataFrame, group: list[str], order: list[str], columns: list[str], before: str = "before", after: str = "after") -> DataFrame:
+    """Add structs of ``columns`` of the row before and the row after in each group's ``order`` (null at the ends), however large a group is.
+
+    Rows are range-partitioned on (group, order) and look at their partition's own rows;
+    the partitions exchange the first and the last row of each group, partitions + groups
+    rows at most. Rows that tie in ``order`` follow one another in an unspecified order.
+    """
+    keys = [*group, *order]
+    row = F.struct(*columns)
+    d = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    d = checkpointed(d)
+    inside = Window.partitionBy("_part", *group).orderBy("_at")
+    d = d.withColumns({"_b": F.lag(row).over(inside), "_a": F.lead(row).over(inside)})
+    edges = d.groupBy("_part", *group).agg(F.min_by(row, "_at").alias("_first"), F.max_by(row, "_at").alias("_last"))
+    parts = Window.partitionBy(*group).orderBy("_part")
+    edges = edges.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.lag("_last").over(parts).alias("_eb"), F.lead("_first").over(parts).alias("_ea"))
+    on = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return d.join(edges, on).select(*df.columns, F.coalesce("_b", "_eb").alias(before), F.coalesce("_a", "_ea").alias(after))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions import geo
-from ..operators import spatial
+from ..operators import calibrate, spatial
 from ..registry import query
 from .views import frames, gallery, maps, match_results, queries, sql
 
@@ -272,7 +271,4 @@ def season(spark, d):
 
 @query(sql("SELECT flight, seq, round(degrees(atan2((lon2 - lon1)*111320.0::DOUBLE*cos(radians(lat)), (lat2 - lat1)*110540.0::DOUBLE)), 4) AS bearing FROM (SELECT *, coalesce(lead(lat) OVER w, lat) AS lat2, coalesce(lag(lat) OVER w, lat) AS lat1, coalesce(lead(lon) OVER w, lon) AS lon2, coalesce(lag(lon) OVER w, lon) AS lon1 FROM frames WINDOW w AS (PARTITION BY flight ORDER BY seq))", "frames"))
 def central_bearing(spark, d):
-    w = Window.partitionBy("flight").orderBy("seq")
-    step = lambda c: F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))
-    b = F.degrees(F.atan2(step("lon") * geo.metres_per_lon(F.col("lat")), step("lat") * K.LATITUDE_M))
-    return frames(spark, d).select("flight", "seq", R6(b, 4).alias("bearing"))
+    return calibrate.central_bearing(frames(spark, d), ["flight"]).select("flight", "seq", R6("bearing", 4).alias("bearing"))
