@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .quantiles import with_quantiles
 
 
 def scored(d: DataFrame) -> DataFrame:
@@ -32,17 +33,30 @@ def share(c: Column) -> Column:
     return F.round(F.count_if(c) * 100.0 / F.count(F.lit(1)), 6)
 
 
+def with_total(d: DataFrame, total: str) -> DataFrame:
+    """Each row once under its own ``total`` and once under 'ALL'; a row without one counts under 'ALL' as its own."""
+    return d.withColumn("_t", F.explode(F.array(F.coalesce(total, F.lit("ALL")), F.lit("ALL")))).withColumn(total, F.col("_t")).drop("_t")
+
+
 def accuracy(d: DataFrame, keys: list[str], total: str = "flight", thresholds: tuple[int, ...] = K.THRESHOLDS) -> DataFrame:
-    """Gated counts and percentages at each threshold by ``keys``, with a total row ('ALL') over the last key."""
+    """Gated counts and percentages at each threshold by ``keys``, with a total row ('ALL') over the last key.
+
+    The median error is exact and gathers no large group (``quantiles``).
+    """
     rest = [k for k in keys if k != total]
-    aggs = [F.count(F.lit(1)).alias("n")] + [share(within(t, accepted=gate())).alias(f"a{t}") for t in thresholds] + [F.round(F.median("offset_m"), 6).alias("med_m")]
-    return d.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in rest]], *[F.col(k) for k in keys]).agg(*aggs).withColumn(total, F.coalesce(total, F.lit("ALL")))
+    aggs = [F.count(F.lit(1)).alias("n")] + [share(within(t, accepted=gate())).alias(f"a{t}") for t in thresholds]
+    g = d.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in rest]], *[F.col(k) for k in keys]).agg(*aggs).withColumn(total, F.coalesce(total, F.lit("ALL")))
+    return with_quantiles(g, with_total(d.select(*keys, "offset_m"), total), keys, {"med_m": (F.col("offset_m"), 0.5)})
 
 
 def errors(c: str = "offset_m") -> list[Column]:
-    """Mean, median, root mean square, 90th percentile and maximum of known errors."""
+    """Mean, root mean square and maximum of known errors; their median and 90th percentile are ``error_quantiles``."""
     v = F.col(c)
-    return [F.round(x, 6).alias(n) for n, x in (("mean_m", F.avg(v)), ("median_m", F.median(v)), ("rmse_m", F.sqrt(F.avg(v * v))), ("p90_m", F.percentile(v, 0.9)), ("max_m", F.max(v)))]
+    return [F.round(x, 6).alias(n) for n, x in (("mean_m", F.avg(v)), ("rmse_m", F.sqrt(F.avg(v * v))), ("max_m", F.max(v)))]
+
+
+def error_quantiles(c: str = "offset_m") -> dict[str, tuple[Column, float]]:
+    return {"median_m": (F.col(c), 0.5), "p90_m": (F.col(c), 0.9)}
 
 
 def curve(d: DataFrame, keys: list[str], grid: list[float], c: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..operators import accuracy as A
 from ..operators.bands import with_band
+from ..operators.quantiles import exact, with_quantiles
 from ..operators.store import ranked
 from ..registry import query
 from .views import frames, match_results, sql
@@ -24,20 +25,18 @@ def acc_by_method_flight(spark, d):
 
 @query(sql(f"SELECT method, flight, count(*) AS n, {UNG}, round(median(raw_err_m), 6) AS median_m, round(quantile_cont(raw_err_m, 0.9), 6) AS p90_m, round(max(raw_err_m), 6) AS max_m FROM scored GROUP BY ALL", "scored"))
 def acc_ungated(spark, d):
-    x = F.col("raw_err_m")
-    return A.scored(match_results(spark, d)).groupBy("method", "flight").agg(
-        F.count(F.lit(1)).alias("n"), *[A.share(A.within(t, "raw_err_m")).alias(f"u{t}") for t in K.THRESHOLDS],
-        F.round(F.median(x), 6).alias("median_m"), F.round(F.percentile(x, 0.9), 6).alias("p90_m"), F.round(F.max(x), 6).alias("max_m"),
-    )
+    x = A.scored(match_results(spark, d))
+    g = x.groupBy("method", "flight").agg(F.count(F.lit(1)).alias("n"), *[A.share(A.within(t, "raw_err_m")).alias(f"u{t}") for t in K.THRESHOLDS], F.round(F.max("raw_err_m"), 6).alias("max_m"))
+    return with_quantiles(g, x, ["method", "flight"], A.error_quantiles("raw_err_m"))
 
 
 @query(sql(f"SELECT method, flight, {ERR.format(c='offset_m')}, round(median(t_match_ms), 6) AS t_median, round(avg(t_match_ms), 6) AS t_mean, round(quantile_cont(t_match_ms, 0.9), 6) AS t_p90, round(count(*) FILTER (WHERE inliers >= 7)*100.0::DOUBLE/count(*), 6) AS accepted, CAST(median(inliers) AS DOUBLE) AS med_inliers, round(median(inliers/nullif(good, 0)::DOUBLE), 6) AS med_ratio, round(count(*) FILTER (WHERE coalesce(gt_in_patch, false))*100.0::DOUBLE/count(*), 6) AS in_patch FROM scored GROUP BY ALL", "scored"))
 def err_stats(spark, d):
-    return A.scored(match_results(spark, d)).groupBy("method", "flight").agg(
-        *A.errors(), F.round(F.median("t_match_ms"), 6).alias("t_median"), F.round(F.avg("t_match_ms"), 6).alias("t_mean"), F.round(F.percentile("t_match_ms", 0.9), 6).alias("t_p90"),
-        A.share(A.gate()).alias("accepted"), F.median("inliers").alias("med_inliers"), F.round(F.median(F.col("inliers") / F.nullif(F.col("good"), F.lit(0))), 6).alias("med_ratio"),
-        A.share(F.coalesce("gt_in_patch", F.lit(False))).alias("in_patch"),
-    )
+    x = A.scored(match_results(spark, d))
+    g = x.groupBy("method", "flight").agg(*A.errors(), F.round(F.avg("t_match_ms"), 6).alias("t_mean"), A.share(A.gate()).alias("accepted"), A.share(F.coalesce("gt_in_patch", F.lit(False))).alias("in_patch"))
+    ratio = F.col("inliers") / F.nullif(F.col("good"), F.lit(0))
+    t = F.col("t_match_ms")
+    return with_quantiles(g, x, ["method", "flight"], A.error_quantiles() | {"t_median": (t, 0.5), "t_p90": (t, 0.9), "med_inliers": (F.col("inliers"), 0.5), "med_ratio": (ratio, 0.5)})
 
 
 GRID = [float(x) for x in range(0, 101, 5)]
@@ -48,29 +47,35 @@ def acc_curve(spark, d):
     return A.curve(A.solvable(match_results(spark, d)), ["method"], GRID, F.col("offset_m"))
 
 
+def _bands(spark, d):
+    """Frames' bands; only what orders a flight is ranked."""
+    return with_band(frames(spark, d).select("flight", "filename", "lat", "lon")).select("flight", "filename", "band")
+
+
 @query(sql("SELECT flight, filename, band FROM banded", "banded"))
 def band_assign(spark, d):
-    return with_band(frames(spark, d)).select("flight", "filename", "band")
+    return _bands(spark, d)
 
 
 @query(sql("SELECT flight, band, count(*) AS n FROM banded GROUP BY ALL", "banded"))
 def band_counts(spark, d):
-    return with_band(frames(spark, d)).groupBy("flight", "band").agg(F.count(F.lit(1)).alias("n"))
+    return _bands(spark, d).groupBy("flight", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql(f"SELECT method, coalesce(flight, 'ALL') AS flight, band, count(*) AS n, {ACC}, {UNG}, round(median(offset_m), 6) AS med_offset_m, round(median(raw_err_m), 6) AS med_raw_err_m FROM scored JOIN (SELECT flight AS fl, filename AS fn, band FROM banded) ON flight = fl AND filename = fn GROUP BY GROUPING SETS ((method, flight, band), (method, band))", "scored", "banded"))
 def band_summary(spark, d):
-    b = with_band(frames(spark, d)).select("flight", "filename", "band")
+    b = _bands(spark, d)
     x = A.scored(match_results(spark, d)).join(b, ["flight", "filename"])
     aggs = [F.count(F.lit(1)).alias("n"), *[A.share(A.within(t, accepted=A.gate())).alias(f"a{t}") for t in K.THRESHOLDS], *[A.share(A.within(t, "raw_err_m")).alias(f"u{t}") for t in K.THRESHOLDS]]
-    aggs += [F.round(F.median("offset_m"), 6).alias("med_offset_m"), F.round(F.median("raw_err_m"), 6).alias("med_raw_err_m")]
-    g = [F.col(k) for k in ("method", "flight", "band")]
-    return x.groupingSets([g, [g[0], g[2]]], *g).agg(*aggs).withColumn("flight", F.coalesce("flight", F.lit("ALL")))
+    keys = ["method", "flight", "band"]
+    g = [F.col(k) for k in keys]
+    out = x.groupingSets([g, [g[0], g[2]]], *g).agg(*aggs).withColumn("flight", F.coalesce("flight", F.lit("ALL")))
+    return with_quantiles(out, A.with_total(x.select(*keys, "offset_m", "raw_err_m"), "flight"), keys, {"med_offset_m": (F.col("offset_m"), 0.5), "med_raw_err_m": (F.col("raw_err_m"), 0.5)})
 
 
 @query(sql("SELECT flight, filename, band FROM banded WHERE band IN ('val', 'test')", "banded"))
 def band_union(spark, d):
-    b = with_band(frames(spark, d)).select("flight", "filename", "band")
+    b = _bands(spark, d)
     return b.filter("band = 'val'").unionByName(b.filter("band = 'test'"))
 
 
@@ -150,7 +155,7 @@ def altitude_trend(spark, d):
 @query(sql("SELECT method, round(q[1], 6) AS q1, round(q[2], 6) AS q2, round(q[3], 6) AS q3, round(min(raw_err_m) FILTER (WHERE raw_err_m >= q[1] - 1.5::DOUBLE*(q[3] - q[1])), 6) AS whisker_lo, round(max(raw_err_m) FILTER (WHERE raw_err_m <= q[3] + 1.5::DOUBLE*(q[3] - q[1])), 6) AS whisker_hi FROM scored JOIN (SELECT method AS mm, quantile_cont(raw_err_m, [0.25, 0.5, 0.75]) AS q FROM scored GROUP BY method) ON mm = method GROUP BY method, q", "scored"))
 def box_stats(spark, d):
     x = A.scored(match_results(spark, d)).select("method", "raw_err_m")
-    q = x.groupBy("method").agg(F.percentile("raw_err_m", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact(x, ["method"], {f"q{i}": (F.col("raw_err_m"), i / 4) for i in (1, 2, 3)}).select("method", F.array("q1", "q2", "q3").alias("q"))
     reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
     v = F.col("raw_err_m")
     g = x.join(q, "method").groupBy("method", "q").agg(F.min(F.when(v >= F.col("q")[0] - reach, v)).alias("whisker_lo"), F.max(F.when(v <= F.col("q")[2] + reach, v)).alias("whisker_hi"))

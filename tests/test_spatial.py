@@ -45,3 +45,46 @@ def test_no_maps_and_no_points(spark):
     x = spatial.map_for_point(p, d.filter("false")).first()
     assert x["map_id"] is None and x["in_bounds"] is False
     assert spatial.map_for_point(p.filter("false"), d).count() == 0
+
+
+@pytest.mark.parametrize("limit, cuts", [(1 << 17, 256), (10, 8)])
+def test_exact_quantiles_whatever_a_task_may_gather(spark, limit, cuts):
+    from overfly.operators import quantiles
+
+    r = np.random.default_rng(limit)
+    groups = {
+        "ties": [5.0] * 300 + [7.0] * 10 + [1.0], "even": list(map(float, range(100))), "one": [3.5], "wide": [*map(float, 10.0 ** r.uniform(-300, 300, 150)), -1e308, 1e308],
+        "near": [1.0 + i * 2e-16 for i in range(90)], None: [float(x) for x in r.normal(size=200)], "none": [],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in [*vs, None, float("nan")]]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    v = F.col("v")
+    wanted = {"q0": (v, 0.0), "q25": (v, 0.25), "med": (v, 0.5), "q9": (v, 0.9), "q1": (v, 1.0), "neg": (-v, 0.5)}
+    got = {x["g"]: x for x in quantiles.exact(d, ["g"], wanted, limit, cuts).collect()}
+    assert set(got) == set(groups) - {"none"}
+    for g, x in got.items():
+        for name, q in (("q0", 0.0), ("q25", 0.25), ("med", 0.5), ("q9", 0.9), ("q1", 1.0)):
+            assert x[name] == pytest.approx(np.quantile(groups[g], q), rel=1e-12), (g, name)
+        assert x["neg"] == pytest.approx(-np.quantile(groups[g], 0.5), rel=1e-12)
+
+
+def test_tracks_of_any_length_know_their_neighbours(spark):
+    from overfly.operators.store import with_neighbours
+
+    rows = [(g, i * 3, float(i)) for g, n in (("a", 500), ("b", 1), (None, 40), ("c", 2)) for i in range(n)]
+    d = spark.createDataFrame(rows, "g string, at long, v double").repartition(7)
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        x = with_neighbours(d, ["g"], ["at"], ["v"])
+        assert x.select("g", F.spark_partition_id().alias("p")).filter("g = 'a'").distinct().count() > 5
+        size = {"a": 500, "b": 1, None: 40, "c": 2}
+        got = x.collect()
+        assert len(got) == 543
+        for r in got:
+            assert (r["before"]["v"] if r["before"] else None) == (r["v"] - 1 if r["v"] else None)
+            assert (r["after"]["v"] if r["after"] else None) == (r["v"] + 1 if r["v"] < size[r["g"]] - 1 else None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
