@@ -301,11 +301,39 @@ def _lines(shards: DataFrame, answers: DataFrame) -> DataFrame:
     return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, "steps array<int>, ids array<long>")
 
 
-def _counted(lines: DataFrame, longest: int, batch: int, table=None) -> DataFrame:
-    """(w1 .. w<longest>, a): popcounts of phrases summed over shards."""
+def summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and the sums of their counts."""
+    order = np.lexsort(rows.T[::-1])
+    rows, n = rows[order], n[order]
+    start = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1))) if len(rows) else np.zeros(0, np.int64)
+    return rows[start], np.add.reduceat(n, start) if len(start) else n
+
+
+def packed(rows: np.ndarray, n: np.ndarray) -> bytes:
+    """Phrases in order and their counts, column by column and compressed: a few bytes a phrase."""
+    table = np.concatenate([rows, n[:, None]], axis=1).T.copy()
+    table[0] = np.diff(table[0], prepend=0)
+    narrow = table.max(initial=0) < 1 << 31
+    return struct.pack("<?q", narrow, table.shape[1]) + pa.compress(table.astype(np.int32 if narrow else np.int64), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    narrow, m = struct.unpack("<?q", raw[:9])
+    kind = np.dtype(np.int32 if narrow else np.int64)
+    table = np.frombuffer(pa.decompress(raw[9:], decompressed_size=(columns + 1) * m * kind.itemsize, codec="zstd"), kind).reshape(columns + 1, m).astype(np.int64)
+    table[0] = np.cumsum(table[0])
+    return table[:-1].T, table[-1]
+
+
+def _counted(lines: DataFrame, longest: int, batch: int, buckets: int, least: int, table=None) -> DataFrame:
+    """(w1 .. w<longest>, a): popcounts of phrases summed over shards, of those that reach ``least``.
+
+    A shard's phrases travel packed by the bucket of their hash; a partition holds the
+    distinct phrases of its buckets.
+    """
     words = [f"w{i + 1}" for i in range(longest)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value if table is not None else None
         for b in batches:
             for r in range(b.num_rows):
@@ -313,11 +341,39 @@ def _counted(lines: DataFrame, longest: int, batch: int, table=None) -> DataFram
                 positions = np.cumsum(moves)
                 if not len(positions):
                     continue
-                for rows, n in phrases(ids, positions - positions[0], longest, bits, batch):
-                    yield pa.RecordBatch.from_arrays([*[pa.array(rows[:, i]) for i in range(longest)], pa.array(n)], names=[*words, "n"])
-
-    d = map_arrow(lines.select("steps", "ids"), run, ", ".join(f"{w} long" for w in words) + ", n long")
-    return d.groupBy(*words).agg(F.sum("n").alias("a"))
+                found = list(phrases(ids, positions - positions[0], longest, bits, batch))
+                if not found:
+                    continue
+                rows, n = (np.concatenate(x) for x in zip(*found))
+                h = np.zeros(len(rows), np.uint64)
+                with np.errstate(over="ignore"):
+                    for w in rows.T:
+                        h = mix64(h + w.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+                bucket = (h % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((*rows.T[::-1], bucket))
+                which, size = np.unique(bucket, return_counts=True)
+                ends = np.cumsum(size).tolist()
+                blobs = [packed(rows[order[e - c : e]], n[order[e - c : e]]) for e, c in zip(ends, size.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "phrases"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = np.zeros((0, longest), np.int64), np.zeros(0, np.int64)
+        new, held = [], 0
+        for b in batches:
+            for raw in b.column(1).to_pylist():
+                new.append(unpacked(raw, longest))
+                held += len(new[-1][1])
+                if held > max(1 << 18, len(n)):
+                    rows, n = summed(*(np.concatenate(x) for x in zip((rows, n), *new)))
+                    new, held = [], 0
+        if new:
+            rows, n = summed(*(np.concatenate(x) for x in zip((rows, n), *new)))
+        keep = n >= least
+        rows, n = rows[keep], n[keep]
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(longest)], pa.array(n)], names=[*words, "a"])
+
+    d = map_arrow(lines.select("steps", "ids"), find, "bucket int, phrases binary")
+    return map_arrow(d.repartition(buckets, "bucket"), total, ", ".join(f"{w} long" for w in words) + ", a long")
 
 
 def _pair_table(pairs: DataFrame, size: int) -> np.ndarray:
@@ -357,11 +413,11 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets:
         lines = stored(_lines(shards.filter("bucket IS NULL").select("shard", "line"), named.filter("shard IS NOT NULL").select("shard", "slots", "ids")), "lines")
         for name in ("shards", "named"):
             removed(spark, f"{at}/{name}")
-        pairs = checkpointed(_counted(lines, 2, batch).filter(F.col("a") >= least))
+        pairs = checkpointed(_counted(lines, 2, batch, buckets, least))
         found = pairs.select("w1", "w2", *[F.lit(-1).cast("long").alias(w) for w in words[2:]], "a")
         if longest > 2:
             table = spark.sparkContext.broadcast(_pair_table(pairs, table_bits))
-            longer = checkpointed(_counted(lines, longest, batch, table).filter(F.col("a") >= least))
+            longer = checkpointed(_counted(lines, longest, batch, buckets, least, table))
             table.destroy()
             found = found.unionByName(longer)
     finally:
