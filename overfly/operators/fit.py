@@ -13,16 +13,43 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import clamp_offset, in_box, project
 from . import consensus
-from .store import ship
+from .store import checkpointed, ship
 
 
-def greedy_one_to_one(d: DataFrame, key: str = "pair", cell: float = 8.0, order: tuple[str, ...] = ("k1", "k2", "k3")) -> DataFrame:
-    """Keep a correspondence if neither its source nor its target cell is taken, by falling confidence.
+#: Correspondences of a pair that one task may decide on.
+PAIR_ROWS = 1 << 17
 
-    Ties in confidence go by ``order``. Which ones survive depends on the order of
-    decisions, hence a grouped function per pair.
-    """
 
+def greedy_one_to_one(d: DataFrame, key: str = "pair", cell: float = 8.0, order: tuple[str, ...] = ("k1", "k2", "k3"), limit: int = PAIR_ROWS) -> DataFrame:
+    """Keep a correspondence if neither its source nor its target cell is taken, by falling confidence (missing last).
+
+    Ties in confidence go by ``order``. Pairs of up to ``limit`` rows are decided row by row
+    in a grouped function. A larger pair is thinned in rounds first: rows that lead in
+    both their cells stay, as nothing earlier can take these, and what they block goes;
+    cells are joined on, so a pair spreads over tasks. Either way gives the same rows.
+    """
+    large = d.groupBy(key).count().filter(F.col("count") > limit).select(F.col(key).alias("_large"))
+    if not large.take(1):
+        return _greedy(d, key, cell, order)
+    mine = F.col(key).eqNullSafe(F.col("_large"))
+    place = lambda x, y: F.struct(F.floor(F.col(x) / cell), F.floor(F.col(y) / cell))
+    first = F.struct(F.coalesce(-F.col("conf"), F.lit(float("inf"))), *order, F.monotonically_increasing_id().alias("_id"))
+    open_ = checkpointed(d.join(large, mine, "left_semi").withColumns({"_s": place("x0", "y0"), "_t": place("x1", "y1"), "_o": first}))
+    kept = []
+    while open_.groupBy(key).count().filter(F.col("count") > limit).take(1):
+        best = {c: open_.groupBy(F.col(key).alias(f"_k{c}"), F.col(c).alias(f"_c{c}")).agg(F.min("_o").alias(f"_m{c}")) for c in ("_s", "_t")}
+        at = lambda c: F.col(key).eqNullSafe(F.col(f"_k{c}")) & (F.col(c) == F.col(f"_c{c}"))
+        lead = checkpointed(open_.join(best["_s"], at("_s")).join(best["_t"], at("_t")).filter((F.col("_o") == F.col("_m_s")) & (F.col("_o") == F.col("_m_t"))).select(*d.columns, "_s", "_t"))
+        kept.append(lead)
+        taken = {c: lead.select(F.col(key).alias(f"_k{c}"), F.col(c).alias(f"_c{c}")) for c in ("_s", "_t")}
+        open_ = checkpointed(open_.join(taken["_s"], at("_s"), "left_anti").join(taken["_t"], at("_t"), "left_anti"))
+    out = _greedy(d.join(large, mine, "left_anti"), key, cell, order).unionByName(_greedy(open_.select(*d.columns), key, cell, order))
+    for k in kept:
+        out = out.unionByName(k.select(*d.columns))
+    return out
+
+
+def _greedy(d: DataFrame, key: str, cell: float, order: tuple[str, ...]) -> DataFrame:
     def run(pdf):
         pdf = pdf.sort_values(["conf", *order], ascending=[False] + [True] * len(order), kind="stable")
         a = list(zip((pdf.x0 // cell).astype(int), (pdf.y0 // cell).astype(int)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,8 +11,9 @@ from .. import constants as K
 from ..operators import accuracy as A
 from ..operators.bands import with_band
 from ..operators.quantiles import exact, with_quantiles
-from ..operators.store import ranked
+from ..operators.store import checkpointed, ranked, removed, shared_folder
 from ..registry import query
+from ..streaming.extremes import extremes_stream
 from .views import frames, match_results, sql
 
 ACC = ", ".join(f"round(count(*) FILTER (WHERE coalesce(offset_m <= {t}, false) AND coalesce(inliers, 0) >= 7)*100.0::DOUBLE/count(*), 6) AS a{t}" for t in K.THRESHOLDS)
@@ -169,6 +172,22 @@ def best_worst(spark, d):
     return x.filter("best_rank <= 3 OR worst_rank <= 3")
 
 
+@query(sql("WITH r AS (SELECT method, flight, filename, inliers, row_number() OVER (PARTITION BY method, flight ORDER BY inliers DESC, seq) AS b, row_number() OVER (PARTITION BY method, flight ORDER BY inliers, seq) AS w FROM scored) SELECT method, flight, 'best' AS side, CAST(b AS INTEGER) AS place, filename, inliers FROM r WHERE b <= 3 UNION ALL SELECT method, flight, 'worst', CAST(w AS INTEGER), filename, inliers FROM r WHERE w <= 3", "scored"))
+def best_worst_stream(spark, d):
+    """Best and worst rows out of a stream: files arrive one after the other, some rows twice; the state holds six rows a group."""
+    at = f"{shared_folder(spark)}/extremes-{uuid.uuid4().hex}"
+    x = A.scored(match_results(spark, d)).select("method", "flight", "filename", "seq", "inliers")
+    x.repartition(4, "seq").unionByName(x.filter("seq % 10 = 0").coalesce(1)).write.parquet(f"{at}/in")
+    each = lambda rows, i: rows.write.mode("overwrite").parquet(f"{at}/out/batch={i}")
+    extremes_stream(spark, f"{at}/in", x.schema, f"{at}/state", each, files=2).awaitTermination()
+    got = spark.read.parquet(f"{at}/out")
+    # A group's latest batch replaces its earlier ones.
+    last = got.groupBy("method", "flight").agg(F.max("batch").alias("batch"))
+    rows = checkpointed(got.join(last, ["method", "flight", "batch"]).select("method", "flight", "side", "place", "filename", "inliers"))
+    removed(spark, at)
+    return rows
+
+
 @query(sql("WITH a AS (SELECT method, count(*) FILTER (WHERE coalesce(offset_m <= 25, false))*100.0::DOUBLE/count(*) AS stored, count(*) FILTER (WHERE coalesce(round(offset_m, 2) <= 25, false))*100.0::DOUBLE/count(*) AS again FROM scored GROUP BY method) SELECT method, round(stored, 6) AS stored, round(again, 6) AS recomputed, abs(stored - again) > 0.5 AS drifted FROM a", "scored"))
 def drift_check(spark, d):
     """Stored flags (unrounded errors) against flags recomputed from errors rounded to 2 digits; tolerance half a point."""

@@ -14,7 +14,7 @@ from ..operators import fit, sampling
 from ..operators.bands import with_band
 from ..operators.store import shared_folder
 from ..registry import query
-from ..sources import archives, readers
+from ..sources import archives, ledger, readers
 from .geometry import _h
 from .views import correspondences, frames, gallery, maps, match_results, sql, table
 
@@ -152,6 +152,17 @@ def sink_resume(spark, d):
     return _bounded(spark, _per_flight(spark.read.schema(x.schema).json(at)), at)
 
 
+@query(sql(PER_FLIGHT, "frames"))
+def sink_ledger(spark, d):
+    """Rows appended in runs that overlap, one of which dies before its commit: each key is read back once."""
+    at, x = _folder(spark, "ledger"), frames(spark, d).select("flight", "filename", "seq")
+    keys = ["flight", "filename"]
+    ledger.append(x.filter("seq % 3 = 0"), at, keys)
+    ledger.write_batch(x.filter("seq % 5 = 0"), at, keys, 64)
+    ledger.append(x.union(x), at, keys)
+    return _bounded(spark, _per_flight(ledger.committed(spark, at, x.schema)), at)
+
+
 @query(sql("SELECT label % 3 AS flight, count(*) AS n, min(tile_id) AS first_tile, max(tile_id) AS last_tile FROM gallery GROUP BY 1", "gallery"))
 def gallery_build(spark, d):
     """Galleries by model, flight, tile and stride: built where they are absent, read where they stand."""
