@@ -1,5 +1,7 @@
 """Fixed values that results depend on."""
 
+import math
+
 # Crop size in pixels, gates, thresholds in metres, sphere and degree lengths.
 CROP_W, CROP_H = 1024, 680
 MIN_INLIERS = 7
@@ -19,7 +21,7 @@ PRIOR_SIGMA_M = 80.0
 # Footprint ratio by flight.
 FOOTPRINT_K = {"01": 1.00, "02": 1.00, "03": 0.95, "04": 0.99, "05": 0.167, "06": 0.352, "08": 1.00, "10": 0.361, "11": 0.297}
 #: Others: 1.75 times twice the tangent of 35 degrees.
-FOOTPRINT_K_DEFAULT = 2.4507263823573844
+FOOTPRINT_K_DEFAULT = 1.75 * 2 * math.tan(math.radians(35))
 
 # Fixed values: (leg heading, yaw offset) in degrees by flight.
 YAW_LEGS = {
