@@ -264,7 +264,11 @@ def thresholds(z: np.ndarray, y: np.ndarray, kind: np.ndarray, n: int) -> np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES) -> Net:
-    """A net learned from at most ``most`` labelled rows, of ``most_bytes`` of text together, that aren't held out."""
+    """A net learned from at most ``most`` labelled rows, of ``most_bytes`` of text together, that aren't held out.
+
+    The training rows' ``lang`` shapes the profiles by which a text's language is told for
+    its threshold; a score itself reads nothing but the text.
+    """
     rows = training_rows(docs.select("doc_id", "text", "lang"), labels, "toxic", most, most_bytes).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"), "_y").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     net = train([r["text"] for r in rows], np.array([r["_y"] for r in rows], dtype=np.float64), [r["lang"] for r in rows])
