@@ -1,13 +1,15 @@
 """Exact quantiles of groups of any size.
 
-A group's quantile needs the values at one or two ranks. While more than ``LIMIT`` values lie
-in the interval that holds a rank, a pass cuts the interval at ``CUTS`` approximate quantiles
-(a sketch of bounded size), counts what lies on and between the cuts, and goes on with the
-part that holds the rank, from its least to its greatest value. However values are spread, a
-part holds about a share of 1 / ``CUTS``; a value that repeats is a part of its own, and an
-interval of equal values is done however many they are. Only then are an interval's values
-gathered, ``LIMIT`` at most, so no task ever holds a large group. Passes grow with the
-logarithm of the group's size; a small group takes none.
+A group's quantile needs the values at one or two ranks. A first pass counts values by bins of
+the logarithm of their size, ``FINE`` to each factor of e, which need not know the data: of
+each group only the bins that hold a rank go on, with their least and greatest value. While
+more than ``LIMIT`` values lie in such an interval, a pass counts its values by ``CUTS`` equal
+parts and goes on with the part that holds the rank. Logarithm, difference and quotient never
+fall where values rise, so bins keep the values' order, however they are rounded. Values of
+one bin have one sign and one size, so after a few passes (four at most, by the digits of a
+double) a part holds one value, however many copies there are. Passes add up counts only;
+then an interval's values are gathered, ``LIMIT`` at most, so no task ever holds a large
+group, and what is gathered of a small one is a bin of it.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql.window import Window
 
 from .store import checkpointed
 
-#: Values of one interval that a task may gather, and cuts of a pass.
-LIMIT, CUTS = 1 << 17, 256
+#: Values of one interval that a task may gather, equal parts of a pass, and bins to a factor of e in the first.
+LIMIT, CUTS, FINE = 1 << 17, 4096, 64
+#: Intervals that are broadcast to where the values lie; more are joined as Spark sees fit.
+FEW = 1 << 16
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str], more: Column) -> DataFrame:
@@ -31,6 +35,13 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str], more: Column) -> DataFram
     return a.join(b, on).drop(*[f"_o_{k}" for k in keys])
 
 
+def _size_bin(v: Column) -> Column:
+    """A bin that does not fall where ``v`` rises: by sign and logarithm; zero and the infinite have their own."""
+    size = F.abs(v)
+    bin_ = F.when(size == float("inf"), 1 << 20).otherwise(F.floor((F.log(size) + 750) * FINE).cast("int"))
+    return F.when(v == 0, 0).when(v > 0, bin_).otherwise(-bin_)
+
+
 def exact(d: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], limit: int = LIMIT, cuts: int = CUTS) -> DataFrame:
     """``keys`` and a column for each wanted (value, q): the q-quantile of the group's finite values, linear between ranks.
 
@@ -38,35 +49,37 @@ def exact(d: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]
     has none in any column. Infinite values take part as the least and the greatest.
     """
     names = list(wanted)
-    value = lambda n: F.struct(F.lit(n).alias("c"), wanted[n][0].cast("double").alias("v"))
-    # Quantiles of one value share its pass.
+    # Quantiles of one value share its passes.
     first = {str(wanted[n][0]): n for n in reversed(names)}
-    column = {n: first[str(wanted[n][0])] for n in names}
-    x = d.select(*keys, F.explode(F.array(*[value(n) for n in sorted(set(column.values()))])).alias("x")).select(*keys, F.col("x.c").alias("_c"), F.col("x.v").alias("_v"))
+    values = sorted(set(first.values()))
+    column = {n: values.index(first[str(wanted[n][0])]) for n in names}
+    x = d.select(*keys, F.posexplode(F.array(*[wanted[n][0].cast("double") for n in values])).alias("_c", "_v"))
     x = x.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     by = [*keys, "_c"]
     at = lambda n: (F.col("_n") - 1) * F.lit(float(wanted[n][1]))
     ranks = [F.when(F.col("_c") == column[n], F.array(F.floor(at(n)), F.ceil(at(n)))).otherwise(F.array().cast("array<bigint>")) for n in names]
-    state = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    state = state.select(*by, "_n", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_m"), F.array_distinct(F.concat(*ranks)).alias("_ks"))
-    state = checkpointed(state)
-    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    wide = (F.col("_m") > limit) & (F.col("_lo") < F.col("_hi"))
-    while state.filter(wide).take(1):
-        j = _same(x, state.filter(wide), by, inside)
-        at_cuts = F.percentile_approx("_v", F.array(*[F.lit(i / (cuts + 1)) for i in range(1, cuts + 1)]), F.lit(10 * cuts))
-        j = _same(j, j.groupBy(*by, "_lo", "_hi").agg(at_cuts.alias("_cuts")), [*by, "_lo", "_hi"], F.lit(True))
-        # Values on a cut are told from those around it.
-        bin_ = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
-        h = j.groupBy(*by, "_lo", "_hi", bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_l"), F.max("_v").alias("_h"), *[F.first(c).alias(c) for c in ("_n", "_below", "_ks")])
-        # A window over the parts of one interval.
-        w = Window.partitionBy(*by, "_lo", "_hi").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = [F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_l"), F.max("_v").alias("_h")]
+
+    def holding(h: DataFrame, within: list[str]) -> DataFrame:
+        """The bins that hold a rank, as new intervals; a window over the bins of one interval."""
+        w = Window.partitionBy(*within).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
         h = h.withColumn("_b", F.col("_below") + F.coalesce(F.sum("_k").over(w), F.lit(0)))
         h = h.withColumn("_ks", F.filter("_ks", lambda k: (k >= F.col("_b")) & (k < F.col("_b") + F.col("_k")))).filter(F.size("_ks") > 0)
-        finer = h.select(*by, "_n", F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), F.col("_b").alias("_below"), F.col("_k").alias("_m"), "_ks")
-        state = checkpointed(state.filter(~wide).unionByName(finer))
+        return h.select(*by, "_n", F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), F.col("_b").alias("_below"), F.col("_k").alias("_m"), "_ks")
+
+    h = x.groupBy(*by, _size_bin(F.col("_v")).alias("_bin")).agg(*counted)
+    h = h.withColumn("_n", F.sum("_k").over(Window.partitionBy(*by))).withColumns({"_below": F.lit(0).cast("long"), "_ks": F.array_distinct(F.concat(*ranks))})
+    state = checkpointed(holding(h, by))
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    wide = (F.col("_m") > limit) & (F.col("_lo") < F.col("_hi"))
+    small = lambda s: F.broadcast(s) if s.count() <= FEW else s
+    while (more := state.filter(wide)).take(1):
+        # The least value is in the first part and the greatest past the last, so parts are always narrower.
+        bin_ = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cuts)
+        h = _same(x, small(more), by, inside).groupBy(*by, "_lo", "_hi", bin_.alias("_bin")).agg(*counted, *[F.first(c).alias(c) for c in ("_n", "_below", "_ks")])
+        state = checkpointed(state.filter(~wide).unionByName(holding(h, [*by, "_lo", "_hi"])))
     one = F.col("_lo") == F.col("_hi")
-    gathered = _same(x, state.filter(~one), by, inside).groupBy(*by, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_vs"), *[F.first(c).alias(c) for c in ("_n", "_below", "_ks")])
+    gathered = _same(x, small(state.filter(~one)), by, inside).groupBy(*by, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_vs"), *[F.first(c).alias(c) for c in ("_n", "_below", "_ks")])
     picked = gathered.select(*by, "_n", F.explode("_ks").alias("_k"), "_vs", "_below").select(*by, "_n", "_k", F.element_at("_vs", (F.col("_k") - F.col("_below") + 1).cast("int")).alias("_x"))
     picked = picked.unionByName(state.filter(one).select(*by, "_n", F.explode("_ks").alias("_k"), F.col("_lo").alias("_x")))
 

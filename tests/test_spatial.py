@@ -68,6 +68,31 @@ def test_exact_quantiles_whatever_a_task_may_gather(spark, limit, cuts):
         assert x["neg"] == pytest.approx(-np.quantile(groups[g], 0.5), rel=1e-12)
 
 
+def planned(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_neither_shuffle_nor_sketch_the_rows(spark, monkeypatch):
+    """Passes add up counts and meet few intervals by broadcast; rows are not dealt out by group, and no sketch is made of them."""
+    from overfly.operators import quantiles
+
+    monkeypatch.setattr(quantiles.F, "percentile_approx", None)
+    d = spark.range(2000).selectExpr("id % 2 AS g", "CAST(id AS DOUBLE) AS v")
+    got = quantiles.exact(d, ["g"], {"med": (F.col("v"), 0.5)}, limit=10)
+    assert "BroadcastHashJoin" in planned(got) and "SortMergeJoin" not in planned(got)
+    assert sorted(map(tuple, got.collect())) == [(0, 999.0), (1, 1000.0)]
+
+
+def test_size_bins_keep_the_order(spark):
+    from overfly.operators import quantiles
+
+    r = np.random.default_rng(1)
+    v = np.concatenate([10.0 ** r.uniform(-320, 308, 500), np.nextafter(np.exp(np.arange(-700, 700, 7.0)), 0), np.exp(np.arange(-700, 700, 7.0)), [0.0, 5e-324, 1.7976931348623157e308, np.inf]])
+    v = np.sort(np.concatenate([v, -v]))
+    bins = [x[0] for x in spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double").orderBy("i").select(quantiles._size_bin(F.col("v"))).collect()]
+    assert None not in bins and bins == sorted(bins) and bins[0] < bins[1] and bins[-1] > bins[-3]
+
+
 def test_tracks_of_any_length_know_their_neighbours(spark):
     from overfly.operators.store import with_neighbours
 
