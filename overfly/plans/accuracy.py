@@ -159,9 +159,10 @@ def altitude_trend(spark, d):
 def box_stats(spark, d):
     x = A.scored(match_results(spark, d)).select("method", "raw_err_m")
     q = exact(x, ["method"], {f"q{i}": (F.col("raw_err_m"), i / 4) for i in (1, 2, 3)}).select("method", F.array("q1", "q2", "q3").alias("q"))
+    # A row for each method goes to where the rows lie.
     reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
     v = F.col("raw_err_m")
-    g = x.join(q, "method").groupBy("method", "q").agg(F.min(F.when(v >= F.col("q")[0] - reach, v)).alias("whisker_lo"), F.max(F.when(v <= F.col("q")[2] + reach, v)).alias("whisker_hi"))
+    g = x.join(F.broadcast(q), "method").groupBy("method", "q").agg(F.min(F.when(v >= F.col("q")[0] - reach, v)).alias("whisker_lo"), F.max(F.when(v <= F.col("q")[2] + reach, v)).alias("whisker_hi"))
     return g.select("method", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)], F.round("whisker_lo", 6).alias("whisker_lo"), F.round("whisker_hi", 6).alias("whisker_hi"))
 
 

@@ -60,6 +60,12 @@ def test_accuracy_rises_with_the_threshold(spark):
     assert all(x["a5"] <= x["a10"] <= x["a15"] <= x["a20"] <= x["a25"] <= x["a30"] for x in r)
 
 
+def test_box_stats_leaves_rows_where_they_lie(spark):
+    """Quartiles go to the rows; no task gets all rows of a method."""
+    plan = registry.queries()["box_stats"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from overfly.streaming import running
 
