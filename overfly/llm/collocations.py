@@ -329,7 +329,7 @@ def _counted(lines: DataFrame, longest: int, batch: int, buckets: int, least: in
     """(w1 .. w<longest>, a): popcounts of phrases summed over shards, of those that reach ``least``.
 
     A shard's phrases travel packed by the bucket of their hash; a partition holds the
-    distinct phrases of its buckets.
+    distinct phrases of its buckets, whose number follows the input (``vocab.buckets_of``).
     """
     words = [f"w{i + 1}" for i in range(longest)]
 
@@ -397,7 +397,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets:
     ``table_bits`` bound memory and change no row.
     """
     spark = docs.sparkSession
-    buckets = buckets or vocab.buckets_of(spark)
+    buckets = buckets or vocab.buckets_of(docs)
     at = f"{shared_folder(spark)}/collocations-{uuid.uuid4().hex}"
     words = [f"w{i + 1}" for i in range(longest)]
 

@@ -208,10 +208,10 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", buckets: int |
     special strings in a text count as one token each. Rows keep their number: repeated
     rows, null keys and equal keys with other texts each get their own row. An empty table
     gives none. Other columns are not looked at. ``buckets`` (default: the session's
-    shuffle partitions) deal the vocabularies; ``words`` and ``text`` bound a generation.
+    shuffle partitions, more for large inputs) deal the vocabularies; ``words`` and ``text`` bound a generation.
     """
     spark = docs.sparkSession
-    buckets = buckets or vocab.buckets_of(spark)
+    buckets = buckets or vocab.buckets_of(docs)
     at = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
     try:
         _read(docs, path, key, buckets, words, text).write.option("compression", "zstd").parquet(at)

@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrays import hash_spans, ramp
 
@@ -19,9 +20,18 @@ ROW = "shard long, bucket int, tag string, slots array<int>, counts array<long>,
 NAMES = [f.split()[0] for f in ROW.split(", ")]
 
 
-def buckets_of(spark) -> int:
-    """As many buckets as the session has shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text, on average, whose strings a bucket holds.
+BUCKET = 16 << 20
+
+
+def buckets_of(texts: DataFrame, column: str = "text") -> int:
+    """As many buckets as the session has shuffle partitions, and more where a bucket would hold the strings of over ``BUCKET`` bytes.
+
+    A task holds what is distinct in its bucket, so a fixed number would let its memory grow
+    with the input. One pass over the texts adds up their bytes.
+    """
+    n = texts.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
 
 
 def bucket(word: str, buckets: int) -> int:

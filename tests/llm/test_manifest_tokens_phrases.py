@@ -232,6 +232,17 @@ def test_collocations_equal_brute_force(docs, least, longest, hides, top, shard)
     assert sorted(map(tuple, got.collect())) == want and want
 
 
+def test_buckets_follow_the_input(docs, empty, monkeypatch):
+    """A bucket holds the strings of a bounded stretch of text, whatever the number of shuffle partitions; results stay."""
+    some = docs.filter("length(text) < 2000")
+    size = some.selectExpr("sum(octet_length(text))").first()[0]
+    want = sorted(map(tuple, collocations.collocations(some, 3, buckets=2).collect()))
+    monkeypatch.setattr(vocab, "BUCKET", 200)
+    assert vocab.buckets_of(some) == -(-size // 200) > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    assert vocab.buckets_of(empty) == int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, collocations.collocations(some, 3).collect())) == want and want
+
+
 def test_no_phrases(empty, docs):
     assert collocations.collocations(empty).count() == 0
     assert collocations.collocations(docs.filter("text IS NULL OR length(text) < 2")).count() == 0
