@@ -161,20 +161,28 @@ def looped_back(d: DataFrame, hm: list[Column], back: list[Column], width: int,
     Cell i's point goes through ``hm`` to the nearest cell j of the other grid (half-even;
     outside the real frame: cell 0), and j's through ``back``; i is kept if it comes back,
     lies in the real frame and is not cell 0. Each side is a function of the cell alone, so
-    no join is needed, and all of it stays in generated code.
+    no join is needed, and all of it stays in generated code. Transforms are made once a
+    row, before cells are, and each step once a cell: generators keep the optimizer from
+    writing a step out again wherever its result is used.
     """
     w, h = width // scale, height // scale
     rw, rh = real[0] // scale, real[1] // scale
 
-    def to(m: list[Column], cell: Column) -> Column:
-        x, y = project(m, F.pmod(cell, F.lit(w)) * float(scale), F.floor(cell / w) * float(scale))
-        c, r = F.bround(x / float(scale), 0), F.bround(y / float(scale), 0)
-        return F.when(in_box(c, r, rw, rh), c + r * w).otherwise(F.lit(0.0)).cast("int")
+    def to(x: DataFrame, m: str, cell: str, name: str) -> DataFrame:
+        c = F.col(cell)
+        px, py = project([F.col(f"{m}{k}") for k in range(9)], F.pmod(c, F.lit(w)) * float(scale), F.floor(c / w) * float(scale))
+        x = x.select("*", F.inline(F.array(F.struct(px.alias("_px"), py.alias("_py")))))
+        x = x.select("*", F.inline(F.array(F.struct(F.bround(F.col("_px") / float(scale), 0).alias("_cx"), F.bround(F.col("_py") / float(scale), 0).alias("_cy")))))
+        inside = in_box(F.col("_cx"), F.col("_cy"), rw, rh)
+        found = F.when(inside, F.col("_cx") + F.col("_cy") * w).otherwise(F.lit(0.0)).cast("int")
+        return x.select("*", F.explode(F.array(found)).alias(name)).drop("_px", "_py", "_cx", "_cy")
 
     i = F.col("i")
-    x = d.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(w * h - 1))))
-    x = x.filter((F.pmod(i, F.lit(w)) < rw) & (F.floor(i / w) < rh)).withColumn("j", to(hm, i))
-    return x.filter(to(back, F.col("j")) == i)
+    x = d.select("*", *[c.alias(f"_h{k}") for k, c in enumerate(hm)], *[c.alias(f"_b{k}") for k, c in enumerate(back)])
+    x = x.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(w * h - 1))))
+    x = to(x.filter((F.pmod(i, F.lit(w)) < rw) & (F.floor(i / w) < rh)), "_h", "i", "j")
+    x = to(x, "_b", "j", "_i")
+    return x.filter(F.col("_i") == i).select(*d.columns, "i", "j")
 
 
 def offset_mode(flight: Column, name: Column, mode: str, share: int) -> Column:
