@@ -62,18 +62,19 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, runn
     d = df.withColumns({f"_v{i}": c for i, c in enumerate(running.values())}) if running else df
     d = d.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
     d = checkpointed(d)
-    # A window by partition and group needs no more than the one partition's rows.
-    inside = Window.partitionBy("_part", *group).orderBy("_at")
-    sums = {f"_s{i}": F.sum(f"_v{i}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for i in range(len(running))}
-    d = d.withColumns({"_r": F.row_number().over(inside) - 1, **sums})
-    per = d.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(running))])
+    if running:
+        # A window by partition and group needs no more than the one partition's rows.
+        inside = Window.partitionBy("_part", *group).orderBy("_at")
+        d = d.withColumns({f"_s{i}": F.sum(f"_v{i}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for i in range(len(running))})
+    # A group's rows follow one another in a partition: a row's place is how far it is from the first.
+    per = d.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(running))])
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in ("_n", *[f"_t{i}" for i in range(len(running))])]
-    per = per.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], *earlier)
+    per = per.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_first", *earlier)
     on = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    out = d.join(per, on).withColumns({rank: F.col("_r") + F.col("_b_n"), **{name: F.col(f"_s{i}") + F.col(f"_b_t{i}") for i, name in enumerate(running)}})
+    out = d.join(per, on).withColumns({rank: F.col("_at") - F.col("_first") + F.col("_b_n"), **{name: F.col(f"_s{i}") + F.col(f"_b_t{i}") for i, name in enumerate(running)}})
     return out.select(*df.columns, rank, *running)
 
 

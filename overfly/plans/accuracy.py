@@ -67,13 +67,18 @@ def band_counts(spark, d):
 
 @query(sql(f"SELECT method, coalesce(flight, 'ALL') AS flight, band, count(*) AS n, {ACC}, {UNG}, round(median(offset_m), 6) AS med_offset_m, round(median(raw_err_m), 6) AS med_raw_err_m FROM scored JOIN (SELECT flight AS fl, filename AS fn, band FROM banded) ON flight = fl AND filename = fn GROUP BY GROUPING SETS ((method, flight, band), (method, band))", "scored", "banded"))
 def band_summary(spark, d):
-    b = _bands(spark, d)
-    x = A.scored(match_results(spark, d)).join(b, ["flight", "filename"])
-    aggs = [F.count(F.lit(1)).alias("n"), *[A.share(A.within(t, accepted=A.gate())).alias(f"a{t}") for t in K.THRESHOLDS], *[A.share(A.within(t, "raw_err_m")).alias(f"u{t}") for t in K.THRESHOLDS]]
+    """Rows meet their bands once; what the figures need of them is stored for the aggregates and the quantiles' passes."""
+    at = f"{shared_folder(spark)}/bands-{uuid.uuid4().hex}"
     keys = ["method", "flight", "band"]
-    g = [F.col(k) for k in keys]
-    out = x.groupingSets([g, [g[0], g[2]]], *g).agg(*aggs).withColumn("flight", F.coalesce("flight", F.lit("ALL")))
-    return with_quantiles(out, A.with_total(x.select(*keys, "offset_m", "raw_err_m"), "flight"), keys, {"med_offset_m": (F.col("offset_m"), 0.5), "med_raw_err_m": (F.col("raw_err_m"), 0.5)})
+    try:
+        A.scored(match_results(spark, d)).join(_bands(spark, d), ["flight", "filename"]).select(*keys, "inliers", "offset_m", "raw_err_m").write.parquet(at)
+        x = spark.read.parquet(at)
+        aggs = [F.count(F.lit(1)).alias("n"), *[A.share(A.within(t, accepted=A.gate())).alias(f"a{t}") for t in K.THRESHOLDS], *[A.share(A.within(t, "raw_err_m")).alias(f"u{t}") for t in K.THRESHOLDS]]
+        g = [F.col(k) for k in keys]
+        out = x.groupingSets([g, [g[0], g[2]]], *g).agg(*aggs).withColumn("flight", F.coalesce("flight", F.lit("ALL")))
+        return checkpointed(with_quantiles(out, A.with_total(x.select(*keys, "offset_m", "raw_err_m"), "flight"), keys, {"med_offset_m": (F.col("offset_m"), 0.5), "med_raw_err_m": (F.col("raw_err_m"), 0.5)}))
+    finally:
+        removed(spark, at)
 
 
 @query(sql("SELECT flight, filename, band FROM banded WHERE band IN ('val', 'test')", "banded"))
