@@ -51,12 +51,13 @@ def draw(rng: np.random.Generator, pools: np.ndarray, n: int, m: int) -> np.ndar
     return out
 
 
-def search(n: int, m: int, solve: Callable, residuals: Callable, fit: Callable, gain: Callable, threshold: float, seed: int, most: int = MOST, confidence: float = CONFIDENCE) -> tuple[np.ndarray | None, np.ndarray, int]:
+def search(n: int, m: int, solve: Callable, residuals: Callable, fit: Callable, gain: Callable, threshold: float, seed: int, most: int = MOST, confidence: float = CONFIDENCE, rough: Callable | None = None) -> tuple[np.ndarray | None, np.ndarray, int]:
     """(model, inliers, samples) of n points in falling confidence; no model where none has m inliers.
 
     ``solve(samples)`` gives models (NaN: none), ``residuals(models)`` their distances at
     all points, ``fit(weights)`` the weighted least-squares model, ``gain(r)`` what a point
-    at distance r adds to a score.
+    at distance r adds to a score. ``rough(models)``, if given, are their scores within
+    1e-6 by a cheaper way: models that it puts below the best are not scored again.
     """
     rng = np.random.default_rng(seed)
     pools = pool_sizes(n, m, most)
@@ -66,6 +67,12 @@ def search(n: int, m: int, solve: Callable, residuals: Callable, fit: Callable,
         models = solve(draw(rng, pools[used : used + BATCH], n, m))
         used += len(models)
         step = max(1, CELLS // n)
+        if rough is not None:
+            near = np.concatenate([rough(models[i : i + step]) for i in range(0, len(models), step)])
+            # Samples that are worse than the best of their batch or of those before can't win.
+            models = models[near > max(score, float(near.max())) - 1e-5]
+            if not len(models):
+                continue
         scores = np.concatenate([gain(residuals(models[i : i + step])).sum(axis=1) for i in range(0, len(models), step)])
         i = int(np.argmax(scores))
         if scores[i] <= score:
@@ -154,5 +161,22 @@ def homography(p: np.ndarray, q: np.ndarray, threshold: float, seed: int, most:
     def gain(r):
         return np.square(np.clip(1 - r / threshold, 0, None))
 
-    model, inliers, used = search(len(x), 4, solve, residuals, fit, gain, threshold, seed, most, confidence)
+    xy1, most_far = np.stack([x, y, np.ones_like(x)]), (threshold / scale) ** 2
+
+    def rough(h):
+        # Without quotients or roots, which only the few points near a model need.
+        with np.errstate(all="ignore"):
+            w = h[:, 6:9] @ xy1
+            du, dv = h[:, 0:3] @ xy1, h[:, 3:6] @ xy1
+            du -= u * w
+            dv -= v * w
+            du *= du
+            dv *= dv
+            du += dv
+            w *= w
+            at = np.flatnonzero(du < w * most_far)
+            r = np.sqrt(du.ravel()[at] / w.ravel()[at]) * scale
+        return np.bincount(at // len(x), weights=gain(r), minlength=len(h))
+
+    model, inliers, used = search(len(x), 4, solve, residuals, fit, gain, threshold, seed, most, confidence, rough)
     return (None if model is None else model * np.array([1, 1, scale, 1, 1, scale, 1 / scale, 1 / scale, 1])), inliers, used
