@@ -231,3 +231,20 @@ def test_ranked_equals_a_window(spark):
             want[(g, o)] = (k, total)
     assert got == want
     assert ranked(d.limit(0), ["g"], [F.col("o")], "r").count() == 0
+
+
+def test_steps_of_the_loop_are_written_once(spark):
+    """The plan holds each transform once a row, not once for every use of a cell."""
+    from overfly import registry
+
+    plan = registry.queries()["loopback_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("COS(") <= 60, plan.count("COS(")
+
+
+def test_bands_deal_no_flight_to_one_task(spark):
+    from overfly.operators.bands import with_band
+
+    d = spark.range(300).selectExpr("CAST(id % 2 AS STRING) AS flight", "CAST(id AS STRING) AS filename", "id * 0.1 AS lat", "id * 0.2 AS lon")
+    plan = with_band(d)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "SortMergeJoin" not in plan.split("Window")[0]
+    assert dict(with_band(d).groupBy("band").count().collect()) == {"test": 76, "val": 30, "buffer": 16, "train": 178}
