@@ -7,8 +7,10 @@ value), s growing from 0, until its k-th neighbour is no farther than what has b
 A pair is looked at once: at the least distance of its parts, in the first part that has it.
 
 Equal codes are one entry, which keeps as many of their ids as can be among a query's k
-nearest, so that copies cost nothing, however many. When a larger radius would take more
-look-ups than there are codes, the queries still open are compared with all codes in blocks.
+nearest, so that copies cost nothing, however many. When the open queries' look-ups at a
+radius, or the codes that these would meet, come to more than ``SHARE`` times the index, the
+queries still open are compared with all codes in blocks: what is shuffled stays in
+proportion to the input, however the codes are spread.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .store import checkpointed
 
 #: Look-ups of one part and radius at most; beyond, open queries are compared in blocks.
 MOST_PROBES = 1 << 14
+#: Look-ups of all open queries, and codes met by them, at one radius: so many times the entries of the index.
+SHARE = 4
 
 
 def packed(bits: Column) -> Column:
@@ -108,10 +112,20 @@ def nearest(gallery: DataFrame, queries: DataFrame, k: int = 2, within: str | No
     open_ = checkpointed(asked.distinct())
     found = None
     s = 0
+    most = SHARE * parts.count * max(n, 1)
+    sizes = index.groupBy("group", "part", "value").agg(F.count(F.lit(1)).alias("n"))
     while s <= max(map(parts.width, range(parts.count))) and parts.probes(s) <= max(n, 1) and parts.probes(s) <= MOST_PROBES * parts.count:
+        if open_.count() * parts.probes(s) > most:
+            rest = True
+            break
         near = [parts.around(F.col("code"), j, s) for j in range(parts.count) if s <= parts.width(j)]
         probes = open_.select("query_id", F.col("group").alias("_group"), "code", F.explode(F.concat(*near)).alias("p")).select("query_id", "_group", "code", F.col("p.part").alias("_part"), F.col("p.value").alias("_value"))
-        hits = probes.join(index, (F.col("_part") == F.col("part")) & (F.col("_value") == F.col("value")) & F.col("_group").eqNullSafe(F.col("group")))
+        same = (F.col("_part") == F.col("part")) & (F.col("_value") == F.col("value")) & F.col("_group").eqNullSafe(F.col("group"))
+        asked_for = probes.groupBy("_group", "_part", "_value").agg(F.count(F.lit(1)).alias("_times"))
+        if (asked_for.join(sizes, same).agg(F.sum(F.col("_times") * F.col("n"))).first()[0] or 0) > most:
+            rest = True
+            break
+        hits = probes.join(index, same)
         hits = hits.filter(parts.first_at(F.col("code"), F.col("_code"), s) == F.col("part"))
         hits = hits.select("query_id", "group", distance(F.col("code"), F.col("_code")).alias("dist"), F.explode("ids").alias("id"))
         if exclude_self:
@@ -122,9 +136,12 @@ def nearest(gallery: DataFrame, queries: DataFrame, k: int = 2, within: str | No
         done = found.filter((F.col("rk") == k) & (F.col("dist") <= covered)).select(F.col("query_id").alias("_q"), F.col("group").alias("_g"))
         open_ = checkpointed(open_.join(done, (F.col("query_id") == F.col("_q")) & F.col("group").eqNullSafe(F.col("_g")), "left_anti"))
         if not open_.take(1):
+            rest = False
             break
         s += 1
     else:
+        rest = True
+    if rest:
         rest = _scanned(entries, open_, k, exclude_self, words, block_bytes)
         if found is None:
             found = rest
@@ -146,16 +163,24 @@ def _scanned(entries: DataFrame, asked: DataFrame, k: int, exclude_self: bool, w
         ids, dist = np.zeros((len(qid), k), np.int64), np.full((len(qid), k), far)
         for q, b in tiles:
             own, code = b["id"], b["code"].view(np.uint64)
-            d = np.zeros((len(qid[q]), len(own)), np.int64)
+            d = np.zeros((len(qid[q]), len(own)), np.int32)
             for w in range(words):
                 d += np.bitwise_count(qc[q, w][:, None] ^ code[:, w][None, :])
-            out = qg[q][:, None] != b["group_key"][None, :]
+            # Only what is as near as a query's k-th so far is looked at, which is little after the first tiles.
+            row, col = np.nonzero(d <= dist[q][:, -1:])
+            ok = qg[q][row] == b["group_key"][col]
             if exclude_self:
-                out |= qid[q][:, None] == own[None, :]
-            d[out] = far
-            d, t = np.concatenate([dist[q], d], axis=1), np.concatenate([ids[q], np.broadcast_to(own, d.shape)], axis=1)
-            order = np.lexsort((t, d), axis=1)[:, :k]
-            dist[q], ids[q] = np.take_along_axis(d, order, 1), np.take_along_axis(t, order, 1)
+                ok &= qid[q][row] != own[col]
+            row, col = row[ok], col[ok]
+            # What was found so far takes part.
+            had = np.nonzero(dist[q] < far)
+            every = np.concatenate([had[0], row])
+            dd, tt = np.concatenate([dist[q][had], d[row, col]]), np.concatenate([ids[q][had], own[col]])
+            order = np.lexsort((tt, dd, every))
+            every, dd, tt = every[order], dd[order], tt[order]
+            place = np.arange(len(every)) - np.searchsorted(every, every)
+            top = place < k
+            dist[q.start + every[top], place[top]], ids[q.start + every[top], place[top]] = dd[top], tt[top]
         ok = dist < far
         row = np.nonzero(ok)[0]
         return qid[row], qg[row], ids[ok], dist[ok]

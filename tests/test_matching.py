@@ -206,3 +206,45 @@ def test_consensus_is_the_same_in_any_partitioning(spark):
     assert a == b and [x[2] >= 48 for x in a] == [True] * 6 + [False]
     a, b = (sorted(map(str, fit.ransac_homography(d.repartition(k, "k1")).collect())) for k in (1, 7))
     assert a == b and len(a) >= 6 * 48
+
+
+def test_rough_scores_leave_consensus_as_it_is(monkeypatch):
+    """Scoring only models that may win gives the same transform, bit by bit, and scores few models exactly."""
+    from overfly.operators import consensus
+
+    plain, scored = consensus.search, []
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        p = r.uniform(0, 1000, (300, 2))
+        q = r.uniform(0, 1000, (300, 2))
+        q[:45] = p[:45] * 1.1 + 3 + r.normal(0, 0.5, (45, 2))
+
+        def counting(n, m, solve, residuals, *rest):
+            return plain(n, m, solve, lambda h: scored.append(len(h)) or residuals(h), *rest)
+
+        scored.clear()
+        monkeypatch.setattr(consensus, "search", counting)
+        h, inliers, used = consensus.homography(p, q, 5.0, seed)
+        assert sum(scored) < used / 2
+        monkeypatch.setattr(consensus, "search", lambda *a: plain(*a[:10]))
+        again = consensus.homography(p, q, 5.0, seed)
+        assert np.array_equal(h, again[0]) and np.array_equal(inliers, again[1]) and used == again[2]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_hamming_lookups_stay_in_proportion_to_the_index(spark, monkeypatch, hot):
+    """Queries whose look-ups, or what these would meet, outnumber the index are compared in blocks instead; results are the same."""
+    r = np.random.default_rng(3)
+    codes = r.integers(-(1 << 63), (1 << 63) - 1, 4000)
+    if hot:
+        codes = codes & ~0xFFFF_FFFF
+    g = spark.createDataFrame([(i, [int(c)]) for i, c in enumerate(codes)], "id long, code array<long>")
+    radii, around = [], hamming.Parts.around
+    monkeypatch.setattr(hamming.Parts, "around", lambda self, code, j, s: radii.append(s) or around(self, code, j, s))
+    got = hamming.nearest(g, g.filter("id % 10 = 0").withColumnRenamed("id", "query_id"))
+    found = {(x["query_id"], x["rk"]): (x["dist"], x["id"]) for x in got.collect()}
+    assert max(radii) <= 1
+    for q in range(0, 4000, 10):
+        d = np.bitwise_count((codes ^ codes[q]).view(np.uint64)).astype(int)
+        best = sorted((d[i], i) for i in range(4000) if i != q)[:2]
+        assert [found[q, 1], found[q, 2]] == best
