@@ -7,12 +7,13 @@ each word's language distribution, so a text that switches languages is labelled
 word by word; a document's language is the one with the largest expected share
 of words. Chains are runs of at most 64 words of one document.
 
-Trained in NumPy on the driver from a bounded sample; scoring is one pass over
+Trained in NumPy by one task from a bounded sample; scoring is one pass over
 Arrow batches without a shuffle, and whole texts are read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, chunks, hash_spans, mix64, spans
-from .common import extended, give_back, map_arrow
+from .common import extended, map_arrow
 
 #: Words of a chain; bits of the n-gram table; n-gram sizes in bytes, end marks included.
 CHAIN, BITS, GRAMS = 64, 16, (2, 3, 4, 5)
@@ -227,8 +228,8 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part
 
 
-def sample(docs: DataFrame, per_lang: int = 200, most_rows: int = 2400, most_bytes: int = 16 << 20) -> list:
-    """Training rows (text, lang): about ``per_lang`` documents of each language, fewer each if that makes more than ``most_rows``
+def drawn_rows(docs: DataFrame, per_lang: int = 200, most_rows: int = 2400, most_bytes: int = 16 << 20) -> DataFrame | None:
+    """Training rows (lang, draw, text), None if there are none: about ``per_lang`` documents of each language, fewer each if that makes more than ``most_rows``
     or more than ``most_bytes`` of text, but one of each at least.
 
     Drawn by a hash of id and text from all training rows (not held out, lang not null,
@@ -241,7 +242,7 @@ def sample(docs: DataFrame, per_lang: int = 200, most_rows: int = 2400, most_byt
     rows = docs.filter(~held_out(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(draw.alias("draw"), "lang", "text")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min("draw").alias("least")).collect()
     if not counts:
-        return []
+        return None
     per_lang, room = max(1, min(per_lang, most_rows // len(counts))), most_bytes // len(counts)
     # A language's least draw is always below its share, so that none goes without a row.
     shares = {r["lang"]: max(r["least"] + 1, min(1 << 30, int((1 << 30) * 1.1 * per_lang / r["count"]))) for r in counts}
@@ -259,17 +260,37 @@ def sample(docs: DataFrame, per_lang: int = 200, most_rows: int = 2400, most_byt
                 own.append((lang, k))
         picked += own or [(lang, min(pairs, key=lambda p: (p[1], p[0]))[0])]
     chosen = docs.sparkSession.createDataFrame(picked, "_lang string, _draw long")
-    got = drawn.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & (F.col("draw") == F.col("_draw"))).groupBy("lang", "draw").agg(F.min_by("text", F.octet_length("text")).alias("text")).collect()
-    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["draw"], r["lang"]))]
+    return drawn.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & (F.col("draw") == F.col("_draw"))).groupBy("lang", "draw").agg(F.min_by("text", F.octet_length("text")).alias("text"))
+
+
+def _ordered(rows: list[dict]) -> list[tuple[str, str]]:
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["draw"], r["lang"]))]
+
+
+def sample(docs: DataFrame, **kw) -> list[tuple[str, str]]:
+    """The training rows (text, lang) of ``drawn_rows`` in the order of the draw."""
+    rows = drawn_rows(docs, **kw)
+    return [] if rows is None else _ordered([r.asDict() for r in rows.collect()])
 
 
 def fit(docs: DataFrame, **kw) -> Model | None:
-    """A model of the documents' languages; None without training rows."""
-    rows = sample(docs, **kw)
-    model = train([t for t, _ in rows], [g for _, g in rows]) if rows else None
-    del rows
-    give_back()
-    return model
+    """A model of the documents' languages; None without training rows.
+
+    One task trains it: the sample is bounded, and only the model comes to the driver, whose
+    memory the training's n-grams and messages would fill.
+    """
+    rows = drawn_rows(docs, **kw)
+    if rows is None:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _ordered([r for b in batches for r in b.to_pylist()])
+        if own:
+            model = train([t for t, _ in own], [g for _, g in own])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = map_arrow(rows.coalesce(1), run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None
 
 
 def has_letter(data: np.ndarray) -> bool:

@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     rest = more.filter("NOT sure").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
     if more.take(1):
         more = more.filter("sure").select("u", "v").union(_confirmed(rest, sets, percent))
-        found = components(checkpointed(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)))
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
     d = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "g", F.coalesce("root", "id").alias("root"))
     if not named:

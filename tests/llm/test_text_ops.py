@@ -302,3 +302,44 @@ def test_keep_one_with_repeated_and_missing_ids(spark):
     got = [tuple(x) for x in minhash.keep_one(d).collect()]
     assert len(got) == 5 and {(1, a), (1, b), (4, c), rows[-1]} < set(got)
     assert [x for x in got if x[0] is None][0][1] in (e, e + " more")
+
+
+def test_the_model_is_trained_outside_the_driver(spark, monkeypatch):
+    """Only the model comes to the driver, and it is the one that the same rows give there."""
+    import os
+
+    import numpy as np
+
+    d = spark.createDataFrame([(i, "the house and the river" if i % 2 else "le chat avec des amis", ("fr", "en")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    rows, real, driver = langcrf.sample(d), langcrf.train, os.getpid()
+
+    def train(texts, langs):
+        assert os.getpid() != driver
+        return real(texts, langs)
+
+    monkeypatch.setattr(langcrf, "train", train)
+    got, want = langcrf.fit(d), real([t for t, _ in rows], [g for _, g in rows])
+    assert got.labels == want.labels and all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("grams", "lexicon", "entries", "weight", "start", "trans"))
+    assert langcrf.fit(d.limit(0)) is None
+
+
+def test_components_read_edges_in_few_tasks(spark, monkeypatch):
+    """Edges of many small partitions are read once; each step after that starts from a checkpoint, with one read for both directions."""
+    from overfly.llm import graph
+
+    plans, large, small = [], graph.large_star, graph.small_star
+
+    def seen(step):
+        def run(e):
+            plans.append((e._jdf.queryExecution().executedPlan().toString(), e.rdd.getNumPartitions()))
+            return step(e)
+
+        return run
+
+    monkeypatch.setattr(graph, "large_star", seen(large))
+    monkeypatch.setattr(graph, "small_star", seen(small))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long").repartition(50)
+    assert {(x["node"], x["root"]) for x in graph.components(edges).collect()} == {(i, 0) for i in range(41)}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plans and all("Exchange" not in p and "Join" not in p and k <= n for p, k in plans)
+    assert "Union" not in large(edges)._jdf.queryExecution().executedPlan().toString()
