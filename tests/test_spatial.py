@@ -72,6 +72,44 @@ def planned(d):
     return d._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_are_dealt_out_by_cell_and_meet_once(spark):
+    """Neither side of a pair join is collected for a broadcast, whose tasks would be those that read the other side; five copies of a row do, not nine."""
+    from overfly import registry
+
+    plan = planned(registry.queries()["neg_mask_pairs"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    copies = next(x for x in plan.splitlines() if "explode(" in x)
+    assert copies.count("struct(a") == 5
+    d = spark.range(10).selectExpr("id AS i", "30.0 + id / 1e5 AS lat", "115.0 AS lon")
+    e = d.toDF("j", "lat2", "lon2")
+    assert "Broadcast" not in planned(spatial.radius_join(d, e, ("lat", "lon"), ("lat2", "lon2"), 50.0))
+
+
+def haversine(p, q):
+    a, b, c, d = np.radians([p[2], p[3], q[2], q[3]])
+    return 2 * 6_371_000.0 * np.arcsin(np.sqrt(min(1.0, np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2)))
+
+
+@pytest.mark.parametrize("radius, north, columns", [(300.0, 31.0, 1000), (700.0, 90.0, 1), (65 * 110_540.0, 0.0, 2), (55 * 110_540.0, 0.0, 3), (2e7, 0.0, 1)])
+def test_pairs_of_one_table_equal_brute_force_for_any_number_of_columns(spark, radius, north, columns):
+    r = np.random.default_rng(int(radius))
+    if radius < 1000:
+        places = [(30 + float(x), 115 + float(y)) for x, y in r.uniform(0, 0.02, (150, 2))] + [(30.0, 179.9995), (30.0, -179.9995), (30.0, -180.0)]
+        places += [(89.9995, 0.0), (89.9995, 180.0), (-89.9995, 90.0)] if north == 90 else []
+    else:
+        places = [(0.0, float(y)) for y in r.uniform(-180, 180, 90)] + [(0.0, 180.0), (0.0, -180.0)]
+    rows = [(i, "a" if i % 3 else "b", *p) for i, p in enumerate(places)]
+    # Equal places, equal numbers, no key, no place.
+    rows += [(900, "a", *places[1]), (901, "a", *places[1]), (901, "a", *places[1]), (902, None, *places[1]), (903, "a", None, None), (None, "a", *places[1])]
+    around = round(360 / spatial.cell_size(radius * 1.0001, max(abs(p[0]) for p in places))[1])
+    assert around >= columns if columns == 1000 else around == columns
+    d = spark.createDataFrame(rows, "a long, flight string, b double, c double").repartition(5)
+    got = sorted((x["a"], x["b"]) for x in spatial.radius_pairs(d, "a", ("b", "c"), radius, keys=("flight",)).collect())
+    whole = [x for x in rows if None not in x]
+    want = sorted((p[0], q[0]) for p in whole for q in whole if p[0] != q[0] and p[1] == q[1] and haversine(p, q) <= radius)
+    assert got == want and len(want) > 200
+
+
 def test_quantiles_neither_shuffle_nor_sketch_the_rows(spark, monkeypatch):
     """Passes add up counts and meet few intervals by broadcast; rows are not dealt out by group, and no sketch is made of them."""
     from overfly.operators import quantiles
