@@ -39,6 +39,9 @@ SCALE = 2_000_000
 SHARD = 4 << 20
 #: Non-zero bytes of first words' bitmaps that are extended at a time.
 BATCH = 1 << 15
+#: How tables of shards are written. Readers hold a batch of thousands of rows, but never over the end of a row group, and
+#: writers hold a group: groups are of some 8 MB, however few rows that is.
+GROUPS = {"compression": "zstd", "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
 #: Bits of the pair table: 16 MB.
 TABLE_BITS = 1 << 27
 
@@ -177,13 +180,15 @@ def shard_words(langs: list[str], data: np.ndarray, offsets: np.ndarray) -> tupl
 
 
 def squeezed(x: np.ndarray) -> bytes:
-    """Two rows of 32-bit numbers, compressed: shuffles compress rows less well than this."""
-    return struct.pack("<q", x.shape[1]) + pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True)
+    """Two rows of numbers, compressed: shuffles compress rows less well than this, and a batch of rows is small in the JVM."""
+    narrow = x.max(initial=0) < 1 << 31
+    return struct.pack("<?q", narrow, x.shape[1]) + pa.compress(np.ascontiguousarray(x, np.int32 if narrow else np.int64), codec="zstd", asbytes=True)
 
 
 def unsqueezed(raw: bytes) -> np.ndarray:
-    n = struct.unpack("<q", raw[:8])[0]
-    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd"), np.int32).reshape(2, n)
+    narrow, n = struct.unpack("<?q", raw[:9])
+    kind = np.dtype(np.int32 if narrow else np.int64)
+    return np.frombuffer(pa.decompress(raw[9:], decompressed_size=2 * n * kind.itemsize, codec="zstd"), kind).reshape(2, n)
 
 
 def _shards(docs: DataFrame, buckets: int, size: int) -> DataFrame:
@@ -199,7 +204,7 @@ def _shards(docs: DataFrame, buckets: int, size: int) -> DataFrame:
             tags, words, index, positions = shard_words(langs, data, offsets)
             if not len(words):
                 return
-            line = squeezed(np.stack([np.diff(positions, prepend=0), index]).astype(np.int32))
+            line = squeezed(np.stack([np.diff(positions, prepend=0), index]))
             none = [pa.nulls(1, k) for k in (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *none, pa.array([line], pa.binary())], names=names)
             b = vocab.rows(number, tags, words, np.bincount(index, minlength=len(words)), buckets)
@@ -281,12 +286,15 @@ def _named(words: DataFrame, least: int, buckets: int) -> DataFrame:
     return map_arrow(vocab.gathered(words, buckets), run, schema)
 
 
-def _lines(shards: DataFrame, answers: DataFrame) -> DataFrame:
-    """(steps, ids): each shard's words that have an id, by the step to their position from the one before."""
+def _lines(shards: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """(line): each shard's words that have an id, by the step to their position from the one before, compressed.
+
+    There are as many partitions as buckets, so the shards in one do not grow with the input.
+    """
     ship(shards.sparkSession)
 
     def run(line: pa.Table, answer: pa.Table) -> pa.Table:
-        kept, ids, counts = [], [], []
+        kept = []
         if line.num_rows and answer.num_rows:
             moves, places = unsqueezed(line.column("line")[0].as_py())
             slots = unstepped(*flat_lists(answer.column("slots")))
@@ -295,10 +303,11 @@ def _lines(shards: DataFrame, answers: DataFrame) -> DataFrame:
             line_ids = known[places]
             ok = line_ids >= 0
             positions = np.cumsum(moves.astype(np.int64))[ok]
-            kept, ids, counts = [np.diff(positions, prepend=0)], [line_ids[ok]], [int(ok.sum())]
-        return pa.table({"steps": pa.array(kept, pa.list_(pa.int32())), "ids": pa.array(ids, pa.list_(pa.int64()))})
+            kept = [squeezed(np.stack([np.diff(positions, prepend=0), line_ids[ok]]))]
+        return pa.table({"line": pa.array(kept, pa.binary())})
 
-    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, "steps array<int>, ids array<long>")
+    shards, answers = (d.repartition(buckets, "shard") for d in (shards, answers))
+    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, "line binary")
 
 
 def summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,15 +338,15 @@ def _counted(lines: DataFrame, longest: int, batch: int, buckets: int, least: in
     """(w1 .. w<longest>, a): popcounts of phrases summed over shards, of those that reach ``least``.
 
     A shard's phrases travel packed by the bucket of their hash; a partition holds the
-    distinct phrases of its buckets, whose number follows the input (``vocab.buckets_of``).
+    distinct phrases of one bucket, and the number of buckets follows the input (``vocab.buckets_of``).
     """
     words = [f"w{i + 1}" for i in range(longest)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value if table is not None else None
         for b in batches:
-            for r in range(b.num_rows):
-                moves, ids = (flat_lists(b.column(i).slice(r, 1))[0] for i in (0, 1))
+            for raw in b.column(0):
+                moves, ids = unsqueezed(raw.as_py()).astype(np.int64)
                 positions = np.cumsum(moves)
                 if not len(positions):
                     continue
@@ -372,8 +381,8 @@ def _counted(lines: DataFrame, longest: int, batch: int, buckets: int, least: in
         rows, n = rows[keep], n[keep]
         yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(longest)], pa.array(n)], names=[*words, "a"])
 
-    d = map_arrow(lines.select("steps", "ids"), find, "bucket int, phrases binary")
-    return map_arrow(d.repartition(buckets, "bucket"), total, ", ".join(f"{w} long" for w in words) + ", a long")
+    d = map_arrow(lines.select("line"), find, "bucket int, phrases binary")
+    return map_arrow(vocab.by_bucket(d, buckets), total, ", ".join(f"{w} long" for w in words) + ", a long")
 
 
 def _pair_table(pairs: DataFrame, size: int) -> np.ndarray:
@@ -402,7 +411,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets:
     words = [f"w{i + 1}" for i in range(longest)]
 
     def stored(d: DataFrame, name: str) -> DataFrame:
-        d.write.option("compression", "zstd").parquet(f"{at}/{name}")
+        d.write.options(**GROUPS).parquet(f"{at}/{name}")
         return spark.read.parquet(f"{at}/{name}")
 
     try:
@@ -410,7 +419,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets:
         named = stored(_named(shards.filter("bucket IS NOT NULL"), least, buckets), "named")
         total = checkpointed(named.filter("n IS NOT NULL").groupBy(F.col("tag").alias("lang")).agg(F.sum("n").alias("n")))
         often = checkpointed(named.filter("id IS NOT NULL").select("id", F.col("tag").alias("lang"), "word", "a"))
-        lines = stored(_lines(shards.filter("bucket IS NULL").select("shard", "line"), named.filter("shard IS NOT NULL").select("shard", "slots", "ids")), "lines")
+        lines = stored(_lines(shards.filter("bucket IS NULL").select("shard", "line"), named.filter("shard IS NOT NULL").select("shard", "slots", "ids"), buckets), "lines")
         for name in ("shards", "named"):
             removed(spark, f"{at}/{name}")
         pairs = checkpointed(_counted(lines, 2, batch, buckets, least))

@@ -106,4 +106,9 @@ def rows(shard: int, tags: list[str], words: list[str], counts: np.ndarray, buck
 
 def gathered(vocabulary: DataFrame, buckets: int) -> DataFrame:
     """``ROW``s dealt out so that all copies of a word are in one partition."""
-    return vocabulary.select(*NAMES).repartition(buckets, "bucket")
+    return by_bucket(vocabulary.select(*NAMES), buckets)
+
+
+def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """A partition for each ``bucket``: dealt out by a hash of the number, some tasks would get five or six and others none."""
+    return rows.repartitionById(buckets, F.col("bucket"))

@@ -243,6 +243,35 @@ def test_buckets_follow_the_input(docs, empty, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(some, 3).collect())) == want and want
 
 
+def test_tasks_hold_few_shards_and_one_bucket(spark, monkeypatch, tmp_path):
+    """Neither few shuffle partitions nor long tables make a task hold many shards: lines are spread over as many partitions as there
+    are buckets, a row is one compressed value, and readers' batches end with a small row group. Buckets are not put together."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(collocations, "removed", lambda *a: None)
+    monkeypatch.setattr(collocations, "shared_folder", lambda s: str(tmp_path))
+    monkeypatch.setitem(collocations.__dict__.get("GROUPS", {}), "parquet.block.size", 1 << 12)
+    rows = [(f"w{i % 7} w{i % 11} x{i} y{i % 13} w{i % 7} " * 8, "en") for i in range(3000)]
+    d = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        collocations.counts(d, shard=5000, buckets=40)[2].count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    groups = {n: [g for f in tmp_path.glob(f"*/{n}/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in [[m.row_group(i) for i in range(m.num_row_groups)]]] for n in ("shards", "lines")}
+    lines = [sum(g.num_rows for g in f) for f in groups["lines"]]
+    assert sum(lines) > 50 and max(lines) < sum(lines) / 5
+    for f in (*groups["shards"], *groups["lines"]):
+        # A row more than the bound at most, besides what each column needs anyway.
+        assert all(g.total_byte_size < 4 * (1 << 12) or g.num_rows == 1 for g in f)
+    kept = spark.createDataFrame([(0, k, "en", [1], [1], f"w{k}") for k in range(60)], vocab.ROW)
+    dealt = vocab.gathered(kept, 60).groupBy(F.spark_partition_id()).agg(F.count_distinct("bucket").alias("n"))
+    assert [x["n"] for x in dealt.collect()] == [1] * 60
+    x = np.array([[3, 0, 1], [1 << 40, 5, 6]])
+    assert np.array_equal(collocations.unsqueezed(collocations.squeezed(x)), x)
+
+
 def test_no_phrases(empty, docs):
     assert collocations.collocations(empty).count() == 0
     assert collocations.collocations(docs.filter("text IS NULL OR length(text) < 2")).count() == 0
